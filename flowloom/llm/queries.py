@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat_format, sharding, warc
+from flowloom.llm import bpe, chat_format, sharding, warc
 from flowloom.llm.support import ship
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, "word_bpe_49k.json", digests=True)
+
+
 def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     out = sharding.shard(docs, shards=24, law="bytes")
@@ -42,7 +47,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_bpe_chunks, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
 
 #: Level 1 as soon as a text holds a control string or an escape: equal to the round trip on texts that break it.
 _OP9_SQL = """
