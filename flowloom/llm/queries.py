@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, chat_format, sharding, warc
+from flowloom.llm import bpe, chat_format, line_dedup, sharding, warc
 from flowloom.llm.support import ship
 
 
@@ -18,6 +18,11 @@ def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, "word_bpe_49k.json", digests=True)
 
 
+def op5_line_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     out = sharding.shard(docs, shards=24, law="bytes")
@@ -47,7 +52,19 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_bpe_chunks, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_bpe_chunks, op5_line_mph, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
+
+_OP5_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), firsts AS (
+  SELECT k, min(doc_id) AS first FROM lines WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > first) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE first IS NULL OR doc_id <= first), '')) AS kept_sha256
+FROM lines LEFT JOIN firsts USING (k) GROUP BY doc_id
+"""
 
 #: Level 1 as soon as a text holds a control string or an escape: equal to the round trip on texts that break it.
 _OP9_SQL = """
@@ -84,4 +101,4 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload
 FROM p LEFT JOIN g ON p.html = g.html
 """
 
-ORACLES = {"op9_chat_grammar": _OP9_SQL, "op10_warc_chain": _OP10_SQL}
+ORACLES = {"op5_line_mph": _OP5_SQL, "op9_chat_grammar": _OP9_SQL, "op10_warc_chain": _OP10_SQL}
