@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, chat_format, line_dedup, sharding, warc
+from flowloom.llm import bpe, chat_format, line_dedup, sharding, simhash, warc
 from flowloom.llm.support import ship
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, "word_bpe_49k.json", digests=True)
@@ -52,7 +57,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_bpe_chunks, op5_line_mph, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op5_line_mph, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
 
 _OP5_SQL = """
 WITH lines AS (
