@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, chat_format, line_dedup, sharding, simhash, warc
+from flowloom.llm import bpe, chat_format, decontaminate, line_dedup, sharding, simhash, warc
 from flowloom.llm.support import ship
 
 
@@ -28,6 +28,11 @@ def op5_line_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_edit_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "distance")
+
+
 def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     out = sharding.shard(docs, shards=24, law="bytes")
@@ -57,7 +62,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op5_line_mph, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
 
 _OP5_SQL = """
 WITH lines AS (
