@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, chat_format, decontaminate, line_dedup, sharding, simhash, warc
+from flowloom.llm import bpe, chat_format, decontaminate, line_dedup, quality, sharding, simhash, warc
 from flowloom.llm.support import ship
 
 
@@ -23,6 +23,12 @@ def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, "word_bpe_49k.json", digests=True)
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected documents with their grades; a rejected document has no row."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.select_good(docs, _table(spark, sf_dir, "labels"), keep_text=False)
+
+
 def op5_line_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,7 +68,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op3_ordinal_quality, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
 
 _OP5_SQL = """
 WITH lines AS (
