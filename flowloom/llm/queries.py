@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import bpe, chat_format, decontaminate, line_dedup, quality, sharding, simhash, warc
+from flowloom.llm import ann, bpe, chat_format, decontaminate, line_dedup, quality, sharding, simhash, warc
 from flowloom.llm.support import ship
 
 
@@ -45,6 +45,11 @@ def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -68,7 +73,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op3_ordinal_quality, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op3_ordinal_quality, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op8_multi_index, op9_chat_grammar, op10_warc_chain)}
 
 _OP5_SQL = """
 WITH lines AS (
