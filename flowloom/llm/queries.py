@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import ann, bpe, chat_format, decontaminate, line_dedup, quality, sharding, simhash, warc
+from flowloom.llm import ann, bpe, chat_format, decontaminate, line_dedup, lm, quality, sharding, simhash, warc
 from flowloom.llm.support import ship
 
 
@@ -29,6 +29,10 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select_good(docs, _table(spark, sf_dir, "labels"), keep_text=False)
 
 
+def op4_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_mph(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,7 +77,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op3_ordinal_quality, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op8_multi_index, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op3_ordinal_quality, op4_attention_scores, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op8_multi_index, op9_chat_grammar, op10_warc_chain)}
 
 _OP5_SQL = """
 WITH lines AS (
