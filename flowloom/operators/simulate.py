@@ -1,0 +1,255 @@
+"""Fitted waiting times and seeded what-if scenarios.
+
+Spark fits the distributions, deals the replications out to tasks and summarises them; within a replication, cases pass
+through queues with as many servers as an activity has resources. Both arms of a replication draw the same random numbers.
+"""
+
+from __future__ import annotations
+
+import heapq
+import json
+import math
+import re
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from flowloom.functions.stats import normal_cdf
+from flowloom.operators.profile import activity_stats, variant_order, variant_stats
+from flowloom.schema import ONE_MINUTE_IN_DAYS, SEPARATOR
+
+# Bounds and texts of fits and scenarios.
+FEW = "Amostra insuficiente para comparar famílias; distribuição constante usada."
+WEAK = "A aderência é fraca (KS > 0,20); valide com mais dados."
+ANY, END = "*", "__end__"
+
+
+def wait_samples(steps: DataFrame) -> DataFrame:
+    """key, value: each wait (a minute at least) under its transition and under its activity alone."""
+    gap = (F.col("next_ts_ms") - F.col("ts_ms")) / F.lit(86_400_000.0)
+    moves = steps.where("next_activity is not null").withColumn("value", F.greatest(F.lit(ONE_MINUTE_IN_DAYS), gap))
+    keys = F.explode(F.array(F.concat_ws(SEPARATOR, "activity", "next_activity"), F.concat_ws(SEPARATOR, "activity", F.lit(ANY))))
+    return moves.select(keys.alias("key"), "value")
+
+
+def sufficient(samples: DataFrame) -> DataFrame:
+    """By key: n, mean, mean and deviation of logarithms, number of distinct values at eight decimals."""
+    log = F.ln("value")
+    return samples.where("value > 0").groupBy("key").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.sum(log).alias("sum_log"), F.avg(log).alias("mu"), F.coalesce(F.stddev_samp(log), F.lit(0.0)).alias("sd_log"),
+        F.min(F.round("value", 8)).alias("lo"), F.max(F.round("value", 8)).alias("hi"),
+    )
+
+
+def ks_statistics(samples: DataFrame, facts: DataFrame) -> DataFrame:
+    """By key, the largest distance of the empirical distribution from the fitted exponential and lognormal one.
+
+    Equal values are merged before they are ranked, so a rank window sees each value once.
+    """
+    by = Window.partitionBy("key").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    values = samples.where("value > 0").groupBy("key", "value").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(by))
+    x = values.join(F.broadcast(facts.select("key", "n", "mean", "mu", "sigma")), "key")
+    steps_ = [(F.col("upto") - F.col("k")) / F.col("n"), (F.col("upto") - 1) / F.col("n"), (F.col("upto") - F.col("k") + 1) / F.col("n"), F.col("upto") / F.col("n")]
+    far = lambda cdf: F.max(F.greatest(*(F.abs(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cdf)) - s) for s in steps_)))
+    exponential = 1 - F.exp(-F.col("value") / F.col("mean"))
+    lognormal = normal_cdf((F.ln("value") - F.col("mu")) / F.col("sigma"))
+    return x.groupBy("key").agg(far(exponential).alias("ks_exponential"), far(lognormal).alias("ks_lognormal"))
+
+
+def fits(samples: DataFrame) -> DataFrame:
+    """By key: family with the lower BIC, its parameters, KS statistic and BIC; constant where there is too little to tell."""
+    c = F.col
+    facts = sufficient(samples).withColumn("sigma", F.greatest(F.lit(1e-6), c("sd_log"))).withColumn("mean", F.greatest(F.lit(1e-9), c("mean")))
+    exp_ll = c("n") * F.ln(1 / c("mean")) - c("n")
+    log_ll = -c("sum_log") - c("n") * F.ln(c("sigma") * math.sqrt(2 * math.pi)) - (c("n") - 1) * c("sd_log") ** 2 / (2 * c("sigma") ** 2)
+    facts = facts.withColumn("bic_e", F.ln("n") - 2 * exp_ll).withColumn("bic_l", 2 * F.ln("n") - 2 * log_ll)
+    family = F.when((c("n") < 4) | (c("lo") == c("hi")), "constant").when(c("bic_l") <= c("bic_e"), "lognormal").otherwise("exponential")
+    both = facts.join(ks_statistics(samples, facts), "key").withColumn("family", family)
+    pick = lambda constant, exponential, lognormal: F.when(c("family") == "constant", constant).when(c("family") == "exponential", exponential).otherwise(lognormal)
+    told = both.select(
+        "key", "family", c("n").alias("sample_count"), pick(F.greatest(F.lit(ONE_MINUTE_IN_DAYS), c("mean")), c("mean"), c("mu")).alias("parameter_1"),
+        pick(F.lit(None), F.lit(None), c("sigma")).alias("parameter_2"), pick(F.lit(0.0), c("ks_exponential"), c("ks_lognormal")).alias("ks"), pick(F.lit(0.0), c("bic_e"), c("bic_l")).alias("bic"),
+    )
+    return told.withColumn("warning", F.when(c("family") == "constant", FEW).when(c("ks") > 0.2, WEAK))
+
+
+def capacities(activities: DataFrame, resource_loss: bool = False) -> DataFrame:
+    """Servers of each activity: its resources, one at least; one less at the longest median wait if a resource is lost."""
+    own = activities.select("activity", "events", "wait_median", F.greatest(F.lit(1), F.size("resources")).alias("capacity"))
+    if not resource_loss:
+        return own.select("activity", "capacity")
+    slowest = own.orderBy(F.desc("wait_median"), F.desc("events"), "activity").limit(1).select(F.col("activity").alias("slowest"))
+    less = F.when(F.col("activity") == F.col("slowest"), F.greatest(F.lit(1), F.col("capacity") - 1)).otherwise(F.col("capacity"))
+    return own.crossJoin(F.broadcast(slowest)).select("activity", less.alias("capacity"))
+
+
+def arrival_rate(traces: DataFrame) -> DataFrame:
+    """Cases a day between the first and the last start."""
+    n, span = F.col("cases"), (F.col("last") - F.col("first")) / F.lit(86_400_000.0)
+    rate = F.when(n < 2, F.greatest(F.lit(0.1), n / 90)).otherwise(n / F.greatest(F.lit(1.0), span))
+    return traces.agg(F.count("*").alias("cases"), F.min("start_ms").alias("first"), F.max("start_ms").alias("last")).select("cases", rate.alias("arrival_rate"))
+
+
+@dataclass
+class Scenario:
+    volume_increase_pct: float = 20
+    resource_loss: bool = False
+    approval_speed: float = 1
+    automation_activity: str = ""
+    approval_policy: str = "observed"
+    seed: int = 42_019
+    replications: int = 1_000
+    confidence_level: float = 0.95
+    validation_tolerance_pct: float = 20
+    working_weekdays: list[int] = field(default_factory=lambda: [1, 2, 3, 4, 5])
+    workday_start: int = 8
+    workday_end: int = 18
+
+    @property
+    def stretch(self) -> float:
+        """How much longer a wait is if only working hours count."""
+        return 7 / max(1, len(set(self.working_weekdays))) * 24 / min(24, max(1, self.workday_end - self.workday_start))
+
+
+def draws(seed: int):
+    """Uniform numbers of the 32-bit xorshift generator (13, 17, 5)."""
+    x = seed & 0xFFFFFFFF or 1
+    while True:
+        x ^= x << 13 & 0xFFFFFFFF
+        x ^= x >> 17
+        x ^= x << 5 & 0xFFFFFFFF
+        yield x / 2**32
+
+
+def _exponential(u, mean: float) -> float:
+    return -math.log(max(1e-12, 1 - next(u))) * mean
+
+
+def _wait(u, fit: dict) -> float:
+    if fit["family"] == "constant":
+        return fit["a"]
+    if fit["family"] == "exponential":
+        return _exponential(u, fit["a"])
+    radius = math.sqrt(-2 * math.log(max(1e-12, next(u))))
+    return math.exp(fit["a"] + fit["b"] * radius * math.cos(2 * math.pi * max(1e-12, next(u))))
+
+
+APPROVAL = re.compile("aprova", re.IGNORECASE)
+
+
+def replicate(model: dict, arm: str, seed: int) -> float:
+    """Median lead time of one replication of an arm."""
+    own, what, u = model[arm], model["scenario_settings"], draws(seed)
+    scenario, skip = arm == "scenario", arm == "scenario" and what["approval_policy"] == "skip_manager_below_threshold"
+    events, routes, clock, order = [], {}, 0.0, 0
+    for case in range(own["cases"]):
+        clock += _exponential(u, 1 / max(1e-6, own["rate"]))
+        roll, upto = next(u), 0.0
+        route = model["variants"][-1]["path"]
+        for v in model["variants"]:
+            upto += v["share"]
+            if roll <= upto:
+                route = v["path"]
+                break
+        if skip:
+            route = [a for i, a in enumerate(route) if not (APPROVAL.search(a) and i > 0 and next(u) < 0.35)]
+        if route:
+            routes[case] = (clock, route)
+            heapq.heappush(events, (clock, order, case, 0, False))
+            order += 1
+    queues: dict[str, deque] = {}
+    busy: dict[str, int] = {}
+    leads = []
+
+    def serve(activity: str, now: float) -> None:
+        nonlocal order
+        queue = queues.setdefault(activity, deque())
+        while queue and busy.get(activity, 0) < own["capacity"].get(activity, 1):
+            case, stage = queue.popleft()
+            busy[activity] = busy.get(activity, 0) + 1
+            route = routes[case][1]
+            following = route[stage + 1] if stage + 1 < len(route) else END
+            fit = model["fits"].get(activity + SEPARATOR + following) or model["fits"].get(activity + SEPARATOR + ANY)
+            wait = _wait(u, fit) if fit else 0.05
+            if scenario and APPROVAL.search(activity):
+                wait *= min(2, max(0.25, what["approval_speed"]))
+            if scenario and what["automation_activity"] == activity:
+                wait *= 0.2
+            heapq.heappush(events, (now + max(ONE_MINUTE_IN_DAYS, wait * model["stretch"]), order, case, stage, True))
+            order += 1
+
+    while events:
+        now, _, case, stage, done = heapq.heappop(events)
+        start, route = routes[case]
+        if done:
+            busy[route[stage]] -= 1
+            serve(route[stage], now)
+            stage += 1
+            if stage == len(route):
+                leads.append(now - start)
+                continue
+        queues.setdefault(route[stage], deque()).append((case, stage))
+        serve(route[stage], now)
+    leads.sort()
+    middle = len(leads) // 2
+    return 0.0 if not leads else leads[middle] if len(leads) % 2 else (leads[middle - 1] + leads[middle]) / 2
+
+
+def scenario_model(log_steps: DataFrame, traces: DataFrame, what: Scenario) -> dict:
+    """What a replication needs: fits by pair of activities, capacities, rates, variants."""
+    activities = activity_stats(log_steps).cache()
+    fitted = {r["key"]: {"family": r["family"], "a": r["parameter_1"], "b": r["parameter_2"]} for r in fits(wait_samples(log_steps)).collect()}
+    for r in activities.collect():
+        fitted.setdefault(r["activity"] + SEPARATOR + ANY, {"family": "constant", "a": r["wait_median"] or 0.25, "b": None})
+    variants = variant_stats(traces)
+    # paths that occur once each may be as many as cases; a replication draws from all of them
+    ranked = [{"path": list(r["path"]), "share": r["share"]} for r in variants.orderBy(*variant_order(variants)).select("path", "share").collect()]
+    if all(len(v["path"]) < 2 for v in ranked):
+        raise ValueError("O cenário exige ao menos uma variante com duas atividades.")
+    pace = arrival_rate(traces).first()
+    cases = max(1, pace["cases"])
+    more = max(1, math.floor(cases * (100 + min(200, max(-80, what.volume_increase_pct))) / 100 + 0.5))
+    servers = lambda loss: {r["activity"]: r["capacity"] for r in capacities(activities, loss).collect()}
+    return {
+        "fits": fitted, "variants": ranked, "stretch": what.stretch, "scenario_settings": asdict(what),
+        "baseline": {"cases": cases, "rate": pace["arrival_rate"], "capacity": servers(False)},
+        "scenario": {"cases": more, "rate": pace["arrival_rate"] * more / cases, "capacity": servers(what.resource_loss)},
+    }
+
+
+def replications(spark: SparkSession, model: dict, what: Scenario) -> DataFrame:
+    """replication, baseline, scenario: the median lead time of both arms."""
+    count = int(math.floor(min(1000, max(1, what.replications or 1000)) + 0.5))
+    shared, base = spark.sparkContext.broadcast(json.dumps(model)), what.seed & 0xFFFFFFFF or 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = json.loads(shared.value)
+        for f in frames:
+            seeds = [(base + (int(r) + 1) * 2_654_435_761) & 0xFFFFFFFF for r in f["id"]]
+            yield pd.DataFrame({"replication": f["id"], "baseline": [replicate(own, "baseline", s) for s in seeds], "scenario": [replicate(own, "scenario", s) for s in seeds]})
+
+    return spark.range(count, numPartitions=min(count, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "replication long, baseline double, scenario double")
+
+
+def simulate(spark: SparkSession, log_steps: DataFrame, traces: DataFrame, what: Scenario | None = None) -> DataFrame:
+    """One row for each arm: median, lower and upper bound over replications; how well the baseline repeats the past."""
+    what = what or Scenario()
+    model = scenario_model(log_steps, traces, what)
+    runs = replications(spark, model, what).cache()
+    low = (1 - what.confidence_level) / 2
+    long = runs.select(F.explode(F.create_map(F.lit("baseline"), "baseline", F.lit("scenario"), "scenario")).alias("arm", "lead"))
+    cuts = F.percentile("lead", F.array(F.lit(0.5), F.lit(low), F.lit(1 - low)))
+    arms = long.groupBy("arm").agg(cuts.alias("c"), F.count("*").alias("replications")).select("arm", "replications", F.col("c")[0].alias("median"), F.col("c")[1].alias("lower"), F.col("c")[2].alias("upper"))
+    base = arms.where("arm = 'baseline'").select(F.col("median").alias("baseline_median"))
+    seen = traces.agg(F.coalesce(F.percentile("lead_days", 0.5), F.lit(0.0)).alias("observed_median"))
+    error = F.when(F.col("observed_median") > 0, F.abs(F.col("baseline_median") - F.col("observed_median")) / F.col("observed_median") * 100).otherwise(0.0)
+    cases = F.when(F.col("arm") == "baseline", model["baseline"]["cases"]).otherwise(model["scenario"]["cases"])
+    return arms.crossJoin(base).crossJoin(seen).select(
+        "arm", "replications", cases.alias("cases"), "median", "lower", "upper", "observed_median", error.alias("error_pct"),
+        F.when(error <= what.validation_tolerance_pct, "passed").otherwise("failed").alias("status"),
+        F.when(F.col("baseline_median") > 0, (F.col("median") - F.col("baseline_median")) / F.col("baseline_median") * 100).otherwise(0.0).alias("delta_pct"),
+    )

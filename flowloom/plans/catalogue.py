@@ -1,4 +1,580 @@
 """All queries of the process-mining operators by name, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.functions import text as text_functions
+from flowloom.functions.hashing import stable_hash, text_id
+from flowloom.operators import conformance, evidence, model, profile, quality, simulate
+from flowloom.operators import traces as base
+from flowloom.sources import adapters, demo, files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return rounded(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles at six decimals, whole numbers as BIGINT."""
+    how = {"double": lambda c: F.round(c, 6), "int": lambda c: c.cast("long")}
+    return df.select(*(how[t](F.col(n)).alias(n) if t in how else F.col(n) for n, t in df.dtypes))
+
+
+def shown(path: str = "path"):
+    return F.array_join(path, " > ").alias("path")
+
+
+# ---- the same log in SQL
+
+HASH = """list_reduce(list_prepend({seed}::HUGEINT, list_transform(string_split({text}, ''), lambda ch: ord(ch)::HUGEINT)), lambda a, b: (xor(a, b) * {factor}) % 4294967296)"""
+
+
+def half_sql(text: str, which: int) -> str:
+    seed, factor = ((2166136261, 16777619), (2654435769, 2246822507))[which]
+    return HASH.format(seed=seed, factor=factor, text=text)
+
+
+def hash_sql(text: str) -> str:
+    return " || ".join(f"lpad(lower(to_hex(({half_sql(text, i)})::BIGINT)), 8, '0')" for i in (0, 1))
+
+
+SESSION = """
+WITH ev AS (
+  SELECT event_id, user_id, epoch_us(ts) AS us, event_type AS activity, CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 AS k FROM events
+), flagged AS (
+  SELECT *, CASE WHEN lag(us) OVER w IS NULL OR us - lag(us) OVER w > 43200000000 THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)
+), log AS (
+  SELECT event_id AS seq, user_id || '-' || (sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id))::BIGINT AS case_id, activity, us // 1000 AS ts_ms,
+    CASE WHEN k = 0 THEN 'Não informado' ELSE 'R' || k END AS resource FROM flagged
+)"""
+
+STEPS = SESSION + """, steps AS (
+  SELECT case_id, seq, activity, resource, ts_ms, lead(activity) OVER w AS next_activity, lead(ts_ms) OVER w AS next_ts_ms,
+    greatest(0.0, (lead(ts_ms) OVER w - ts_ms) / 86400000.0) AS wait FROM log WINDOW w AS (PARTITION BY case_id ORDER BY ts_ms, seq)
+), st AS (SELECT * EXCLUDE (wait), CASE WHEN next_activity IS NOT NULL THEN wait END AS wait_days FROM steps)"""
+
+TRACES = SESSION + """, traces AS (
+  SELECT case_id, list(activity ORDER BY ts_ms, seq) AS path, string_agg(activity, chr(31) ORDER BY ts_ms, seq) AS path_key, count(*) AS n_events,
+    min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0) AS lead_days FROM log GROUP BY case_id
+)"""
+
+SPLIT = TRACES + f", sides AS (SELECT *, {half_sql('case_id', 0)} % 5 = 0 AS is_validation FROM traces)"
+PAIRS = """, p AS (
+  SELECT is_validation, unnest(path[:len(path) - 1]) AS from_activity, unnest(path[2:]) AS to_activity FROM {sides} WHERE len(path) > 1
+)"""
+
+
+def summary_sql(x: str, prefix: str = "") -> str:
+    cut = lambda p: f"coalesce(quantile_cont({x}, {p}), 0)"
+    told = {
+        "n": f"count({x})", "mean": f"coalesce(avg({x}), 0)", "sd": f"coalesce(stddev_samp({x}), 0)", "min": f"coalesce(min({x}), 0)", "p25": cut(0.25), "median": cut(0.5),
+        "p75": cut(0.75), "p90": cut(0.9), "p95": cut(0.95), "max": f"coalesce(max({x}), 0)", "iqr": f"{cut(0.75)} - {cut(0.25)}",
+    }
+    return ", ".join(f"{v} AS {prefix}{k}" if k == "n" else f"round({v}, 6) AS {prefix}{k}" for k, v in told.items())
+
+
+EDGES = STEPS + f""", edges AS (
+  SELECT activity AS from_activity, next_activity AS to_activity, count(DISTINCT case_id) AS case_count, {summary_sql('wait_days')}
+  FROM st WHERE next_activity IS NOT NULL GROUP BY ALL
+), named AS (SELECT *, 'edge:' || {hash_sql("from_activity || chr(31) || to_activity")} AS edge_id FROM edges)"""
+ACTIVITIES = STEPS + f""", acts AS (
+  SELECT activity, count(*) AS events, count(DISTINCT case_id) AS case_count,
+    coalesce(list_sort(list(DISTINCT resource) FILTER (WHERE resource <> 'Não informado')), []) AS resources, {summary_sql('wait_days', 'wait_')} FROM st GROUP BY activity
+)"""
+VARIANTS = TRACES + f""", overall AS (SELECT quantile_cont(lead_days, 0.5) AS m, count(*) AS total FROM traces), vars AS (
+  SELECT path_key, any_value(path) AS path, {summary_sql('lead_days', 'lead_')}, round(count(*) / any_value(total), 6) AS share,
+    round(quantile_cont(lead_days, 0.5) - any_value(m), 6) AS impact FROM traces, overall GROUP BY path_key
+), vnamed AS (SELECT *, 'variant:' || {hash_sql('path_key')} AS variant_id FROM vars)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.session_log(spark, sf_dir)
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.steps(_log(spark, sf_dir))
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.traces(_log(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.edge_stats(_steps(spark, sf_dir))
+
+
+def _activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.activity_stats(_steps(spark, sf_dir))
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.variant_stats(_traces(spark, sf_dir))
+
+
+def _named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).withColumn("edge_id", text_id("edge", F.col("from_activity"), F.col("to_activity")))
+
+
+def _sides(log: DataFrame) -> DataFrame:
+    return base.split(base.traces(log))
+
+
+# ---- traces and steps
+
+
+@query(STEPS + " SELECT case_id, seq, activity, next_activity, round(wait_days, 6) AS wait_days FROM st")
+def steps(spark, sf_dir):
+    return _steps(spark, sf_dir).select("case_id", "seq", "activity", "next_activity", "wait_days")
+
+
+@query(SESSION + " SELECT case_id, seq, activity AS from_activity, lead(activity) OVER w AS to_activity, ts_ms AS event_ms, lead(ts_ms) OVER w AS next_event_ms FROM log WINDOW w AS (PARTITION BY case_id ORDER BY seq)")
+def edge_rollup(spark, sf_dir):
+    return base.edge_rollup(_log(spark, sf_dir))
+
+
+@query(TRACES + " SELECT case_id, array_to_string(path, ' > ') AS path, n_events, round(lead_days, 6) AS lead_days FROM traces")
+def traces(spark, sf_dir):
+    return _traces(spark, sf_dir).select("case_id", shown(), "n_events", "lead_days")
+
+
+@query("""
+WITH log AS (SELECT l_orderkey, l_returnflag || l_linestatus AS activity, epoch_us(l_shipdate) // 1000 AS ts_ms, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
+SELECT l_orderkey::VARCHAR AS case_id, string_agg(activity, ' > ' ORDER BY ts_ms, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS path, count(*) AS n_events,
+  round(greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0), 6) AS lead_days FROM log GROUP BY l_orderkey""")
+def order_traces(spark, sf_dir):
+    return base.traces(adapters.order_line_log(spark, sf_dir)).select("case_id", shown(), "n_events", "lead_days")
+
+
+@query("""
+WITH log AS (SELECT event_id AS seq, user_id::VARCHAR AS case_id, event_type AS activity, epoch_us(ts) // 1000 AS ts_ms FROM events)
+SELECT case_id, string_agg(activity, ' > ' ORDER BY ts_ms, seq) AS path, count(*) AS n_events, round(greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0), 6) AS lead_days FROM log GROUP BY case_id""")
+def user_traces(spark, sf_dir):
+    return base.traces(adapters.user_log(spark, sf_dir)).select("case_id", shown(), "n_events", "lead_days")
+
+
+@query(TRACES + f" SELECT case_id, {hash_sql('case_id')} AS hash16 FROM traces")
+def hash_ids(spark, sf_dir):
+    return _traces(spark, sf_dir).select("case_id", stable_hash(F.col("case_id")).alias("hash16"))
+
+
+@query(SPLIT + " SELECT case_id, is_validation FROM sides")
+def holdout_split(spark, sf_dir):
+    return _sides(_log(spark, sf_dir)).select("case_id", "is_validation")
+
+
+# ---- statistics
+
+
+@query(EDGES + ", t AS (SELECT sum(n) AS total FROM edges) SELECT e.*, round(e.n / total, 6) AS frequency FROM edges e, t")
+def edge_stats(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query(ACTIVITIES + " SELECT * REPLACE (array_to_string(resources, ',') AS resources) FROM acts")
+def activity_stats(spark, sf_dir):
+    return _activities(spark, sf_dir).withColumn("resources", F.array_join("resources", ","))
+
+
+@query(VARIANTS + " SELECT variant_id, array_to_string(path, ' > ') AS path, lead_n AS n, share, lead_mean, lead_median, lead_p90, lead_sd, impact FROM vnamed")
+def variant_stats(spark, sf_dir):
+    return _variants(spark, sf_dir).select(text_id("variant", F.col("path_key")).alias("variant_id"), shown(), "n", "share", "lead_mean", "lead_median", "lead_p90", "lead_sd", "impact")
+
+
+@query(TRACES + " SELECT strftime(make_timestamp(end_ms * 1000), '%Y-%m') AS month, count(*) AS cases, round(quantile_cont(lead_days, 0.5), 6) AS median_lead_days FROM traces GROUP BY 1")
+def trend(spark, sf_dir):
+    return profile.trend(_traces(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, max(epoch_us(l_shipdate) // 1000) AS end_ms, greatest(0.0, (max(epoch_us(l_shipdate) // 1000) - min(epoch_us(l_shipdate) // 1000)) / 86400000.0) AS lead_days FROM lineitem GROUP BY 1)
+SELECT strftime(make_timestamp(end_ms * 1000), '%Y-%m') AS month, count(*) AS cases, round(quantile_cont(lead_days, 0.5), 6) AS median_lead_days FROM c GROUP BY 1""")
+def order_trend(spark, sf_dir):
+    return profile.trend(base.traces(adapters.order_line_log(spark, sf_dir)))
+
+
+@query(TRACES + """ SELECT count(*) AS case_count, round(avg(lead_days), 6) AS avg_lead_days, round(quantile_cont(lead_days, 0.5), 6) AS median_lead_days, round(quantile_cont(lead_days, 0.9), 6) AS p90_lead_days,
+  round(avg(CASE WHEN len(list_distinct(path)) = len(path) THEN 1.0 ELSE 0.0 END), 6) AS first_pass_rate, sum(n_events - 1)::BIGINT AS transition_count, (SELECT count(*) FROM log) AS event_count FROM traces""")
+def metrics(spark, sf_dir):
+    return profile.metrics(_log(spark, sf_dir), _traces(spark, sf_dir))
+
+
+@query(TRACES + f" SELECT 'all' AS what, {summary_sql('lead_days')} FROM traces")
+def distribution_summary(spark, sf_dir):
+    from flowloom.functions.stats import summarise
+
+    return summarise(_traces(spark, sf_dir).withColumn("what", F.lit("all")), "lead_days", "what")
+
+
+@query(EDGES + " SELECT edge_id, from_activity, to_activity, n, median, p90 FROM named ORDER BY median DESC, n DESC, edge_id LIMIT 1")
+def bottleneck(spark, sf_dir):
+    return profile.bottlenecks(_edges(spark, sf_dir), 1).select("edge_id", "from_activity", "to_activity", "n", "median", "p90")
+
+
+@query(EDGES + " SELECT edge_id, from_activity, to_activity, n, median, p90 FROM named ORDER BY median DESC, n DESC, edge_id LIMIT 4")
+def ui_bottlenecks(spark, sf_dir):
+    return profile.bottlenecks(_edges(spark, sf_dir), 4).select("edge_id", "from_activity", "to_activity", "n", "median", "p90")
+
+
+@query(EDGES + ", b AS (SELECT list_sort(list(median)) AS m FROM edges) SELECT from_activity, to_activity, n, median, median >= m[least(len(m), floor(len(m) * 0.7)::BIGINT + 1)] AS is_hot FROM edges, b")
+def edge_hot(spark, sf_dir):
+    return profile.edge_heat(_edges(spark, sf_dir)).select("from_activity", "to_activity", "n", "median", "is_hot")
+
+
+@query(SPLIT + " SELECT DISTINCT 'start' AS kind, path[1] AS activity FROM sides WHERE NOT is_validation UNION SELECT DISTINCT 'end', path[-1] FROM sides WHERE NOT is_validation")
+def start_end(spark, sf_dir):
+    return profile.start_end(_sides(_log(spark, sf_dir)).where("not is_validation"))
+
+
+@query(SPLIT + PAIRS.format(sides="sides") + ", b AS (SELECT greatest(1, ceil(count(*) * 0.01)) AS bound FROM sides WHERE NOT is_validation) SELECT from_activity, to_activity, count(*) AS n, count(*) >= any_value(bound) AS retained FROM p, b WHERE NOT is_validation GROUP BY 1, 2")
+def retained_edges(spark, sf_dir):
+    return profile.retained_edges(_sides(_log(spark, sf_dir)).where("not is_validation"))
+
+
+@query(TRACES + ", d AS (SELECT unnest(path[:len(path) - 1]) AS from_activity, unnest(path[2:]) AS to_activity FROM traces WHERE len(path) > 1) SELECT from_activity, to_activity, count(*) AS n FROM d GROUP BY 1, 2")
+def dfg(spark, sf_dir):
+    return profile.follows(_traces(spark, sf_dir))
+
+
+@query(EDGES + " SELECT from_activity, to_activity, n FROM named WHERE from_activity = 'click' OR to_activity = 'click' ORDER BY n DESC, edge_id LIMIT 3")
+def activity_edges(spark, sf_dir):
+    return profile.edges_of(_edges(spark, sf_dir), "click").select("from_activity", "to_activity", "n")
+
+
+@query(EDGES + """, tr AS (SELECT case_id, list(activity ORDER BY ts_ms, seq) AS path, string_agg(activity, chr(31) ORDER BY ts_ms, seq) AS path_key, greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0) AS lead_days FROM log GROUP BY case_id),
+tv AS (SELECT path_key, any_value(path) AS path, count(*) AS n, quantile_cont(lead_days, 0.5) AS m FROM tr GROUP BY path_key),
+best AS (SELECT path FROM tv ORDER BY n DESC, m DESC, path_key LIMIT 1),
+shown AS (SELECT from_activity, to_activity, n, edge_id, path FROM named, best WHERE list_contains(path, from_activity) AND list_contains(path, to_activity))
+SELECT from_activity, to_activity, n, list_position(list_distinct_ordered, from_activity)::BIGINT AS from_stage, list_position(list_distinct_ordered, to_activity)::BIGINT AS to_stage
+FROM (SELECT *, list_filter(path, lambda x, i: list_position(path, x) = i) AS list_distinct_ordered FROM shown) ORDER BY n DESC, edge_id LIMIT 26""")
+def dfg_map(spark, sf_dir):
+    return profile.flow_map(_edges(spark, sf_dir), _variants(spark, sf_dir))
+
+
+@query(SESSION + ", e AS (SELECT max(ts_ms) AS m FROM log) SELECT seq, case_id, activity, ts_ms, resource FROM log WHERE case_id IN (SELECT case_id FROM log, e WHERE resource = 'R3' AND ts_ms >= m - 5 * 86400000)")
+def case_filter(spark, sf_dir):
+    return profile.filter_cases(_log(spark, sf_dir), "R3", 5).select("seq", "case_id", "activity", "ts_ms", "resource")
+
+
+@query(VARIANTS + " SELECT variant_id, array_to_string(path, ' > ') AS path, lead_n AS n FROM vnamed WHERE contains(lower(array_to_string(path, ' ') || ' ' || variant_id), 'click view')")
+def variant_search(spark, sf_dir):
+    found = profile.search_variants(_variants(spark, sf_dir), "Click View")
+    return found.select(text_id("variant", F.col("path_key")).alias("variant_id"), shown(), "n")
+
+
+@query(SESSION + " SELECT DISTINCT resource FROM log WHERE resource <> ''")
+def resources(spark, sf_dir):
+    return profile.resources(_log(spark, sf_dir))
+
+
+@query(SESSION + " SELECT count(DISTINCT case_id) AS cases FROM log")
+def case_count(spark, sf_dir):
+    return profile.case_count(_log(spark, sf_dir))
+
+
+@query(VARIANTS + " SELECT variant_id, lead_n AS n, share, row_number() OVER (ORDER BY lead_n DESC, impact DESC, variant_id) AS rank FROM vnamed")
+def variant_rank(spark, sf_dir):
+    cdf = profile.variant_cdf(_variants(spark, sf_dir).withColumn("impact", F.round("impact", 6)))
+    return cdf.select("variant_id", "n", "share", "rank")
+
+
+@query("""
+WITH log AS (SELECT conv_id, turn, role FROM conversations), t AS (SELECT string_agg(role, ' > ' ORDER BY turn) AS path FROM log GROUP BY conv_id),
+v AS (SELECT path, count(*) AS n FROM t GROUP BY path)
+SELECT path, n, round(sum(n) OVER (ORDER BY n DESC, path ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS upto FROM v""")
+def variant_cdf(spark, sf_dir):
+    """Over conversations, in the order of count and path."""
+    from pyspark.sql import Window
+
+    v = base.traces(adapters.conversation_log(spark, sf_dir)).groupBy(shown()).agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.desc("n"), "path").rowsBetween(Window.unboundedPreceding, 0)
+    return v.select("path", "n", (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy())).alias("upto"))
+
+
+# ---- cleaning
+
+DIRTY = SESSION + """, faulty AS (
+  SELECT CASE WHEN seq % 79 = 0 THEN seq * 2 - 7 ELSE seq * 2 END AS seq, case_id, CASE WHEN seq % 97 = 0 THEN '' ELSE activity END AS activity,
+    CASE WHEN seq % 83 = 0 THEN NULL ELSE ts_ms END AS ts_ms, resource, seq AS event_id FROM log
+), raw AS (SELECT * FROM faulty UNION ALL SELECT seq + 1, case_id, activity, ts_ms, resource, event_id FROM faulty WHERE event_id % 89 = 0),
+tagged AS (SELECT *, CASE WHEN activity = '' THEN 'missing_required_value' WHEN ts_ms IS NULL THEN 'invalid_timestamp' END AS reject_reason FROM raw),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY case_id, activity, ts_ms, resource ORDER BY seq) AS nth FROM tagged WHERE reject_reason IS NULL),
+clean AS (SELECT * FROM numbered WHERE nth = 1),
+late AS (SELECT * FROM (SELECT *, lag(ts_ms) OVER (PARTITION BY case_id ORDER BY seq) AS previous_ms FROM clean) WHERE ts_ms < previous_ms)"""
+FINDINGS = DIRTY + """, found AS (
+  SELECT reject_reason AS code, case_id, 0 AS t, '' AS c, seq FROM tagged WHERE reject_reason IS NOT NULL
+  UNION ALL SELECT 'duplicate_event', case_id, 0, '', seq FROM numbered WHERE nth > 1
+  UNION ALL SELECT 'out_of_order_event', case_id, 0, '', seq FROM late
+  UNION ALL SELECT 'single_event_case', case_id, min(ts_ms), case_id, min(seq) FROM clean GROUP BY case_id HAVING count(*) = 1
+  UNION ALL SELECT 'missing_resource', case_id, ts_ms, case_id, seq FROM clean WHERE resource = 'Não informado'
+), firsts AS (SELECT code, case_id, count(*) AS n, min((t, c, seq)) AS met FROM found GROUP BY 1, 2)"""
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.raw_rows(spark, sf_dir)
+
+
+@query(DIRTY + " SELECT reject_reason, count(*) AS n FROM tagged WHERE reject_reason IS NOT NULL GROUP BY 1")
+def dq_rejects(spark, sf_dir):
+    return quality.tagged(_raw(spark, sf_dir)).where("reject_reason is not null").groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN epoch_us(ts) // 1000 // 1000 * 1000 WHEN 1 THEN epoch_us(ts) // 1000 WHEN 2 THEN epoch_us(ts) // 86400000000 * 86400000 WHEN 3 THEN epoch_us(ts) // 1000 // 1000 * 1000 END AS ts_ms FROM events""")
+def dq_timestamps(spark, sf_dir):
+    """Times as epoch seconds, epoch milliseconds, dates, ISO texts, and a text that is no time."""
+    ts, e = F.col("ts").cast("timestamp"), F.col("event_id")
+    raw = F.when(e % 5 == 0, F.unix_seconds(ts).cast("string")).when(e % 5 == 1, F.unix_millis(ts).cast("string")).when(e % 5 == 2, F.date_format(ts, "yyyy-MM-dd"))
+    raw = raw.when(e % 5 == 3, F.concat(F.lit(" "), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z "))).otherwise("ontem")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text_functions.timestamp_ms(raw).alias("ts_ms"))
+
+
+@query(DIRTY + " SELECT seq, case_id, activity, ts_ms, resource FROM clean")
+def dedup(spark, sf_dir):
+    return quality.clean(_raw(spark, sf_dir)).select("seq", "case_id", "activity", "ts_ms", "resource")
+
+
+@query(DIRTY + " SELECT seq, case_id, ts_ms, previous_ms FROM late")
+def out_of_order(spark, sf_dir):
+    return quality.out_of_order(quality.clean(_raw(spark, sf_dir))).select("seq", "case_id", "ts_ms", "previous_ms")
+
+
+@query(FINDINGS + """ SELECT code, CASE WHEN code IN ('missing_required_value', 'invalid_timestamp') THEN 'error' ELSE 'warning' END AS severity, sum(n)::BIGINT AS n,
+  array_to_string((list(case_id ORDER BY met))[:5], ',') AS sample_case_ids FROM firsts GROUP BY code""")
+def quality_issues(spark, sf_dir):
+    return quality.issues(_raw(spark, sf_dir)).select("code", "severity", "n", F.array_join("sample_case_ids", ",").alias("sample_case_ids"))
+
+
+@query(DIRTY + """ SELECT count(*) AS input_rows, (SELECT count(*) FROM clean) AS accepted_events, count(reject_reason) AS rejected_rows, (SELECT count(DISTINCT case_id) FROM clean) AS case_count,
+  round((count(*) * 3 - count(reject_reason) * 3) / (count(*) * 3), 6) AS completeness, true AS is_usable FROM tagged""")
+def quality_report(spark, sf_dir):
+    return quality.report(_raw(spark, sf_dir))
+
+
+_ATTRIBUTE = ["", "TRUE", "false", "12", "-3,5", "1200,50", "1.200,5", "abc", " 7.25 ", "x1"]
+
+
+@query("""WITH a AS (SELECT event_id, (['', 'TRUE', 'false', '12', '-3,5', '1200,50', '1.200,5', 'abc', ' 7.25 ', 'x1'])[(event_id % 10 + 1)::INTEGER] AS raw FROM events)
+SELECT event_id, raw, CASE WHEN trim(raw) = '' THEN 'null' WHEN lower(raw) IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(trim(raw), '-?[0-9]+([.,][0-9]+)?') THEN 'number' ELSE 'string' END AS kind,
+  CASE WHEN regexp_full_match(trim(raw), '-?[0-9]+([.,][0-9]+)?') THEN round(replace(trim(raw), ',', '.')::DOUBLE, 6) END AS value FROM a""")
+def attr_infer(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, _ATTRIBUTE)), (F.col("event_id") % 10 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", raw.alias("raw"))
+    return rows.select("event_id", "raw", text_functions.attribute_kind(F.col("raw")).alias("kind"), text_functions.attribute_number(F.col("raw")).alias("value"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'complete' ELSE 'start' END AS lifecycle FROM events")
+def lifecycle_norm(spark, sf_dir):
+    raw = F.element_at(F.array(F.lit("COMPLETE"), F.lit(" Start"), F.lit("resume")), (F.col("event_id") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text_functions.lifecycle_name(raw).alias("lifecycle"))
+
+
+# ---- model and conformance
+
+FUNNEL = SESSION + """, staged AS (SELECT *, list_position(['signup', 'view', 'click', 'purchase', 'error'], activity) AS stage FROM log),
+seen AS (SELECT *, max(stage) OVER (PARTITION BY case_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM staged),
+funnel AS (SELECT case_id, list(activity ORDER BY ts_ms, seq) AS path FROM seen WHERE most IS NULL OR stage > most GROUP BY case_id),
+fsides AS (SELECT *, """ + half_sql("case_id", 0) + " % 5 = 0 AS is_validation FROM funnel)"
+
+
+@query(FUNNEL + PAIRS.format(sides="fsides") + """, tr AS (SELECT DISTINCT from_activity, to_activity FROM p WHERE NOT is_validation), va AS (SELECT DISTINCT from_activity, to_activity FROM p WHERE is_validation),
+n AS (SELECT (SELECT count(*) FROM tr) AS t, (SELECT count(*) FROM va) AS h, (SELECT count(*) FROM tr SEMI JOIN va USING (from_activity, to_activity)) AS b)
+SELECT round(CASE WHEN t > 0 THEN b / t ELSE 1 END, 6) AS precision, round(CASE WHEN h > 0 THEN b / h ELSE 1 END, 6) AS generalization FROM n""")
+def precision_generalization(spark, sf_dir):
+    return conformance.coverage(_sides(adapters.funnel_log(spark, sf_dir)))
+
+
+@query()
+def alignments(spark, sf_dir):
+    return conformance.alignments(_sides(_log(spark, sf_dir)).cache()).withColumn("moves", F.to_json("moves"))
+
+
+@query()
+def conformance_summary(spark, sf_dir):
+    return conformance.summary(_sides(_log(spark, sf_dir)).cache())
+
+
+@query()
+def process_tree(spark, sf_dir):
+    return model.tree_table(spark, _sides(adapters.funnel_log(spark, sf_dir)).where("not is_validation"))
+
+
+@query()
+def process_model(spark, sf_dir):
+    out = model.model(spark, _sides(adapters.funnel_log(spark, sf_dir)).where("not is_validation").cache())
+    return out.select(*(F.array_join(n, ",").alias(n) if t.startswith("array") else n for n, t in out.dtypes))
+
+
+@query(TRACES + " SELECT 0::BIGINT AS component, activity FROM (SELECT DISTINCT activity FROM log)")
+def components(spark, sf_dir):
+    """The session log is connected: one component."""
+    return model.components_table(spark, _traces(spark, sf_dir))
+
+
+# ---- simulation
+
+SAMPLES = STEPS + """, sm AS (
+  SELECT activity || chr(31) || next_activity AS key, greatest(1 / 1440.0, (next_ts_ms - ts_ms) / 86400000.0) AS value FROM st WHERE next_activity IS NOT NULL
+  UNION ALL SELECT activity || chr(31) || '*', greatest(1 / 1440.0, (next_ts_ms - ts_ms) / 86400000.0) FROM st WHERE next_activity IS NOT NULL
+)"""
+_CDF = """0.5 * (1 + CASE WHEN z < 0 THEN -1 ELSE 1 END * (1 - (1 / (1 + 0.3275911 * abs(z) / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * abs(z) / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs(z) / sqrt(2))) * (1.421413741
+  + (1 / (1 + 0.3275911 * abs(z) / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs(z) / sqrt(2))) * 1.061405429)))) * exp(-(abs(z) / sqrt(2)) * (abs(z) / sqrt(2)))))"""
+FITS = SAMPLES + f""", facts AS (
+  SELECT key, count(*) AS n, greatest(1e-9, avg(value)) AS mean, sum(ln(value)) AS sl, avg(ln(value)) AS mu, coalesce(stddev_samp(ln(value)), 0) AS sd, greatest(1e-6, coalesce(stddev_samp(ln(value)), 0)) AS sigma,
+    min(round(value, 8)) AS lo, max(round(value, 8)) AS hi FROM sm GROUP BY key
+), ranked AS (
+  SELECT key, value, n, mean, row_number() OVER (PARTITION BY key ORDER BY value) AS i, (ln(value) - mu) / sigma AS z FROM sm JOIN facts USING (key)
+), ks AS (
+  SELECT key, max(greatest(abs(1 - exp(-value / mean) - (i - 1) / n), abs(i / n - 1 + exp(-value / mean)))) AS ks_e, max(greatest(abs({_CDF} - (i - 1) / n), abs(i / n - ({_CDF})))) AS ks_l FROM ranked GROUP BY key
+), bics AS (
+  SELECT *, ln(n) - 2 * (n * ln(1 / mean) - n) AS bic_e, 2 * ln(n) - 2 * (-sl - n * ln(sigma * sqrt(2 * pi())) - (n - 1) * sd * sd / (2 * sigma * sigma)) AS bic_l FROM facts JOIN ks USING (key)
+), chosen AS (SELECT *, CASE WHEN n < 4 OR lo = hi THEN 'constant' WHEN bic_l <= bic_e THEN 'lognormal' ELSE 'exponential' END AS family FROM bics)"""
+
+
+@query(SAMPLES + " SELECT replace(key, chr(31), ' > ') AS key, count(*) AS n, round(min(value), 6) AS lo, round(sum(value), 6) AS total FROM sm GROUP BY key")
+def wait_samples(spark, sf_dir):
+    by = simulate.wait_samples(_steps(spark, sf_dir)).groupBy(F.replace("key", F.lit("\u001f"), F.lit(" > ")).alias("key"))
+    return by.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.sum("value").alias("total"))
+
+
+@query(FITS + " SELECT replace(key, chr(31), ' > ') AS key, round(ks_e, 6) AS ks_exponential, round(ks_l, 6) AS ks_lognormal FROM ks")
+def ks_stat(spark, sf_dir):
+    samples = simulate.wait_samples(_steps(spark, sf_dir))
+    facts = simulate.sufficient(samples).withColumn("sigma", F.greatest(F.lit(1e-6), "sd_log"))
+    return simulate.ks_statistics(samples, facts).withColumn("key", F.replace("key", F.lit("\u001f"), F.lit(" > ")))
+
+
+@query(FITS + """ SELECT replace(key, chr(31), ' > ') AS key, family, n AS sample_count, round(CASE family WHEN 'constant' THEN greatest(1 / 1440.0, mean) WHEN 'exponential' THEN mean ELSE mu END, 6) AS parameter_1,
+  round(CASE family WHEN 'lognormal' THEN sigma END, 6) AS parameter_2, round(CASE family WHEN 'constant' THEN 0 WHEN 'exponential' THEN ks_e ELSE ks_l END, 6) AS ks, round(CASE family WHEN 'constant' THEN 0 WHEN 'exponential' THEN bic_e ELSE bic_l END, 3) AS bic FROM chosen""")
+def fit_distributions(spark, sf_dir):
+    fitted = simulate.fits(simulate.wait_samples(_steps(spark, sf_dir))).drop("warning")
+    return fitted.withColumn("key", F.replace("key", F.lit("\u001f"), F.lit(" > "))).withColumn("bic", F.round("bic", 3))
+
+
+@query(ACTIVITIES + " SELECT activity, greatest(1, len(resources))::BIGINT AS capacity FROM acts")
+def capacities(spark, sf_dir):
+    return simulate.capacities(_activities(spark, sf_dir))
+
+
+@query(ACTIVITIES + ", s AS (SELECT activity AS slowest FROM acts ORDER BY wait_median DESC, events DESC, activity LIMIT 1) SELECT activity, (CASE WHEN activity = slowest THEN greatest(1, len(resources) - 1) ELSE greatest(1, len(resources)) END)::BIGINT AS capacity FROM acts, s")
+def capacities_after_loss(spark, sf_dir):
+    return simulate.capacities(_activities(spark, sf_dir), True)
+
+
+@query(TRACES + " SELECT count(*) AS cases, round(count(*) / greatest(1.0, (max(start_ms) - min(start_ms)) / 86400000.0), 6) AS arrival_rate FROM traces")
+def arrival_rate(spark, sf_dir):
+    return simulate.arrival_rate(_traces(spark, sf_dir))
+
+
+@query()
+def simulation(spark, sf_dir):
+    """A hundred replications of the conversation log with the default scenario."""
+    log = adapters.conversation_log(spark, sf_dir)
+    return simulate.simulate(spark, base.steps(log), base.traces(log), simulate.Scenario(replications=100))
+
+
+# ---- evidence
+
+
+@query()
+def evidence_facts(spark, sf_dir):
+    log = adapters.funnel_log(spark, sf_dir)
+    s, t = base.steps(log), base.traces(log)
+    edges, acts, variants = profile.edge_stats(s), profile.activity_stats(s), profile.variant_stats(t)
+    none = log.agg(F.lit(1.0).alias("completeness"), F.lit(0).alias("rejected_rows"), F.lit(0).alias("issue_types"))
+    return evidence.facts(profile.metrics(log, t), edges, acts, variants, conformance.summary(base.split(t).cache()), none)
+
+
+@query(EDGES + " SELECT edge_id, from_activity, to_activity, n, mean, median, p90, p95, iqr FROM named ORDER BY n DESC, edge_id LIMIT 256")
+def snapshot_edges(spark, sf_dir):
+    return evidence.snapshot_edges(_edges(spark, sf_dir))
+
+
+@query(VARIANTS + " SELECT variant_id, array_to_string(path, ' > ') AS path, lead_n AS n, share, lead_mean, lead_median, lead_p90, lead_p95, lead_iqr, impact FROM vnamed ORDER BY n DESC, impact DESC, variant_id LIMIT 32")
+def snapshot_variants(spark, sf_dir):
+    ranked = _variants(spark, sf_dir).withColumn("impact", F.round("impact", 6))
+    return evidence.snapshot_variants(ranked).withColumn("path", F.array_join("path", " > "))
+
+
+def _pt(x: str, decimals: int = 2) -> str:
+    return f"translate(rtrim(rtrim(format('{{:,.{decimals}f}}', round({x}, {decimals})), '0'), '.'), ',.', '.,')"
+
+
+_EDGE_FACT = f""" SELECT 'tool-' || edge_id AS id, 'distribution' AS kind, from_activity || ' → ' || to_activity AS label, 'mediana ' || {_pt('median')} || ' dias' AS value,
+  'P90 ' || {_pt('p90')} || ' dias; P95 ' || {_pt('p95')} || ' dias; IQR ' || {_pt('iqr')} || ' dias; ' || translate(format('{{:,}}', n), ',', '.') || ' ocorrências.' AS detail, 'edges.' || edge_id || '.waitDays' AS source_path FROM named"""
+
+
+@query(EDGES + _EDGE_FACT + " WHERE from_activity = 'view' AND to_activity = 'click'")
+def tool_inspect_transition(spark, sf_dir):
+    edges = _named_edges(spark, sf_dir)
+    wanted = spark.range(1).select(text_id("edge", F.lit("view"), F.lit("click")).alias("i")).first()["i"]
+    return evidence.inspect_transition(rounded(edges), wanted)
+
+
+@query(EDGES + _EDGE_FACT + " ORDER BY median DESC, n DESC, edge_id LIMIT 5")
+def tool_rank_bottlenecks(spark, sf_dir):
+    return evidence.rank_bottlenecks(rounded(_named_edges(spark, sf_dir)), 5)
+
+
+@query(VARIANTS + f""", sided AS (SELECT *, CASE WHEN path_key = 'view' THEN 'left' ELSE 'right' END AS side FROM vnamed WHERE path_key IN ('view', 'click'))
+SELECT left('tool-' || side || '-' || variant_id, 40) AS id, 'variant' AS kind, 'Variante ' || variant_id AS label, translate(format('{{:,}}', lead_n), ',', '.') || ' casos' AS value,
+  'Participação ' || {_pt('share * 100', 1)} || '%; mediana ' || {_pt('lead_median')} || ' dias; P90 ' || {_pt('lead_p90')} || ' dias; impacto ' || {_pt('impact')} || ' dias.' AS detail, 'variants.' || variant_id AS source_path FROM sided""")
+def tool_compare_variants(spark, sf_dir):
+    named = rounded(_variants(spark, sf_dir)).withColumn("variant_id", text_id("variant", F.col("path_key")))
+    ids = spark.range(1).select(text_id("variant", F.lit("view")).alias("a"), text_id("variant", F.lit("click")).alias("b")).first()
+    return evidence.compare_variants(named, ids["a"], ids["b"])
+
+
+# Claims that the gate must take or refuse.
+_CLAIMS = [
+    ("A espera maior fica antes da compra.", ["bottleneck"], "observacao"),
+    ("O processo leva dois dias em geral.", ["lead-time"], "observacao"),
+    ("Quase 10 casos são lentos por semana.", ["lead-time"], "observacao"),
+    ("A demora vem da falta de recursos.", ["lead-time", "lead-time"], "hipotese"),
+    ("Talvez a fila explique a demora vista.", ["lead-time", "volume"], "hipotese"),
+    ("Falta um evento em muitos dos registros.", ["volume"], "observacao"),
+    ("A família de variantes parece estável.", ["no-such-fact"], "hipotese"),
+    ("O volume observado parece estável agora.", ["volume"], "observacao"),
+]
+
+
+@query("""SELECT * FROM (VALUES (0, 'A espera maior fica antes da compra.', 'observacao'), (4, 'Talvez a fila explique a demora vista.', 'hipotese'), (7, 'O volume observado parece estável agora.', 'observacao')) AS t(place, text, type)""".replace("SELECT *", "SELECT place::BIGINT AS place, text, type"))
+def claim_gate(spark, sf_dir):
+    claims = spark.createDataFrame([(i, *c) for i, c in enumerate(_CLAIMS)], "place long, text string, citations array<string>, type string")
+    ids = spark.createDataFrame([("lead-time",), ("volume",), ("bottleneck",)], "id string")
+    return evidence.gate(claims, ids).select("place", "text", "type")
+
+
+# ---- sources and sinks
+
+
+@query()
+def demo_edges(spark, sf_dir):
+    return profile.edge_stats(base.steps(demo.demo_log(spark)))
+
+
+@query(SESSION + """ SELECT case_id, activity, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((ts_ms % 1000)::VARCHAR, 3, '0') || 'Z' AS timestamp, resource, 'unknown' AS lifecycle FROM log""")
+def csv_export(spark, sf_dir):
+    return files.csv_frame(_log(spark, sf_dir))
+
+
+@query(SESSION + """, e AS (SELECT case_id, seq, '    <event>' || chr(10) || '      <string key="concept:name" value="' || activity || '"/>' || chr(10) || '      <date key="time:timestamp" value="' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.')
+  || lpad((ts_ms % 1000)::VARCHAR, 3, '0') || 'Z"/>' || chr(10) || '      <string key="org:resource" value="' || resource || '"/>' || chr(10) || '    </event>' AS event FROM log)
+SELECT '  <trace>' || chr(10) || '    <string key="concept:name" value="' || case_id || '"/>' || chr(10) || string_agg(event, chr(10) ORDER BY seq) || chr(10) || '  </trace>' AS value FROM e GROUP BY case_id""")
+def xes_export(spark, sf_dir):
+    return files.xes_traces(_log(spark, sf_dir))
