@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,11 +145,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text",
     """docs with the kept lines as text, n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     pairs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_DOC)).alias("doc"), F.col(text).alias("text"))
-    seen = Observation()
-    refs = _refs(pairs, min_chars, set()).observe(seen, F.count(F.lit(1)).alias("n"))
-    keys = refs.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    total = pairs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0  # lines, for the sizes of shards
+    keys = _refs(pairs, min_chars, set()).groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     keys = written(keys.where("first < last").drop("last"), "line_keys")
-    total, n_keys = seen.get["n"] or 0, keys.count()
+    n_keys = keys.count()
     hot_rows = keys.where(F.col("n") > max(16, total // HOT_SHARE)).collect()  # HOT_SHARE rows at most
     hot = {(r["lo"], r["hi"]): r["first"] for r in hot_rows}
     shards = max(MIN_SHARDS, total // SHARD_REFS, n_keys // SHARD_KEYS)
@@ -157,14 +156,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text",
     built = written(keys.withColumn("shard", at()).groupBy("shard").applyInPandas(_build, BUILT), "line_arrays")
     asked = _refs(pairs, min_chars, set(hot)).withColumn("shard", at())
     verdicts = asked.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(_probe, "doc long, lo long, hi int")
-    drops = written(verdicts.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_drops")), "line_drops")
+    drops = written(verdicts.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("__drops")), "line_drops")
 
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, drops_, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("_doc", "_drops", text))
+            docs_, drops_, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("__doc", "__drops", text))
             kept, n_lines, n_dropped = [], [], []
             for doc, gone, body in zip(docs_.to_pylist(), drops_, texts, strict=True):
                 body = body.as_py() or ""
@@ -180,5 +179,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text",
             all_names = [*names, "n_lines", "n_dropped"]
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in all_names], names=all_names)
 
-    joined = docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(LAST_DOC))).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    joined = docs.withColumn("__doc", F.coalesce(F.col(key).cast("long"), F.lit(LAST_DOC))).join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left")
     return joined.mapInArrow(run, schema)

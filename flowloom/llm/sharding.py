@@ -34,7 +34,7 @@ def _digit(done: int, bits: int) -> Column:
     """The next bits of the 128-bit key (k1, k2) after the first `done`."""
     parts, at, left = [], done, bits
     while left:
-        word, inside = ("_k1", at) if at < 64 else ("_k2", at - 64)
+        word, inside = ("__k1", at) if at < 64 else ("__k2", at - 64)
         take = min(left, 64 - inside)
         parts.append((F.col(word), 64 - inside - take, take))
         at, left = at + take, left - take
@@ -48,9 +48,9 @@ def _same_prefix(prefix: int, bits: int) -> Column:
     """Whether the first `bits` of the key equal `prefix`."""
     if bits == 0:
         return F.lit(True)
-    test = _field(F.col("_k1"), 64 - min(bits, 64), min(bits, 64)) == F.lit(_signed(prefix >> max(0, bits - 64))) if bits < 64 else F.col("_k1") == F.lit(_signed(prefix >> (bits - 64)))
+    test = _field(F.col("__k1"), 64 - min(bits, 64), min(bits, 64)) == F.lit(_signed(prefix >> max(0, bits - 64))) if bits < 64 else F.col("__k1") == F.lit(_signed(prefix >> (bits - 64)))
     if bits > 64:
-        test &= _field(F.col("_k2"), 128 - bits, bits - 64) == F.lit(prefix & ((1 << (bits - 64)) - 1)) if bits < 128 else F.col("_k2") == F.lit(_signed(prefix & (2**64 - 1)))
+        test &= _field(F.col("__k2"), 128 - bits, bits - 64) == F.lit(prefix & ((1 << (bits - 64)) - 1)) if bits < 128 else F.col("__k2") == F.lit(_signed(prefix & (2**64 - 1)))
     return test
 
 
@@ -75,7 +75,7 @@ def splitters(keys: DataFrame, shards: int, weight: str, tolerance: float, group
             which = F.when(_same_prefix(p, done), i).otherwise(which)
         seen = (
             keys.withColumn("which", which).where("which is not null").withColumn("digit", _digit(done, bits)).groupBy("which", "digit")
-            .agg(F.sum(weight).alias("w"), F.min("_k1").alias("a"), F.max("_k1").alias("b"), F.min("_k2").alias("c"), F.max("_k2").alias("d"))
+            .agg(F.sum(weight).alias("w"), F.min("__k1").alias("a"), F.max("__k1").alias("b"), F.min("__k2").alias("c"), F.max("__k2").alias("d"))
         )
         counts: dict[int, list] = {}
         for r in seen.collect():
@@ -88,7 +88,7 @@ def splitters(keys: DataFrame, shards: int, weight: str, tolerance: float, group
                 if at + w >= target or (prefix, digit) == (prefix, max(counts[prefix])[0]):
                     bucket = prefix << bits | digit
                     low, high = target - at, at + w - target
-                    slack = group_slack if one_text else tolerance
+                    slack = group_slack if one_text and done <= 64 else tolerance  # a group's edges, or places within it
                     if one_key or min(low, high) <= slack * share or done >= KEY_BITS:
                         cuts[s] = (bucket if low <= high else bucket + 1) << (KEY_BITS - done)
                     else:
@@ -103,10 +103,10 @@ def shard(docs: DataFrame, shards: int = 24, law: str = "bytes", text: str = "te
     """docs with size, law, shard and slot (gapless from 0 within a shard). law: `bytes`, or `rows` for equal counts."""
     body = F.coalesce(F.col(text), F.lit(""))
     flip = F.lit(_LOW)  # unsigned order as the order of words
-    rows = docs.withColumn("size", (F.octet_length(body) + 8).cast("long")).withColumn("_k1", F.xxhash64(body)).withColumn("_k2", F.coalesce(F.col(key).cast("long"), flip).bitwiseXOR(flip))
-    keys = written(rows.select("_k1", "_k2", (F.col("size") if law == "bytes" else F.lit(1).cast("long")).alias("weight")), "shard_keys")
+    rows = docs.withColumn("size", (F.octet_length(body) + 8).cast("long")).withColumn("__k1", F.xxhash64(body)).withColumn("__k2", F.coalesce(F.col(key).cast("long"), flip).bitwiseXOR(flip))
+    keys = written(rows.select("__k1", "__k2", (F.col("size") if law == "bytes" else F.lit(1).cast("long")).alias("weight")), "shard_keys")
     cuts = splitters(keys, shards, "weight", tolerance if law == "bytes" else 0.0, group_slack if law == "bytes" else 0.0)
-    u1, u2 = F.col("_k1").bitwiseXOR(flip), F.col("_k2").bitwiseXOR(flip)
+    u1, u2 = F.col("__k1").bitwiseXOR(flip), F.col("__k2").bitwiseXOR(flip)
     at = F.lit(0)
     for c in cuts:
         if c >> KEY_BITS:
@@ -114,14 +114,14 @@ def shard(docs: DataFrame, shards: int = 24, law: str = "bytes", text: str = "te
         a, b = _signed((c >> 64) ^ (1 << 63)), _signed((c & (2**64 - 1)) ^ (1 << 63))
         at = at + ((u1 > F.lit(a)) | ((u1 == F.lit(a)) & (u2 >= F.lit(b)))).cast("int")
     # slots: rows of a shard are numbered within SUBS parts, after the rows of the parts before
-    part = F.pmod(F.xxhash64(F.col("_k2"), F.lit(7)), F.lit(SUBS)).cast("int")
-    numbered = Window.partitionBy("shard", "_sub").orderBy("_k1", "_k2")
-    parts = keys.select(at.alias("shard"), part.alias("_sub")).groupBy("shard", "_sub").count()
-    before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("shard", "_sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))  # shards * SUBS rows at most
-    out = rows.withColumn("shard", at).withColumn("_sub", part).withColumn("_nth", F.row_number().over(numbered))
-    out = out.join(F.broadcast(base), ["shard", "_sub"])
-    return out.withColumn("law", F.lit(law)).withColumn("slot", (F.col("_base") + F.col("_nth") - 1).cast("long")).drop("_k1", "_k2", "_sub", "_nth", "_base")
+    part = F.pmod(F.xxhash64(F.col("__k2"), F.lit(7)), F.lit(SUBS)).cast("int")
+    numbered = Window.partitionBy("shard", "__sub").orderBy("__k1", "__k2")
+    parts = keys.select(at.alias("shard"), part.alias("__sub")).groupBy("shard", "__sub").count()
+    before = Window.partitionBy("shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("shard", "__sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))  # shards * SUBS rows at most
+    out = rows.withColumn("shard", at).withColumn("__sub", part).withColumn("__nth", F.row_number().over(numbered))
+    out = out.join(F.broadcast(base), ["shard", "__sub"])
+    return out.withColumn("law", F.lit(law)).withColumn("slot", (F.col("__base") + F.col("__nth") - 1).cast("long")).drop("__k1", "__k2", "__sub", "__nth", "__base")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -160,7 +160,7 @@ def allocate(values: list[np.ndarray], widths: list[int], radius: int, histogram
 
 
 def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """(a, b) with a < b: pairs of distinct fingerprints (column fp) that differ in at most `radius` bits."""
+    """(a, b) with a < b: pairs of distinct fingerprints (column fp) that differ in at most `radius` bits. parts: 2 or more."""
     groups = group_bits(correlations(fps), parts)
     widths = [len(g) for g in groups]
     leads = [min(HISTOGRAM_BITS, w) for w in widths]
