@@ -234,3 +234,82 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, parts
     linked = roots.join(least, "root").select("fp", "least")
     named = written(fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named_fingerprints")
     return docs.join(named, "fp")
+
+
+# ---- groups of similar documents, for de-duplication
+
+
+def shingles(text: str | None, width: int) -> set[bytes]:
+    """Distinct shingles of `width` words; the whole text if it has fewer."""
+    words = WORD.findall((text or "").encode().lower())
+    return set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)}
+
+
+def _views(docs: DataFrame, views: int) -> DataFrame:
+    """(node, fps): SimHash of a text's distinct words under several hash functions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            out = np.zeros((batch.num_rows, views), dtype=np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                words = set(WORD.findall((t.as_py() or "").encode().lower()))
+                h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+                for v in range(views):
+                    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (v + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                    x ^= x >> np.uint64(32)
+                    ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    out[i, v] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out.view(np.int64)), pa.list_(pa.int64()))], names=["node", "fps"])
+
+    return docs.mapInArrow(run, "node long, fps array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts have a Jaccard similarity of shingles of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = shingles(x.as_py(), width), shingles(y.as_py(), width)
+                both = len(a & b)
+                keep.append(both >= least * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(pairs, "similar_pairs")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8, views: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Of each group of similar documents, the one with the smallest key; all columns of docs.
+
+    Candidates come from SimHashes of the texts' distinct words, which near copies leave almost as they are; each link is
+    verified on shingles of `width` words. Texts that share half of a fingerprint under any of the views are
+    compared with one of them, so that large groups merge without meeting in pairs. The texts that are left, one for each
+    such group at least, are linked by the generalised pigeonhole, and compared.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.withColumn("__node", F.xxhash64(body)).withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)))
+    names = written(docs.groupBy("__node").agg(F.min("__key").alias("first")).withColumnRenamed("__node", "node"), "similar_texts")
+    texts = docs.select(F.col("__node").alias("node"), body.alias("text"))
+    prints = written(_views(texts, views).dropDuplicates(["node"]), "similar_views")
+    halves = F.flatten(F.transform("fps", lambda f, v: F.array(F.struct((v * 2).alias("which"), f.bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")), F.struct((v * 2 + 1).alias("which"), F.shiftrightunsigned(f, 32).alias("value")))))
+    keys = written(prints.select("node", F.explode(halves).alias("k")).select("node", "k.which", "k.value"), "similar_halves")
+    hubs = written(keys.groupBy("which", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "similar_hubs")
+    stars = written(keys.join(hubs, ["which", "value"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "similar_stars")
+    inner = stars.select(F.col("b").alias("node")).distinct()
+    apart = written(prints.join(inner, "node", "left_anti").select("node", F.col("fps")[0].alias("fp")), "similar_representatives")
+    # those with one fingerprint are compared with the smallest of them
+    classes = written(apart.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")), "similar_classes")
+    same = apart.join(classes.where("n > 1"), "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    x, y = (classes.select(F.col("fp").alias(c), F.col("hub").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+    other = links(classes.select("fp")).join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    grown = components(_verified(stars.union(same).union(other).distinct(), texts.dropDuplicates(["node"]), width, least))
+    named = names.join(grown, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = written(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("m")).select(F.col("m.first").alias("__key"), F.col("m.node").alias("__node")), "similar_kept")
+    return docs.join(kept, ["__key", "__node"], "left_semi").dropDuplicates(["__key", "__node"]).drop("__key", "__node")
