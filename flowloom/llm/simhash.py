@@ -12,6 +12,8 @@ part out. Fingerprints are indexed by (part, value); each sends its probes, and
 Equal fingerprints are merged before all this, so copies never meet each other in pairs. A pair is kept only if it is
 within the radius. Components are found by smallest-label rounds with pointer jumping, on links between fingerprints.
 
+Near copies by similarity of shingles (first_of_similar) need no fingerprints: a prefix filter over shingles makes the candidates.
+
 Nulls: a null or blank text has fingerprint zero, linked like any other; a null doc_id stays and names a component only
 where no other doc_id is in it. Repeated rows stay. Further columns pass through (fingerprint and component_id are replaced).
 """
@@ -25,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,7 @@ from flowloom.llm.support import written
 BITS, RADIUS, PARTS, SEED = 64, 3, 2, 42
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 HISTOGRAM_BITS = 12
+HASHED_AT_ONCE, STAR_ROUNDS = 256, 4
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -245,26 +248,49 @@ def shingles(text: str | None, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)}
 
 
-def _views(docs: DataFrame, views: int) -> DataFrame:
-    """(node, fps): SimHash of a text's distinct words under several hash functions."""
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of shingles(text, width), each once."""
+    from xxhash import xxh64_intdigest
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+    words = WORD.findall((text or "").encode().lower())
+    h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    n = len(h) - width + 1
+    if n < 1:  # the whole text, told apart by its number of words
+        h, n, width = np.concatenate([h, np.zeros(1, dtype=np.uint64)]), 1, len(h) + 1
+    out = np.full(n, width, dtype=np.uint64)
+    for i in range(width):
+        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
+
+def _hashed(texts: DataFrame, width: int) -> DataFrame:
+    """(s, node, n): each shingle of each text, with how many the text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, views), dtype=np.uint64)
-            for i, t in enumerate(batch.column(1)):
-                words = set(WORD.findall((t.as_py() or "").encode().lower()))
-                h = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-                for v in range(views):
-                    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (v + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                    x ^= x >> np.uint64(32)
-                    ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    out[i, v] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out.view(np.int64)), pa.list_(pa.int64()))], names=["node", "fps"])
+            nodes = batch.column(0).to_numpy()
+            for low in range(0, batch.num_rows, HASHED_AT_ONCE):
+                found = [_shingle_hashes(t.as_py(), width) for t in batch.column(1).slice(low, HASHED_AT_ONCE)]
+                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                columns = [np.concatenate(found).view(np.int64), np.repeat(nodes[low : low + len(found)], sizes), np.repeat(sizes, sizes).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "node", "n"])
 
-    return docs.mapInArrow(run, "node long, fps array<long>")
+    return texts.mapInArrow(run, "s long, node long, n int")
+
+
+def _prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(s, node, n, at): of each text the rarest of its n shingles, as many as a similar text must share one of.
+
+    All texts order their shingles alike: those that no other text has, then by frequency and hash; at is the place in that
+    order. Similar texts share least * n shingles, so the first that they share is among the first n - least * n + 1 of
+    both. Shingles of one text only meet nothing: they take their places, and no row.
+    """
+    of_s, of_node = Window.partitionBy("s"), Window.partitionBy("node")
+    counted = _hashed(texts, width).withColumns({"df": F.count("*").over(of_s), "low": F.min("node").over(of_s), "high": F.max("node").over(of_s)})
+    shared = written(counted.where("low <> high").select("s", "node", "n", "df"), "similar_shingles").distinct()
+    placed = shared.withColumn("at", F.col("n") - F.count("*").over(of_node) + F.row_number().over(of_node.orderBy("df", "s")) - 1)
+    return placed.where(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-6)).select("s", "node", "n", F.col("at").cast("int").alias("at"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -285,31 +311,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8, views: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(node, root) of the texts (node, text) that have links: the components of all pairs of similarity `least` or more.
+
+    Texts that share a shingle of their prefixes are in a bucket. In a few rounds each text is compared with one text of
+    each of its buckets, so that large groups merge without meeting in pairs. Then all pairs of a bucket that no verified
+    link has brought together are compared, as far as their sizes and places allow the similarity; so nothing is missed.
+    """
+    keys = written(_prefixes(texts, width, least), "similar_keys")
+    bodies = texts.dropDuplicates(["node"])
+    found = None
+    roots = keys.select("node").distinct().withColumn("root", F.col("node"))
+
+    def rooted() -> DataFrame:
+        """The keys of buckets that hold several components."""
+        named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
+        return written(named.join(open_, "s", "left_semi"), "similar_open")
+
+    def merged(pairs: DataFrame) -> bool:
+        """Whether the pairs held links; roots are then those of all links so far."""
+        nonlocal found, roots
+        new = written(_verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), bodies, width, least), "similar_links")
+        if new.isEmpty():
+            return False
+        found = new if found is None else found.union(new)
+        roots = components(found)
+        return True
+
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    alike = (F.col("x.root") != F.col("y.root")) & (small >= least * large - 1e-6)
+    for number in range(STAR_ROUNDS):
+        now = rooted()
+        hubs = now.groupBy("s").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(number))).alias("hub")).select("s", "hub.*")
+        if not merged(now.alias("x").join(hubs.alias("y"), "s").where(alike)):
+            break
+    now = rooted()
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # shared at most, if this is the first that they share
+    enough = rest >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    merged(now.alias("x").join(now.alias("y"), "s").where((F.col("x.node") < F.col("y.node")) & alike & enough))
+    return roots
+
+
+def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Of each group of similar documents, the one with the smallest key; all columns of docs.
 
-    Candidates come from SimHashes of the texts' distinct words, which near copies leave almost as they are; each link is
-    verified on shingles of `width` words. Texts that share half of a fingerprint under any of the views are
-    compared with one of them, so that large groups merge without meeting in pairs. The texts that are left, one for each
-    such group at least, are linked by the generalised pigeonhole, and compared.
+    Documents are similar if the Jaccard similarity of their shingles of `width` words is at least `least`; groups are the
+    components of all such pairs (see similar_links).
     """
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumn("__node", F.xxhash64(body)).withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)))
     names = written(docs.groupBy("__node").agg(F.min("__key").alias("first")).withColumnRenamed("__node", "node"), "similar_texts")
-    texts = docs.select(F.col("__node").alias("node"), body.alias("text"))
-    prints = written(_views(texts, views).dropDuplicates(["node"]), "similar_views")
-    halves = F.flatten(F.transform("fps", lambda f, v: F.array(F.struct((v * 2).alias("which"), f.bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")), F.struct((v * 2 + 1).alias("which"), F.shiftrightunsigned(f, 32).alias("value")))))
-    keys = written(prints.select("node", F.explode(halves).alias("k")).select("node", "k.which", "k.value"), "similar_halves")
-    hubs = written(keys.groupBy("which", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "similar_hubs")
-    stars = written(keys.join(hubs, ["which", "value"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "similar_stars")
-    inner = stars.select(F.col("b").alias("node")).distinct()
-    apart = written(prints.join(inner, "node", "left_anti").select("node", F.col("fps")[0].alias("fp")), "similar_representatives")
-    # those with one fingerprint are compared with the smallest of them
-    classes = written(apart.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")), "similar_classes")
-    same = apart.join(classes.where("n > 1"), "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    x, y = (classes.select(F.col("fp").alias(c), F.col("hub").alias(h)) for c, h in (("a", "x"), ("b", "y")))
-    other = links(classes.select("fp")).join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    grown = components(_verified(stars.union(same).union(other).distinct(), texts.dropDuplicates(["node"]), width, least))
+    grown = similar_links(docs.select(F.col("__node").alias("node"), body.alias("text")), width, least)
     named = names.join(grown, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = written(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("m")).select(F.col("m.first").alias("__key"), F.col("m.node").alias("__node")), "similar_kept")
     return docs.join(kept, ["__key", "__node"], "left_semi").dropDuplicates(["__key", "__node"]).drop("__key", "__node")
