@@ -8,9 +8,9 @@ Model: P(id | before) = P(class | before) * P(id | class). The commonest ids are
 classes of like frequency, subwords and whole words apart. P(id | class) is counted over all training tokens. P(class | before) comes from one layer of
 causal self-attention: scores Q K' and a weight for each distance, values and a direct path through a rectifier.
 
-Training: every training document gives windows (one for each WINDOW_EVERY words, one at least), so what is learned
-from grows with the corpus. In each of ROUNDS rounds, tasks start from the same weights, take steps on their windows,
-and Spark averages what they end with.
+Training: windows cover every training document, so that each of its ids is a target once. In each of ROUNDS rounds, tasks
+start from the same weights, take steps on their windows of this round, and Spark averages what they end with: one pass
+over all windows.
 
 Scoring: targets come in blocks of STRIDE; each block sees a window of WINDOW tokens that overlaps the one before, and
 each token is scored once. Many windows are computed together under one causal mask.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.support import written
 
 PIECE_CLASSES, WORD_CLASSES = (96, 12), (12, 23)  # of subwords and of frequent words: classes of single ids, shared classes
-WINDOW, STRIDE, WINDOW_EVERY, ROUNDS = 32, 16, 512, 4
+WINDOW, STRIDE, ROUNDS = 32, 16, 4
 KEY_DIM, DIM, RATE, BATCH, MIN_STEPS = 16, 32, 0.01, 16, 150
 HOT_WORDS, MIN_OWN_BAND, WORD_STORE = 200_000, 1, 300_000
 START = sum(PIECE_CLASSES) + sum(WORD_CLASSES)  # a class of its own
@@ -46,7 +46,7 @@ CLASSES = START + 1
 TASK_WINDOWS = 16_000
 BOUND = np.float32(60)  # of scores before the exponential
 COUNT_LIMIT = 400_000
-SPELT_AT_ONCE, SCORED_AT_ONCE, WINDOWED_AT_ONCE = 20_000, 128, 512
+SPELT_AT_ONCE, SCORED_AT_ONCE, WINDOWED_AT_ONCE = 20_000, 128, 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -270,28 +270,23 @@ def _windows(docs: DataFrame, vocabulary: str, own_ids) -> DataFrame:
                 yield windows_of(units, batch.slice(low, WINDOWED_AT_ONCE))
 
     def windows_of(units: Units, batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, numbers, first, flat, counts = [], [], [], [], []
-        for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        keys, flat, counts = batch.column(0).to_numpy(), [], []
+        for t in batch.column(1):
             own = words(t.as_py())
-            own.append(b"")
-            for n, low in enumerate(range(0, len(own), WINDOW_EVERY)):
-                # somewhere within the stretch, by the document's hash
-                at = low + (key * (2 * n + 1) >> 7) % max(1, min(WINDOW_EVERY, len(own) - low) - WINDOW)
-                part = own[at : at + WINDOW + 1]
-                keys.append(key)
-                numbers.append(n)
-                first.append(at == 0)
-                flat += part
-                counts.append(len(part))
+            flat += own
+            flat.append(b"")
+            counts.append(len(own) + 1)
         ids, sizes, _, _ = units.many(flat)
-        if keys:
-            stops = np.cumsum(sizes)[np.cumsum(counts) - 1]
-            starts, lead = np.concatenate([[0], stops[:-1]]), np.array(first)
-            place = starts[:, None] + np.arange(WINDOW + 1) - lead[:, None]
-            table = np.where(place < stops[:, None], ids[np.clip(place, 0, len(ids) - 1)], -1).astype("<i4")
-            table[lead, 0] = -2
-            parts = list(map(bytes, table))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts if keys else [], pa.binary())], names=["key", "n", "ids"])
+        stops = np.cumsum(sizes)[np.cumsum(counts) - 1]
+        starts = np.concatenate([[0], stops[:-1]])
+        many = -(-(stops - starts) // WINDOW)  # each id is a target once
+        keys, starts, stops = (np.repeat(x, many) for x in (keys, starts, stops))
+        numbers = np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)
+        place = (starts + numbers * WINDOW)[:, None] + np.arange(-1, WINDOW)
+        table = np.where(place < stops[:, None], ids[np.clip(place, 0, len(ids) - 1)], -1).astype("<i4")
+        table[numbers == 0, 0] = -2
+        parts = list(map(bytes, table))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], names=["key", "n", "ids"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, n long, ids binary")
 
