@@ -22,3 +22,9 @@ def test_windows_cover_every_id_of_every_text_once(spark):
         assert targets[targets >= 0].tolist() == want
         before = np.concatenate([w[:-1] for w in got[key]])[: len(want)]
         assert before.tolist() == [-2, *want[:-1]]
+
+
+def test_as_many_ids_and_words_have_classes_of_their_own_as_before_the_cut():
+    assert (lm.PIECE_CLASSES, lm.WORD_CLASSES, lm.CLASSES) == ((128, 16), (16, 31), 192)
+    of, _, _ = lm.classes_of(np.arange(2000.0, 0, -1), 1000)
+    assert (np.bincount(of, minlength=lm.CLASSES) == 1).sum() >= 144
