@@ -1,16 +1,19 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut where a rolling hash of its bytes says so, so equal passages of different documents are cut alike.
-Each worker process keeps a bounded store of chunks it has encoded; a chunk that comes again, in whatever document,
+Each task keeps a bounded store of chunks it has encoded; a chunk that comes again, in whatever document,
 is taken from there. A chunk that is new is cut a second time, at its blanks, into pieces with a store of their own.
+The stores are emptied when a task ends, so that a reused worker process holds no more than its tokenizer.
 
 Joins are repaired: tokens next to a cut may differ from those of the uncut text. So the text around each cut, out to
 the nearest blanks, is encoded anew as one seam, and the seam is widened by a blank on each side until its own join
 agrees: encoding the widened seam equals the tokens that would be put together.
 
-encode() gives the ids that the tokenizers library gives for the whole text; the tests compare them.
+encode() gives the ids that the tokenizers library gives for the whole text; the tests compare them. Vocabularies that
+keep blanks or do not mark the ends of words are refused: cutting at blanks would change their ids.
 
-A null text counts as empty; further columns pass through (columns named ids or decoded are replaced).
+A null text counts as empty; repeated rows are encoded each and stay; a very long text is a batch of its own. Further
+columns pass through (columns named ids or decoded are replaced).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 GEAR = np.random.default_rng(20240601).integers(0, 2**32, 256, dtype=np.uint32)  # the table of the rolling hash
 WINDOW_LOG2, CUT_BITS = 5, 9  # 32 bytes, a cut every 512 bytes
-STORE_BYTES = 120_000_000
+STORE_BYTES = 40_000_000  # of pieces, in each of two generations; chunks and seams have less
 #: plain letters up to a blank or to closing marks before a blank, such marks, or else all up to a blank
 PIECE = re.compile(rb"(?<![^ \n])[A-Za-z]+(?=[.,]*(?:[ \n]|\Z))|(?<=[A-Za-z])[.,]+(?=[ \n]|\Z)|[^ \n]+")
 BATCH_BYTES = 1_000_000  # of text encoded together
@@ -81,12 +84,20 @@ class ChunkEncoder:
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.array([t.endswith(suffix) for t in self.tokens]) if suffix else None
-        self.lower = self.tokenizer.encode("A").ids == self.tokenizer.encode("a").ids
-        self.chunks, self.pieces, self.seams = Store(store_bytes // 4), Store(store_bytes), Store(store_bytes // 8)
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if self.ends is None or plain(" a \n b ") != plain("a b"):
+            raise ValueError(f"{path} keeps blanks or does not mark the ends of words")
+        self.lower = plain("A") == plain("a")
+        self.store_bytes = store_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the stores."""
+        self.chunks, self.pieces, self.seams = Store(self.store_bytes // 4), Store(self.store_bytes), Store(self.store_bytes // 8)
 
     def _direct(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded) of each text."""
-        plain = [t for t in texts if self.ends is not None and t.isalpha() and t.isascii()]
+        plain = [t for t in texts if t.isalpha() and t.isascii()]
         out = dict(zip(plain, self._words(plain), strict=True)) if plain else {}
         if rest := [t for t in texts if t not in out]:
             for t, e in zip(rest, self.tokenizer.encode_batch_fast([t.decode() for t in rest], add_special_tokens=False), strict=True):
@@ -129,8 +140,6 @@ class ChunkEncoder:
 
     def _split(self, part: bytes) -> list[bytes]:
         """The pieces of a chunk: what stands between blanks, marks after a letter apart, plain words in lower case if the vocabulary has no other."""
-        if self.ends is None:
-            return [w for w in part.replace(b"\n", b" ").split(b" ") if w]
         if self.lower and part.isascii() and b"<" not in part:  # no special token in it
             return PIECE.findall(part.lower())
         words = PIECE.findall(part)
@@ -211,7 +220,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """The encoder of this worker process; its stores outlive a task."""
+    """The encoder of this worker process; tasks empty its stores when they end."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = ChunkEncoder(path)
@@ -251,9 +260,15 @@ def encode_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", tex
     schema = T.StructType([docs.schema[c] for c in kept] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path(vocabulary))
+        try:
+            yield from coded(enc, batches)
+        finally:
+            enc.forget()
+
+    def coded(enc: ChunkEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        enc = encoder(tokenizer_path(vocabulary))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
