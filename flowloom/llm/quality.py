@@ -10,7 +10,9 @@ Documents are selected if the tail probability P(grade >= 2) reaches `least`.
 
 Nulls: labels without quality count as good, without toxic as not toxic, without both or without doc_id they take no
 part; of several labels of a document the lowest grade holds. A null text counts as empty. Without any label, or with
-labels of one grade only, the model has no weights and every document is selected. Further columns pass through.
+labels of one grade only, the model has no weights and every document is selected. Repeated rows and equal texts get
+equal scores, and all stay; ties at the threshold are selected. Texts of any length are read whole. Further columns pass
+through (p_ge1, p_ge2 and expected_grade are replaced).
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from flowloom.llm.support import written
 
 SAMPLE, MIN_DOCS, MIN_Z, LEAST = 20_000, 8, 4.0, 0.7
 GRADES = 3
+STRETCH = 1000  # words among which the distinct ones are counted, so that long texts compare with short ones
 _SHAPE = bytes.maketrans(bytes(range(256)), bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 _ENDS = b".,;:!?()[]{}\"'"
@@ -73,13 +76,13 @@ class Features:
             b"upper": classes[65] / max(1, classes[65] + classes[97]),
             b"digit": classes[48] / size,
             b"mark": 1 - (classes[65] + classes[97] + classes[48] + classes[32] + classes[10]) / size,
-            b"distinct": len(distinct) / max(1, n) if n < 1000 else -1,
+            b"distinct": (len(distinct) if n <= STRETCH else sum(len(set(words[i : i + STRETCH])) for i in range(0, n, STRETCH))) / max(1, n),
             b"again": sum(map(eq, words, islice(words, 1, None))) / max(1, n),
             b"lines": len(set(lines)) / len(lines),
             b"words": n.bit_length() / 20,
             b"length": (size / max(1, n)) / 20,
         }
-        return out | {_hash(b"r:" + k + b":" + (_band(v) if v >= 0 else b"long")) for k, v in ratios.items()}
+        return out | {_hash(b"r:" + k + b":" + _band(v)) for k, v in ratios.items()}
 
 
 @dataclass
