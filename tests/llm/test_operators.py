@@ -115,6 +115,20 @@ def test_bpe_equals_the_library():
         assert np.frombuffer(got, "<u4").tolist() == ids and decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_vocabularies_that_keep_blanks_are_refused():
+    with pytest.raises(ValueError, match="keeps blanks"):
+        bpe.ChunkEncoder(bpe.tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_stores_are_bounded_and_released():
+    own = bpe.ChunkEncoder(bpe.tokenizer_path("word_bpe_49k.json"), store_bytes=20_000)
+    for i in range(30):
+        own.encode(prose(400, i))
+    assert all(s.size <= s.limit for s in (own.chunks, own.pieces, own.seams))
+    own.forget()
+    assert not any(s.size or s.young or s.old for s in (own.chunks, own.pieces, own.seams))
+
+
 def test_equal_passages_are_cut_alike():
     passage = prose(2000, 3).encode()
     a, b = (set(np.array(bpe.cut_points(p + passage)) - len(p)) for p in (b"", b"another beginning "))
@@ -159,6 +173,54 @@ def test_quality_learns_grades(spark):
     assert {x["doc_id"] for x in kept} <= {i for i in range(400) if i % 5 > 1} | set(held) and r
 
 
+def plain_features(text):
+    """The names of a text's features, one by one."""
+    shape = lambda w: "".join("A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or c > "\x7f" else "0" if c.isdigit() else c for c in w)
+    squeezed = lambda s: "".join(c for i, c in enumerate(s) if not i or s[i - 1] != c)
+    words, lines = text.split(), text.split("\n")
+    n, size = len(words), max(1, len(text.encode()))
+    octets = lambda t: t.encode().decode("latin-1")
+    kinds = shape(octets(text))
+    upper, lower, digit = kinds.count("A"), kinds.count("a"), kinds.count("0")
+    distinct = sum(len(set(words[i : i + 1000])) for i in range(0, n, 1000)) / max(1, n)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n)
+    bands = {
+        "upper": upper / max(1, upper + lower), "digit": digit / size, "mark": 1 - (upper + lower + digit + text.count(" ") + text.count("\n")) / size, "distinct": distinct, "again": again,
+        "lines": len(set(lines)) / len(lines), "words": n.bit_length() / 20, "length": (size / max(1, n)) / 20,
+    }
+    out = {w.strip(".,;:!?()[]{}\"'").lower() for w in words} | {"s:" + squeezed(shape(octets(w))) for w in words}
+    return {x.encode("latin-1") if x.startswith("s:") else x.encode() for x in out} | {f"r:{k}:{min(20, int(20 * v))}".encode() for k, v in bands.items()}
+
+
+def test_quality_features_and_tails_against_plain_ones():
+    for t in ["", "One two  two.\nOne\n\nTHREE 44 (x)", prose(2600, 4), "again " * 1500 + prose(900, 5)]:
+        assert quality.Features().of(t) == {quality._hash(f) for f in plain_features(t)}
+    model = quality.Model({quality._hash(b"one"): 1.5, quality._hash(b"two"): -0.25}, (-0.5, 0.75))
+    tails = model.tails(quality.Features().of("One two one"))
+    assert np.allclose(tails, [1 / (1 + np.exp(-0.5 - 1.25)), 1 / (1 + np.exp(0.75 - 1.25))])
+
+
+def test_quality_fit_is_at_the_best_likelihood():
+    r = random.Random(2)
+    rows = [(g, sorted({r.randrange(6), *([g + 6] if r.random() < 0.7 else [])})) for g in [0, 1, 2] * 60]
+
+    def loss(w, t1, t2):
+        total = 0.0
+        for g, places in rows:
+            f = sum(w[p] for p in places)
+            a, b = (1 / (1 + np.exp(t - f)) for t in (t1, t2))
+            total -= np.log([1 - a, a - b, b][g])
+        return total / len(rows) + 2e-4 * float(np.square(w).sum()) / 2
+
+    w, t1, t2 = quality.fit_ordinal(rows, 9, rounds=3000)
+    at = np.array([*w, t1, t2])
+    for i in range(len(at)):
+        step = np.zeros(len(at))
+        step[i] = 1e-4
+        slope = (loss((at + step)[:9], *(at + step)[9:]) - loss((at - step)[:9], *(at - step)[9:])) / 2e-4
+        assert abs(slope) < 2e-3
+
+
 def test_quality_without_labels_or_texts(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.select_good(docs, none).count() == len(texts())
