@@ -1,52 +1,48 @@
 """Language-model scoring: a causal self-attention model on subword ids, trained in numpy on Spark's tasks.
 
 Texts: A-Z in lower case, words, then one end. The units of the model are subword ids: those of a public byte-level
-vocabulary for the word after a blank, and one id of its own for each word that the corpus holds often. Ids can be put
-back together, so the probability of the ids bounds that of the words from below.
+vocabulary for the word after a blank, and one id of its own for each word that makes up at least one in OWN_PARTS of the
+training tokens; so these are OWN_PARTS at most, by a rule that is alike at every size. Ids can be put back together, so the
+probability of the ids bounds that of the words from below.
 
-Model: P(id | before) = P(class | before) * P(id | class). The commonest ids are classes of their own, the others share
-classes of like frequency, subwords and whole words apart. P(id | class) is counted over all training tokens. P(class | before) comes from one layer of
-causal self-attention: scores Q K' and a weight for each distance, values and a direct path through a rectifier.
-
-Training: windows cover every training document, so that each of its ids is a target once. In each of ROUNDS rounds, tasks
-start from the same weights, take steps on their windows of this round, and Spark averages what they end with: one pass
-over all windows.
+Model: see attention.py. Its tables are counted over all training ids: how often each id stands in windows of each group, how
+often pieces follow pieces (pairs that make up at least one in PAIR_PARTS), which roles follow an id. Its attention is trained
+on windows that cover every training document, so that each id is a target once. In each of ROUNDS rounds, tasks start from the
+same weights, take steps on their windows of this round, and Spark averages what they end with: one pass over all windows.
 
 Scoring: targets come in blocks of STRIDE; each block sees a window of WINDOW tokens that overlaps the one before, and
 each token is scored once. Many windows are computed together under one causal mask.
 
-Base: the unigram model of words with add-half counts. Counts of words that occur often go to the tasks as a table of at
-most HOT_WORDS entries; those of the other words are joined by a 64-bit hash of the word.
+Base: the unigram model of words with add-half counts. Counts of words that have ids go to the tasks as a table; those of the
+other words are joined by a 64-bit hash of the word.
 
 Nulls: a null text is empty, so it has its end only; a null doc_id counts as the empty string for the split. Repeated
-rows are scored each. Without training documents N is 0 and ids are equally likely. Further columns are ignored.
+rows are scored each, equal texts alike. Very long texts are scored whole, in blocks of windows. Without training documents N is
+0 and ids are equally likely. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain, compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh64_intdigest
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm import attention
+from flowloom.llm.attention import GROUPS, LEADERS, NONE, STRIDE, WINDOW, Gate, Tables, Trainer
 from flowloom.llm.support import written
 
-PIECE_CLASSES, WORD_CLASSES = (128, 16), (16, 31)  # of subwords and of frequent words: classes of single ids, shared classes
-WINDOW, STRIDE, ROUNDS = 32, 16, 4
-KEY_DIM, DIM, RATE, BATCH, MIN_STEPS = 16, 32, 0.01, 16, 150
-HOT_WORDS, MIN_OWN_BAND, WORD_STORE = 200_000, 1, 300_000
-START = sum(PIECE_CLASSES) + sum(WORD_CLASSES)  # a class of its own
-CLASSES = START + 1
-TASK_WINDOWS = 16_000
-BOUND = np.float32(60)  # of scores before the exponential
+ROUNDS, TASK_WINDOWS = 3, 36_000
+OWN_PARTS, PAIR_PARTS, WORD_STORE = 500_000, 1_000_000, 300_000
 COUNT_LIMIT = 400_000
-SPELT_AT_ONCE, SCORED_AT_ONCE, WINDOWED_AT_ONCE = 20_000, 128, 64
+SPELT_AT_ONCE, SCORED_AT_ONCE, WINDOWED_AT_ONCE, COUNTED_AT_ONCE, ROWS_AT_ONCE = 20_000, 128, 64, 4096, 50_000
+SEGMENT = 32  # windows in a row
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,9 +72,9 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
-        self.lengths = np.zeros(self.end, dtype=np.int64)
+        self.lengths, self.begins = np.zeros(self.end, dtype=np.int64), np.zeros(self.end, dtype=bool)
         for token, rank in ranks.items():
-            self.lengths[rank] = len(token)
+            self.lengths[rank], self.begins[rank] = len(token), token.startswith(b" ")
 
     def of(self, word: bytes) -> list[int]:
         return self.encoding.encode_ordinary(" " + word.decode())
@@ -112,110 +108,6 @@ def subwords(vocabulary: str) -> Subwords:
     return _SUBWORDS[vocabulary]
 
 
-# ---- the model
-
-
-@dataclass
-class Params:
-    q: np.ndarray
-    k: np.ndarray
-    distance: np.ndarray
-    v: np.ndarray
-    d: np.ndarray
-    u: np.ndarray
-    b: np.ndarray
-
-    @classmethod
-    def new(cls, frequency: np.ndarray, seed: int = 11) -> Params:
-        rng = np.random.default_rng(seed)
-        n = lambda *s: (0.1 * rng.normal(size=s)).astype(np.float32)
-        p = (frequency + 1) / (frequency + 1).sum()
-        return cls(n(CLASSES, KEY_DIM), n(CLASSES, KEY_DIM), n(WINDOW), n(CLASSES, DIM), n(CLASSES, DIM) + np.float32(0.2), n(DIM, CLASSES), np.log(p).astype(np.float32))
-
-    def arrays(self) -> list[np.ndarray]:
-        return [self.q, self.k, self.distance, self.v, self.d, self.u, self.b]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in self.arrays()])
-
-    def like(self, flat: np.ndarray) -> Params:
-        out, at = [], 0
-        for a in self.arrays():
-            out.append(np.asarray(flat[at : at + a.size], dtype=np.float32).reshape(a.shape))
-            at += a.size
-        return Params(*out)
-
-
-def _mask(asked: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, allowed) of the last `asked` positions of a window to all of its positions."""
-    far = np.arange(WINDOW - asked, WINDOW)[:, None] - np.arange(WINDOW)[None]
-    return np.clip(far, 0, WINDOW - 1), far >= 0
-
-
-def forward(p: Params, seen: np.ndarray, asked: int) -> tuple[np.ndarray, ...]:
-    """Attention weights, values and hidden states at the last `asked` positions of windows of classes (-1: nothing there)."""
-    far, allowed = _mask(asked)
-    at = np.maximum(seen, 0)
-    own = at[:, WINDOW - asked :]
-    table = (p.q @ p.k.T / np.float32(KEY_DIM**0.5)).ravel()
-    weights = table[own[:, :, None] * CLASSES + at[:, None, :]]
-    weights += p.distance[far]
-    np.exp(np.minimum(weights, BOUND, out=weights), out=weights)
-    weights *= allowed & (seen >= 0)[:, None, :]
-    weights /= weights.sum(-1, keepdims=True) + np.float32(1e-20)
-    values = p.v[at]
-    hidden = np.maximum(p.d[own] + weights @ values, 0)
-    return weights, values, hidden, own, at
-
-
-def log_probs(p: Params, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target class) at the last positions of windows; target has a row for each window."""
-    _, _, hidden, _, _ = forward(p, seen, target.shape[1])
-    logits = hidden.reshape(-1, DIM) @ p.u + p.b
-    np.minimum(logits, BOUND, out=logits)
-    picked = logits[np.arange(len(logits)), target.ravel()]
-    return (picked - np.log(np.exp(logits, out=logits).sum(1))).reshape(target.shape)
-
-
-def gradient(p: Params, seen: np.ndarray, target: np.ndarray) -> Params:
-    """Of the mean negative log-likelihood; targets of -1 do not count."""
-    n, asked = target.shape
-    weights, values, hidden, own, at = forward(p, seen, asked)
-    flat = hidden.reshape(-1, DIM)
-    logits = flat @ p.u + p.b
-    e = np.exp(np.minimum(logits, BOUND))
-    e /= e.sum(1, keepdims=True)
-    y, live = target.ravel(), target.ravel() >= 0
-    e[np.flatnonzero(live), y[live]] -= 1
-    e[~live] = 0
-    e /= np.float32(max(1, live.sum()))
-    dh = ((e @ p.u.T) * (flat > 0)).reshape(n, asked, DIM)
-    of_own = np.eye(CLASSES, dtype=np.float32)[own.ravel()]
-    of_seen = np.eye(CLASSES, dtype=np.float32)[at.ravel()]
-    da = dh @ values.transpose(0, 2, 1)
-    ds = weights * (da - (da * weights).sum(-1, keepdims=True))
-    far, _ = _mask(asked)
-    pairs = np.bincount((own[:, :, None] * CLASSES + at[:, None, :]).ravel(), ds.ravel(), minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(np.float32) / np.float32(KEY_DIM**0.5)
-    return Params(
-        pairs @ p.k, pairs.T @ p.q,
-        np.bincount(np.broadcast_to(far, ds.shape).ravel(), ds.ravel(), minlength=WINDOW).astype(np.float32),
-        of_seen.T @ (weights.transpose(0, 2, 1) @ dh).reshape(-1, DIM), of_own.T @ dh.reshape(-1, DIM), flat.T @ e, e.sum(0),
-    )
-
-
-def steps(p: Params, windows: np.ndarray, rate: float = RATE) -> Params:
-    """One pass of Adam over windows of WINDOW + 1 classes, -1 where a document has ended."""
-    flat = p.flat().astype(np.float64)
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    for t, low in enumerate(range(0, len(windows), BATCH), 1):
-        w = windows[low : low + BATCH]
-        g = gradient(p, w[:, :-1], w[:, 1:]).flat()
-        m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
-        flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-8)
-        p = p.like(flat)
-    return p
-
-
 # ---- what the corpus gives
 
 
@@ -260,8 +152,8 @@ def _spelt(counts: DataFrame, vocabulary: str) -> DataFrame:
     return counts.mapInArrow(run, "id long, n long")
 
 
-def _windows(docs: DataFrame, vocabulary: str, own_ids) -> DataFrame:
-    """(key, n, ids): windows of WINDOW + 1 ids, -2 for the start and -1 after the end."""
+def _windows(docs: DataFrame, vocabulary: str, own_ids: Broadcast) -> DataFrame:
+    """(r, ids): rows of up to SEGMENT windows of WINDOW + 1 ids of the documents (doc_id, text). r: a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(vocabulary, own_ids.value)
@@ -270,7 +162,7 @@ def _windows(docs: DataFrame, vocabulary: str, own_ids) -> DataFrame:
                 yield windows_of(units, batch.slice(low, WINDOWED_AT_ONCE))
 
     def windows_of(units: Units, batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, flat, counts = batch.column(0).to_numpy(), [], []
+        flat, counts = [], []
         for t in batch.column(1):
             own = words(t.as_py())
             flat += own
@@ -278,17 +170,24 @@ def _windows(docs: DataFrame, vocabulary: str, own_ids) -> DataFrame:
             counts.append(len(own) + 1)
         ids, sizes, _, _ = units.many(flat)
         stops = np.cumsum(sizes)[np.cumsum(counts) - 1]
-        starts = np.concatenate([[0], stops[:-1]])
-        many = -(-(stops - starts) // WINDOW)  # each id is a target once
-        keys, starts, stops = (np.repeat(x, many) for x in (keys, starts, stops))
-        numbers = np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)
-        place = (starts + numbers * WINDOW)[:, None] + np.arange(-1, WINDOW)
-        table = np.where(place < stops[:, None], ids[np.clip(place, 0, len(ids) - 1)], -1).astype("<i4")
-        table[numbers == 0, 0] = -2
-        parts = list(map(bytes, table))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], names=["key", "n", "ids"])
+        keys, numbers, parts = [], [], []
+        for key, low, high in zip(batch.column(0).to_pylist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+            table = attention.windows_of(ids[low:high], units.size).astype("<i4")
+            for at in range(0, len(table), SEGMENT):
+                keys.append(key)
+                numbers.append(at)
+                parts.append(table[at : at + SEGMENT].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names=["key", "n", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, n int, ids binary").select(F.xxhash64("key", "n", "ids").alias("r"), "ids")
 
-    return docs.select("key", "text").mapInArrow(run, "key long, n long, ids binary")
+
+def _in_parts(batches: Iterator[pa.RecordBatch], windows: int) -> Iterator[np.ndarray]:
+    """The windows of rows of ids, about so many at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, step := max(1, windows // SEGMENT)):
+            data = b"".join(batch.column(0).slice(low, step).to_pylist())
+            yield np.frombuffer(data, dtype="<i4").reshape(-1, WINDOW + 1).astype(np.int64)
 
 
 class Units:
@@ -296,6 +195,7 @@ class Units:
 
     def __init__(self, vocabulary: str, own: dict[int, int]) -> None:
         self.sub, self.own = subwords(vocabulary), own
+        self.size = self.sub.end + 1 + len(own)
 
     def many(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The ids of words one after another; of each word how many they are, its hash, and whether it has an id of its own. Empty: the end."""
@@ -312,46 +212,85 @@ class Units:
         return ids, sizes, hashes, own
 
 
-def classes_of(counts: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each id its class and log10 P(id | class); the frequency of each class. The first `pieces` ids are subwords."""
-    smooth, of, first = counts + 0.05, np.empty(len(counts), dtype=np.int64), 0
-    for low, high, own, tail in ((0, pieces, *PIECE_CLASSES), (pieces, len(counts), *WORD_CLASSES)):
-        order = low + np.argsort(-counts[low:high], kind="stable")
-        of[order[:own]] = first + np.arange(min(own, len(order)))
-        if len(rest := order[own:]):
-            mass = np.cumsum(smooth[rest])
-            of[rest] = first + own + np.minimum(tail - 1, ((mass - smooth[rest] / 2) / mass[-1] * tail).astype(np.int64))
-        first += own + tail
-    total = np.bincount(of, smooth, minlength=CLASSES)
-    return of, np.log10(smooth / total[of]), np.bincount(of, counts, minlength=CLASSES)
-
-
-def train(windows: DataFrame, count: int, of: np.ndarray, frequency: np.ndarray) -> Params:
-    """windows: key, n, ids."""
-    start = Params.new(frequency)
-    lookup = np.concatenate([of, [START, -1]]).astype(np.int64)  # of the ids, -2 and -1
-    tasks = max(1, -(-count // TASK_WINDOWS))
-    dealt = written(windows.withColumn("r", F.xxhash64("key", "n")).repartition(tasks, "r"), "lm_windows")
+def _groups(windows: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each id's leader (the commonest ids are leaders), and the group of each leader."""
+    leader = np.full(len(counts) + 2, LEADERS, dtype=np.int64)
+    leading = np.argsort(-counts, kind="stable")[:LEADERS]
+    leader[leading] = np.arange(len(leading))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((LEADERS, LEADERS))
+        for part in _in_parts(batches, COUNTED_AT_ONCE):
+            x = (attention.leaders_in(part[:, 1:], leader) > 0).astype(np.float32)
+            total += x.T @ x
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "n"])
+
+    together = np.zeros((LEADERS, LEADERS))
+    for r in windows.select("ids").mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # pairs of leaders
+        together[r["i"], r["j"]] = together[r["j"], r["i"]] = r["n"]
+    return leader, attention.group_leaders(together)
+
+
+def _tables(windows: DataFrame, counts: np.ndarray, role: np.ndarray) -> Tables:
+    """The model's tables, from counts over all windows."""
+    leader, groups = _groups(windows, counts)
+    ids, names = len(role), [f"g{g}" for g in range(GROUPS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = attention.Counts(leader, groups, role)
+
+        def rows(kind: int, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for low in range(0, len(keys), ROWS_AT_ONCE):
+                part = values[low : low + ROWS_AT_ONCE].astype(np.float64)
+                columns = [np.full(len(part), kind, dtype=np.int32), keys[low : low + ROWS_AT_ONCE], *(part[:, g] if g < part.shape[1] else np.zeros(len(part)) for g in range(GROUPS))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", *names])
+
+        for part in _in_parts(batches, COUNTED_AT_ONCE):
+            counts.add(part)
+            if counts.full():
+                yield from rows(1, *counts.pairs())
+        found = np.flatnonzero(counts.by_group.any(0))
+        yield from rows(0, found, counts.by_group[:, found].T)
+        yield from rows(1, *counts.pairs())
+        follows = counts.follows.reshape(ids, attention.ROLES)
+        after = np.flatnonzero(follows.any(1))
+        yield from rows(2, after, follows[after])
+
+    sums = windows.select("ids").mapInArrow(run, "kind int, key long, " + ", ".join(f"{g} double" for g in names))
+    sums = written(sums.groupBy("kind", "key").agg(*(F.sum(g).alias(g) for g in names)).withColumn("n", sum(F.col(g) for g in names)), "lm_tables")
+    all_pairs = sums.where("kind = 1").agg(F.sum("n")).first()[0] or 0
+    # rows for ids, which are bounded, and for pairs that make up one in PAIR_PARTS of them
+    kept = sums.where((F.col("kind") != 1) | ((F.col("n") >= 1.5) & (F.col("n") * PAIR_PARTS >= all_pairs))).drop("n").toArrow()
+    kind, key = kept["kind"].to_numpy(), kept["key"].to_numpy()
+    values = np.stack([kept[g].to_numpy() for g in names], axis=1)
+    by_group, follows = np.zeros((ids, GROUPS)), np.zeros((ids, attention.ROLES))
+    by_group[key[kind == 0]] = values[kind == 0]
+    follows[key[kind == 2]] = values[kind == 2][:, : attention.ROLES]
+    order = np.argsort(key[kind == 1])
+    return Tables.of(role, by_group, follows, key[kind == 1][order], values[kind == 1][order])
+
+
+def train(windows: DataFrame, shared: Broadcast) -> Gate:
+    """windows: r, ids; shared: the tables."""
+    gate = Gate.new()
     for number in range(ROUNDS):
-        now = start
 
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            data = b"".join(b"".join(batch.column(0).to_pylist()) for batch in batches)  # about TASK_WINDOWS / ROUNDS windows
-            ids = np.frombuffer(data, dtype="<i4").reshape(-1, WINDOW + 1)
-            if len(ids):
-                passes = -(-MIN_STEPS * BATCH // len(ids))
-                p = steps(now, np.tile(lookup[ids], (passes, 1)), RATE / (1 + number))
-                yield pa.RecordBatch.from_arrays([pa.array([p.flat()], pa.list_(pa.float32())), pa.array([len(ids)], pa.int64())], names=["weights", "n"])
+        def run(batches: Iterator[pa.RecordBatch], start=gate, number=number) -> Iterator[pa.RecordBatch]:
+            own = Trainer(start, shared.value, attention.RATE / (1 + number))
+            own.run(_in_parts(batches, 64 * SEGMENT))
+            if own.windows:
+                yield pa.RecordBatch.from_arrays([pa.array([own.gate.flat()], pa.list_(pa.float32())), pa.array([own.windows], pa.int64())], names=["weights", "n"])
 
-        part = dealt.where(F.pmod(F.col("r"), F.lit(ROUNDS)) == number).select("ids")
+        part = windows.where(F.pmod(F.col("r"), F.lit(ROUNDS)) == number).select("ids")
         ended = part.mapInArrow(run, "weights array<float>, n long").select("n", F.posexplode("weights"))
         mean = ended.groupBy("pos").agg((F.sum(F.col("col") * F.col("n")) / F.sum("n")).alias("w")).collect()  # one row for each weight of the model
         if mean:
             flat = np.zeros(len(mean))
             for r in mean:
                 flat[r["pos"]] = r["w"]
-            start = start.like(flat)
-    return start
+            gate = gate.like(flat)
+    return gate
 
 
 class Numbers(dict):
@@ -362,66 +301,29 @@ class Numbers(dict):
         return n
 
 
-class Attention:
-    """log P(target class) of a trained model, with what does not depend on the window computed once.
-
-    An attention weight before scaling is exp(class scores) * exp(distance score): two tables and a product. What lies outside
-    the window or after its position is zero in them. The sum of the weights comes as one more value of each class.
-    """
-
-    def __init__(self, p: Params) -> None:
-        far, allowed = _mask(STRIDE)
-        self.near = (np.exp(np.minimum(p.distance, BOUND / 2))[far] * allowed).astype(np.float32)
-        pairs = np.zeros((CLASSES, CLASSES + 1), dtype=np.float32)  # the last column: nothing there
-        pairs[:, :CLASSES] = np.exp(np.minimum(p.q @ p.k.T / np.float32(KEY_DIM**0.5), BOUND / 2))
-        self.pairs = pairs.ravel()
-        self.values = np.zeros((CLASSES + 1, DIM + 1), dtype=np.float32)
-        self.values[:CLASSES, :DIM] = p.v
-        self.values[:CLASSES, DIM] = 1
-        self.direct = np.concatenate([p.d, np.zeros((1, DIM), dtype=np.float32)])
-        self.u, self.b = p.u, p.b
-
-    def log_probs(self, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
-        at = np.where(seen < 0, CLASSES, seen)
-        own = at[:, WINDOW - STRIDE :]
-        row = np.minimum(own, CLASSES - 1) * (CLASSES + 1)
-        weights = self.pairs.take(row[:, :, None] + at[:, None, :])
-        weights *= self.near
-        mixed = weights @ self.values.take(at, 0)
-        hidden = mixed[:, :, :DIM] / (mixed[:, :, DIM:] + np.float32(1e-20))
-        hidden += self.direct.take(own, 0)
-        np.maximum(hidden, 0, out=hidden)
-        logits = hidden.reshape(-1, DIM) @ self.u
-        logits += self.b
-        np.minimum(logits, BOUND, out=logits)
-        picked = logits[np.arange(len(logits)), target.ravel()]
-        return (picked - np.log(np.exp(logits, out=logits).sum(1))).reshape(target.shape)
-
-
 class Scorer:
     """Scores texts with a trained model. Words are kept by number, with what is known of each in arrays."""
 
-    def __init__(self, vocabulary: str, own: dict[int, int], counts: np.ndarray, of: np.ndarray, inside: np.ndarray, params: Params) -> None:
-        self.units, self.counts, self.of, self.inside, self.params = Units(vocabulary, own), counts, of, inside, params
+    def __init__(self, vocabulary: str, own: dict[int, int], counts: np.ndarray, tables: Tables, gate: Gate) -> None:
+        self.units, self.counts, self.tables, self.gate = Units(vocabulary, own), counts, tables, gate
         self._forget()
 
     def _forget(self) -> None:
         self.known = Numbers()
         none = lambda t: np.zeros(0, dtype=t)
-        # classes of all words one after another; of each word the number of units, where they start, log10 P(units | classes), hash, count if frequent or -1
-        self.tables = none(np.int16), none(np.int64), none(np.int64), none(np.float64), none(np.int64), none(np.int64)
+        # ids of all words one after another; of each word the number of units, where they start, hash, count if it has an id or -1
+        self.words = none(np.int32), none(np.int64), none(np.int64), none(np.int64), none(np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
         """Tables of new words, in the order of their numbers."""
         ids, sizes, hashes, own = self.units.many(new)
         ends = np.cumsum(sizes)
-        inside = np.concatenate([[0.0], np.cumsum(self.inside[ids])])
         often = np.where(own, self.counts[ids[ends - sizes]].astype(np.int64), -1)
-        fresh = self.of[ids].astype(np.int16), sizes, ends - sizes + len(self.tables[0]), inside[ends] - inside[ends - sizes], hashes, often
-        self.tables = tuple(np.concatenate(pair) for pair in zip(self.tables, fresh, strict=True))
+        fresh = ids.astype(np.int32), sizes, ends - sizes + len(self.words[0]), hashes, often
+        self.words = tuple(np.concatenate(pair) for pair in zip(self.words, fresh, strict=True))
 
     def texts(self, texts: list[str | None], whole: float) -> dict[str, list]:
-        """Of each text: n tokens, how many and how much of the base the frequent words make, the hashes of the others with counts, and the score."""
+        """Of each text: n tokens, how many and how much of the base the words with ids make, the hashes of the others with counts, and the score."""
         if len(self.known) > WORD_STORE:
             self._forget()
         flat, ends = [], []
@@ -433,12 +335,12 @@ class Scorer:
         at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
-        classes, sizes, starts, inside, hashes, often = self.tables
+        ids, sizes, starts, hashes, often = self.words
         size, c = sizes[at], often[at]
         stops = np.cumsum(size)
-        sequence = classes[np.arange(stops[-1]) + np.repeat(starts[at] - stops + size, size)].astype(np.int64)
+        sequence = ids[np.arange(stops[-1]) + np.repeat(starts[at] - stops + size, size)].astype(np.int64)
         base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / whole), 0)
-        out = {"n": [], "known": [], "sum": [], "rare": [], "inside": []}
+        out = {"n": [], "known": [], "sum": [], "rare": []}
         sequences, low = [], 0
         for high in ends:
             part = slice(low, high)
@@ -447,31 +349,31 @@ class Scorer:
             out["known"].append(int((c[part] >= 0).sum()))
             out["sum"].append(float(base[part].sum()))
             out["rare"].append([{"h": h, "n": k} for h, k in zip(rare.tolist(), n.tolist(), strict=True)])
-            out["inside"].append(float(inside[at[part]].sum()))
             sequences.append(sequence[stops[low] - size[low] : stops[high - 1]])
             low = high
-        out["score"] = (self.classes(sequences) + np.array(out.pop("inside"))).tolist()
+        out["score"] = self.scores(sequences).tolist()
         return out
 
-    def classes(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 P(classes) of each text."""
-        owner, seen, target = [], [], []
-        for n, t in enumerate(texts):
-            blocks = -(-len(t) // STRIDE)
-            padded = np.full(WINDOW - STRIDE + blocks * STRIDE + 1, -1, dtype=np.int64)
-            padded[WINDOW - STRIDE] = START
-            padded[WINDOW - STRIDE + 1 : WINDOW - STRIDE + 1 + len(t)] = t
-            view = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::STRIDE]
-            seen.append(view[:blocks, :-1])
-            target.append(view[:blocks, WINDOW - STRIDE + 1 :])
-            owner.append(np.full(blocks, n))
-        out, model = np.zeros(len(texts)), Attention(self.params)
-        seen_, target_, owner_ = np.concatenate(seen), np.concatenate(target), np.concatenate(owner)
-        for low in range(0, len(seen_), SCORED_AT_ONCE):
+    def scores(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """log10 P(ids) of each sequence."""
+        blocks = np.array([-(-len(t) // STRIDE) for t in sequences])
+        # all sequences one after another, each with room for what comes before its first block
+        room = WINDOW - STRIDE + blocks * STRIDE + 1
+        begin = np.cumsum(room) - room
+        padded = np.full(room.sum(), NONE, dtype=np.int64)
+        for at, t in zip((begin + WINDOW - STRIDE).tolist(), sequences, strict=True):
+            padded[at] = self.tables.start
+            padded[at + 1 : at + 1 + len(t)] = t
+        view = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)
+        owner = np.repeat(np.arange(len(sequences)), blocks)
+        places = np.repeat(begin, blocks) + STRIDE * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        out = np.zeros(len(sequences))
+        for low in range(0, len(places), SCORED_AT_ONCE):
             part = slice(low, low + SCORED_AT_ONCE)
-            y = target_[part]
-            lp = np.where(y >= 0, model.log_probs(seen_[part], np.maximum(y, 0)), 0).sum(1, dtype=np.float64)
-            out += np.bincount(owner_[part], lp, minlength=len(out))
+            w = view[places[part]]
+            y = w[:, WINDOW - STRIDE + 1 :]
+            lp = np.where(y != NONE, attention.log_probs(self.gate, self.tables, w[:, :-1], np.where(y == NONE, 0, y)), 0).sum(1, dtype=np.float64)
+            out += np.bincount(owner[part], lp, minlength=len(out))
         return out / np.log(10)
 
 
@@ -482,34 +384,33 @@ def score_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    training = rows.where("not held_out").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("key"), "text")
+    training = rows.where("not held_out").select("doc_id", "text")
     seen = _word_counts(training).groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("c"), F.min("word").alias("word"))
     counts = written(seen, "lm_words")
-    bands = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("band")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).orderBy(F.desc("band")).collect()
-    total, distinct = sum(b["n"] for b in bands), sum(b["v"] for b in bands)
-    least, room = 1 << 62, HOT_WORDS
-    for b in bands:
-        room -= b["v"]
-        if room < 0 or b["band"] < MIN_OWN_BAND:
-            break
-        least = 1 << b["band"]
-    hot = sorted((r["h"], r["c"]) for r in counts.where(F.col("c") >= least).select("h", "c").collect())  # HOT_WORDS at most
-    first = subwords(vocabulary).end + 1
-    by_id = np.zeros(first + len(hot))
-    by_id[first:] = [c for _, c in hot]
+    sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
+    total, distinct = sums["n"] or 0, sums["v"]
+    least = max(2, -(-total // OWN_PARTS))
+    often = F.col("c") >= least
+    own = sorted((r["h"], r["c"]) for r in counts.where(often).select("h", "c").collect())  # OWN_PARTS at most
+    sub = subwords(vocabulary)
+    first = sub.end + 1
+    by_id = np.zeros(first + len(own))
+    by_id[first:] = [c for _, c in own]
     # subword ids are counted in the words that have no id of their own; the vocabulary is as many rows as come back
-    spelt = _spelt(counts.where(F.col("c") < least).select("c", "word"), vocabulary).groupBy("id").agg(F.sum("n").alias("n"))
-    for r in spelt.collect():
+    for r in _spelt(counts.where(~often).select("c", "word"), vocabulary).groupBy("id").agg(F.sum("n").alias("n")).collect():
         by_id[r["id"]] = r["n"]
-    of, inside, frequency = classes_of(by_id, first)
-    own_ids = spark.sparkContext.broadcast({h: first + i for i, (h, _) in enumerate(hot)})
-    windows = written(_windows(training, vocabulary, own_ids), "lm_all_windows")
-    params = train(windows, windows.count(), of, frequency)
-    shared = spark.sparkContext.broadcast((by_id, of, inside, params))
+    role = np.concatenate([np.where(sub.begins, attention.BEGINS, attention.GOES_ON), np.full(1 + len(own), attention.WORD)])
+    own_ids = spark.sparkContext.broadcast({h: first + i for i, (h, _) in enumerate(own)})
+    tasks = max(1, int(-(-by_id.sum() // (WINDOW * TASK_WINDOWS))))
+    windows = written(_windows(training, vocabulary, own_ids).repartition(tasks, "r"), "lm_windows")
+    tables = _tables(windows, by_id, role)
+    shared = spark.sparkContext.broadcast(tables)
+    gate = train(windows, shared)
+    counts_of = spark.sparkContext.broadcast(by_id)
     whole = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(vocabulary, own_ids.value, *shared.value)
+        scorer = Scorer(vocabulary, own_ids.value, counts_of.value, shared.value, gate)
         for batch in batches:
             texts = batch.column(2)
             for low in range(0, len(texts), 64):
@@ -524,7 +425,7 @@ def score_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
     scored = rows.select("doc_id", "held_out", "text").mapInArrow(run, SCORED)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm_scored")
     asked = scored.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.n")
-    rare = counts.where(F.col("c") < least).select("h", "c")
+    rare = counts.where(~often).select("h", "c")
     found = asked.join(rare, "h", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("rare_sum"),

@@ -248,58 +248,6 @@ def test_lm_counts_and_scores(docs, empty):
     assert lm.score_documents(with_repeats(docs)).count() == 2 * len(own) + 2
 
 
-def small_params(seed=0):
-    r = np.random.default_rng(seed)
-    return lm.Params.new(r.random(lm.CLASSES))
-
-
-def test_lm_classes_are_a_distribution_and_causal():
-    p, r = small_params(), np.random.default_rng(1)
-    seen = r.integers(0, lm.CLASSES, (1, lm.WINDOW))
-    every = np.concatenate([lm.log_probs(p, seen, np.full((1, 1), y)) for y in range(lm.CLASSES)])
-    assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
-    target = r.integers(0, lm.CLASSES, (1, lm.WINDOW))
-    other = seen.copy()
-    other[0, 20:] = 3
-    a, b = lm.log_probs(p, seen, target), lm.log_probs(p, other, target)
-    assert np.allclose(a[0, :20], b[0, :20], atol=1e-5) and not np.allclose(a[0, 20:], b[0, 20:], atol=1e-5)
-
-
-def test_lm_gradient_and_training():
-    r = np.random.default_rng(2)
-    p = small_params()
-    p = p.like(p.flat())
-    seen, target = r.integers(0, lm.CLASSES, (4, lm.WINDOW)), r.integers(0, lm.CLASSES, (4, lm.WINDOW))
-    seen[:, :5], target[:, 25:] = -1, -1
-    loss = lambda q: -(lm.log_probs(q, seen, np.maximum(target, 0)) * (target >= 0)).sum(dtype=np.float64) / (target >= 0).sum()
-    g, flat = lm.gradient(p, seen, target).flat(), p.flat().astype(np.float64)
-    for i in np.argsort(-np.abs(g))[:12]:
-        up, down = flat.copy(), flat.copy()
-        up[i] += 1e-2
-        down[i] -= 1e-2
-        assert (loss(p.like(up)) - loss(p.like(down))) / 2e-2 == pytest.approx(g[i], rel=0.05, abs=1e-4)
-    turns = np.tile(np.array([1, 2, 3, 4, 5, 6, 7, 8, 9] * 10)[: lm.WINDOW + 1], (800, 1))
-    q = lm.steps(p, turns)
-    assert lm.log_probs(q, turns[:1, :-1], turns[:1, 1:])[0, 4:].mean() > -0.5
-
-
-def test_lm_windows_score_each_token_once():
-    s = lm.Scorer.__new__(lm.Scorer)
-    s.params = small_params()
-    s.params.v[:] = 0  # without attention, each token depends on the one before only
-    r = np.random.default_rng(3)
-    for n in (1, 15, 16, 17, 70):
-        t = r.integers(0, lm.START, n)
-        got = s.classes([t])[0]
-        before = np.concatenate([[lm.START], t[:-1]])
-        want = 0.0
-        for a, y in zip(before, t, strict=True):
-            seen = np.full((1, lm.WINDOW), -1)
-            seen[0, -1] = a
-            want += lm.log_probs(s.params, seen, np.array([[y]]))[0, 0]
-        assert got == pytest.approx(want / np.log(10), rel=1e-4)
-
-
 # ---- lines
 
 
