@@ -208,13 +208,9 @@ def components(pairs: DataFrame) -> DataFrame:
 
     A round hooks the root of each link's larger side to the smaller root and then jumps, until no link joins two roots.
     """
-    edges = written(pairs.select("a", "b"), "links")
-    label = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
-    while True:
-        ends = edges.join(label.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        open_ = written(ends.where("ra <> rb").select(F.least("ra", "rb").alias("to"), F.greatest("ra", "rb").alias("root"), "a", "b"), "open_links")
-        if open_.isEmpty():
-            return label
+    edges = written(pairs.select(F.least("a", "b").alias("to"), F.greatest("a", "b").alias("root")), "links")
+    open_, label = edges, None
+    while not open_.isEmpty():
         hooks = written(open_.groupBy("root").agg(F.min("to").alias("to")), "hooks")
         while True:  # to the end of each chain; targets are smaller, so there are no circles
             far = hooks.select(F.col("root").alias("to"), F.col("to").alias("beyond"))
@@ -222,8 +218,13 @@ def components(pairs: DataFrame) -> DataFrame:
             hooks = jumped.select("root", "to")
             if jumped.where("moved").isEmpty():
                 break
+        if label is None:
+            label = edges.select(F.explode(F.array("to", "root")).alias("node")).distinct().withColumn("root", F.col("node"))
         label = written(label.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-        edges = open_.select("a", "b")
+        left, right = label.select(F.col("node").alias("to"), F.col("root").alias("r1")), label.select(F.col("node").alias("root"), F.col("root").alias("r2"))
+        ends = edges.join(left, "to").join(right, "root").where("r1 <> r2")
+        open_ = written(ends.select(F.least("r1", "r2").alias("to"), F.greatest("r1", "r2").alias("root")), "open_links")
+    return edges.select(F.col("to").alias("node"), "root").limit(0) if label is None else label
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, parts: int = PARTS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -294,7 +295,7 @@ def _prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard similarity of shingles of at least `least`."""
+    """The pairs (a, b, ra, rb) whose texts have a Jaccard similarity of shingles of at least `least`, as (a, b) of their roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,14 +306,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
                 keep.append(both >= least * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(pairs, "similar_pairs")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("ra", "rb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(node, root) of the texts (node, text) that have links: the components of all pairs of similarity `least` or more.
+    """(node, root) of the texts (node, text) that have candidates: the components of all pairs of similarity `least` or more.
 
     Texts that share a shingle of their prefixes are in a bucket. In a few rounds each text is compared with one text of
     each of its buckets, so that large groups merge without meeting in pairs. Then all pairs of a bucket that no verified
@@ -320,23 +320,24 @@ def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
     """
     keys = written(_prefixes(texts, width, least), "similar_keys")
     bodies = texts.dropDuplicates(["node"])
-    found = None
     roots = keys.select("node").distinct().withColumn("root", F.col("node"))
 
     def rooted() -> DataFrame:
         """The keys of buckets that hold several components."""
-        named = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = keys.join(roots, "node")
         open_ = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
         return written(named.join(open_, "s", "left_semi"), "similar_open")
 
     def merged(pairs: DataFrame) -> bool:
         """Whether the pairs held links; roots are then those of all links so far."""
-        nonlocal found, roots
-        new = written(_verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), bodies, width, least), "similar_links")
+        nonlocal roots
+        x, y = F.struct(F.col("x.node").alias("node"), F.col("x.root").alias("root")), F.struct(F.col("y.node").alias("node"), F.col("y.root").alias("root"))
+        ends = pairs.select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
+        new = written(_verified(written(ends.distinct(), "similar_pairs"), bodies, width, least), "similar_links")
         if new.isEmpty():
             return False
-        found = new if found is None else found.union(new)
-        roots = components(found)
+        joined = components(new).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        roots = written(roots.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "similar_roots")
         return True
 
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
