@@ -9,10 +9,12 @@ their original vectors in double precision.
 The rotations and the radius are learned on a bounded sample: the radius is the one that holds `target` of the sample's
 true neighbours. Every row is indexed. A query that finds fewer than k codes in an index gets a larger radius there.
 Queries travel in blocks of at most QUERY_BLOCK, with one pass over the vectors for each block, so no data of unbounded
-size is sent to the tasks; each index sends back k rows for each query.
+size is sent to the tasks; each task merges what its indexes find and sends back k rows for each query.
 
 Vectors that are null or zero, that hold nulls or non-finite components, or whose length is not the sample's commonest
-take no part, and neither do rows with a null id. Repeated rows are candidates each; equal scores are ranked by id.
+take no part, and neither do rows with a null id. Repeated rows are candidates each; equal scores are ranked by id. A query
+id that is given several times is asked once, with its smallest vector; rows that bear its id are no candidates. Columns
+other than the id and the vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,7 +142,7 @@ def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest rows found, by cosine. Both: vec_id, embedding."""
     spark = vectors.sparkSession
-    vectors, queries = usable(vectors), usable(queries)
+    vectors, queries = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     taken = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
     if not len(taken):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -157,15 +159,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
         def run(batches: Iterator[pa.RecordBatch], ids=ids, points=points) -> Iterator[pa.RecordBatch]:
             asked = codes.of(points) if len(points) else []
 
-            def answers(own_ids: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
-                index, q, v, s = Index(np.concatenate(own_ids), np.concatenate(own), codes), [], [], []
+            best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+
+            def look(own_ids: list[np.ndarray], own: list[np.ndarray]) -> None:
+                """Keep the k best of those so far and of one more index."""
+                index = Index(np.concatenate(own_ids), np.concatenate(own), codes)
                 for i in range(len(ids)):
-                    got, scores = index.nearest(ids[i], points[i], asked[i], k)
-                    q.append(np.full(len(got), ids[i]))
-                    v.append(got)
-                    s.append(scores)
-                join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-                return pa.RecordBatch.from_arrays([pa.array(join(q, np.int64)), pa.array(join(v, np.int64)), pa.array(join(s, np.float64))], names=["query_id", "vec_id", "score"])
+                    v, s = (np.concatenate(x) for x in zip(best[i], index.nearest(ids[i], points[i], asked[i], k), strict=True))
+                    order = np.lexsort((v, -s))[:k]
+                    best[i] = v[order], s[order]
 
             own_ids, own, n = [], [], 0
             for batch in batches:
@@ -174,10 +176,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
                 own.append(matrix)
                 n += len(matrix)
                 if n >= INDEX_ROWS:
-                    yield answers(own_ids, own)
+                    look(own_ids, own)
                     own_ids, own, n = [], [], 0
             if n:
-                yield answers(own_ids, own)
+                look(own_ids, own)
+            if len(ids):
+                q = np.repeat(ids, [len(v) for v, _ in best])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([v for v, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "score"])
 
         hits = vectors.mapInArrow(run, MATCHES)
         found.append(hits if blocks == 1 else written(hits, "ann_hits"))
