@@ -95,7 +95,8 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     at = at.withColumn("length", F.col("size").cast("long") * 0 + field("Content-Length").try_cast("long"))
     binary = F.col("value").cast("binary")
     start = F.octet_length("head") + len(END)
-    at = at.withColumn("http", F.substring_index(F.substring(binary, start + 1, F.least(F.col("length"), F.lit(4096)).cast("int")).cast("string"), END, 1))
+    # the header of the block ends at its first blank line, wherever that is
+    at = at.withColumn("http", F.substring_index(F.substring(binary, start + 1, F.col("length").cast("int")).cast("string"), END, 1))
     full = F.col("size") >= start + F.col("length") + len(END)
     skip = start + F.octet_length("http") + len(END)
     payload = F.substring(binary, skip + 1, (start + F.col("length") - skip).cast("int"))
@@ -184,13 +185,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     broken = true.where("payload_sha1 is null").select("file", "offset", "next")
     whole = true.where("payload_sha1 is not null").drop("file", "block", "size", "length", "offset", "next")
     if not broken.isEmpty():
-        whole = whole.unionByName(_mended(spark, path, at, broken))
+        whole = whole.unionByName(_mended(spark, path, at, true, broken))
     return whole.withColumn("payload_sha1", F.when(F.col("type") == "response", F.col("payload_sha1")))
 
 
-def _mended(spark: SparkSession, path: str, at: DataFrame, broken: DataFrame) -> DataFrame:
+def _mended(spark: SparkSession, path: str, at: DataFrame, true: DataFrame, broken: DataFrame) -> DataFrame:
     """Records whose payload holds the magic, put together from their pieces in a second reading."""
-    pieces = at.select("file", "block", "offset").join(broken.withColumnRenamed("offset", "owner"), "file").where("offset >= owner and offset < next")
+    # a piece belongs to the last record that starts at or before it
+    starts = true.select("file", "offset", F.col("offset").alias("start"))
+    last = F.last("start", ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
+    owned = at.select("file", "block", "offset").join(starts, ["file", "offset"], "left").withColumn("owner", last)
+    pieces = owned.join(broken.withColumnRenamed("offset", "owner"), ["file", "owner"]).where("offset < next")
     # both readings give a block's pieces in the same order
     order = Window.partitionBy("file", "block").orderBy("offset")
     rank = at.select("file", "block", "offset", F.row_number().over(order).alias("nth"))
