@@ -5,11 +5,12 @@ The cuts (splitters) are found by counting: each round takes exact byte counts b
 partitions, keeps for each splitter the bucket that holds its target, and probes that bucket ten bits finer, until
 a boundary lies within the tolerance or a bucket holds a single key. Then the rows are exchanged once.
 
-A group of equal texts is cut only if neither of its edges is within group_slack of the target.
+A group of equal texts is cut only if neither of its edges is within group_slack of the target, so shards differ from the
+mean by no more than twice that and a row at each end.
 Only counts travel to the driver: at most (shards - 1) * 1024 rows a round.
 
-A null text has zero bytes, a null doc_id sorts before all others; repeated rows are all kept; further columns pass through
-(those named size, law, shard or slot are replaced).
+A null text has zero bytes, a null doc_id sorts before all others; repeated rows are all kept; a very long text is never cut,
+so a shard may exceed its share by it; further columns pass through (those named size, law, shard or slot are replaced).
 An empty table gives an empty result.
 """
 
@@ -99,7 +100,7 @@ def splitters(keys: DataFrame, shards: int, weight: str, tolerance: float, group
     return [cuts[s] for s in sorted(cuts)]
 
 
-def shard(docs: DataFrame, shards: int = 24, law: str = "bytes", text: str = "text", key: str = "doc_id", tolerance: float = 0.002, group_slack: float = 0.05) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, law: str = "bytes", text: str = "text", key: str = "doc_id", tolerance: float = 0.002, group_slack: float = 0.015) -> DataFrame:
     """docs with size, law, shard and slot (gapless from 0 within a shard). law: `bytes`, or `rows` for equal counts."""
     body = F.coalesce(F.col(text), F.lit(""))
     flip = F.lit(_LOW)  # unsigned order as the order of words
