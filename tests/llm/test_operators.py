@@ -329,6 +329,27 @@ def test_shards_are_even_and_gapless(docs, empty, law):
     assert len(few) == 2 * len(texts()) + 2
 
 
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_24_shards_against_a_plain_sort(spark, law):
+    r = random.Random(4)
+    rows = [(i, prose(r.choice([1, 5, 20, 60]), i % 2600)) for i in range(3000)] + [(5000 + i, "a text of many copies " * 4) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x for x in sharding.shard(docs, shards=24, law=law).collect()}
+    hashes = {x["doc_id"]: x["h"] for x in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(got, key=lambda i: (hashes[i] % 2**64, i))
+    shards = [got[i]["shard"] for i in order]
+    assert shards == sorted(shards) and set(shards) == set(range(24))
+    weight = {i: len(t.encode()) + 8 if law == "bytes" else 1 for i, t in rows}
+    loads, slots = [0] * 24, {}
+    for i in order:
+        assert got[i]["size"] == len(got[i]["text"].encode()) + 8
+        loads[got[i]["shard"]] += weight[i]
+        slots.setdefault(got[i]["shard"], []).append(got[i]["slot"])
+    mean = sum(loads) / 24
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(x - mean) <= (1 if law == "rows" else 0.03 * mean + max(weight.values())) for x in loads)
+
+
 def test_shards_split_one_huge_group(spark):
     same = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same text for all").alias("text"))
     got = dict(map(tuple, sharding.shard(same, shards=8).groupBy("shard").count().collect()))
@@ -364,6 +385,22 @@ def test_neighbours_recall_and_scores(spark):
     assert ann.search(tiny, tiny).count() == 6
 
 
+def test_repeated_queries_are_asked_once(spark):
+    ship(spark)
+    x = np.random.default_rng(2).normal(size=(300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame([(*row, "n", 0.5) for row in [*rows, rows[50], rows[50], rows[7]]], "vec_id long, embedding array<double>, rank string, score double").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(vectors, vectors.where("vec_id % 50 = 0"), target=1.0).collect())
+    norms, want = np.linalg.norm(x, axis=1), []
+    every = [*range(300), 7]  # repeated rows are candidates each
+    for q in range(0, 300, 50):
+        s = x @ x[q] / norms / norms[q]
+        best = sorted((-s[v], v) for v in every if v != q)[:5]
+        want += [(q, k + 1, v) for k, (_, v) in enumerate(best)]
+    assert sum(g == w for g, w in zip(got, want, strict=True)) >= len(want) - 2
+    assert [g for g in got if g[0] == 50] == [w for w in want if w[0] == 50]
+
+
 def test_probing_finds_every_code_within_the_radius():
     r = np.random.default_rng(1)
     codes = ann.Codes(r.normal(size=(500, 16)), 5, 0.98)
@@ -432,3 +469,14 @@ def test_archives_come_back_in_blocks(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_headers_of_any_length_are_found(spark, tmp_path):
+    ship(spark)
+    payload = "y" * 50 + warc.MAGIC + "z"
+    http = "HTTP/1.1 200 OK\r\n" + "".join(f"X-Long-{i}: {'v' * 90}\r\n" for i in range(200)) + f"Content-Length: {len(payload)}\r\n\r\n"
+    block = http + payload
+    head = f"{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:4>\r\nWARC-Payload-Digest: sha1:x\r\nContent-Length: {len(block)}\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes((head + block + warc.END).encode() * 2)
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [(r["payload_bytes"], r["payload_sha1"]) for r in got] == [(len(payload), hashlib.sha1(payload.encode()).hexdigest())] * 2
