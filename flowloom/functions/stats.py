@@ -1,4 +1,4 @@
-"""Exact distribution summaries and the statistics of fits, as column expressions."""
+"""Statistics of fits, as column expressions, and the summary of a column."""
 
 from __future__ import annotations
 
@@ -7,30 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUMMARY = ["n", "mean", "sd", "min", "p25", "median", "p75", "p90", "p95", "max", "iqr"]
-_CUTS = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+from flowloom.functions.quantiles import summaries, summary_columns
+from flowloom.schema import DAY_MS
 
 
-def summary_aggregates(value: Column, prefix: str = "") -> list[Column]:
-    """Aggregates that summary_columns() turns into a summary. Quantiles are exact and interpolate linearly."""
-    return [
-        F.count(value).alias(f"{prefix}n"), F.avg(value).alias(f"{prefix}mean"), F.stddev_samp(value).alias(f"{prefix}sd"),
-        F.min(value).alias(f"{prefix}min"), F.max(value).alias(f"{prefix}max"), F.percentile(value, F.array(*map(F.lit, _CUTS.values()))).alias(f"{prefix}cuts"),
-    ]
-
-
-def summary_columns(prefix: str = "") -> list[Column]:
-    """n, mean, sd, min, p25, median, p75, p90, p95, max, iqr; zero where there is nothing to tell."""
-    cut = {k: F.coalesce(F.col(f"{prefix}cuts")[i], F.lit(0.0)) for i, k in enumerate(_CUTS)}
-    told = {k: F.coalesce(F.col(f"{prefix}{k}"), F.lit(0.0)) for k in ("mean", "sd", "min", "max")} | cut
-    told |= {"n": F.col(f"{prefix}n"), "iqr": cut["p75"] - cut["p25"]}
-    return [told[k].alias(f"{prefix}{k}") for k in SUMMARY]
-
-
-def summarise(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """The summary of a column, by keys."""
-    finite = df.withColumn("_v", F.when(F.abs(value) < float("inf"), F.col(value)))
-    return finite.groupBy(*keys).agg(*summary_aggregates(F.col("_v"))).select(*keys, *summary_columns())
+def summarise(df: DataFrame, value_ms: str, *keys: str) -> DataFrame:
+    """The summary in days of a column of milliseconds, by keys; without keys one row, of zeros if there are no values."""
+    told = summaries(df, value_ms, list(keys), float(DAY_MS))
+    if not keys:
+        told = df.sparkSession.range(1).join(F.broadcast(told), F.lit(True), "left")
+    return told.select(*keys, *summary_columns())
 
 
 def normal_cdf(z: Column) -> Column:

@@ -13,6 +13,12 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
 
 
+def folded(c: Column) -> Column:
+    """Lower case without accents (of the letters of western Europe), and nothing but letters, digits, colon and underscore."""
+    plain = F.translate(F.lower(trim_all(c)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return F.regexp_replace(plain, "[^a-z0-9:_]", "")
+
+
 def number_pt(x: Column, at_most: int, at_least: int = 0) -> Column:
     """1.234,5: half away from zero, between at_least and at_most decimals."""
     text = F.translate(F.format_number(F.round(x, at_most), at_most), ",.", ".,")
@@ -35,6 +41,17 @@ def duration_pt(days: Column) -> Column:
     return F.when(days < 1, F.concat(count_pt(F.round(days * 24)), F.lit(" h"))).otherwise(F.concat(number_pt(days, 1, 1), F.lit(" dias")))
 
 
+# Short names of the months in Portuguese.
+MONTHS = ["jan.", "fev.", "mar.", "abr.", "mai.", "jun.", "jul.", "ago.", "set.", "out.", "nov.", "dez."]
+
+
+def timestamp_label(ms: Column) -> Column:
+    """24 de jan. de 2026, 09:05: day and time (UTC) as shown in Portuguese."""
+    t = F.timestamp_millis(ms)
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(t))
+    return F.concat(F.dayofmonth(t).cast("string"), F.lit(" de "), month, F.lit(" de "), F.date_format(t, "yyyy, HH:mm"))
+
+
 def attribute_kind(raw: Column) -> Column:
     """null, bool, number or string."""
     t = trim_all(raw)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,11 @@ from flowloom.operators.profile import bottlenecks
 
 # Bounds of snapshots, tools and claims.
 MAX_FACTS, MAX_EDGES, MAX_VARIANTS, MAX_TOOL_CALLS, MAX_CLAIMS, MAX_ID = 40, 256, 32, 3, 4, 40
+SNAPSHOT_FACTS, SNAPSHOT_EDGES, SNAPSHOT_VARIANTS, SNAPSHOT_PATH = 32, 256, 128, 80
+FACT_KINDS = ["metric", "distribution", "variant", "conformance", "quality", "simulation"]
+LEGACY = ("legacy-analysis", "legacy00000000", "legacy")
+ILL_FORMED = "A resposta do modelo não passou pela validação de formato."
+ALL_REJECTED = "Todas as afirmações foram rejeitadas pelo gate de evidências."
 # Number words that a claim must not hold.
 NUMBER_WORDS = "zero|dois|duas|tr[eê]s|quatro|cinco|seis|sete|oito|nove|dez|onze|doze|vinte|trinta|cem|cento|mil|milh[aã]o|milh[õo]es"
 COUNTED_WORDS = "únic[oa]|apenas|total|segundo|primeir[oa]|dois?|casos?|dias?|horas?|eventos?|variantes?|recursos?|etapas?|atividades?|transições?"
@@ -57,6 +63,60 @@ def snapshot_variants(variants: DataFrame) -> DataFrame:
     return named.orderBy(F.desc("n"), F.desc("impact"), "variant_id").limit(MAX_VARIANTS).select("variant_id", "path", "n", "share", "lead_mean", "lead_median", "lead_p90", "lead_p95", "lead_iqr", "impact")
 
 
+@dataclass
+class Snapshot:
+    """What an investigation may see: facts, transitions and variants of one analysis."""
+
+    analysis_id: str
+    source_hash: str
+    facts: DataFrame
+    edges: DataFrame | None = None
+    variants: DataFrame | None = None
+
+
+def snapshot(analysis_id: str, source_hash: str, facts: DataFrame, edges: DataFrame, variants: DataFrame) -> Snapshot:
+    """A snapshot of all facts and transitions and the first variants, refused where a bound is broken."""
+    named = edges.withColumn("edge_id", text_id("edge", F.col("from_activity"), F.col("to_activity"))).select("edge_id", "from_activity", "to_activity", "n", "mean", "median", "p90", "p95", "iqr")
+    out = Snapshot(analysis_id, source_hash, facts.select(*FACT), named, snapshot_variants(variants))
+    broken = snapshot_faults(out).collect()  # a row for each kind of fault
+    if broken:
+        raise ValueError("; ".join(sorted(r["fault"] for r in broken)))
+    return out
+
+
+def legacy_snapshot(facts: DataFrame) -> Snapshot:
+    """A snapshot of facts alone; a fact without kind is a metric, one without source is legacy."""
+    told = facts.withColumn("kind", F.coalesce("kind", F.lit("metric"))).withColumn("source_path", F.coalesce("source_path", F.lit(LEGACY[2])))
+    return Snapshot(LEGACY[0], LEGACY[1], told.select(*FACT))
+
+
+def _outside(column: str, low: int, high: int) -> Column:
+    return ~F.coalesce(F.length(column).between(low, high), F.lit(False))
+
+
+def snapshot_faults(s: Snapshot) -> DataFrame:
+    """fault, n: what breaks the bounds of a snapshot, and how often; no row for a sound one."""
+    no_number = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) | (F.col(c) < 0)
+    broken = lambda tests: reduce(lambda a, b: a | b, tests)
+    fact = broken([_outside("id", 1, 40), ~F.coalesce(F.col("kind").isin(FACT_KINDS), F.lit(False)), _outside("label", 1, 180), _outside("value", 1, 80), _outside("detail", 1, 400), _outside("source_path", 1, 240)])
+    tables = [("facts", s.facts, 1, SNAPSHOT_FACTS, fact)]
+    if s.edges is not None:
+        edge = broken([_outside("edge_id", 1, 80), _outside("from_activity", 1, 120), _outside("to_activity", 1, 120), *map(no_number, ("n", "mean", "median", "p90", "p95", "iqr"))])
+        tables.append(("edges", s.edges, 0, SNAPSHOT_EDGES, edge))
+    if s.variants is not None:
+        steps_ = F.exists("path", lambda a: ~F.coalesce(F.length(a).between(1, 120), F.lit(False)))
+        variant = broken([_outside("variant_id", 1, 80), ~F.coalesce(F.size("path").between(1, SNAPSHOT_PATH), F.lit(False)), steps_, F.col("impact").isNull() | F.isnan("impact"), F.col("share") > 1, *map(no_number, ("n", "share", "lead_mean", "lead_median", "lead_p90", "lead_p95", "lead_iqr"))])
+        tables.append(("variants", s.variants, 0, SNAPSHOT_VARIANTS, variant))
+    parts = []
+    for name, df, least, most, test in tables:
+        told = df.agg(F.count("*").alias("rows"), F.count_if(test).alias("bad"))
+        parts.append(told.select(F.lit(f"{name}: rows").alias("fault"), F.when(~F.col("rows").between(least, most), F.col("rows")).alias("n")))
+        parts.append(told.select(F.lit(f"{name}: values").alias("fault"), F.when(F.col("bad") > 0, F.col("bad")).alias("n")))
+    ids = F.when(F.lit(not 1 <= len(s.analysis_id) <= 80 or not 8 <= len(s.source_hash) <= 128), 1)
+    parts.append(s.facts.sparkSession.range(1).select(F.lit("ids").alias("fault"), ids.cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, parts).where("n is not null")
+
+
 def edge_facts(edges: DataFrame) -> DataFrame:
     """Facts of transitions (edge_id, from_activity, to_activity, n, median, p90, p95, iqr)."""
     s, c = F.concat, F.col
@@ -117,6 +177,11 @@ def run_tool(name: str, arguments: dict, edges: DataFrame, variants: DataFrame)
     return rank_bottlenecks(edges, arguments["limit"])
 
 
+def run_tools(calls: list[tuple[str, str]], edges: DataFrame, variants: DataFrame) -> list[DataFrame]:
+    """The facts of the first MAX_TOOL_CALLS calls (name, arguments as JSON); what comes after them is not run."""
+    return [run_tool(*parse_tool_call(name, arguments), edges, variants) for name, arguments in calls[:MAX_TOOL_CALLS]]
+
+
 def merged_facts(parts: list[DataFrame]) -> DataFrame:
     """Facts of several lists: an id keeps its first place and takes its last value; the first forty."""
     rows = reduce(DataFrame.unionByName, (p.select(*FACT).withColumn("part", F.lit(i)).withColumn("place", F.monotonically_increasing_id()) for i, p in enumerate(parts)))
@@ -154,3 +219,22 @@ def judged(claims: DataFrame, fact_ids: DataFrame) -> DataFrame:
 def gate(claims: DataFrame, fact_ids: DataFrame) -> DataFrame:
     """The first four claims that nothing speaks against."""
     return judged(claims, fact_ids).where("reason is null").orderBy("place").limit(MAX_CLAIMS).drop("reason")
+
+
+def ill_formed() -> Column:
+    """Whether a claim (text, citations, type) breaks the bounds of its form."""
+    cited = F.coalesce(F.size("citations").between(1, 4), F.lit(False)) & ~F.exists("citations", lambda i: ~F.coalesce(F.length(i).between(1, 40), F.lit(False)))
+    return _outside("text", 12, 360) | ~F.coalesce(cited, F.lit(False)) | ~F.coalesce(F.col("type").isin("observacao", "hipotese"), F.lit(False))
+
+
+def gate_report(claims: DataFrame, fact_ids: DataFrame, response: str) -> DataFrame:
+    """By response: how many claims were taken and rejected, and the message. claims: `response`, place, text, citations, type.
+
+    A response with more than eight claims or an ill-formed one is rejected as a whole, and counts as one rejection.
+    """
+    told = judged(claims, fact_ids).groupBy(response).agg(F.count("*").alias("n"), F.count_if(ill_formed()).alias("bad"), F.count_if(F.col("reason").isNull()).alias("fine"))
+    whole = (F.col("bad") > 0) | (F.col("n") > 8)
+    return told.select(
+        response, F.when(whole, 0).otherwise(F.least(F.col("fine"), F.lit(MAX_CLAIMS))).cast("long").alias("taken"), F.when(whole, 1).otherwise(F.col("n") - F.col("fine")).cast("long").alias("rejected"),
+        F.when(whole, ILL_FORMED).when(F.col("fine") == 0, ALL_REJECTED).alias("message"),
+    )

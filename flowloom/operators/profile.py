@@ -6,50 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import text_id
-from flowloom.functions.stats import summary_aggregates, summary_columns
-from flowloom.schema import NO_RESOURCE
+from flowloom.functions.quantiles import summaries, summary_columns
+from flowloom.operators.ranking import ranked
+from flowloom.schema import DAY_MS, NO_RESOURCE
+
+_DAY = float(DAY_MS)
 
 
 def edge_stats(steps: DataFrame) -> DataFrame:
     """By transition: count, cases, share of all transitions, and the waits' distribution."""
-    moves = steps.where("next_activity is not null")
-    by = moves.groupBy(F.col("activity").alias("from_activity"), F.col("next_activity").alias("to_activity")).agg(
-        F.count_distinct("case_id").alias("case_count"), *summary_aggregates(F.col("wait_days"))
-    )
-    total = moves.agg(F.count("*").alias("total"))
-    return by.crossJoin(F.broadcast(total)).select("from_activity", "to_activity", "case_count", (F.col("n") / F.greatest("total", F.lit(1))).alias("frequency"), *summary_columns())
+    moves = steps.where("next_activity is not null").select("case_id", "wait_ms", F.col("activity").alias("from_activity"), F.col("next_activity").alias("to_activity"))
+    keys = ["from_activity", "to_activity"]
+    cases = moves.groupBy(*keys).agg(F.count_distinct("case_id").alias("case_count"))
+    by = summaries(moves, "wait_ms", keys, _DAY).join(cases, keys)
+    total = by.agg(F.sum("n").alias("total"))  # of one row for each pair of activities
+    return by.crossJoin(F.broadcast(total)).select(*keys, "case_count", (F.col("n") / F.greatest("total", F.lit(1))).alias("frequency"), *summary_columns())
 
 
 def activity_stats(steps: DataFrame) -> DataFrame:
     """By activity: events, cases, resources, and the distribution of waits to the next event."""
     named = F.array_sort(F.collect_set(F.when(F.col("resource") != NO_RESOURCE, F.col("resource"))))
-    by = steps.groupBy("activity").agg(F.count("*").alias("events"), F.count_distinct("case_id").alias("case_count"), named.alias("resources"), *summary_aggregates(F.col("wait_days"), "wait_"))
-    return by.select("activity", "events", "case_count", "resources", *summary_columns("wait_"))
+    by = steps.groupBy("activity").agg(F.count("*").alias("events"), F.count_distinct("case_id").alias("case_count"), named.alias("resources"))
+    return by.join(summaries(steps, "wait_ms", ["activity"], _DAY), "activity", "left").select("activity", "events", "case_count", "resources", *summary_columns("wait_"))
 
 
 def variant_stats(traces: DataFrame) -> DataFrame:
     """By exact path: count, share, the lead times' distribution, and its median against that of all cases."""
-    by = traces.groupBy("path_key").agg(F.any_value("path").alias("path"), *summary_aggregates(F.col("lead_days"), "lead_"))
-    all_ = traces.agg(F.count("*").alias("total"), F.coalesce(F.percentile("lead_days", 0.5), F.lit(0.0)).alias("overall"))
-    out = by.select("path_key", "path", F.col("lead_n").alias("n"), *summary_columns("lead_"))
-    return out.crossJoin(F.broadcast(all_)).withColumn("share", F.col("n") / F.col("total")).withColumn("impact", F.col("lead_median") - F.col("overall")).drop("total", "overall")
+    by = summaries(traces, "lead_ms", ["path_key"], _DAY)
+    paths = F.split("path_key", "\u001f")
+    all_ = summaries(traces, "lead_ms", [], _DAY, {"overall": 0.5}).select(F.col("n").alias("total"), "overall")
+    out = by.select("path_key", paths.alias("path"), F.col("n").alias("cases"), *summary_columns("lead_"))
+    return out.crossJoin(F.broadcast(all_)).withColumn("n", F.col("cases")).withColumn("share", F.col("n") / F.col("total")).withColumn("impact", F.col("lead_median") - F.col("overall")).drop("total", "overall", "cases")
 
 
 def trend(traces: DataFrame) -> DataFrame:
     """By month (UTC) of the last event: cases and median lead time."""
     month = F.date_format(F.timestamp_millis("end_ms"), "yyyy-MM")
-    return traces.groupBy(month.alias("month")).agg(F.count("*").alias("cases"), F.percentile("lead_days", 0.5).alias("median_lead_days"))
+    return summaries(traces.withColumn("month", month), "lead_ms", ["month"], _DAY, {"median_lead_days": 0.5}).select("month", F.col("n").alias("cases"), "median_lead_days")
 
 
-def metrics(log: DataFrame, traces: DataFrame) -> DataFrame:
-    """One row for the whole log. event_count counts all input events."""
+def metrics(log: DataFrame, traces: DataFrame, conformance: DataFrame | None = None) -> DataFrame:
+    """One row for the whole log. event_count counts all input events. With the conformance summary: deviation_rate, fitness, precision."""
     first_pass = F.avg((F.size(F.array_distinct("path")) == F.size("path")).cast("double"))
-    whole = traces.agg(
-        F.count("*").alias("case_count"), F.coalesce(F.avg("lead_days"), F.lit(0.0)).alias("avg_lead_days"),
-        F.coalesce(F.percentile("lead_days", 0.5), F.lit(0.0)).alias("median_lead_days"), F.coalesce(F.percentile("lead_days", 0.9), F.lit(0.0)).alias("p90_lead_days"),
-        F.coalesce(first_pass, F.lit(0.0)).alias("first_pass_rate"), F.coalesce(F.sum(F.col("n_events") - 1), F.lit(0)).cast("long").alias("transition_count"),
+    counts = traces.agg(F.count("*").alias("case_count"), F.coalesce(first_pass, F.lit(0.0)).alias("first_pass_rate"), F.coalesce(F.sum(F.col("n_events") - 1), F.lit(0)).cast("long").alias("transition_count"))
+    lead = summaries(traces, "lead_ms", [], _DAY, {"median": 0.5, "p90": 0.9}).select(F.col("mean").alias("avg"), "median", "p90")
+    zero = lambda c, n: F.coalesce(c, F.lit(0.0)).alias(n)
+    whole = counts.join(F.broadcast(lead), F.lit(True), "left").select(
+        "case_count", zero("avg", "avg_lead_days"), zero("median", "median_lead_days"), zero("p90", "p90_lead_days"), "first_pass_rate", "transition_count",
     )
-    return whole.crossJoin(log.agg(F.count("*").alias("event_count")))
+    out = whole.crossJoin(log.agg(F.count("*").alias("event_count")))
+    return out if conformance is None else out.crossJoin(conformance.select("deviation_rate", "fitness", "precision"))
 
 
 def start_end(traces: DataFrame) -> DataFrame:
@@ -104,13 +110,14 @@ def flow_map(edges: DataFrame, variants: DataFrame, limit: int = 26) -> DataFram
 
 
 def filter_cases(log: DataFrame, resource: str | None = None, last_days: int | None = None) -> DataFrame:
-    """All events of the cases with an event that has the resource and lies in the last days; everything if there is none."""
+    """All events of the cases with an event that has the resource and lies in the last days; everything if these are less than two."""
     end = log.agg(F.max("ts_ms").alias("end"))
     test = F.lit(True) if resource is None else F.col("resource") == resource
     if last_days is not None:
         test &= F.col("ts_ms") >= F.col("end") - last_days * 86_400_000
     cases = log.crossJoin(F.broadcast(end)).where(test).select("case_id").distinct()
-    return log if cases.isEmpty() else log.join(cases, "case_id", "left_semi")
+    shown = log.join(cases, "case_id", "left_semi")
+    return shown if shown.limit(2).count() == 2 else log
 
 
 def search_variants(variants: DataFrame, text: str) -> DataFrame:
@@ -128,11 +135,12 @@ def case_count(log: DataFrame) -> DataFrame:
 
 
 def variant_cdf(variants: DataFrame) -> DataFrame:
-    """Variants in their order with the share up to each. There are far fewer variants than cases, yet they meet in one task."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("n"), F.desc("impact"), "variant_id")
+    """Variants in their order with the rank and the share up to each."""
     named = variants.withColumn("variant_id", text_id("variant", F.col("path_key")))
-    return named.select("variant_id", "n", "share", F.row_number().over(order).alias("rank"), F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    out = ranked(named.select("variant_id", "n", "share", "impact"), F.struct(-F.col("n"), -F.col("impact"), F.col("variant_id")), "variant_id", "n")
+    return out.select("variant_id", "n", "share", "rank", (F.col("upto") / F.col("of")).alias("upto"))
 
 
+def variant_diversity(traces: DataFrame) -> DataFrame:
+    """One row: how many distinct paths there are, and how many cases."""
+    return traces.agg(F.count_distinct("path_key").alias("variants"), F.count("*").alias("cases"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,33 +65,40 @@ def clean(raw: DataFrame) -> DataFrame:
     return deduplicated(accepted(tagged(raw)))
 
 
+def in_order(log: DataFrame) -> DataFrame:
+    """The log in the order of time, then of collated case, then of input."""
+    return log.orderBy("ts_ms", F.collate("case_id", "UNICODE"), "seq")
+
+
 def findings(raw: DataFrame) -> DataFrame:
-    """(code, case_id, at): one row for each fault, with what orders the faults of a code."""
+    """(code, case_id, at): one row for each fault, with what orders the faults of a code. One pass over two windows."""
     rows = tagged(raw)
-    events = accepted(rows)
-    log = deduplicated(events)
+    fine = F.col("reject_reason").isNull()
+    # rows that are out are partitions of their own, so that blank cases do not meet
+    alone = F.when(~fine, F.col("seq"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("case_id", "activity", "ts_ms", "resource", alone).orderBy("seq")))
+    kept = fine & (F.col("_nth") == 1)
+    case = Window.partitionBy("case_id", F.when(~kept, F.col("seq")))
+    rows = rows.withColumn("_before", F.lag("ts_ms").over(case.orderBy("seq"))).withColumn("_size", F.count("*").over(case))
     first = F.struct(F.lit(0).cast("long").alias("ts_ms"), F.lit("").alias("case"), F.col("seq"))
     later = F.struct(F.col("ts_ms"), F.collate("case_id", "UNICODE").cast("string").alias("case"), F.col("seq"))
-    code = lambda df, name, order: df.select(F.lit(name).alias("code"), F.when(F.col("case_id") == "", NO_CASE).otherwise(F.col("case_id")).alias("case_id"), order.alias("at"))
-    rejected = rows.where("reject_reason is not null")
-    single = log.groupBy("case_id").agg(F.count("*").alias("n"), F.min("ts_ms").alias("ts_ms"), F.min("seq").alias("seq")).where("n = 1")
-    parts = [
-        rejected.select(F.col("reject_reason").alias("code"), F.when(F.col("case_id") == "", NO_CASE).otherwise(F.col("case_id")).alias("case_id"), first.alias("at")),
-        code(duplicates(events), "duplicate_event", first),
-        code(out_of_order(log), "out_of_order_event", first),
-        code(single, "single_event_case", later),
-        code(log.where(F.col("resource") == NO_RESOURCE), "missing_resource", later),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    found = lambda test, code, at: F.when(test, F.struct(code.alias("code"), at.alias("at")))
+    faults = F.array_compact(F.array(
+        found(~fine, F.col("reject_reason"), first), found(fine & (F.col("_nth") > 1), F.lit("duplicate_event"), first), found(kept & (F.col("ts_ms") < F.col("_before")), F.lit("out_of_order_event"), first),
+        found(kept & (F.col("_size") == 1), F.lit("single_event_case"), later), found(kept & (F.col("resource") == NO_RESOURCE), F.lit("missing_resource"), later),
+    ))
+    name = F.when(F.col("case_id") == "", NO_CASE).otherwise(F.col("case_id"))
+    return rows.select(name.alias("case_id"), F.explode(faults).alias("f")).select("f.code", "case_id", "f.at")
 
 
 def issues(raw: DataFrame) -> DataFrame:
     """By code: severity, count, up to five case ids in the order met, message."""
     by_case = findings(raw).groupBy("code", "case_id").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     counts = by_case.groupBy("code").agg(F.sum("n").alias("n"))
-    # five for each code, by a distributed top-k rather than by sorting a code's cases in one task
-    tops = [by_case.where(F.col("code") == c).orderBy("at").limit(SAMPLES).select("code", "case_id", "at") for c in ISSUES]
-    samples = reduce(DataFrame.unionByName, tops).groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "case_id"))), lambda x: x["case_id"]).alias("sample_case_ids"))
+    # Spark keeps five rows of a code in each task before it brings a code's rows together
+    nth = F.row_number().over(Window.partitionBy("code").orderBy("at"))
+    tops = by_case.select("code", "case_id", "at", nth.alias("nth")).where(F.col("nth") <= SAMPLES)
+    samples = tops.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "case_id"))), lambda x: x["case_id"]).alias("sample_case_ids"))
     names = F.create_map(*(F.lit(x) for c, (s, _) in ISSUES.items() for x in (c, s)))
     texts = F.create_map(*(F.lit(x) for c, (_, m) in ISSUES.items() for x in (c, m)))
     return counts.join(samples, "code").select("code", names[F.col("code")].alias("severity"), "n", "sample_case_ids", texts[F.col("code")].alias("message"))

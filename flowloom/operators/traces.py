@@ -19,8 +19,9 @@ def steps(log: DataFrame) -> DataFrame:
     """Each event with the next one of its case, in the order of time and then of input."""
     order = Window.partitionBy("case_id").orderBy("ts_ms", "seq")
     out = valid(log).select("case_id", "seq", "activity", "resource", "ts_ms", F.lead("activity").over(order).alias("next_activity"), F.lead("ts_ms").over(order).alias("next_ts_ms"))
-    gap = (F.col("next_ts_ms") - F.col("ts_ms")) / F.lit(float(DAY_MS))
-    return out.withColumn("wait_days", F.when(gap < 0, 0.0).otherwise(gap))  # null for the last event of a case
+    gap = F.col("next_ts_ms") - F.col("ts_ms")
+    # both null for the last event of a case
+    return out.withColumn("wait_ms", F.when(gap < 0, 0).otherwise(gap)).withColumn("wait_days", F.col("wait_ms") / F.lit(float(DAY_MS)))
 
 
 def edge_rollup(log: DataFrame) -> DataFrame:
@@ -32,13 +33,22 @@ def edge_rollup(log: DataFrame) -> DataFrame:
     )
 
 
+def store_rollup(log: DataFrame, path: str, view: str) -> DataFrame:
+    """The edge rollup as a stored table that is registered as a view; storing it again refreshes it."""
+    edge_rollup(log).write.mode("overwrite").parquet(path)
+    spark = log.sparkSession
+    spark.read.parquet(path).createOrReplaceTempView(view)
+    return spark.table(view)
+
+
 def traces(log: DataFrame) -> DataFrame:
-    """One row for each case: its path, number of events, first and last time, lead time in days."""
+    """One row for each case: its path, number of events, first and last time, lead time in milliseconds and in days."""
     ordered = F.array_sort(F.collect_list(F.struct("ts_ms", "seq", "activity")))
     cases = valid(log).groupBy("case_id").agg(ordered.alias("e"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"))
     path = F.transform("e", lambda x: x["activity"])
-    lead = F.greatest(F.lit(0.0), (F.col("end_ms") - F.col("start_ms")) / F.lit(float(DAY_MS)))
-    return cases.select("case_id", path.alias("path"), F.size("e").alias("n_events"), "start_ms", "end_ms", lead.alias("lead_days")).withColumn("path_key", F.array_join("path", SEPARATOR))
+    lead = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).cast("long")
+    told = cases.select("case_id", path.alias("path"), F.size("e").alias("n_events"), "start_ms", "end_ms", lead.alias("lead_ms"))
+    return told.withColumn("lead_days", F.col("lead_ms") / F.lit(float(DAY_MS))).withColumn("path_key", F.array_join("path", SEPARATOR))
 
 
 def split(cases: DataFrame, modulo: int = VALIDATION_MODULO) -> DataFrame:

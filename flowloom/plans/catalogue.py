@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import text as text_functions
 from flowloom.functions.hashing import stable_hash, text_id
-from flowloom.operators import conformance, evidence, model, profile, quality, simulate
+from flowloom.operators import analysis, conformance, evidence, model, profile, quality, ranking, waits
 from flowloom.operators import traces as base
-from flowloom.sources import adapters, demo, files
+from flowloom.sources import adapters, files
+from flowloom.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +150,13 @@ def edge_rollup(spark, sf_dir):
     return base.edge_rollup(_log(spark, sf_dir))
 
 
+@query(SESSION + " SELECT activity AS from_activity, lead(activity) OVER w AS to_activity, seq FROM log WINDOW w AS (PARTITION BY case_id ORDER BY seq)")
+def edge_rollup_view(spark, sf_dir):
+    """The rollup as a stored table behind a view, asked by SQL."""
+    base.store_rollup(_log(spark, sf_dir), scratch_path(spark, "rollup"), "process_edge_rollup")
+    return spark.sql("SELECT from_activity, to_activity, seq FROM process_edge_rollup")
+
+
 @query(TRACES + " SELECT case_id, array_to_string(path, ' > ') AS path, n_events, round(lead_days, 6) AS lead_days FROM traces")
 def traces(spark, sf_dir):
     return _traces(spark, sf_dir).select("case_id", shown(), "n_events", "lead_days")
@@ -219,7 +227,7 @@ def metrics(spark, sf_dir):
 def distribution_summary(spark, sf_dir):
     from flowloom.functions.stats import summarise
 
-    return summarise(_traces(spark, sf_dir).withColumn("what", F.lit("all")), "lead_days", "what")
+    return summarise(_traces(spark, sf_dir).withColumn("what", F.lit("all")), "lead_ms", "what")
 
 
 @query(EDGES + " SELECT edge_id, from_activity, to_activity, n, median, p90 FROM named ORDER BY median DESC, n DESC, edge_id LIMIT 1")
@@ -294,17 +302,20 @@ def variant_rank(spark, sf_dir):
     return cdf.select("variant_id", "n", "share", "rank")
 
 
+@query(TRACES + " SELECT count(DISTINCT path_key) AS variants, count(*) AS cases FROM traces")
+def variant_diversity(spark, sf_dir):
+    return profile.variant_diversity(_traces(spark, sf_dir))
+
+
 @query("""
 WITH log AS (SELECT conv_id, turn, role FROM conversations), t AS (SELECT string_agg(role, ' > ' ORDER BY turn) AS path FROM log GROUP BY conv_id),
 v AS (SELECT path, count(*) AS n FROM t GROUP BY path)
 SELECT path, n, round(sum(n) OVER (ORDER BY n DESC, path ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS upto FROM v""")
 def variant_cdf(spark, sf_dir):
     """Over conversations, in the order of count and path."""
-    from pyspark.sql import Window
-
     v = base.traces(adapters.conversation_log(spark, sf_dir)).groupBy(shown()).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return v.select("path", "n", (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy())).alias("upto"))
+    out = ranking.ranked(v, F.struct((-F.col("n")).alias("n"), "path"), "path", "n")
+    return out.select("path", "n", (F.col("upto") / F.col("of")).alias("upto"))
 
 
 # ---- cleaning
@@ -349,6 +360,13 @@ def dedup(spark, sf_dir):
     return quality.clean(_raw(spark, sf_dir)).select("seq", "case_id", "activity", "ts_ms", "resource")
 
 
+@query(DIRTY + " SELECT seq, case_id, row_number() OVER (ORDER BY ts_ms, case_id, seq) AS place FROM clean")
+def log_order(spark, sf_dir):
+    """The clean log's order: time, collated case, input."""
+    order = F.struct("ts_ms", F.collate("case_id", "UNICODE").alias("c"), "seq")
+    return ranking.ranked(quality.clean(_raw(spark, sf_dir)).select("seq", "case_id", "ts_ms"), order, "seq", "seq").select("seq", "case_id", F.col("rank").alias("place"))
+
+
 @query(DIRTY + " SELECT seq, case_id, ts_ms, previous_ms FROM late")
 def out_of_order(spark, sf_dir):
     return quality.out_of_order(quality.clean(_raw(spark, sf_dir))).select("seq", "case_id", "ts_ms", "previous_ms")
@@ -378,6 +396,12 @@ def attr_infer(spark, sf_dir):
     return rows.select("event_id", "raw", text_functions.attribute_kind(F.col("raw")).alias("kind"), text_functions.attribute_number(F.col("raw")).alias("value"))
 
 
+@query("""SELECT event_id, day(ts) || ' de ' || (['jan.', 'fev.', 'mar.', 'abr.', 'mai.', 'jun.', 'jul.', 'ago.', 'set.', 'out.', 'nov.', 'dez.'])[month(ts)] || ' de ' || strftime(ts, '%Y, %H:%M') AS label FROM events""")
+def timestamp_labels(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text_functions.timestamp_label(ms).alias("label"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'complete' ELSE 'start' END AS lifecycle FROM events")
 def lifecycle_norm(spark, sf_dir):
     raw = F.element_at(F.array(F.lit("COMPLETE"), F.lit(" Start"), F.lit("resume")), (F.col("event_id") % 3 + 1).cast("int"))
@@ -399,31 +423,77 @@ def precision_generalization(spark, sf_dir):
     return conformance.coverage(_sides(adapters.funnel_log(spark, sf_dir)))
 
 
-@query()
+ALIGNED = SPLIT.replace("WITH ev", "WITH RECURSIVE ev", 1) + f""", held AS (SELECT path_key, any_value(path) AS a FROM sides WHERE is_validation GROUP BY path_key),
+known AS (SELECT path_key, any_value(path) AS b FROM sides WHERE NOT is_validation GROUP BY path_key),
+lcs AS (
+  SELECT held.path_key AS hk, known.path_key AS tk, a, b, 0 AS i, list_transform(b, lambda x: 0) AS len FROM held, known
+  UNION ALL
+  SELECT hk, tk, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN b[k] = a[i + 1] THEN coalesce(len[k - 1], 0) + 1 ELSE len[k] END))) FROM lcs WHERE i < len(a)
+), costs AS (SELECT hk, tk, len(a) AS m, len(b) AS n, len(a) + len(b) - 2 * len[len(b)] AS cost FROM lcs WHERE i = len(a)),
+best AS (SELECT * FROM costs QUALIFY row_number() OVER (PARTITION BY hk ORDER BY cost, replace(tk, chr(31), '')) = 1),
+aligned AS (
+  SELECT case_id, 'variant:' || {hash_sql('hk')} AS variant_id, 'variant:' || {hash_sql('tk')} AS reference_variant_id, cost, greatest(0.0, 1 - cost / greatest(1, m + n)) AS fitness, cost > 0 AS is_deviation
+  FROM sides JOIN best ON path_key = hk WHERE is_validation
+)"""
+
+
+@query(ALIGNED + " SELECT * REPLACE (round(fitness, 6) AS fitness) FROM aligned")
 def alignments(spark, sf_dir):
-    return conformance.alignments(_sides(_log(spark, sf_dir)).cache()).withColumn("moves", F.to_json("moves"))
+    return conformance.alignments(_sides(_log(spark, sf_dir))).drop("moves")
 
 
 @query()
+def alignment_moves(spark, sf_dir):
+    """The moves of each alignment as JSON."""
+    return conformance.alignments(_sides(_log(spark, sf_dir))).select("case_id", F.to_json("moves").alias("moves"))
+
+
+CONFORMED = ALIGNED + PAIRS.format(sides="sides") + """, tp AS (SELECT DISTINCT from_activity, to_activity FROM p WHERE NOT is_validation), vp AS (SELECT DISTINCT from_activity, to_activity FROM p WHERE is_validation),
+pn AS (SELECT (SELECT count(*) FROM tp) AS t, (SELECT count(*) FROM vp) AS h, (SELECT count(*) FROM tp SEMI JOIN vp USING (from_activity, to_activity)) AS b),
+conf AS (
+  SELECT count(*) AS aligned_cases, count(*) FILTER (WHERE is_deviation) AS deviating_cases, avg(is_deviation::INTEGER) AS deviation_rate, avg(cost) AS mean_cost, quantile_cont(cost, 0.5) AS median_cost, avg(fitness) AS fitness,
+    any_value(CASE WHEN t > 0 THEN b / t ELSE 1 END) AS precision, any_value(CASE WHEN h > 0 THEN b / h ELSE 1 END) AS generalization,
+    (SELECT count(*) FROM sides WHERE NOT is_validation) AS train_cases, (SELECT count(*) FROM sides WHERE is_validation) AS validation_cases FROM aligned, pn
+)"""
+_ROUNDED = "SELECT * REPLACE (round(deviation_rate, 6) AS deviation_rate, round(mean_cost, 6) AS mean_cost, round(median_cost, 6) AS median_cost, round(fitness, 6) AS fitness, round(precision, 6) AS precision, round(generalization, 6) AS generalization) FROM conf"
+
+
+@query(CONFORMED + _ROUNDED)
 def conformance_summary(spark, sf_dir):
-    return conformance.summary(_sides(_log(spark, sf_dir)).cache())
+    return conformance.summary(_sides(_log(spark, sf_dir)))
 
 
-@query()
+#: The funnel's stages come in one order only, so its tree is their sequence.
+@query(FUNNEL + """, seen_activities AS (SELECT DISTINCT unnest(path) AS activity FROM fsides WHERE NOT is_validation),
+staged_activities AS (SELECT activity, row_number() OVER (ORDER BY list_position(['signup', 'view', 'click', 'purchase', 'error'], activity)) AS i FROM seen_activities)
+SELECT 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 0::BIGINT AS ord, 'sequence' AS operator, NULL AS activity, 0::BIGINT AS depth
+UNION ALL SELECT i, 0, i - 1, 'activity', activity, 1 FROM staged_activities""")
 def process_tree(spark, sf_dir):
     return model.tree_table(spark, _sides(adapters.funnel_log(spark, sf_dir)).where("not is_validation"))
 
 
-@query()
+@query(FUNNEL + PAIRS.format(sides="fsides") + f""", tr AS (SELECT * FROM fsides WHERE NOT is_validation), bound AS (SELECT greatest(1, ceil(count(*) * 0.01))::BIGINT AS least FROM tr),
+counted AS (SELECT from_activity, to_activity, count(*) AS n FROM p WHERE NOT is_validation GROUP BY 1, 2),
+kept AS (SELECT list_sort(list('edge:' || {hash_sql("from_activity || chr(31) || to_activity")})) AS ids FROM counted, bound WHERE n >= least),
+acts AS (SELECT DISTINCT unnest(path) AS activity FROM tr)
+SELECT 'inductive-dfg' AS algorithm, '2.0.0' AS algorithm_version, least AS min_edge_frequency, (SELECT array_to_string(list_sort(list(DISTINCT path[1])), ',') FROM tr) AS start_activities,
+  (SELECT array_to_string(list_sort(list(DISTINCT path[-1])), ',') FROM tr) AS end_activities, array_to_string(ids, ',') AS retained_edge_ids, len(ids) AS retained_edges, (SELECT count(*) FROM counted) AS total_edges,
+  '{{"operator": "sequence", "children": [' || (SELECT string_agg('{{"operator": "activity", "activity": "' || activity || '"}}', ', ' ORDER BY list_position(['signup', 'view', 'click', 'purchase', 'error'], activity)) FROM acts) || ']}}' AS process_tree,
+  0::BIGINT AS fallback_count FROM bound, kept""")
 def process_model(spark, sf_dir):
-    out = model.model(spark, _sides(adapters.funnel_log(spark, sf_dir)).where("not is_validation").cache())
+    out = model.model(spark, _sides(adapters.funnel_log(spark, sf_dir)).where("not is_validation"))
     return out.select(*(F.array_join(n, ",").alias(n) if t.startswith("array") else n for n, t in out.dtypes))
 
 
-@query(TRACES + " SELECT 0::BIGINT AS component, activity FROM (SELECT DISTINCT activity FROM log)")
+@query(SESSION.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, both_logs AS (SELECT case_id, ts_ms, seq, activity FROM log UNION ALL SELECT 'c' || conv_id, turn * 60000, turn, 'turn:' || role FROM conversations),
+tr AS (SELECT list(activity ORDER BY ts_ms, seq) AS path FROM both_logs GROUP BY case_id), p AS (SELECT DISTINCT unnest(path[:len(path) - 1]) AS a, unnest(path[2:]) AS b FROM tr WHERE len(path) > 1),
+ways AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT activity, activity FROM both_logs), reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least AS (SELECT a AS activity, min(b) AS first FROM reach GROUP BY a)
+SELECT (dense_rank() OVER (ORDER BY first) - 1)::BIGINT AS component, activity FROM least""")
 def components(spark, sf_dir):
-    """The session log is connected: one component."""
-    return model.components_table(spark, _traces(spark, sf_dir))
+    """The session log and the conversations, whose activities have another name: parts that no pair links."""
+    talk = adapters.conversation_log(spark, sf_dir).withColumn("case_id", F.concat(F.lit("c"), "case_id")).withColumn("activity", F.concat(F.lit("turn:"), "activity"))
+    return model.components_table(spark, base.traces(_log(spark, sf_dir).unionByName(talk)))
 
 
 # ---- simulation
@@ -448,56 +518,101 @@ FITS = SAMPLES + f""", facts AS (
 
 @query(SAMPLES + " SELECT replace(key, chr(31), ' > ') AS key, count(*) AS n, round(min(value), 6) AS lo, round(sum(value), 6) AS total FROM sm GROUP BY key")
 def wait_samples(spark, sf_dir):
-    by = simulate.wait_samples(_steps(spark, sf_dir)).groupBy(F.replace("key", F.lit("\u001f"), F.lit(" > ")).alias("key"))
+    by = waits.wait_samples(_steps(spark, sf_dir)).groupBy(F.replace("key", F.lit("\u001f"), F.lit(" > ")).alias("key"))
     return by.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.sum("value").alias("total"))
 
 
 @query(FITS + " SELECT replace(key, chr(31), ' > ') AS key, round(ks_e, 6) AS ks_exponential, round(ks_l, 6) AS ks_lognormal FROM ks")
 def ks_stat(spark, sf_dir):
-    samples = simulate.wait_samples(_steps(spark, sf_dir))
-    facts = simulate.sufficient(samples).withColumn("sigma", F.greatest(F.lit(1e-6), "sd_log"))
-    return simulate.ks_statistics(samples, facts).withColumn("key", F.replace("key", F.lit("\u001f"), F.lit(" > ")))
+    samples = waits.wait_samples(_steps(spark, sf_dir))
+    facts = waits.sufficient(samples).withColumn("sigma", F.greatest(F.lit(1e-6), "sd_log"))
+    return waits.ks_statistics(samples, facts).withColumn("key", F.replace("key", F.lit("\u001f"), F.lit(" > ")))
 
 
 @query(FITS + """ SELECT replace(key, chr(31), ' > ') AS key, family, n AS sample_count, round(CASE family WHEN 'constant' THEN greatest(1 / 1440.0, mean) WHEN 'exponential' THEN mean ELSE mu END, 6) AS parameter_1,
   round(CASE family WHEN 'lognormal' THEN sigma END, 6) AS parameter_2, round(CASE family WHEN 'constant' THEN 0 WHEN 'exponential' THEN ks_e ELSE ks_l END, 6) AS ks, round(CASE family WHEN 'constant' THEN 0 WHEN 'exponential' THEN bic_e ELSE bic_l END, 3) AS bic FROM chosen""")
 def fit_distributions(spark, sf_dir):
-    fitted = simulate.fits(simulate.wait_samples(_steps(spark, sf_dir))).drop("warning")
+    fitted = waits.fits(waits.wait_samples(_steps(spark, sf_dir))).drop("warning")
     return fitted.withColumn("key", F.replace("key", F.lit("\u001f"), F.lit(" > "))).withColumn("bic", F.round("bic", 3))
 
 
+_SUMMARIES = EDGES + ", acts AS " + ACTIVITIES.split(", acts AS ", 1)[1] + """, sm AS (
+  SELECT from_activity || chr(31) || to_activity AS key, unnest(list_filter([p25, median, p75, p90], lambda x: x > 0)) AS value FROM edges
+  UNION ALL SELECT activity || chr(31) || '*', CASE WHEN wait_median > 0 THEN wait_median ELSE 0.25 END FROM acts
+)"""
+
+
+@query(_SUMMARIES + FITS[len(SAMPLES):] + """ SELECT replace(key, chr(31), ' > ') AS key, family, n AS sample_count, round(CASE family WHEN 'constant' THEN greatest(1 / 1440.0, mean) WHEN 'exponential' THEN mean ELSE mu END, 6) AS parameter_1,
+  round(CASE family WHEN 'lognormal' THEN sigma END, 6) AS parameter_2 FROM chosen""")
+def summary_fits(spark, sf_dir):
+    """Fits of summaries alone, as where raw events are missing."""
+    edges, acts = rounded(_edges(spark, sf_dir)), rounded(_activities(spark, sf_dir))
+    fitted = waits.fits(waits.summary_samples(edges, acts)).withColumn("key", F.replace("key", F.lit("\u001f"), F.lit(" > ")))
+    return fitted.select("key", "family", "sample_count", "parameter_1", "parameter_2")
+
+
 @query(ACTIVITIES + " SELECT activity, greatest(1, len(resources))::BIGINT AS capacity FROM acts")
 def capacities(spark, sf_dir):
-    return simulate.capacities(_activities(spark, sf_dir))
+    return waits.capacities(_activities(spark, sf_dir))
 
 
 @query(ACTIVITIES + ", s AS (SELECT activity AS slowest FROM acts ORDER BY wait_median DESC, events DESC, activity LIMIT 1) SELECT activity, (CASE WHEN activity = slowest THEN greatest(1, len(resources) - 1) ELSE greatest(1, len(resources)) END)::BIGINT AS capacity FROM acts, s")
 def capacities_after_loss(spark, sf_dir):
-    return simulate.capacities(_activities(spark, sf_dir), True)
+    return waits.capacities(_activities(spark, sf_dir), True)
 
 
 @query(TRACES + " SELECT count(*) AS cases, round(count(*) / greatest(1.0, (max(start_ms) - min(start_ms)) / 86400000.0), 6) AS arrival_rate FROM traces")
 def arrival_rate(spark, sf_dir):
-    return simulate.arrival_rate(_traces(spark, sf_dir))
+    return waits.arrival_rate(_traces(spark, sf_dir))
 
 
-@query()
-def simulation(spark, sf_dir):
-    """A hundred replications of the conversation log with the default scenario."""
-    log = adapters.conversation_log(spark, sf_dir)
-    return simulate.simulate(spark, base.steps(log), base.traces(log), simulate.Scenario(replications=100))
+# ---- evidence
 
 
-# ---- evidence
+def _pt(x: str, decimals: int = 2) -> str:
+    return f"translate(rtrim(rtrim(format('{{:,.{decimals}f}}', round({x}, {decimals})), '0'), '.'), ',.', '.,')"
 
 
-@query()
+WHOLE = CONFORMED + ", steps AS " + EDGES.split(", steps AS ", 1)[1] + ", acts AS " + ACTIVITIES.split(", acts AS ", 1)[1] + ", overall AS " + VARIANTS.split(", overall AS ", 1)[1]
+_METRICS = """, mt AS (SELECT count(*) AS case_count, avg(lead_days) AS avg_lead_days, quantile_cont(lead_days, 0.5) AS median_lead_days, quantile_cont(lead_days, 0.9) AS p90_lead_days,
+  avg(CASE WHEN len(list_distinct(path)) = len(path) THEN 1.0 ELSE 0.0 END) AS first_pass_rate, sum(n_events - 1)::BIGINT AS transition_count, (SELECT count(*) FROM log) AS event_count FROM traces)"""
+
+
+@query(CONFORMED + _METRICS + """ SELECT case_count, round(avg_lead_days, 6) AS avg_lead_days, round(median_lead_days, 6) AS median_lead_days, round(p90_lead_days, 6) AS p90_lead_days, round(first_pass_rate, 6) AS first_pass_rate,
+  transition_count, event_count, round(deviation_rate, 6) AS deviation_rate, round(fitness, 6) AS fitness, round(precision, 6) AS precision FROM mt, conf""")
+def analysis_metrics(spark, sf_dir):
+    return analysis.analyse(spark, _log(spark, sf_dir)).metrics
+
+
+_SOURCE = f"""lpad(lower(to_hex((sum({half_sql("line", 0)}) % 4294967296)::BIGINT)), 8, '0') || lpad(lower(to_hex((sum({half_sql("line", 1)}) % 4294967296)::BIGINT)), 8, '0')"""
+
+
+@query(TRACES + f""", ls AS (SELECT case_id || '|' || activity || '|' || ts_ms || '|' || resource AS line, ts_ms FROM log), h AS (SELECT {_SOURCE} AS source_hash, max(ts_ms) AS last FROM ls),
+hk AS (SELECT *, source_hash || '|2.0.0|' || (SELECT count(*) FROM traces) AS k FROM h)
+SELECT '2.0' AS schema_version, 'analysis:' || {hash_sql('k')} AS analysis_id, source_hash, strftime(make_timestamp(last * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((last % 1000)::VARCHAR, 3, '0') || 'Z' AS generated_at FROM hk""")
+def analysis_header(spark, sf_dir):
+    return analysis.header(_log(spark, sf_dir))
+
+
+@query(TRACES + " SELECT count(*) AS input_rows, count(*) AS accepted_events, 0::BIGINT AS rejected_rows, (SELECT count(*) FROM traces) AS case_count, 1.0::DOUBLE AS completeness, 0::BIGINT AS issue_types, count(*) >= 2 AS is_usable FROM log")
+def default_quality(spark, sf_dir):
+    return analysis.default_quality(_log(spark, sf_dir))
+
+
+_COUNT = "translate(format('{{:,}}', {0}), ',', '.')".format
+_DAYS = lambda x: f"{_pt(x)} || ' dias'"
+_PERCENT = lambda x: f"{_pt(x + ' * 100', 1)} || '%'"
+
+
+@query(WHOLE + _METRICS + f""", worst AS (SELECT * FROM named ORDER BY median DESC, n DESC, edge_id LIMIT 1), top AS (SELECT *, row_number() OVER (ORDER BY lead_n DESC, impact DESC, variant_id) AS i FROM vnamed QUALIFY i <= 3)
+SELECT 'lead-time' AS id, 'distribution' AS kind, 'Lead time mediano' AS label, {_DAYS('median_lead_days')} AS value, 'P90 ' || {_DAYS('p90_lead_days')} || '; média ' || {_DAYS('avg_lead_days')} || '; ' || {_COUNT('case_count')} || ' casos.' AS detail, 'metrics.medianLeadDays' AS source_path FROM mt
+UNION ALL SELECT 'volume', 'metric', 'Volume observado', {_COUNT('case_count')} || ' casos', {_COUNT('event_count')} || ' eventos e ' || (SELECT count(*) FROM acts) || ' atividades.', 'metrics.caseCount' FROM mt
+UNION ALL SELECT 'conformance', 'conformance', 'Conformidade em holdout', {_PERCENT('fitness')} || ' fitness', 'Precisão ' || {_PERCENT('precision')} || '; generalização ' || {_PERCENT('generalization')} || '; ' || validation_cases || ' casos no holdout.', 'conformance' FROM conf
+UNION ALL SELECT 'data-quality', 'quality', 'Completude de campos obrigatórios', '100%', '0 linhas rejeitadas; 0 tipos de alerta.', 'quality'
+UNION ALL SELECT 'bottleneck', 'distribution', 'Maior espera mediana · ' || from_activity || ' → ' || to_activity, {_DAYS('median')}, 'P90 ' || {_DAYS('p90')} || '; IQR ' || {_DAYS('iqr')} || '; ' || {_COUNT('n')} || ' ocorrências.', 'edges.' || edge_id || '.waitDays' FROM worst
+UNION ALL SELECT 'variant-' || i, 'variant', 'Variante ' || i, {_COUNT('lead_n')} || ' casos · ' || {_PERCENT('share')}, 'Lead mediano ' || {_DAYS('lead_median')} || '; impacto ' || {_DAYS('impact')} || '; ' || array_to_string(path, ' → ') || '.', 'variants.' || variant_id FROM top""")
 def evidence_facts(spark, sf_dir):
-    log = adapters.funnel_log(spark, sf_dir)
-    s, t = base.steps(log), base.traces(log)
-    edges, acts, variants = profile.edge_stats(s), profile.activity_stats(s), profile.variant_stats(t)
-    none = log.agg(F.lit(1.0).alias("completeness"), F.lit(0).alias("rejected_rows"), F.lit(0).alias("issue_types"))
-    return evidence.facts(profile.metrics(log, t), edges, acts, variants, conformance.summary(base.split(t).cache()), none)
+    return analysis.analyse(spark, _log(spark, sf_dir)).evidence
 
 
 @query(EDGES + " SELECT edge_id, from_activity, to_activity, n, mean, median, p90, p95, iqr FROM named ORDER BY n DESC, edge_id LIMIT 256")
@@ -511,10 +626,6 @@ def snapshot_variants(spark, sf_dir):
     return evidence.snapshot_variants(ranked).withColumn("path", F.array_join("path", " > "))
 
 
-def _pt(x: str, decimals: int = 2) -> str:
-    return f"translate(rtrim(rtrim(format('{{:,.{decimals}f}}', round({x}, {decimals})), '0'), '.'), ',.', '.,')"
-
-
 _EDGE_FACT = f""" SELECT 'tool-' || edge_id AS id, 'distribution' AS kind, from_activity || ' → ' || to_activity AS label, 'mediana ' || {_pt('median')} || ' dias' AS value,
   'P90 ' || {_pt('p90')} || ' dias; P95 ' || {_pt('p95')} || ' dias; IQR ' || {_pt('iqr')} || ' dias; ' || translate(format('{{:,}}', n), ',', '.') || ' ocorrências.' AS detail, 'edges.' || edge_id || '.waitDays' AS source_path FROM named"""
 
@@ -540,6 +651,40 @@ def tool_compare_variants(spark, sf_dir):
     return evidence.compare_variants(named, ids["a"], ids["b"])
 
 
+_SNAPSHOT_FAULTS = """ SELECT 'variants: rows' AS fault, count(*) AS n FROM vnamed HAVING count(*) > 128"""
+
+
+@query(VARIANTS + _SNAPSHOT_FAULTS)
+def snapshot_faults(spark, sf_dir):
+    """What a snapshot of all variants breaks."""
+    edges, variants = _named_edges(spark, sf_dir), _variants(spark, sf_dir).withColumn("variant_id", text_id("variant", F.col("path_key")))
+    return evidence.snapshot_faults(evidence.Snapshot("analysis:all", "0123456789abcdef", evidence.edge_facts(edges), edges, variants))
+
+
+@query(EDGES + f""", old AS (SELECT 'tool-' || edge_id AS id, 'antes' AS value FROM named), new AS (SELECT * FROM ({_EDGE_FACT} ORDER BY median DESC, n DESC, edge_id LIMIT 5))
+SELECT id, coalesce(new.value, old.value) AS value FROM old FULL JOIN new USING (id)""")
+def merged_facts(spark, sf_dir):
+    """Facts of all transitions with those of the slowest after them, which hold where both have an id."""
+    edges = rounded(_named_edges(spark, sf_dir))
+    return evidence.merged_facts([evidence.edge_facts(edges).withColumn("value", F.lit("antes")), evidence.rank_bottlenecks(edges, 5)]).select("id", "value")
+
+
+_NUMBER = rf"[0-9]|%|(?i:\b(?:{evidence.NUMBER_WORDS})\b)|(?i:\b(?:um|uma)\s+(?:{evidence.COUNTED_WORDS})\b)"
+
+
+@query(f"""WITH claims AS (SELECT conv_id, turn, left(text, 340) AS text, role, CASE WHEN turn % 2 = 0 THEN 'observacao' ELSE 'hipotese' END AS type FROM conversations),
+judged AS (SELECT *, coalesce(length(text), 0) NOT BETWEEN 12 AND 360 AS bad, role IN ('user', 'assistant') AND NOT coalesce(regexp_matches(text, '{_NUMBER}'), false) AS fine FROM claims),
+sums AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE fine) AS fine FROM judged GROUP BY conv_id)
+SELECT conv_id, CASE WHEN bad > 0 OR n > 8 THEN 0 ELSE least(fine, 4) END AS taken, CASE WHEN bad > 0 OR n > 8 THEN 1 ELSE n - fine END AS rejected,
+  CASE WHEN bad > 0 OR n > 8 THEN '{evidence.ILL_FORMED}' WHEN fine = 0 THEN '{evidence.ALL_REJECTED}' END AS message FROM sums""")
+def gate_report(spark, sf_dir):
+    """Each conversation as a response whose turns are claims that cite their roles; facts are those of two roles."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    kind = F.when(F.col("turn") % 2 == 0, "observacao").otherwise("hipotese")
+    claims = c.select("conv_id", F.col("turn").alias("place"), F.substring("text", 1, 340).alias("text"), F.array("role").alias("citations"), kind.alias("type"))
+    return evidence.gate_report(claims, spark.createDataFrame([("user",), ("assistant",)], "id string"), "conv_id")
+
+
 # Claims that the gate must take or refuse.
 _CLAIMS = [
     ("A espera maior fica antes da compra.", ["bottleneck"], "observacao"),
@@ -563,11 +708,6 @@ def claim_gate(spark, sf_dir):
 # ---- sources and sinks
 
 
-@query()
-def demo_edges(spark, sf_dir):
-    return profile.edge_stats(base.steps(demo.demo_log(spark)))
-
-
 @query(SESSION + """ SELECT case_id, activity, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((ts_ms % 1000)::VARCHAR, 3, '0') || 'Z' AS timestamp, resource, 'unknown' AS lifecycle FROM log""")
 def csv_export(spark, sf_dir):
     return files.csv_frame(_log(spark, sf_dir))
@@ -578,3 +718,38 @@ def csv_export(spark, sf_dir):
 SELECT '  <trace>' || chr(10) || '    <string key="concept:name" value="' || case_id || '"/>' || chr(10) || string_agg(event, chr(10) ORDER BY seq) || chr(10) || '  </trace>' AS value FROM e GROUP BY case_id""")
 def xes_export(spark, sf_dir):
     return files.xes_traces(_log(spark, sf_dir))
+
+
+_ODD = """activity || ', "' || resource || '";' || chr(10) || '!'"""
+_STAMP = "strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((ts_ms % 1000)::VARCHAR, 3, '0') || 'Z'"
+
+
+@query(SESSION + f" SELECT case_id, {_ODD} AS activity, {_STAMP} AS timestamp, resource, 'unknown' AS lifecycle FROM log")
+def csv_read(spark, sf_dir):
+    """A CSV file with separators, quotes and line ends in its fields, written and read again."""
+    odd = F.concat("activity", F.lit(', "'), "resource", F.lit('";\n!'))
+    path = scratch_path(spark, "csv")
+    files.write_csv(_log(spark, sf_dir).withColumn("activity", odd), path)
+    return files.read_raw(spark, path).select("case_id", "activity", "timestamp", "resource", "lifecycle")
+
+
+@query(SESSION + f" SELECT case_id, activity || ' & <' || resource || '>' AS activity, {_STAMP} AS timestamp, resource FROM log")
+def xes_read(spark, sf_dir):
+    """XES files with entities, written and read again."""
+    path = scratch_path(spark, "xes")
+    files.write_xes(_log(spark, sf_dir).withColumn("activity", F.concat("activity", F.lit(" & <"), "resource", F.lit(">"))), path)
+    return files.raw_xes(spark, path).select("case_id", "activity", "timestamp", "resource")
+
+
+@query("SELECT DISTINCT 'k' || (event_id % 4) AS name FROM events WHERE event_id % 4 <> 2")
+def attribute_names(spark, sf_dir):
+    key = F.concat(F.lit("k"), (F.col("seq") % 4).cast("string"))
+    log = _log(spark, sf_dir).withColumn("attributes", F.when(F.col("seq") % 4 != 2, F.create_map(key, F.lit("x"))))
+    return files.attribute_names(log)
+
+
+@query("SELECT event_id, lower(strip_accents(event_type)) AS name FROM events")
+def header_folding(spark, sf_dir):
+    """Names of columns as they are compared: no case, no accents, nothing but letters, digits, colon and underscore."""
+    accented = F.translate(F.upper("event_type"), "AEIOU", "ÁÉÍÔÜ")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text_functions.folded(F.concat(F.lit(" "), accented, F.lit("?"))).alias("name"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.text import trim_all
 from flowloom.operators.quality import clean
 from flowloom.schema import NO_RESOURCE
+from flowloom.sources.pieces import numbered, pieces, records
 
 # Names of columns that are taken for a field.
 ALIASES = {
@@ -42,48 +43,65 @@ def _separator(line: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
+def _fields(line: Column, sep: str) -> Column:
+    """The trimmed fields of a record. Quotes may stand anywhere in a field; within them separators are text and two quotes are one."""
+    field = rf'((?:[^"{sep}]++|"[^"]*+")*+)(?:{sep}|\z)'
+    raw = F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(field), F.lit(1))
+    raw = F.slice(raw, F.lit(1), F.size(raw) - 1)  # after the last separator nothing comes
+    inner = lambda x: F.replace(F.regexp_replace(x, '"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: trim_all(inner(x)))
+
+
 def raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of CSV files as raw text: seq, case_id, activity, timestamp, resource, lifecycle, attributes.
 
     The separator is the semicolon if the first line has more of them than of commas. All fields are trimmed, rows without
-    any value go, missing fields are empty. Columns that are no field become attributes under their own names; of equal
-    names the last holds. Rows are ordered by file, block and place.
+    any value go, missing fields are empty. The first row of each file is its header; all files have the columns of the first
+    one. Columns that are no field become attributes under their own names; of equal names the last holds. Rows are ordered
+    by file, block and place. A quote that is never closed is refused. Files are read in blocks, also where records span lines.
     """
-    first = spark.read.text(path).first()
+    lines = pieces(spark, path)
+    first = lines.orderBy("file", "block", "at").select("value").first()
     if first is None:
         raise ValueError("O CSV precisa ter cabeçalho e pelo menos um evento.")
-    sep = _separator(first["value"])
-    lines = spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True, header=False, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-    head = [(h or "").lstrip("﻿").strip() for h in lines.first()]
+    sep = _separator(first["value"].lstrip("\ufeff"))
+    odd = F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2 != F.length("value") % 2
+    rows = lines.withColumn("closed", F.lit(True)) if lines.where(odd).isEmpty() else records(lines)
+    if not rows.where(~F.col("closed")).isEmpty():
+        raise ValueError("O CSV contém um campo com aspas não fechado.")
+    cells = rows.select("file", "block", "at", _fields(F.regexp_replace("value", "^\ufeff", ""), sep).alias("cells")).where(F.array_join("cells", "") != "")
+    heads = cells.groupBy("file").agg(F.min(F.struct("block", "at")).alias("head"))
+    top = cells.orderBy("file", "block", "at").select("cells").first()
+    if top is None:
+        raise ValueError("O CSV precisa ter cabeçalho e pelo menos um evento.")
+    head = list(top["cells"])
     place = resolve(head)
-    cells = [F.coalesce(trim_all(F.col(c)), F.lit("")) for c in lines.columns]
+    cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
     own = {h: i for i, h in enumerate(head) if h and i not in place.values()}
-    attributes = F.create_map(*(x for h, i in own.items() for x in (F.lit(h), cells[i]))) if own else F.lit(None)
-    field = lambda f: cells[place[f]] if f in place else F.lit("")
-    numbered = lines.withColumn("seq", F.monotonically_increasing_id())
-    is_head = F.lit(True)
-    for c, h in zip(cells, head, strict=False):
-        is_head &= F.regexp_replace(c, "^﻿", "") == h
-    some = F.concat_ws("", *cells) != ""
-    return numbered.where(some & ~is_head).select("seq", *(field(f).alias(f) for f in ALIASES), attributes.cast("map<string,string>").alias("attributes"))
+    attributes = F.create_map(*(x for h, i in own.items() for x in (F.lit(h), cell(i)))) if own else F.lit(None)
+    field = lambda f: cell(place[f]) if f in place else F.lit("")
+    events = cells.join(F.broadcast(heads), "file").where(F.struct("block", "at") != F.col("head"))
+    return events.select(F.col("at").alias("seq"), *(field(f).alias(f) for f in ALIASES), attributes.cast("map<string,string>").alias("attributes"))
 
 
 def raw_xes(spark: SparkSession, path: str) -> DataFrame:
-    """Events of XES files as raw text; the case is the name of the trace, else caso- and its number.
+    """Events of XES files as raw text; the case is the name of the trace, else caso- and its number in the file.
 
-    A file with a document type or an entity is refused. Files are read whole, one to a task's row.
+    A file with a document type or an entity is refused. Files are split at the ends of traces, so a row holds one trace.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    if not files.where(F.col("value").rlike(r"(?i)<!DOCTYPE|<!ENTITY")).isEmpty():
+    parts = pieces(spark, path, "</trace>")
+    if not parts.where(F.col("value").rlike(r"(?i)<!DOCTYPE|<!ENTITY")).isEmpty():
         raise ValueError("O XES não pode conter DOCTYPE ou entidades.")
-    traces = files.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)<trace\b[^>]*>(.*?)</trace>"), F.lit(1))).alias("n", "trace"))
+    traces = numbered(parts.withColumn("trace", F.regexp_extract("value", r"(?is)<trace\b[^>]*>(.*)$", 1)).where(F.col("value").rlike(r"(?i)<trace\b[^>]*>")).drop("value"))
     before = F.when(F.col("trace").rlike(r"(?i)<event\b"), F.regexp_extract("trace", r"(?is)^(.*?)<event\b", 1)).otherwise("")
     name = _attribute(before, "concept:name")
-    cases = traces.select("file", "n", F.when(name == "", F.concat(F.lit("caso-"), (F.col("n") + 1).cast("string"))).otherwise(name).alias("case_id"), "trace")
-    events = cases.select("file", "n", "case_id", F.posexplode(F.regexp_extract_all("trace", F.lit(r"(?is)<event\b[^>/]*>(.*?)</event>"), F.lit(1))).alias("m", "event"))
+    cases = traces.select("at", F.when(name == "", F.concat(F.lit("caso-"), F.col("n").cast("string"))).otherwise(name).alias("case_id"), "trace")
+    events = cases.select("at", "case_id", F.posexplode(F.regexp_extract_all("trace", F.lit(r"(?is)<event\b[^>/]*>(.*?)</event>"), F.lit(1))).alias("m", "event"))
     e = F.col("event")
+    # traces in the order of reading (task, place in it), events in that of the trace: 20, 23 and 20 bits
+    task, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     return events.select(
-        F.monotonically_increasing_id().alias("seq"), "case_id", _attribute(e, "concept:name").alias("activity"), _attribute(e, "time:timestamp").alias("timestamp"),
+        (F.shiftleft(task, 43) + F.shiftleft(row, 20) + F.col("m")).alias("seq"), "case_id", _attribute(e, "concept:name").alias("activity"), _attribute(e, "time:timestamp").alias("timestamp"),
         _attribute(e, "org:resource").alias("resource"), _attribute(e, "lifecycle:transition").alias("lifecycle"), F.lit(None).cast("map<string,string>").alias("attributes"),
     )
 
@@ -115,9 +133,14 @@ def _iso(ms: str) -> Column:
     return F.concat(F.date_format(F.timestamp_millis(F.col(ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
 
 
+def attribute_names(log: DataFrame) -> DataFrame:
+    """The names of all attributes that some event has."""
+    return log.select(F.explode(F.map_keys("attributes")).alias("name")).distinct()
+
+
 def csv_frame(log: DataFrame) -> DataFrame:
     """The log as text columns, an attribute to a column, in the order of their names."""
-    names = [r["k"] for r in log.select(F.explode(F.map_keys("attributes")).alias("k")).distinct().orderBy("k").collect()]  # columns, not rows
+    names = [r["name"] for r in attribute_names(log).orderBy("name").collect()]  # columns, not rows
     blank = lambda c: F.coalesce(c, F.lit(""))
     return log.select("case_id", "activity", _iso("ts_ms").alias("timestamp"), blank(F.col("resource")).alias("resource"), F.coalesce("lifecycle", F.lit("unknown")).alias("lifecycle"), *(blank(F.col("attributes")[n]).alias(n) for n in names))
 

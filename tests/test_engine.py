@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import hash_half, stable_hash, stable_hash_of, text_id
 from flowloom.functions.text import attribute_kind, attribute_number, duration_pt, number_pt, timestamp_ms
-from flowloom.operators import conformance, evidence, model, profile, quality, simulate, traces
-from flowloom.sources import demo
+from flowloom.operators import analysis, conformance, evidence, model, profile, quality, ranking, traces, waits
 
 RAW = "seq long, case_id string, activity string, timestamp string, resource string, lifecycle string"
 
@@ -60,13 +59,88 @@ def test_ties_of_time_keep_the_order_of_input(spark):
 def test_summary_of_a_long_tail(spark):
     from flowloom.functions.stats import summarise
 
-    r = summarise(spark.createDataFrame([(1.0,), (1.0,), (1.0,), (1.0,), (20.0,)], "v double"), "v").first()
+    r = summarise(spark.createDataFrame([(v * 86_400_000,) for v in (1, 1, 1, 1, 20)], "v long"), "v").first()
     assert r["median"] == 1 and r["mean"] > 1 and r["max"] == 20 and r["p95"] > 1
     assert r["sd"] == pytest.approx(statistics.stdev([1, 1, 1, 1, 20]))
-    none = summarise(spark.createDataFrame([], "v double"), "v").first()
+    none = summarise(spark.createDataFrame([], "v long"), "v").first()
     assert none["n"] == 0 and none["median"] == 0
 
 
+@pytest.mark.parametrize("values", [[7], [5] * 40, [10**12 + i * 13 for i in range(300)], [(i * i * 7919) % 100_003 for i in range(2500)] + [None], [0, 0, 1, 4095, 4096, 4097, 8191, 8192, 10**15]])
+def test_summaries_against_plain_ones(spark, values):
+    from flowloom.functions.quantiles import CUTS, running, summaries
+
+    df = spark.createDataFrame([(k, v) for v in values for k in ("a", "b")] + [("c", None)], "k string, v long").repartition(3)
+    got, known = {r["k"]: r for r in summaries(df, "v", ["k"]).collect()}, sorted(v for v in values if v is not None)
+    assert set(got) == {"a", "b"}
+    for r in got.values():
+        assert (r["n"], r["min"], r["max"]) == (len(known), known[0], known[-1])
+        assert r["mean"] == pytest.approx(statistics.mean(known), rel=1e-12)
+        if len(known) > 1:
+            assert r["sd"] == pytest.approx(statistics.stdev(known), rel=1e-5)
+        for name, p in CUTS.items():
+            at = (len(known) - 1) * p
+            low, part = int(at), at - int(at)
+            assert r[name] == pytest.approx(known[low] * (1 - part) + known[min(low + 1, len(known) - 1)] * part, rel=1e-12)
+    upto = {r["value"]: (r["upto"], r["of"]) for r in running(df.where("k = 'a'"), "v", ["k"]).collect()}
+    assert upto == {v: (sum(w <= v for w in known), len(known)) for v in known}
+
+
+def test_ranks_of_a_whole_table(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SAMPLED", 50)
+    rows_ = [(f"id{i:04d}", i * 7919 % 5, i % 3) for i in range(900)]
+    df = spark.createDataFrame(rows_, "id string, n long, w long").repartition(4)
+    got = {r["id"]: (r["rank"], r["upto"], r["of"]) for r in ranking.ranked(df, F.struct((-F.col("n")).alias("n"), "id"), "id", "w").collect()}
+    upto, total = 0, sum(w for *_, w in rows_)
+    for place, (i, _, w) in enumerate(sorted(rows_, key=lambda r: (-r[1], r[0])), 1):
+        upto += w
+        assert got[i] == (place, upto, total)
+    assert ranking.ranked(df.limit(0), F.struct("n", "id"), "id", "w").count() == 0
+
+
+def test_whole_analysis(spark, make_log):
+    log = make_log([(f"n-{i}", ["A", "B", "C"] if i % 4 else ["A", "C"], [1, 2]) for i in range(30)])
+    a = analysis.analyse(spark, log)
+    h, m = a.header.first(), a.metrics.first()
+    assert (h["schema_version"], m["case_count"], m["event_count"]) == ("2.0", 30, 82)
+    assert h["analysis_id"] == "analysis:" + stable_hash_of(f"{h['source_hash']}|2.0.0|30") and h["generated_at"].endswith("Z")
+    assert analysis.analyse(spark, log.repartition(3), source_hash="0123456789abcdef").header.first()["source_hash"] == "0123456789abcdef"
+    assert analysis.header(log.repartition(5)).first() == h
+    assert (m["fitness"], m["deviation_rate"]) == (a.conformance.first()["fitness"], a.conformance.first()["deviation_rate"])
+    assert a.quality.first()["completeness"] == 1 and {r["id"] for r in a.evidence.collect()} >= {"lead-time", "bottleneck", "variant-2"}
+    with pytest.raises(ValueError, match="dois eventos"):
+        analysis.analyse(spark, make_log([("A", ["x"], [])]))
+    with pytest.raises(ValueError, match="casos"):
+        analysis.analyse(spark, log.withColumn("activity", F.lit("")))
+
+
+def test_snapshots_keep_their_bounds(spark, make_log):
+    log = make_log([("A", ["x", "y", "z"], [1, 2]), ("B", ["x", "z"], [5])])
+    a = analysis.analyse(spark, log)
+    s = evidence.snapshot("analysis:1", "0123456789abcdef", a.evidence, a.edges, a.variants)
+    assert (s.edges.count(), s.variants.count()) == (3, 2)
+    with pytest.raises(ValueError, match="facts: rows"):
+        evidence.snapshot("analysis:1", "0123456789abcdef", a.evidence.limit(0), a.edges, a.variants)
+    with pytest.raises(ValueError, match="ids"):
+        evidence.snapshot("analysis:1", "short", a.evidence, a.edges, a.variants)
+    long = a.evidence.withColumn("label", F.repeat(F.lit("x"), 181))
+    assert [(r["fault"], r["n"]) for r in evidence.snapshot_faults(evidence.Snapshot("a", "0123456789", long)).collect()] == [("facts: values", long.count())]
+    old = evidence.legacy_snapshot(a.evidence.withColumn("kind", F.lit(None).cast("string")))
+    assert {r["kind"] for r in old.facts.collect()} == {"metric"} and old.edges is None
+    calls = [("rank_bottlenecks", '{"limit": 1}')] * 5
+    assert len(evidence.run_tools(calls, evidence.snapshot_edges(a.edges), evidence.snapshot_variants(a.variants))) == evidence.MAX_TOOL_CALLS
+
+
+def test_responses_are_judged_as_a_whole(spark):
+    fine, short = ("Talvez a fila explique a demora.", ["a"], "hipotese"), ("curto", ["a"], "hipotese")
+    claims = [("one", *fine), ("one", "Foram 3 casos na semana.", ["a"], "observacao"), ("two", *fine), ("two", *short), ("three", "O total é zero, ao que parece.", ["a"], "observacao")]
+    claims += [("many", *fine)] * 9 + [("kind", fine[0], ["a"], "x"), ("none", fine[0], None, "hipotese"), ("six", *fine)] + [("six", *fine)] * 5
+    df = spark.createDataFrame([(r, i, *c) for i, (r, *c) in enumerate(claims)], "response string, place long, text string, citations array<string>, type string")
+    got = {r["response"]: (r["taken"], r["rejected"], r["message"]) for r in evidence.gate_report(df, spark.createDataFrame([("a",)], "id string"), "response").collect()}
+    whole = (0, 1, evidence.ILL_FORMED)
+    assert got == {"one": (1, 1, None), "two": whole, "many": whole, "kind": whole, "none": whole, "three": (0, 1, evidence.ALL_REJECTED), "six": (4, 0, None)}
+
+
 def test_bottleneck_and_heat(make_log):
     log = make_log([(f"C{i}", ["Create", "Approve", "Pay"], [1, 8 + i]) for i in range(5)])
     edges = profile.edge_stats(traces.steps(log))
@@ -171,31 +245,15 @@ def calibrated(make_log, n=6):
     return make_log([(f"case-{i}", ["Create", "Approve", "Pay"], [0.8 + 0.05 * (i % 5), 1]) for i in range(n)])
 
 
-def test_fits_and_simulation(spark, make_log):
+def test_fits_of_events_and_of_summaries(spark, make_log):
     log = calibrated(make_log, 8)
     s, t = traces.steps(log), traces.traces(log)
-    fits = {r["key"].replace("\u001f", ">"): r for r in simulate.fits(simulate.wait_samples(s)).collect()}
+    fits = {r["key"].replace("\u001f", ">"): r for r in waits.fits(waits.wait_samples(s)).collect()}
     assert fits["Approve>Pay"]["family"] == "constant" and fits["Create>Approve"]["family"] in ("lognormal", "exponential")
-    what = simulate.Scenario(replications=8, volume_increase_pct=100)
-    one, two = (rows(simulate.simulate(spark, s, t, what).orderBy("arm")) for _ in range(2))
-    assert one == two
-    by = {r[0]: r for r in one}
-    assert by["baseline"][1] == 8 and by["scenario"][2] == 2 * by["baseline"][2]
-    assert all(r[4] <= r[3] <= r[5] for r in one)
-    with pytest.raises(ValueError):
-        single = make_log([("A", ["x"], [])])
-        simulate.simulate(spark, traces.steps(single), traces.traces(single), what)
-
-
-def test_random_numbers_follow_the_generator():
-    u = simulate.draws(0)
-    assert next(u) == 270369 / 2**32
-
-
-def test_demo_log_is_reproducible(spark):
-    a, b = demo.demo_rows(cases=40), demo.demo_rows(cases=40)
-    assert a == b and all(x[3] <= y[3] for x, y in zip(a, a[1:], strict=False))
-    assert {r[1] for r in a} == {f"OC-{10_001 + i}" for i in range(40)}
+    told = waits.fits(waits.summary_samples(profile.edge_stats(s), profile.activity_stats(s)))
+    by = {r["key"].replace("\u001f", ">"): r for r in told.collect()}
+    assert by["Create>Approve"]["sample_count"] == 4 and by["Pay>*"]["parameter_1"] == 0.25
+    assert t.count() == 8
 
 
 def test_gate_and_tools(spark, make_log):

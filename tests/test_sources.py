@@ -2,7 +2,7 @@
 
 import pytest
 
-from flowloom.sources import demo, files
+from flowloom.sources import files
 
 
 def put(tmp_path, name, text):
@@ -44,14 +44,33 @@ def test_xes_with_entities_is_refused(spark, tmp_path):
         files.read_log(spark, put(tmp_path, "b.xes", '<!DOCTYPE x [<!ENTITY y "z">]>' + XES))
 
 
-def test_round_trips(spark, tmp_path):
-    log = demo.demo_log(spark, cases=12)
-    fields = ["case_id", "activity", "ts_ms", "resource"]
+@pytest.mark.parametrize("block", ["128m", "100"])
+def test_round_trips(spark, tmp_path, block):
+    from flowloom.schema import LOG_SCHEMA
+
+    rows = [(i, f"case {i % 7}", ['Review, then "pay"', "a;b", "line\nbreak", 'x""y', " & <tag> '"][i % 5].strip(), 1_767_225_600_000 + i * 3_600_000, f"R{i % 3}", "start", {"amount": f"{i},5", "note": 'a "b", c'}) for i in range(60)]
+    log, fields = spark.createDataFrame(rows, LOG_SCHEMA), ["case_id", "activity", "ts_ms", "resource"]
     wanted = sorted(map(tuple, log.select(*fields).collect()))
     files.write_csv(log.coalesce(1), str(tmp_path / "csv"))
-    back = files.read_log(spark, str(tmp_path / "csv"))
-    assert sorted(map(tuple, back.select(*fields).collect())) == wanted
-    assert back.first()["attributes"].keys() == {"amountBand", "source"}
     files.write_xes(log, str(tmp_path / "xes"))
-    back = files.read_log(spark, str(tmp_path / "xes"))
-    assert sorted(map(tuple, back.select(*fields).collect())) == wanted
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        back = files.read_log(spark, str(tmp_path / "csv"))
+        assert sorted(map(tuple, back.select(*fields).collect())) == wanted
+        assert {r["attributes"]["note"] for r in back.collect()} == {'a "b", c'}
+        back = files.read_log(spark, str(tmp_path / "xes"))
+        assert sorted(map(tuple, back.select(*fields).collect())) == wanted
+        assert [r["activity"] for r in back.where("case_id = 'case 1'").orderBy("seq").collect()] == [r[2] for r in rows if r[1] == "case 1"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_csv_quotes_anywhere_and_rows_like_the_header(spark, tmp_path):
+    path = put(tmp_path, "q.csv", 'case_id,activity,timestamp,resource\r\n1,ab"c,d"e,2026-01-01,"R ""x"""\r\ncase_id,activity,timestamp,resource\r\n1,"two\r\nlines",2026-01-02,\r\n')
+    got = files.raw_csv(spark, path).orderBy("seq").collect()
+    assert [(r["case_id"], r["activity"], r["timestamp"], r["resource"]) for r in got] == [("1", "abc,de", "2026-01-01", 'R "x"'), ("case_id", "activity", "timestamp", "resource"), ("1", "two\nlines", "2026-01-02", "")]
+    with pytest.raises(ValueError, match="aspas"):
+        files.raw_csv(spark, put(tmp_path, "open.csv", 'case_id,activity,timestamp\n1,"a,2026-01-01\n'))
+    with pytest.raises(ValueError, match="cabeçalho"):
+        files.raw_csv(spark, put(tmp_path, "none.csv", ""))
