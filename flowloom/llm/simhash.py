@@ -344,7 +344,9 @@ def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
     alike = (F.col("x.root") != F.col("y.root")) & (small >= least * large - 1e-6)
     for number in range(STAR_ROUNDS):
         now = rooted()
-        hubs = now.groupBy("s").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(number))).alias("hub")).select("s", "hub.*")
+        # first the text with the fewest rarer shingles, which is the one with the fewest words of its own; then any
+        central = F.col("at") / F.col("n") if number == 0 else F.lit(0.0)
+        hubs = now.groupBy("s").agg(F.min_by(F.struct("node", "n", "root"), F.struct(central, F.xxhash64("node", F.lit(number)))).alias("hub")).select("s", "hub.*")
         if not merged(now.alias("x").join(hubs.alias("y"), "s").where(alike)):
             break
     now = rooted()
