@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,6 +26,7 @@ GROUPS, LEADERS = 8, 128
 BEGINS, GOES_ON, WORD, ROLES = 0, 1, 2, 3
 COMPONENTS, EMBEDDED = (ROLES + 1) * GROUPS, GROUPS + ROLES + 1  # the last number of an embedding is 1; component = role * GROUPS + group; the last ones depend on the current piece
 KEY_DIM, RATE, BATCH, MIN_STEPS = 8, 0.02, 64, 100
+BLOCK = 16  # queries of a window that are computed together
 BOUND = np.float32(30)  # of scores before the exponential, in training and in scoring
 NONE = -1  # in windows: nothing there
 PAIRS_AT_ONCE = 1_000_000
@@ -131,34 +133,46 @@ class Tables:
         return role, first, on, second
 
 
-def _distances(asked: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distance, allowed) of the last `asked` positions of a window to all of its positions."""
-    far = np.arange(WINDOW - asked, WINDOW)[:, None] - np.arange(WINDOW)[None]
-    return np.clip(far, 0, WINDOW - 1), far >= 0
+@lru_cache
+def _blocks(asked: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of the last `asked` positions of a window: first and end position, distances to all positions before the end, and which of these are allowed.
+
+    A block of queries looks at no more keys than its last one may see.
+    """
+    out = []
+    for low in range(WINDOW - asked, WINDOW, BLOCK):
+        high = min(WINDOW, low + BLOCK)
+        far = np.arange(low, high)[:, None] - np.arange(high)[None]
+        out.append((low, high, np.clip(far, 0, WINDOW - 1), far >= 0))
+    return out
 
 
 def attend(gate: Gate, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """At the last positions of windows: (P(component), context, attention, its sum, queries, keys).
+    """At the last positions of windows: (P(component), context, its sum, attention by block, queries, keys).
 
     Embeddings of nothing are zero, so they add neither to the context nor to the sum, which is the context's last number.
     """
     n, asked, _ = first.shape
-    far, allowed = _distances(asked)
-    q, k = x[:, WINDOW - asked :] @ (gate.q / np.float32(KEY_DIM**0.5)), x @ gate.k
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(allowed, gate.far[far], np.float32(-1e4))
-    np.minimum(a, BOUND, out=a)
-    np.exp(a, out=a)
-    context = a @ x
+    start = WINDOW - asked
+    q, k = x[:, start:] @ (gate.q / np.float32(KEY_DIM**0.5)), x @ gate.k
+    keys, context, attention = k.transpose(0, 2, 1), np.empty((n, asked, EMBEDDED), dtype=np.float32), []
+    for low, high, far, allowed in _blocks(asked):
+        a = q[:, low - start : high - start] @ keys[:, :, :high]
+        a += np.where(allowed, gate.far[far], np.float32(-1e4))
+        np.minimum(a, BOUND, out=a)
+        np.exp(a, out=a)
+        np.matmul(a, x[:, :high], out=context[:, low - start : high - start])
+        attention.append(a)
     total = context[:, :, -1:] + np.float32(1e-20)
     context /= total
     g = context.reshape(-1, EMBEDDED) @ gate.mix
     g += first.reshape(-1, ROLES) @ gate.after
     g += gate.bias
-    g -= g.max(-1, keepdims=True)
+    np.minimum(g, BOUND, out=g)
     np.exp(g, out=g)
+    g += np.float32(1e-20)
     g /= g.sum(-1, keepdims=True)
-    return g, context, a, total, q, k
+    return g, context, total, attention, q, k
 
 
 def expected(g: np.ndarray, role: np.ndarray, first: np.ndarray, on: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,24 +198,30 @@ def log_probs(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray)
 def gradient(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -> Gate:
     """Of the mean negative log-likelihood over the targets. Targets of NONE do not count; nothing is NONE before a target."""
     asked = target.shape[1]
+    start = WINDOW - asked
     x, first = tables.known(seen, asked)
-    g, context, a, total, q, k = attend(gate, x, first)
+    g, context, total, attention, q, k = attend(gate, x, first)
     live = target.ravel() != NONE
     flat = np.where(live, target.ravel(), 0)
-    both, p = expected(g, *tables.likely(seen[:, WINDOW - asked :].ravel(), flat))
+    both, p = expected(g, *tables.likely(seen[:, start:].ravel(), flat))
     d = g
     d -= both / p[:, None]
     d *= (live / max(1, live.sum())).astype(np.float32)[:, None]
     dc = (d @ gate.mix.T).reshape(context.shape)
-    a /= total
-    da = dc @ x.transpose(0, 2, 1)
-    da -= (dc * context).sum(-1, keepdims=True)
-    da *= a
-    far, _ = _distances(asked)
+    own = (dc * context).sum(-1, keepdims=True) / total
+    dc /= total
+    dq, dk, dfar = np.empty_like(q), np.zeros_like(k), np.zeros(WINDOW)
+    columns = x.transpose(0, 2, 1)
+    for (low, high, far, _), a in zip(_blocks(asked), attention, strict=True):
+        part = slice(low - start, high - start)
+        da = dc[:, part] @ columns[:, :, :high]
+        da -= own[:, part]
+        da *= a
+        np.matmul(da, k[:, :high], out=dq[:, part])
+        dk[:, :high] += da.transpose(0, 2, 1) @ q[:, part]
+        dfar += np.bincount(far.ravel(), da.sum(0).ravel(), minlength=WINDOW)
     return Gate(
-        x[:, WINDOW - asked :].reshape(-1, EMBEDDED).T @ (da @ k).reshape(-1, KEY_DIM) / np.float32(KEY_DIM**0.5),
-        x.reshape(-1, EMBEDDED).T @ (da.transpose(0, 2, 1) @ q).reshape(-1, KEY_DIM),
-        np.bincount(far.ravel(), da.sum(0).ravel(), minlength=WINDOW).astype(np.float32),
+        x[:, start:].reshape(-1, EMBEDDED).T @ dq.reshape(-1, KEY_DIM) / np.float32(KEY_DIM**0.5), x.reshape(-1, EMBEDDED).T @ dk.reshape(-1, KEY_DIM), dfar.astype(np.float32),
         context.reshape(-1, EMBEDDED).T @ d, first.reshape(-1, ROLES).T @ d, d.sum(0),
     )
 

@@ -39,7 +39,7 @@ from flowloom.llm.attention import GROUPS, LEADERS, NONE, STRIDE, WINDOW, Gate,
 from flowloom.llm.support import written
 
 ROUNDS, TASK_WINDOWS = 3, 36_000
-OWN_PARTS, PAIR_PARTS, WORD_STORE = 500_000, 1_000_000, 300_000
+OWN_PARTS, PAIR_PARTS, WORD_STORE = 1_000_000, 1_000_000, 300_000
 COUNT_LIMIT = 400_000
 SPELT_AT_ONCE, SCORED_AT_ONCE, WINDOWED_AT_ONCE, COUNTED_AT_ONCE, ROWS_AT_ONCE = 20_000, 128, 64, 4096, 50_000
 SEGMENT = 32  # windows in a row
@@ -156,23 +156,17 @@ def _windows(docs: DataFrame, vocabulary: str, own_ids: Broadcast) -> DataFrame:
     """(r, ids): rows of up to SEGMENT windows of WINDOW + 1 ids of the documents (doc_id, text). r: a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(vocabulary, own_ids.value)
+        store = Words(Units(vocabulary, own_ids.value))
         for batch in batches:
             for low in range(0, batch.num_rows, WINDOWED_AT_ONCE):
-                yield windows_of(units, batch.slice(low, WINDOWED_AT_ONCE))
+                yield windows_of(store, batch.slice(low, WINDOWED_AT_ONCE))
 
-    def windows_of(units: Units, batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat, counts = [], []
-        for t in batch.column(1):
-            own = words(t.as_py())
-            flat += own
-            flat.append(b"")
-            counts.append(len(own) + 1)
-        ids, sizes, _, _ = units.many(flat)
-        stops = np.cumsum(sizes)[np.cumsum(counts) - 1]
+    def windows_of(store: Words, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends, size, ids, _, _ = store.read(batch.column(1).to_pylist())
+        stops = np.cumsum(size)[ends - 1]
         keys, numbers, parts = [], [], []
         for key, low, high in zip(batch.column(0).to_pylist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-            table = attention.windows_of(ids[low:high], units.size).astype("<i4")
+            table = attention.windows_of(ids[low:high], store.units.size).astype("<i4")
             for at in range(0, len(table), SEGMENT):
                 keys.append(key)
                 numbers.append(at)
@@ -301,29 +295,28 @@ class Numbers(dict):
         return n
 
 
-class Scorer:
-    """Scores texts with a trained model. Words are kept by number, with what is known of each in arrays."""
+class Words:
+    """Words by number, with what is known of each in arrays; a bounded store."""
 
-    def __init__(self, vocabulary: str, own: dict[int, int], counts: np.ndarray, tables: Tables, gate: Gate) -> None:
-        self.units, self.counts, self.tables, self.gate = Units(vocabulary, own), counts, tables, gate
+    def __init__(self, units: Units) -> None:
+        self.units = units
         self._forget()
 
     def _forget(self) -> None:
         self.known = Numbers()
         none = lambda t: np.zeros(0, dtype=t)
-        # ids of all words one after another; of each word the number of units, where they start, hash, count if it has an id or -1
-        self.words = none(np.int32), none(np.int64), none(np.int64), none(np.int64), none(np.int64)
+        # ids of all words one after another; of each word the number of units, where they start, the hash, and its own id or -1
+        self.tables = none(np.int32), none(np.int64), none(np.int64), none(np.int64), none(np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
         """Tables of new words, in the order of their numbers."""
         ids, sizes, hashes, own = self.units.many(new)
         ends = np.cumsum(sizes)
-        often = np.where(own, self.counts[ids[ends - sizes]].astype(np.int64), -1)
-        fresh = ids.astype(np.int32), sizes, ends - sizes + len(self.words[0]), hashes, often
-        self.words = tuple(np.concatenate(pair) for pair in zip(self.words, fresh, strict=True))
+        fresh = ids.astype(np.int32), sizes, ends - sizes + len(self.tables[0]), hashes, np.where(own, ids[ends - sizes], -1)
+        self.tables = tuple(np.concatenate(pair) for pair in zip(self.tables, fresh, strict=True))
 
-    def texts(self, texts: list[str | None], whole: float) -> dict[str, list]:
-        """Of each text: n tokens, how many and how much of the base the words with ids make, the hashes of the others with counts, and the score."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """All words of the texts and their ends, one after another: (ends of the texts in words, units of each word, ids of all, hashes, own ids or -1)."""
         if len(self.known) > WORD_STORE:
             self._forget()
         flat, ends = [], []
@@ -335,18 +328,31 @@ class Scorer:
         at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
-        ids, sizes, starts, hashes, often = self.words
-        size, c = sizes[at], often[at]
+        ids, sizes, starts, hashes, own = self.tables
+        size = sizes[at]
         stops = np.cumsum(size)
         sequence = ids[np.arange(stops[-1]) + np.repeat(starts[at] - stops + size, size)].astype(np.int64)
-        base = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / whole), 0)
+        return np.array(ends), size, sequence, hashes[at], own[at]
+
+
+class Scorer:
+    """Scores texts with a trained model."""
+
+    def __init__(self, vocabulary: str, own: dict[int, int], counts: np.ndarray, tables: Tables, gate: Gate) -> None:
+        self.words, self.counts, self.tables, self.gate = Words(Units(vocabulary, own)), counts, tables, gate
+
+    def texts(self, texts: list[str | None], whole: float) -> dict[str, list]:
+        """Of each text: n tokens, how many and how much of the base the words with ids make, the hashes of the others with counts, and the score."""
+        ends, size, sequence, hashes, own = self.words.read(texts)
+        stops = np.cumsum(size)
+        base = np.where(own >= 0, np.log10((self.counts[np.maximum(own, 0)] + 0.5) / whole), 0)
         out = {"n": [], "known": [], "sum": [], "rare": []}
         sequences, low = [], 0
-        for high in ends:
+        for high in ends.tolist():
             part = slice(low, high)
-            rare, n = np.unique(hashes[at[part]][c[part] < 0], return_counts=True)
-            out["n"].append(int(high - low))
-            out["known"].append(int((c[part] >= 0).sum()))
+            rare, n = np.unique(hashes[part][own[part] < 0], return_counts=True)
+            out["n"].append(high - low)
+            out["known"].append(int((own[part] >= 0).sum()))
             out["sum"].append(float(base[part].sum()))
             out["rare"].append([{"h": h, "n": k} for h, k in zip(rare.tolist(), n.tolist(), strict=True)])
             sequences.append(sequence[stops[low] - size[low] : stops[high - 1]])
