@@ -363,9 +363,10 @@ def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8, text:
     components of all such pairs (see similar_links).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumn("__node", F.xxhash64(body)).withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)))
-    names = written(docs.groupBy("__node").agg(F.min("__key").alias("first")).withColumnRenamed("__node", "node"), "similar_texts")
-    grown = similar_links(docs.select(F.col("__node").alias("node"), body.alias("text")), width, least)
+    node, first = (next(n for n in (c + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("__node", "__key"))
+    docs = docs.withColumn(node, F.xxhash64(body)).withColumn(first, F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)))
+    names = written(docs.groupBy(F.col(node).alias("node")).agg(F.min(first).alias("first")), "similar_texts")
+    grown = similar_links(docs.select(F.col(node).alias("node"), body.alias("text")), width, least)
     named = names.join(grown, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = written(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("m")).select(F.col("m.first").alias("__key"), F.col("m.node").alias("__node")), "similar_kept")
-    return docs.join(kept, ["__key", "__node"], "left_semi").dropDuplicates(["__key", "__node"]).drop("__key", "__node")
+    kept = written(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("m")).select(F.col("m.first").alias(first), F.col("m.node").alias(node)), "similar_kept")
+    return docs.join(kept, [first, node], "left_semi").dropDuplicates([first, node]).drop(first, node)
