@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import ann, bpe, chat_format, decontaminate, line_dedup, lm, quality, sharding, simhash, warc
+from flowloom.llm import ann, bpe, chat_format, decontaminate, licenses, line_dedup, lm, negatives, quality, sharding, simhash, warc, whiten
 from flowloom.llm.support import ship
 
 
@@ -69,6 +69,27 @@ def op10_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_blocked_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label).drop("positive_rank")
+
+
+def op12_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = [F.array_join(f"licenses.{c}", ",").alias(c) for c in ("base_labels", "labels")]
+    return out.select("doc_id", *(f"licenses.{c}" for c in ("n_words", "n_base", "first_word", "last_word")), *joined, "licenses.score")
+
+
+def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whiten.whiten(_table(spark, sf_dir, "embeddings"))
+    explained = F.array(*(F.lit(float(x)) for x in model.explained)) if model else F.array().cast("array<double>")
+    long = rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return long.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n if model else None).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -77,7 +98,7 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op3_ordinal_quality, op4_attention_scores, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op8_multi_index, op9_chat_grammar, op10_warc_chain)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_simhash_pigeonhole, op2_bpe_chunks, op3_ordinal_quality, op4_attention_scores, op5_line_mph, op6_edit_pigeonhole, op7_histogram_sharding, op8_multi_index, op9_chat_grammar, op10_warc_chain, op11_blocked_negatives, op12_license_rules, op13_tiled_whitening)}
 
 _OP5_SQL = """
 WITH lines AS (
@@ -126,4 +147,24 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload
 FROM p LEFT JOIN g ON p.html = g.html
 """
 
-ORACLES = {"op5_line_mph": _OP5_SQL, "op9_chat_grammar": _OP9_SQL, "op10_warc_chain": _OP10_SQL}
+#: All pairs of anchors and rows; sums of integers are exact.
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * c::DOUBLE)::BIGINT FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_sum([a.x[i] * b.x[i] FOR i IN range(1, len(a.x) + 1)])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+ORACLES = {"op5_line_mph": _OP5_SQL, "op9_chat_grammar": _OP9_SQL, "op10_warc_chain": _OP10_SQL, "op11_blocked_negatives": _OP11_SQL}
