@@ -1,28 +1,43 @@
 """Conformance of held-out cases to the training variants by trace alignment.
 
-The cost of aligning two paths with unit moves is m + n - 2 * (length of their longest common subsequence). Only distinct
-paths are aligned. A path that also occurs in training costs nothing and is found by a join. The others meet the training
-paths in blocks of bounded size; within a task, bounds on the cost skip most pairs, and a bit-parallel LCS decides the rest.
-Moves are traced back for winning pairs only.
+The cost of aligning two paths with unit moves is m + n - 2 * (length of their longest common subsequence), and no less than
+what their bags of activities differ by. Only distinct paths are aligned. A path that also occurs in training costs nothing
+and is found by a join. The others look for references in an index of the training bags, in rounds of growing radius: within
+a radius r, two bags share one of the r + 1 rarest of their (activity, occurrence) pairs each, at places that leave
+room for enough others, and their sizes differ by r at most. Candidates are verified by a bit-parallel LCS, the nearest bags
+first and only as long as their bags are no further than the best cost so far. A path is done when its best cost is within
+the radius. No path travels through the driver, and a pair of paths is verified only if its bags let it be the best one.
+
+Moves are traced back for winning pairs only, in memory that grows with the length of a path and not with its square.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import text_id
 from flowloom.operators.model import variants_in_order
+from flowloom.schema import SEPARATOR
+from flowloom.sources.scratch import ship, written
 
-BLOCK = 4096
+FIRST_RADIUS, GROWTH = 2, 4
+#: References in a row that goes to a task; parts in which the candidates of one path are verified.
+CHUNK, PARTS, SALTS = 64, 4, 8
 MOVES = "array<struct<kind:string,log_activity:string,model_activity:string,cost:int>>"
 
 
+def bit_masks(path: list[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, symbol in enumerate(path):
+        out[symbol] = out.get(symbol, 0) | 1 << i
+    return out
+
+
 def lcs_length(masks: dict[str, int], size: int, other: list[str]) -> int:
     """Longest common subsequence by the published bit-vector recurrence; masks: bits of each symbol's places in a path of `size`."""
     full = (1 << size) - 1
@@ -33,27 +48,37 @@ def lcs_length(masks: dict[str, int], size: int, other: list[str]) -> int:
     return size - v.bit_count()
 
 
-def bit_masks(path: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, symbol in enumerate(path):
-        out[symbol] = out.get(symbol, 0) | 1 << i
-    return out
+def align(log: list[str], model: list[str]) -> list[tuple]:
+    """(kind, log_activity, model_activity, cost) of an optimal alignment; equal steps go together, log moves come before model moves in the back-trace.
 
+    A row of the table is a bit vector over the model's places, whose zeros up to j tell the common length up to j. Every
+    sqrt(n)-th row is kept, and the rows between two of them are made again when the back-trace comes to them.
+    """
+    masks, full = bit_masks(model), (1 << len(model)) - 1
+    step = max(1, math.isqrt(len(log)))
 
-def align(log: list[str], model: list[str]) -> list[tuple]:
-    """(kind, log_activity, model_activity, cost) of an optimal alignment; equal steps go together, log moves come before model moves in the back-trace."""
-    far = [list(range(len(model) + 1))]
-    for i, a in enumerate(log, 1):
-        row = [i]
-        for j, b in enumerate(model, 1):
-            row.append(far[i - 1][j - 1] if a == b else 1 + min(far[i - 1][j], row[j - 1]))
-        far.append(row)
+    def after(v: int, symbol: str) -> int:
+        u = v & masks.get(symbol, 0)
+        return ((v + u) | (v - u)) & full
+
+    kept, v = [full], full
+    for i, symbol in enumerate(log, 1):
+        v = after(v, symbol)
+        if i % step == 0:
+            kept.append(v)
     i, j, out = len(log), len(model), []
+    common, first, rows = j - v.bit_count(), i + 1, []  # of the first i and the first j; the rows from `first` on
     while i or j:
+        if i and i - 1 < first:
+            first = (i - 1) // step * step
+            rows = [kept[first // step]]
+            for symbol in log[first : i - 1]:
+                rows.append(after(rows[-1], symbol))
         if i and j and log[i - 1] == model[j - 1]:
-            i, j = i - 1, j - 1
+            i, j, common = i - 1, j - 1, common - 1
             out.append(("sync", log[i], model[j], 0))
-        elif i and (not j or far[i - 1][j] <= far[i][j - 1]):
+        # as much in common without this event: it moves alone
+        elif i and (not j or j - (rows[i - 1 - first] & ((1 << j) - 1)).bit_count() == common):
             i -= 1
             out.append(("log", log[i], None, 1))
         else:
@@ -62,76 +87,146 @@ def align(log: list[str], model: list[str]) -> list[tuple]:
     return out[::-1]
 
 
-def _nearest(block: list[list[str]]):
-    """A task that finds, for each path, the cheapest of a block; of equals the first."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bags = [Counter(p) for p in block]
-        by_length: dict[int, list[int]] = {}
-        for n, p in enumerate(block):
-            by_length.setdefault(len(p), []).append(n)
-        for frame in frames:
-            costs, winners = [], []
-            for path in frame["path"]:
-                path = list(path)
-                masks, bag, m = bit_masks(path), Counter(path), len(path)
-                best, winner = 1 << 60, -1
-                for length in sorted(by_length, key=lambda n: abs(n - m)):
-                    if abs(length - m) > best:
-                        break
-                    for n in by_length[length]:
-                        shared = sum(min(c, bags[n].get(a, 0)) for a, c in bag.items())
-                        if m + length - 2 * shared > best:
-                            continue
-                        cost = m + length - 2 * lcs_length(masks, m, block[n])
-                        if (cost, n) < (best, winner):
-                            best, winner = cost, n
-                costs.append(best)
-                winners.append(block[winner])
-            yield pd.DataFrame({"path_key": frame["path_key"], "cost": costs, "reference": winners})
-
-    return run
+# ---- the index of bags
+
+
+def _with_bag(paths: DataFrame) -> DataFrame:
+    """bag: the sorted activities as text; size: how many."""
+    return paths.withColumn("bag", F.array_join(F.array_sort("path"), SEPARATOR)).withColumn("size", F.size("path"))
+
+
+def _tokens(paths: DataFrame) -> DataFrame:
+    """bag, size, token: (activity, occurrence) pairs of the distinct bags."""
+    bags = paths.select("bag", "size", F.array_sort("path").alias("sorted")).dropDuplicates(["bag"])
+    counted = bags.select("bag", "size", F.explode("sorted").alias("activity")).groupBy("bag", "size", "activity").count()
+    return counted.select("bag", "size", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "count"), lambda k: F.concat_ws(SEPARATOR, "activity", k.cast("string")))).alias("token"))
+
+
+def _ordered(tokens: DataFrame, frequency: DataFrame) -> DataFrame:
+    """bag, size, tokens: the rarest first. A token that no training bag holds is the rarest."""
+    rows = tokens.join(frequency, "token", "left").groupBy("bag", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
+    return rows.select("bag", "size", F.transform("t", lambda x: x["token"]).alias("tokens"))
+
+
+def _prefix(bags: DataFrame, salt: Column, radius: Column) -> DataFrame:
+    """The radius + 1 first tokens with their places; small bags have one more, which they share with all small ones."""
+    tokens = F.transform(F.slice("tokens", F.lit(1), radius + 1), lambda t, i: F.struct(t.alias("token"), i.alias("at")))
+    small = F.transform(salt, lambda s: F.struct(F.concat(F.lit("\0"), s.cast("string")).alias("token"), F.lit(-1).alias("at")))
+    return bags.withColumn("t", F.explode(F.concat(tokens, F.when(F.col("size") <= radius, small).otherwise(F.array().cast("array<struct<token:string,at:int>>"))))).select("*", "t.token", "t.at").drop("t", "tokens")
+
+
+def _near_bags(asked: DataFrame, known: DataFrame, radius: int, done: int) -> DataFrame:
+    """bag, ref_bag, apart: pairs of bags that differ by more than `done` and by at most the asked bag's own radius (reach)."""
+    probe = _prefix(asked, F.sequence(F.lit(0), F.lit(SALTS - 1)), F.col("reach"))
+    index = _prefix(known, F.array(F.pmod(F.xxhash64("bag"), F.lit(SALTS))), F.lit(radius))
+    index = index.select("token", F.col("bag").alias("ref_bag"), F.col("size").alias("ref_size"), F.col("at").alias("ref_at"))
+    total, reach = F.col("size") + F.col("ref_size"), F.col("reach")
+    least = F.ceil((total - reach) / 2)  # what they must share
+    room = F.when(F.col("at") < 0, total <= reach).otherwise((F.col("at") <= F.col("size") - least) & (F.col("ref_at") <= F.col("ref_size") - least))
+    pairs = probe.join(index, "token").where((F.abs(F.col("size") - F.col("ref_size")) <= reach) & room).select("bag", "ref_bag").distinct()
+    both = pairs.join(asked.select("bag", "reach", "size", "tokens"), "bag").join(known.select(F.col("bag").alias("ref_bag"), F.col("size").alias("ref_size"), F.col("tokens").alias("ref_tokens")), "ref_bag")
+    apart = total - 2 * F.size(F.array_intersect("tokens", "ref_tokens"))
+    return both.select("bag", "ref_bag", apart.alias("apart"), "reach").where((F.col("apart") > done) & (F.col("apart") <= F.col("reach"))).drop("reach")
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by path and distance of bags: (ask, path_key, best, apart, references) to the first of the best."""
+    at, masks, size, best, seen, out = None, {}, 0, (0, 0), 0, []
+    for batch in batches:
+        ask, key, known, apart, refs = batch.columns
+        starts, ords, keys = np_list(refs.offsets), np_list(refs.values.field(0)), refs.values.field(1)
+        for r in range(batch.num_rows):
+            if at != ask[r].as_py():
+                if at is not None and seen:
+                    out.append((at, *best, seen))
+                at, path = ask[r].as_py(), key[r].as_py().split(SEPARATOR)
+                masks, size, seen = bit_masks(path), len(path), 0
+                best = (known[r].as_py(), 1 << 62)
+            if apart[r].as_py() > best[0]:
+                continue
+            for n in range(starts[r], starts[r + 1]):
+                other = keys[n].as_py().split(SEPARATOR)
+                best = min(best, (size + len(other) - 2 * lcs_length(masks, size, other), ords[n]))
+                seen += 1
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_pylist([dict(zip(("ask", "cost", "ord", "verified"), o, strict=True)) for o in out], schema=_FOUND)
+            out = []
+    if at is not None and seen:
+        out.append((at, *best, seen))
+    yield pa.RecordBatch.from_pylist([dict(zip(("ask", "cost", "ord", "verified"), o, strict=True)) for o in out], schema=_FOUND)
+
+
+_FOUND = pa.schema([(n, pa.int64()) for n in ("ask", "cost", "ord", "verified")])
+
+
+def np_list(x: pa.Array) -> list[int]:
+    return x.to_numpy(zero_copy_only=False).tolist()
 
 
 def nearest_variants(validation: DataFrame, train: DataFrame) -> DataFrame:
-    """path_key, cost, reference: for each distinct held-out path the cheapest training path; ties by collated path, then by first case."""
+    """path_key, cost, reference, verified: for each distinct held-out path the cheapest training path, and with how many it was compared.
+
+    Ties go by collated path, then by first case. Without training paths there is no row.
+    """
+    spark = validation.sparkSession
+    ship(spark)
     asked = validation.select("path_key", "path").dropDuplicates(["path_key"])
-    known = variants_in_order(train).select("path_key", "path", "first_case").cache()
-    same = asked.join(known.select("path_key"), "path_key", "left_semi").select("path_key", F.lit(0).cast("long").alias("cost"), F.col("path").alias("reference"))
-    other = asked.join(known.select("path_key"), "path_key", "left_anti").cache()
-    blocks = 1 + known.count() // BLOCK
-    # a block of about BLOCK paths at a time goes to the tasks
-    in_order = known.orderBy(F.collate("path_key", "UNICODE"), "first_case")
-    found = []
-    for b in range(blocks):
-        part = in_order if blocks == 1 else in_order.where(F.pmod(F.xxhash64("path_key"), F.lit(blocks)) == b)
-        if block := [list(r["path"]) for r in part.select("path").collect()]:
-            found.append(other.mapInPandas(_nearest(block), "path_key string, cost long, reference array<string>"))
-    if not found:
+    # after a total sort the ids of rows rise with their places
+    in_order = variants_in_order(train).orderBy(F.collate("path_key", "UNICODE"), "first_case", F.col("path_key"))
+    known = written(_with_bag(in_order.select("path_key", "path").withColumn("ord", F.monotonically_increasing_id())), "variants")
+    keys = known.select("path_key")
+    same = asked.join(keys, "path_key", "left_semi").select("path_key", F.lit(0).cast("long").alias("cost"), F.col("path").alias("reference"), F.lit(0).cast("long").alias("verified"))
+    other = written(_with_bag(asked.join(keys, "path_key", "left_anti").withColumn("ask", F.monotonically_increasing_id())), "held_out")
+    longest = (known.agg(F.max("size")).first()[0] or 0) + (other.agg(F.max("size")).first()[0] or 0)
+    if known.isEmpty() or other.isEmpty():
         return same
-    candidates = reduce(DataFrame.unionByName, found)
-    ranked = candidates.withColumn("reference_key", F.array_join("reference", "\u001f")).join(known.select(F.col("path_key").alias("reference_key"), "first_case"), "reference_key")
-    order = Window.partitionBy("path_key").orderBy("cost", F.collate("reference_key", "UNICODE"), "first_case")
-    best = ranked.withColumn("n", F.row_number().over(order)).where("n = 1").select("path_key", "cost", "reference")
-    return same.unionByName(best)
+    tokens = _tokens(known)
+    frequency = tokens.groupBy("token").count().withColumnRenamed("count", "n")
+    index, probes = written(_ordered(tokens, frequency), "bags"), written(_ordered(_tokens(other), frequency), "held_out_bags")
+    sized = known.groupBy("bag").agg(F.count("*").alias("n"))
+    piece = F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / CHUNK))
+    chunks = written(known.join(sized, "bag").groupBy("bag", piece.alias("piece")).agg(F.collect_list(F.struct("ord", "path_key")).alias("references")).select(F.col("bag").alias("ref_bag"), "piece", "references"), "references")
+    best, radius, done = None, FIRST_RADIUS, -1
+    while True:
+        left = other.select("ask", "path_key", "bag")
+        left = left.withColumn("known", F.lit(None).cast("long")) if best is None else left.join(best.select("ask", F.col("cost").alias("known")), "ask", "left").where(F.col("known").isNull() | (F.col("known") > done))
+        left = left.withColumn("known", F.coalesce("known", F.lit(1 << 40)))
+        reach = left.groupBy("bag").agg(F.least(F.max("known"), F.lit(radius)).cast("int").alias("reach"))
+        pairs = _near_bags(probes.join(reach, "bag"), index, radius, done)
+        rows = left.join(pairs, "bag").where(F.col("apart") <= F.col("known")).join(chunks, "ref_bag")
+        part = F.pmod(F.xxhash64("ref_bag", "piece"), F.lit(PARTS))
+        rows = rows.select("ask", part.alias("part"), "path_key", "known", "apart", "references").repartition("ask", "part").sortWithinPartitions("ask", "part", "apart")
+        found = rows.select("ask", "path_key", "known", "apart", "references").mapInArrow(_verify, "ask long, cost long, ord long, verified long")
+        if best is not None:
+            found = found.unionByName(best)
+        best = written(found.groupBy("ask").agg(F.min(F.struct("cost", "ord")).alias("b"), F.sum("verified").alias("verified")).select("ask", "b.cost", "b.ord", "verified"), "nearest")
+        if radius >= longest or best.where(F.col("cost") <= radius).count() == other.count():
+            break
+        radius, done = min(radius * GROWTH, longest), radius
+    told = best.join(other.select("ask", "path_key"), "ask").join(known.select("ord", F.col("path").alias("reference")), "ord")
+    return same.unionByName(told.select("path_key", "cost", "reference", "verified"))
 
 
-def _traced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        moves = [[dict(zip(("kind", "log_activity", "model_activity", "cost"), m, strict=True)) for m in align(list(p), list(r))] for p, r in zip(frame["path"], frame["reference"], strict=True)]
-        yield pd.DataFrame({"path_key": frame["path_key"], "moves": moves})
+def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("log_activity", pa.string()), ("model_activity", pa.string()), ("cost", pa.int32())]))
+    for batch in batches:
+        for r in range(batch.num_rows):
+            moves = [dict(zip(("kind", "log_activity", "model_activity", "cost"), m, strict=True)) for m in align(batch.column(1)[r].as_py(), batch.column(2)[r].as_py())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([moves], kind)], names=["path_key", "moves"])
 
 
-def alignments(cases: DataFrame) -> DataFrame:
-    """For each held-out case: cost, fitness, reference path, and the moves. cases: traces with is_validation."""
+def alignments(cases: DataFrame, moves: bool = True) -> DataFrame:
+    """For each held-out case: cost, fitness, reference path, and the moves if asked for. cases: traces with is_validation."""
     validation, train = cases.where("is_validation"), cases.where("not is_validation")
-    nearest = nearest_variants(validation, train).cache()
-    paths = validation.select("path_key", "path").dropDuplicates(["path_key"])
-    moves = paths.join(nearest, "path_key").select("path_key", "path", "reference").mapInPandas(_traced, f"path_key string, moves {MOVES}")
+    nearest = nearest_variants(validation, train)
     fitness = F.greatest(F.lit(0.0), 1 - F.col("cost") / F.greatest(F.lit(1), F.size("path") + F.size("reference")))
-    return validation.select("case_id", "path_key", "path").join(nearest, "path_key").join(moves, "path_key").select(
-        "case_id", text_id("variant", F.col("path_key")).alias("variant_id"), text_id("variant", F.array_join("reference", "\u001f")).alias("reference_variant_id"),
-        "cost", fitness.alias("fitness"), (F.col("cost") > 0).alias("is_deviation"), "moves",
+    told = validation.select("case_id", "path_key", "path").join(nearest, "path_key")
+    if moves:
+        pairs = validation.select("path_key", "path").dropDuplicates(["path_key"]).join(nearest, "path_key").select("path_key", "path", "reference")
+        told = told.join(pairs.mapInArrow(_traced, f"path_key string, moves {MOVES}"), "path_key")
+    return told.select(
+        "case_id", text_id("variant", F.col("path_key")).alias("variant_id"), text_id("variant", F.array_join("reference", SEPARATOR)).alias("reference_variant_id"),
+        "cost", fitness.alias("fitness"), (F.col("cost") > 0).alias("is_deviation"), *(["moves"] if moves else []),
     )
 
 
@@ -153,7 +248,7 @@ def coverage(cases: DataFrame) -> DataFrame:
 
 def summary(cases: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
     """One row for the whole held-out set."""
-    aligned = alignments(cases) if aligned is None else aligned
+    aligned = alignments(cases, moves=False) if aligned is None else aligned
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     told = aligned.agg(
         F.count("*").alias("aligned_cases"), F.count_if("is_deviation").alias("deviating_cases"), zero(F.avg(F.col("is_deviation").cast("double"))).alias("deviation_rate"),

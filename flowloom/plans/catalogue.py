@@ -439,10 +439,25 @@ aligned AS (
 
 @query(ALIGNED + " SELECT * REPLACE (round(fitness, 6) AS fitness) FROM aligned")
 def alignments(spark, sf_dir):
-    return conformance.alignments(_sides(_log(spark, sf_dir))).drop("moves")
+    return conformance.alignments(_sides(_log(spark, sf_dir)), moves=False)
 
 
-@query()
+#: Rows of the table of common lengths, for the winning pairs, and the way back through them.
+@query(ALIGNED + """, won AS (SELECT l.hk, l.a, l.b, l.i, l.len FROM lcs l JOIN best USING (hk, tk)),
+back AS (
+  SELECT hk, a, b, len(a) AS i, len(b) AS j, '' AS told FROM won WHERE i = 0
+  UNION ALL
+  SELECT hk, a, b, i - (kind <> 'model')::INT, j - (kind <> 'log')::INT,
+    '{"kind":"' || kind || '"' || CASE WHEN kind <> 'model' THEN ',"log_activity":"' || a[i] || '"' ELSE '' END || CASE WHEN kind <> 'log' THEN ',"model_activity":"' || b[j] || '"' ELSE '' END
+      || ',"cost":' || (kind <> 'sync')::INT || '}' || CASE WHEN told = '' THEN '' ELSE ',' || told END
+  FROM (
+    SELECT back.*, CASE WHEN back.i > 0 AND back.j > 0 AND back.a[back.i] = back.b[back.j] THEN 'sync'
+      WHEN back.i > 0 AND (back.j = 0 OR up.len[back.j] >= coalesce(here.len[back.j - 1], 0)) THEN 'log' ELSE 'model' END AS kind
+    FROM back LEFT JOIN won up ON up.hk = back.hk AND up.i = back.i - 1 LEFT JOIN won here ON here.hk = back.hk AND here.i = back.i
+    WHERE back.i > 0 OR back.j > 0
+  )
+)
+SELECT case_id, '[' || told || ']' AS moves FROM back JOIN sides ON path_key = hk WHERE is_validation AND i = 0 AND j = 0""")
 def alignment_moves(spark, sf_dir):
     """The moves of each alignment as JSON."""
     return conformance.alignments(_sides(_log(spark, sf_dir))).select("case_id", F.to_json("moves").alias("moves"))
