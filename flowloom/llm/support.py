@@ -1,69 +1,7 @@
-"""Shared scratch tables and shipping of this package to executors."""
+"""Shared scratch tables and shipping of this package to executors, as the engine does it."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import os
-import tempfile
-import uuid
-import zipfile
+from flowloom.sources.scratch import scratch_path, shared_dir, ship, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-_MADE: dict[str, list[str]] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Make the package importable on the executors, once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_flowloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="flowloom-"), "flowloom_ship.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(out)
-    sc._flowloom_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where no folder is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not getattr(sc, "_flowloom_shared", None):
-        sc._flowloom_shared = tempfile.mkdtemp(prefix="flowloom-shared-")
-        sc.setCheckpointDir(sc._flowloom_shared)
-    return sc._flowloom_shared
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder. It is removed when the application ends."""
-    path = f"{shared_dir(spark)}/flowloom/{uuid.uuid4().hex}/{name}"
-    if not _MADE:
-        atexit.register(_clean)
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    with contextlib.suppress(Exception):
-        spark = SparkSession.getActiveSession()
-        jvm = spark.sparkContext._jvm
-        for path in _MADE.get(spark.sparkContext.applicationId, []):
-            p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["scratch_path", "shared_dir", "ship", "written"]
