@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.license_rules import PRIORITIES, RULES, STRENGTH, Rule, over_numbered_words
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Detections are folded in chunks, so that lists of what is kept are not copied once for each detection.
 CHUNK = 64
 _FOUND = "array<struct<first:int,before:int,behind:int,rule:int,label:string,base:boolean>>"
@@ -27,7 +28,7 @@ _FOUND = "array<struct<first:int,before:int,behind:int,rule:int,label:string,bas
 def words(text: Column) -> Column:
     """The words of a text; those of A to Z in lower case."""
     small = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(small, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(small, GAP), "")
 
 
 def _table(rules: list[Rule]) -> Column:
@@ -79,12 +80,12 @@ def scan(docs: DataFrame, text: str = "text", into: str = "licenses", rules: lis
     own = "__" + into
     while any(c.lower().startswith(own.lower()) for c in docs.columns):
         own = "_" + own
-    w, r, f, k = (f"{own}_{x}" for x in ("words", "rules", "found", "kept"))
+    w, m, r, f, k = (f"{own}_{x}" for x in ("words", "met", "rules", "found", "kept"))
     keywords = F.array(*map(F.lit, sorted({x.keyword for x in rules})))
     numbered = F.array_join(F.transform(w, lambda x, i: F.concat(x, F.lit("\0"), i.cast("string"))), " ")
     out = docs.withColumn(w, words(F.col(text)))
-    met = F.array_intersect(w, keywords)
-    out = out.withColumn(r, F.when(F.arrays_overlap(w, keywords), F.filter(_table(rules), lambda x: F.array_contains(met, x["keyword"]))))
+    out = out.withColumn(m, F.array_intersect(w, keywords))
+    out = out.withColumn(r, F.when(F.size(m) > 0, F.filter(_table(rules), lambda x: F.array_contains(m, x["keyword"]))))
     both = F.get(F.transform(F.array(numbered), lambda t: F.array_sort(F.flatten(F.transform(r, lambda x: _spans(t, x))))), F.lit(0))
     out = out.withColumn(f, F.when(F.col(r).isNotNull(), both).otherwise(F.array().cast(_FOUND)))
     out = out.withColumn(k, kept(F.col(f)))
@@ -100,4 +101,4 @@ def scan(docs: DataFrame, text: str = "text", into: str = "licenses", rules: lis
         F.size(w).cast("long").alias("n_words"), F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         base_labels.alias("base_labels"), labels.alias("labels"), score.alias("score"), detections.alias("detections"),
     )
-    return out.withColumn(into, result).drop(w, r, f, k)
+    return out.withColumn(into, result).drop(w, m, r, f, k)
