@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,16 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Lower-case letters with accents, and what is left of each when these go."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower()]
+    kept = [(c, d[0]) for c, d in pairs if "a" <= d[0] <= "z" and len(d) > 1]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
 def folded(c: Column) -> Column:
-    """Lower case without accents (of the letters of western Europe), and nothing but letters, digits, colon and underscore."""
-    plain = F.translate(F.lower(trim_all(c)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(plain, "[^a-z0-9:_]", "")
+    """Lower case without accents, and nothing but letters, digits, colon and underscore."""
+    return F.regexp_replace(F.translate(F.lower(c), *_bare_letters()), "[^a-z0-9:_]", "")
 
 
 def number_pt(x: Column, at_most: int, at_least: int = 0) -> Column:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.text import trim_all
+from flowloom.functions.text import folded, trim_all
 from flowloom.operators.quality import clean
 from flowloom.schema import NO_RESOURCE
-from flowloom.sources.pieces import numbered, pieces, records
+from flowloom.sources.pieces import counted_before, numbered, pieces, quotes, records, within
+from flowloom.sources.scratch import written
 
 # Names of columns that are taken for a field.
 ALIASES = {
@@ -21,26 +20,13 @@ ALIASES = {
     "lifecycle": ["lifecycle:transition", "lifecycle", "ciclo"],
 }
 REQUIRED = ["case_id", "activity", "timestamp"]
+EMPTY = "O CSV precisa ter cabeçalho e pelo menos um evento."
 
 
-def folded(header: str) -> str:
-    """Lower case without accents, and nothing but letters, digits, colon and underscore."""
-    plain = unicodedata.normalize("NFD", header.strip().lower())
-    return "".join(c for c in plain if c in ":_" or (c.isascii() and c.isalnum()))
-
-
-def resolve(headers: list[str]) -> dict[str, int]:
-    """Field -> place of the first column that may be it."""
-    names = [folded(h) for h in headers]
-    found = {field: next((i for i, n in enumerate(names) if n in known), -1) for field, known in ALIASES.items()}
-    missing = [f for f in REQUIRED if found[f] < 0]
-    if missing:
-        raise ValueError(f"Colunas obrigatórias ausentes: {', '.join(missing)}.")
-    return {f: i for f, i in found.items() if i >= 0}
-
-
-def _separator(line: str) -> str:
-    return ";" if line.count(";") > line.count(",") else ","
+def _separator(line: Column) -> Column:
+    """The semicolon if a line has more of them than of commas."""
+    count = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    return F.when(count(";") > count(","), ";").otherwise(",")
 
 
 def _fields(line: Column, sep: str) -> Column:
@@ -52,56 +38,106 @@ def _fields(line: Column, sep: str) -> Column:
     return F.transform(raw, lambda x: trim_all(inner(x)))
 
 
-def raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def _places(head: Column) -> dict[str, Column]:
+    """Field -> place of the first column of a header that may be it; null if there is none."""
+    place = lambda known: F.array_min(F.filter(F.transform(head, lambda h, i: F.when(folded(h).isin(known), i)), lambda i: i.isNotNull()))
+    return {field: place(known) for field, known in ALIASES.items()}
+
+
+def headers(cells: DataFrame) -> DataFrame:
+    """(file, head, first, place of each field): the first row of each file. cells: file, block, at, n, cells. A missing field is an error."""
+    order = F.struct("block", "at", "n")
+    tops = cells.groupBy("file").agg(F.min_by("cells", order).alias("head"), F.min(order).alias("first"))
+    heads = written(tops.select("*", F.struct(*(p.alias(f) for f, p in _places(F.col("head")).items())).alias("place")), "headers")
+    missing = F.concat_ws(", ", *(F.when(F.col("place")[f].isNull(), F.lit(f)) for f in REQUIRED))
+    bad = heads.where(missing != "").orderBy("file").select(missing).first()
+    if bad:
+        raise ValueError(f"Colunas obrigatórias ausentes: {bad[0]}.")
+    if heads.isEmpty():
+        raise ValueError(EMPTY)
+    return heads
+
+
+def raw_csv(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
     """Rows of CSV files as raw text: seq, case_id, activity, timestamp, resource, lifecycle, attributes.
 
-    The separator is the semicolon if the first line has more of them than of commas. All fields are trimmed, rows without
-    any value go, missing fields are empty. The first row of each file is its header; all files have the columns of the first
-    one. Columns that are no field become attributes under their own names; of equal names the last holds. Rows are ordered
-    by file, block and place. A quote that is never closed is refused. Files are read in blocks, also where records span lines.
+    Every file has its own separator, the semicolon if its first line has more of them than of commas, and its own header, its
+    first row. All fields are trimmed, line ends within quotes stay as they are, rows without any value go, missing fields are
+    empty. Columns that are no field become attributes under their own names; of equal names the last holds. Rows are
+    ordered by file, block and place. A quote that is never closed is refused before any row is put together. Files are read
+    in blocks, also where records span lines; `only` limits them, a row for each file.
     """
-    lines = pieces(spark, path)
-    first = lines.orderBy("file", "block", "at").select("value").first()
-    if first is None:
-        raise ValueError("O CSV precisa ter cabeçalho e pelo menos um evento.")
-    sep = _separator(first["value"].lstrip("\ufeff"))
-    odd = F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2 != F.length("value") % 2
-    rows = lines.withColumn("closed", F.lit(True)) if lines.where(odd).isEmpty() else records(lines)
-    if not rows.where(~F.col("closed")).isEmpty():
+    lines = pieces(spark, path, only=only)
+    odd = quotes("value") % 2
+    first = F.regexp_replace(F.min_by("value", F.struct("block", "at")), "^\ufeff", "")
+    told = written(lines.groupBy("file").agg(_separator(first).alias("sep"), (F.sum(odd) % 2).alias("open"), F.max(odd).alias("odd")), "csv_files")
+    whole = told.agg(F.max("open"), F.max("odd")).first()
+    if whole[0] is None:
+        raise ValueError(EMPTY)
+    if whole[0]:
         raise ValueError("O CSV contém um campo com aspas não fechado.")
-    cells = rows.select("file", "block", "at", _fields(F.regexp_replace("value", "^\ufeff", ""), sep).alias("cells")).where(F.array_join("cells", "") != "")
-    heads = cells.groupBy("file").agg(F.min(F.struct("block", "at")).alias("head"))
-    top = cells.orderBy("file", "block", "at").select("cells").first()
-    if top is None:
-        raise ValueError("O CSV precisa ter cabeçalho e pelo menos um evento.")
-    head = list(top["cells"])
-    place = resolve(head)
-    cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
-    own = {h: i for i, h in enumerate(head) if h and i not in place.values()}
-    attributes = F.create_map(*(x for h, i in own.items() for x in (F.lit(h), cell(i)))) if own else F.lit(None)
-    field = lambda f: cell(place[f]) if f in place else F.lit("")
-    events = cells.join(F.broadcast(heads), "file").where(F.struct("block", "at") != F.col("head"))
-    return events.select(F.col("at").alias("seq"), *(field(f).alias(f) for f in ALIASES), attributes.cast("map<string,string>").alias("attributes"))
-
-
-def raw_xes(spark: SparkSession, path: str) -> DataFrame:
+    value = F.regexp_replace("value", "^\ufeff", "")
+    if whole[1]:
+        # a record spans lines: their ends are kept, and a carriage return alone ends a record outside of quotes
+        cut = F.regexp_extract_all(F.concat(value, F.lit("\r")), F.lit(r'((?:[^"\r]++|"[^"]*+")*+)\r'), F.lit(1))
+        rows = records(pieces(spark, path, "\n", only)).select("file", "block", "at", F.posexplode(cut).alias("n", "value"))
+    else:
+        rows = lines.select("file", "block", "at", F.lit(0).alias("n"), value.alias("value"))
+    line = F.col("value")
+    cells = F.when(F.col("sep") == ";", _fields(line, ";")).otherwise(_fields(line, ","))
+    cells = rows.join(F.broadcast(told.select("file", "sep")), "file").select("file", "block", "at", "n", cells.alias("cells")).where(F.array_join("cells", "") != "")
+    heads = headers(cells)
+    cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
+    taken = F.array_compact(F.array(*(F.col("place")[f] for f in ALIASES)))
+    own = F.filter(F.transform("head", lambda h, i: F.when((h != "") & ~F.array_contains(taken, i), F.struct(h.alias("key"), cell(i).alias("value")))), lambda x: x.isNotNull())
+    # of equal names the last holds
+    last = F.filter(own, lambda x, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda y: y["key"] == x["key"]))
+    events = cells.join(F.broadcast(heads), "file").where(F.struct("block", "at", "n") != F.col("first"))
+    return events.select(within(F.col("at"), F.col("n"), 20, 28, 15).alias("seq"), *(cell(F.col("place")[f]).alias(f) for f in ALIASES), F.when(F.size(own) > 0, F.map_from_entries(last)).alias("attributes"))
+
+
+def _traces(spark: SparkSession, path: str, only: DataFrame | None) -> DataFrame:
+    """(file, block, at, trace): from the start tag of a trace to its end, which may be written in any case."""
+    end = F.col("value").rlike("(?i)</trace$")
+    tags = pieces(spark, path, ">", only)
+    told = written(tags.groupBy("file").agg(F.count_if(end).alias("ends"), F.collect_set(F.when(end, F.right("value", F.lit(7)))).alias("forms"), F.max(F.col("value").rlike("(?i)<!DOCTYPE|<!ENTITY")).alias("typed")), "xes_files")
+    forms = sorted(r["form"] for r in told.select(F.explode("forms").alias("form")).distinct().collect())
+    if not told.where("typed").isEmpty():
+        raise ValueError("O XES não pode conter DOCTYPE ou entidades.")
+    trace = F.regexp_extract("value", r"(?is)<trace\b.*$", 0)
+    if len(forms) <= 1:
+        # a piece is a trace; what follows the last end of a file is none
+        parts = pieces(spark, path, (forms or ["</trace"])[0] + ">", only)
+        counted = parts.groupBy("file").agg(F.count("*").alias("n"), F.max(F.struct("block", "at")).alias("last"))
+        after = counted.join(told, "file").where("n > ends").select("file", "last")
+        parts = parts.join(F.broadcast(after), "file", "left").where(F.col("last").isNull() | (F.struct("block", "at") != F.col("last"))).drop("last")
+    else:
+        # ends are written in several ways: tags are put together by the number of ends before them
+        rows = tags.withColumn("e", end.cast("long"))
+        own = Window.partitionBy("file", "block").orderBy("at")
+        k = F.col("before") + F.sum("e").over(own) - F.col("e")
+        rows = rows.join(F.broadcast(counted_before(rows, F.col("e"))), ["file", "block"]).withColumn("k", k)
+        made = rows.groupBy("file", "k").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("l"), F.max("e").alias("closed")).where("closed = 1")
+        parts = made.select("file", F.col("l")[0]["block"].alias("block"), F.col("l")[0]["at"].alias("at"), F.array_join(F.transform("l", lambda x: x["value"]), ">").alias("value"))
+    return parts.select("file", "block", "at", trace.alias("trace")).where("trace <> ''")
+
+
+def raw_xes(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
     """Events of XES files as raw text; the case is the name of the trace, else caso- and its number in the file.
 
-    A file with a document type or an entity is refused. Files are split at the ends of traces, so a row holds one trace.
+    Traces and events are what stands from a start tag, whatever is in it, to the next end tag, in any case; one that is
+    never closed is none. A file with a document type or an entity is refused. Files are split at the ends of traces, so a row
+    holds a trace; `only` limits them, a row for each file.
     """
-    parts = pieces(spark, path, "</trace>")
-    if not parts.where(F.col("value").rlike(r"(?i)<!DOCTYPE|<!ENTITY")).isEmpty():
-        raise ValueError("O XES não pode conter DOCTYPE ou entidades.")
-    traces = numbered(parts.withColumn("trace", F.regexp_extract("value", r"(?is)<trace\b[^>]*>(.*)$", 1)).where(F.col("value").rlike(r"(?i)<trace\b[^>]*>")).drop("value"))
-    before = F.when(F.col("trace").rlike(r"(?i)<event\b"), F.regexp_extract("trace", r"(?is)^(.*?)<event\b", 1)).otherwise("")
+    traces = numbered(_traces(spark, path, only))
+    before = F.when(F.contains("trace", F.lit("<event")), F.substring_index("trace", "<event", 1)).otherwise("")
     name = _attribute(before, "concept:name")
     cases = traces.select("at", F.when(name == "", F.concat(F.lit("caso-"), F.col("n").cast("string"))).otherwise(name).alias("case_id"), "trace")
-    events = cases.select("at", "case_id", F.posexplode(F.regexp_extract_all("trace", F.lit(r"(?is)<event\b[^>/]*>(.*?)</event>"), F.lit(1))).alias("m", "event"))
+    events = cases.select("at", "case_id", F.posexplode(F.regexp_extract_all("trace", F.lit(r"(?is)<event\b.*?</event>"), F.lit(0))).alias("m", "event"))
     e = F.col("event")
-    # traces in the order of reading (task, place in it), events in that of the trace: 20, 23 and 20 bits
-    task, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     return events.select(
-        (F.shiftleft(task, 43) + F.shiftleft(row, 20) + F.col("m")).alias("seq"), "case_id", _attribute(e, "concept:name").alias("activity"), _attribute(e, "time:timestamp").alias("timestamp"),
+        # traces in the order of reading, events in that of the trace
+        within(F.col("at"), F.col("m"), 20, 23, 20).alias("seq"), "case_id", _attribute(e, "concept:name").alias("activity"), _attribute(e, "time:timestamp").alias("timestamp"),
         _attribute(e, "org:resource").alias("resource"), _attribute(e, "lifecycle:transition").alias("lifecycle"), F.lit(None).cast("map<string,string>").alias("attributes"),
     )
 
@@ -115,10 +151,23 @@ def _attribute(block: Column, key: str) -> Column:
     return trim_all(text)
 
 
+def kinds(spark: SparkSession, path: str) -> DataFrame:
+    """(file, xes): whether a file is XES, by its name or by its first thousand characters."""
+    lines = pieces(spark, path).where("block = 0")
+    first = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where("n <= 1000").withColumn("value", F.left("value", F.lit(1000)))
+    start = F.lower(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]), "\n"), F.lit(1000)))
+    return first.groupBy("file").agg(start.alias("start")).select("file", (F.lower("file").endswith(".xes") | F.col("start").rlike(r"<log\b|<trace\b")).alias("xes"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """By name or by what the file begins with: XES or CSV."""
-    start = spark.read.text(path).limit(20).agg(F.concat_ws("\n", F.collect_list("value"))).first()[0][:1000].lower()
-    return raw_xes(spark, path) if path.lower().endswith(".xes") or "<log" in start or "<trace" in start else raw_csv(spark, path)
+    """Each file by its kind, XES or CSV; of a folder with both, the events of all."""
+    told = written(kinds(spark, path), "kinds")
+    some = {r["xes"] for r in told.select("xes").distinct().collect()}
+    if len(some) < 2:
+        return raw_xes(spark, path) if some == {True} else raw_csv(spark, path)
+    # CSV rows go before XES events, as their order is told within a kind only
+    csv, xes = (read(spark, path, told.where(F.col("xes") == flag).select("file")) for read, flag in ((raw_csv, False), (raw_xes, True)))
+    return csv.unionByName(xes.withColumn("seq", F.col("seq").bitwiseOR(F.lit(1 << 62))))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
