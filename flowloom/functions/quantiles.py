@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.sources.scratch import written
+
 MANTISSA_BITS = 12
 CUTS = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 SUMMARY = ["n", "mean", "sd", "min", "p25", "median", "p75", "p90", "p95", "max", "iqr"]
@@ -35,12 +37,13 @@ def _lowest(value: Column) -> Column:
 def summaries(df: DataFrame, value: str, keys: list[str], unit: float = 1.0, cuts: dict[str, float] | None = None) -> DataFrame:
     """keys, n, mean, sd, min, max and a double for each cut, interpolated between neighbours. value: BIGINT of zero or more.
 
-    Nulls do not count, and groups without values have no row. Results are divided by `unit`; keys must not be null.
+    The counts are written to the shared folder at once. Nulls do not count, and groups without values have no row. Results are divided by `unit`; keys must not be null.
     """
     cuts = CUTS if cuts is None else cuts
     if not keys:
         return summaries(df.withColumn("_all", F.lit(0)), value, ["_all"], unit, cuts).drop("_all")
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k")).withColumn("_b", bucket(F.col("_v")))
+    # read twice below, and by whoever reads the result again: the input is read once
+    counted = written(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k")).withColumn("_b", bucket(F.col("_v"))), "counted")
     above = (F.col("_v") - _lowest(F.col("_v"))).cast("double")
     coarse = counted.groupBy(*keys, "_b").agg(
         F.sum("_k").alias("_k"), F.sum(F.col("_k") * F.col("_v").cast("double")).alias("_s"), F.sum(F.col("_k") * above).alias("_d1"), F.sum(F.col("_k") * above * above).alias("_d2"),

@@ -216,7 +216,7 @@ def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alignments(cases: DataFrame, moves: bool = True) -> DataFrame:
-    """For each held-out case: cost, fitness, reference path, and the moves if asked for. cases: traces with is_validation."""
+    """For each held-out case: cost, fitness, reference path, and the moves if asked for. cases: traces with is_validation, read several times."""
     validation, train = cases.where("is_validation"), cases.where("not is_validation")
     nearest = nearest_variants(validation, train)
     fitness = F.greatest(F.lit(0.0), 1 - F.col("cost") / F.greatest(F.lit(1), F.size("path") + F.size("reference")))
@@ -247,7 +247,7 @@ def coverage(cases: DataFrame) -> DataFrame:
 
 
 def summary(cases: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
-    """One row for the whole held-out set."""
+    """One row for the whole held-out set. cases: traces with is_validation, read several times; `aligned` if they are aligned already."""
     aligned = alignments(cases, moves=False) if aligned is None else aligned
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     told = aligned.agg(

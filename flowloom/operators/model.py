@@ -1,18 +1,22 @@
-"""Discovery of a cut-based process tree from directly-follows pairs.
+"""Discovery of a cut-based process tree from directly-follows pairs, level by level.
 
-Every cut is decided by which pairs and activities occur at all, so each node of the tree asks Spark for the distinct
-pairs of its projected paths: at most the square of the activities comes back, however many paths there are.
+Every cut is decided by which pairs and activities occur at all, and a node's paths are the log's, with its activities alone. So one job
+finds the distinct pairs of all nodes of a depth: nodes of a depth share no activity, and at most the square of the activities
+comes back, however many paths there are. Where nodes of a depth have no cut, one more job finds their first paths.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowloom.sources.scratch import written
+
 MAX_DEPTH, MAX_PATHS = 24, 24
 
 
@@ -50,13 +54,21 @@ class Graph:
         return out
 
 
-def graph(paths: DataFrame) -> Graph:
-    """Activities and distinct consecutive pairs of a column of paths."""
+def _pairs(paths: DataFrame, *keys: str) -> DataFrame:
+    """Distinct consecutive pairs of a column of paths, by keys; with null after the last activity."""
     told = F.explode(F.transform("path", lambda a, i: F.struct(a.alias("a"), F.get("path", i + 1).alias("b"))))
-    rows = paths.select(told.alias("s")).select("s.a", "s.b").distinct().collect()  # (activities + 1) ** 2 rows at most
+    return paths.select(*keys, told.alias("s")).select(*keys, "s.a", "s.b").distinct()
+
+
+def _graph(rows: list) -> Graph:
     return Graph(sorted({r["a"] for r in rows}), {(r["a"], r["b"]) for r in rows if r["b"] is not None})
 
 
+def graph(paths: DataFrame) -> Graph:
+    """Activities and distinct consecutive pairs of a column of paths."""
+    return _graph(_pairs(paths).collect())  # (activities + 1) ** 2 rows at most
+
+
 def _reached(start: str, to: dict[str, set[str]]) -> set[str]:
     seen, open_ = {start}, [start]
     while open_:
@@ -96,32 +108,69 @@ def layers(g: Graph) -> list[list[str]]:
     return [sorted(x) for x in out]
 
 
-def projected(paths: DataFrame, activities: list[str]) -> DataFrame:
-    """Paths with only these activities; paths without any go."""
-    kept = F.array(*map(F.lit, activities))
-    return paths.withColumn("path", F.filter("path", lambda a: F.array_contains(kept, a))).where(F.size("path") > 0)
+def of_nodes(paths: DataFrame, nodes: dict[int, list[str]]) -> DataFrame:
+    """node, path, first_case: for each node the paths with only its activities; paths without any go."""
+    table = F.array(*(F.struct(F.lit(n).alias("node"), F.array(*map(F.lit, acts)).alias("acts")) for n, acts in nodes.items()))
+    own = F.transform(table, lambda n: F.struct(n["node"].alias("node"), F.filter("path", lambda a: F.array_contains(n["acts"], a)).alias("path")))
+    kept = F.explode(F.filter(own, lambda x: F.size(x["path"]) > 0))
+    return paths.select(kept.alias("x"), "first_case").select("x.node", "x.path", "first_case")
+
+
+def _first_paths(rows: DataFrame) -> dict[int, list[list[str]]]:
+    """Of each node its MAX_PATHS first distinct paths."""
+    first = rows.groupBy("node", "path").agg(F.min("first_case").alias("at"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("at", "path"))).where(F.col("n") <= MAX_PATHS)
+    out: dict[int, list[list[str]]] = {}
+    for r in sorted(ranked.collect(), key=lambda r: r["n"]):
+        out.setdefault(r["node"], []).append(list(r["path"]))
+    return out
 
 
-def tree(paths: DataFrame, depth: int = 0) -> tuple[dict, int]:
-    """(tree, number of fallbacks). paths: path, first_case."""
-    g = graph(paths)
+def _cut(g: Graph, depth: int) -> tuple[dict, list[list[str]] | None]:
+    """(node, activities of its children, if these are nodes of the next depth); None: there is no cut."""
     if not g.activities:
-        return {"operator": "tau"}, 0
+        return {"operator": "tau"}, []
     if len(g.activities) == 1:
         only = leaf(g.activities[0])
-        return ({"operator": "loop", "children": [only, {"operator": "tau"}]} if g.repeats else only), 0
+        return ({"operator": "loop", "children": [only, {"operator": "tau"}]} if g.repeats else only), []
     if depth > MAX_DEPTH:
-        return {"operator": "xor", "children": [leaf(a) for a in g.activities]}, 1
-    parts, several = components(g), not _strongly_connected(g)
-    if len(parts) > 1 or several:
-        operator = "xor" if len(parts) > 1 else "sequence"
-        made = [tree(projected(paths, part), depth + 1) for part in (parts if len(parts) > 1 else layers(g))]
-        return {"operator": operator, "children": [t for t, _ in made]}, sum(n for _, n in made)
+        return {"operator": "xor", "children": [leaf(a) for a in g.activities]}, []
+    if len(parts := components(g)) > 1:
+        return {"operator": "xor", "children": []}, parts
+    if not _strongly_connected(g):
+        return {"operator": "sequence", "children": []}, layers(g)
     if all((a, b) in g.pairs for a in g.activities for b in g.activities if a != b):
-        return {"operator": "parallel", "children": [leaf(a) for a in g.activities]}, 0
-    first = paths.groupBy("path").agg(F.min("first_case").alias("at")).orderBy("at").limit(MAX_PATHS).collect()
-    told = [leaf(r["path"][0]) if len(r["path"]) == 1 else {"operator": "sequence", "children": [leaf(a) for a in r["path"]]} for r in first]
-    return {"operator": "xor", "children": told}, 1
+        return {"operator": "parallel", "children": [leaf(a) for a in g.activities]}, []
+    return {"operator": "xor", "children": []}, None
+
+
+def tree(paths: DataFrame) -> tuple[dict, int]:
+    """(tree, number of fallbacks). paths: path, first_case; read once or twice for each depth of the tree."""
+    fallbacks, depth, names = 0, 0, itertools.count()
+    made: dict[int, dict] = {}
+    root = next(names)
+    level: dict[int, tuple[Graph, dict | None]] = {root: (graph(paths), None)}
+    while level:
+        below, stuck = {}, {}
+        for n, (g, parent) in level.items():
+            made[n], parts = _cut(g, depth)
+            fallbacks += depth > MAX_DEPTH and len(g.activities) > 1
+            if parent is not None:
+                parent["children"].append(made[n])
+            if parts is None:
+                stuck[n] = g.activities
+            for part in parts or []:
+                below[next(names)] = part, made[n]
+        if stuck:
+            for n, told in _first_paths(of_nodes(paths, stuck)).items():
+                made[n]["children"] = [leaf(p[0]) if len(p) == 1 else {"operator": "sequence", "children": [leaf(a) for a in p]} for p in told]
+                fallbacks += 1
+        rows: dict[int, list] = {n: [] for n in below}
+        if below:
+            for r in _pairs(of_nodes(paths, {n: part for n, (part, _) in below.items()}), "node").collect():
+                rows[r["node"]].append(r)
+        level, depth = {n: (_graph(rows[n]), parent) for n, (_, parent) in below.items()}, depth + 1
+    return made[root], fallbacks
 
 
 def _strongly_connected(g: Graph) -> bool:
@@ -150,7 +199,7 @@ NODES = "node_id int, parent_id int, ord int, operator string, activity string,
 
 
 def tree_table(spark: SparkSession, train: DataFrame) -> DataFrame:
-    root, _ = tree(variants_in_order(train).cache())
+    root, _ = tree(written(variants_in_order(train), "variants"))
     return spark.createDataFrame(nodes(root), NODES)
 
 
@@ -168,7 +217,7 @@ def model(spark: SparkSession, train: DataFrame) -> DataFrame:
     edges = retained_edges(train).collect()
     ends = start_end(train).collect()
     count = train.count()
-    root, fallbacks = tree(variants_in_order(train).cache())
+    root, fallbacks = tree(written(variants_in_order(train), "variants"))
     pick = lambda kind: sorted(r["activity"] for r in ends if r["kind"] == kind)
     kept = sorted("edge:" + stable_hash_of(r["from_activity"] + SEPARATOR + r["to_activity"]) for r in edges if r["retained"])
     row = ("inductive-dfg", "2.0.0", max(1, -(-count // 100)), pick("start"), pick("end"), kept, len(kept), len(edges), json.dumps(root, ensure_ascii=False), fallbacks)

@@ -69,11 +69,11 @@ WITH ev AS (
 STEPS = SESSION + """, steps AS (
   SELECT case_id, seq, activity, resource, ts_ms, lead(activity) OVER w AS next_activity, lead(ts_ms) OVER w AS next_ts_ms,
     greatest(0.0, (lead(ts_ms) OVER w - ts_ms) / 86400000.0) AS wait FROM log WINDOW w AS (PARTITION BY case_id ORDER BY ts_ms, seq)
-), st AS (SELECT * EXCLUDE (wait), CASE WHEN next_activity IS NOT NULL THEN wait END AS wait_days FROM steps)"""
+), st AS (SELECT * EXCLUDE (wait), CASE WHEN next_activity IS NOT NULL THEN wait END AS wait_days, CASE WHEN next_activity IS NOT NULL THEN greatest(0, next_ts_ms - ts_ms) END AS wait_ms FROM steps)"""
 
 TRACES = SESSION + """, traces AS (
   SELECT case_id, list(activity ORDER BY ts_ms, seq) AS path, string_agg(activity, chr(31) ORDER BY ts_ms, seq) AS path_key, count(*) AS n_events,
-    min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0) AS lead_days FROM log GROUP BY case_id
+    min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0) AS lead_days, max(ts_ms) - min(ts_ms) AS lead_ms FROM log GROUP BY case_id
 )"""
 
 SPLIT = TRACES + f", sides AS (SELECT *, {half_sql('case_id', 0)} % 5 = 0 AS is_validation FROM traces)"
@@ -82,26 +82,28 @@ PAIRS = """, p AS (
 )"""
 
 
-def summary_sql(x: str, prefix: str = "") -> str:
-    cut = lambda p: f"coalesce(quantile_cont({x}, {p}), 0)"
+def summary_sql(ms: str, prefix: str = "") -> str:
+    """In days, of a column of milliseconds: whole numbers are averaged and parted, and divided last."""
+    days = lambda x: f"coalesce({x}, 0) / 86400000"
+    cut = lambda p: days(f"quantile_cont({ms}, {p})")
     told = {
-        "n": f"count({x})", "mean": f"coalesce(avg({x}), 0)", "sd": f"coalesce(stddev_samp({x}), 0)", "min": f"coalesce(min({x}), 0)", "p25": cut(0.25), "median": cut(0.5),
-        "p75": cut(0.75), "p90": cut(0.9), "p95": cut(0.95), "max": f"coalesce(max({x}), 0)", "iqr": f"{cut(0.75)} - {cut(0.25)}",
+        "n": f"count({ms})", "mean": days(f"avg({ms})"), "sd": days(f"stddev_samp({ms})"), "min": days(f"min({ms})"), "p25": cut(0.25), "median": cut(0.5),
+        "p75": cut(0.75), "p90": cut(0.9), "p95": cut(0.95), "max": days(f"max({ms})"), "iqr": f"{cut(0.75)} - {cut(0.25)}",
     }
     return ", ".join(f"{v} AS {prefix}{k}" if k == "n" else f"round({v}, 6) AS {prefix}{k}" for k, v in told.items())
 
 
 EDGES = STEPS + f""", edges AS (
-  SELECT activity AS from_activity, next_activity AS to_activity, count(DISTINCT case_id) AS case_count, {summary_sql('wait_days')}
+  SELECT activity AS from_activity, next_activity AS to_activity, count(DISTINCT case_id) AS case_count, {summary_sql('wait_ms')}
   FROM st WHERE next_activity IS NOT NULL GROUP BY ALL
 ), named AS (SELECT *, 'edge:' || {hash_sql("from_activity || chr(31) || to_activity")} AS edge_id FROM edges)"""
 ACTIVITIES = STEPS + f""", acts AS (
   SELECT activity, count(*) AS events, count(DISTINCT case_id) AS case_count,
-    coalesce(list_sort(list(DISTINCT resource) FILTER (WHERE resource <> 'Não informado')), []) AS resources, {summary_sql('wait_days', 'wait_')} FROM st GROUP BY activity
+    coalesce(list_sort(list(DISTINCT resource) FILTER (WHERE resource <> 'Não informado')), []) AS resources, {summary_sql('wait_ms', 'wait_')} FROM st GROUP BY activity
 )"""
-VARIANTS = TRACES + f""", overall AS (SELECT quantile_cont(lead_days, 0.5) AS m, count(*) AS total FROM traces), vars AS (
-  SELECT path_key, any_value(path) AS path, {summary_sql('lead_days', 'lead_')}, round(count(*) / any_value(total), 6) AS share,
-    round(quantile_cont(lead_days, 0.5) - any_value(m), 6) AS impact FROM traces, overall GROUP BY path_key
+VARIANTS = TRACES + f""", overall AS (SELECT quantile_cont(lead_ms, 0.5) / 86400000 AS m, count(*) AS total FROM traces), vars AS (
+  SELECT path_key, any_value(path) AS path, {summary_sql('lead_ms', 'lead_')}, round(count(*) / any_value(total), 6) AS share,
+    round(quantile_cont(lead_ms, 0.5) / 86400000 - any_value(m), 6) AS impact FROM traces, overall GROUP BY path_key
 ), vnamed AS (SELECT *, 'variant:' || {hash_sql('path_key')} AS variant_id FROM vars)"""
 
 
@@ -205,25 +207,25 @@ def variant_stats(spark, sf_dir):
     return _variants(spark, sf_dir).select(text_id("variant", F.col("path_key")).alias("variant_id"), shown(), "n", "share", "lead_mean", "lead_median", "lead_p90", "lead_sd", "impact")
 
 
-@query(TRACES + " SELECT strftime(make_timestamp(end_ms * 1000), '%Y-%m') AS month, count(*) AS cases, round(quantile_cont(lead_days, 0.5), 6) AS median_lead_days FROM traces GROUP BY 1")
+@query(TRACES + " SELECT strftime(make_timestamp(end_ms * 1000), '%Y-%m') AS month, count(*) AS cases, round(quantile_cont(lead_ms, 0.5) / 86400000, 6) AS median_lead_days FROM traces GROUP BY 1")
 def trend(spark, sf_dir):
     return profile.trend(_traces(spark, sf_dir))
 
 
 @query("""
-WITH c AS (SELECT l_orderkey, max(epoch_us(l_shipdate) // 1000) AS end_ms, greatest(0.0, (max(epoch_us(l_shipdate) // 1000) - min(epoch_us(l_shipdate) // 1000)) / 86400000.0) AS lead_days FROM lineitem GROUP BY 1)
-SELECT strftime(make_timestamp(end_ms * 1000), '%Y-%m') AS month, count(*) AS cases, round(quantile_cont(lead_days, 0.5), 6) AS median_lead_days FROM c GROUP BY 1""")
+WITH c AS (SELECT l_orderkey, max(epoch_us(l_shipdate) // 1000) AS end_ms, greatest(0.0, (max(epoch_us(l_shipdate) // 1000) - min(epoch_us(l_shipdate) // 1000)) / 86400000.0) AS lead_days, max(epoch_us(l_shipdate) // 1000) - min(epoch_us(l_shipdate) // 1000) AS lead_ms FROM lineitem GROUP BY 1)
+SELECT strftime(make_timestamp(end_ms * 1000), '%Y-%m') AS month, count(*) AS cases, round(quantile_cont(lead_ms, 0.5) / 86400000, 6) AS median_lead_days FROM c GROUP BY 1""")
 def order_trend(spark, sf_dir):
     return profile.trend(base.traces(adapters.order_line_log(spark, sf_dir)))
 
 
-@query(TRACES + """ SELECT count(*) AS case_count, round(avg(lead_days), 6) AS avg_lead_days, round(quantile_cont(lead_days, 0.5), 6) AS median_lead_days, round(quantile_cont(lead_days, 0.9), 6) AS p90_lead_days,
+@query(TRACES + """ SELECT count(*) AS case_count, round(avg(lead_ms) / 86400000, 6) AS avg_lead_days, round(quantile_cont(lead_ms, 0.5) / 86400000, 6) AS median_lead_days, round(quantile_cont(lead_ms, 0.9) / 86400000, 6) AS p90_lead_days,
   round(avg(CASE WHEN len(list_distinct(path)) = len(path) THEN 1.0 ELSE 0.0 END), 6) AS first_pass_rate, sum(n_events - 1)::BIGINT AS transition_count, (SELECT count(*) FROM log) AS event_count FROM traces""")
 def metrics(spark, sf_dir):
     return profile.metrics(_log(spark, sf_dir), _traces(spark, sf_dir))
 
 
-@query(TRACES + f" SELECT 'all' AS what, {summary_sql('lead_days')} FROM traces")
+@query(TRACES + f" SELECT 'all' AS what, {summary_sql('lead_ms')} FROM traces")
 def distribution_summary(spark, sf_dir):
     from flowloom.functions.stats import summarise
 
@@ -265,8 +267,8 @@ def activity_edges(spark, sf_dir):
     return profile.edges_of(_edges(spark, sf_dir), "click").select("from_activity", "to_activity", "n")
 
 
-@query(EDGES + """, tr AS (SELECT case_id, list(activity ORDER BY ts_ms, seq) AS path, string_agg(activity, chr(31) ORDER BY ts_ms, seq) AS path_key, greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0) AS lead_days FROM log GROUP BY case_id),
-tv AS (SELECT path_key, any_value(path) AS path, count(*) AS n, quantile_cont(lead_days, 0.5) AS m FROM tr GROUP BY path_key),
+@query(EDGES + """, tr AS (SELECT case_id, list(activity ORDER BY ts_ms, seq) AS path, string_agg(activity, chr(31) ORDER BY ts_ms, seq) AS path_key, greatest(0.0, (max(ts_ms) - min(ts_ms)) / 86400000.0) AS lead_days, max(ts_ms) - min(ts_ms) AS lead_ms FROM log GROUP BY case_id),
+tv AS (SELECT path_key, any_value(path) AS path, count(*) AS n, quantile_cont(lead_ms, 0.5) / 86400000 AS m FROM tr GROUP BY path_key),
 best AS (SELECT path FROM tv ORDER BY n DESC, m DESC, path_key LIMIT 1),
 shown AS (SELECT from_activity, to_activity, n, edge_id, path FROM named, best WHERE list_contains(path, from_activity) AND list_contains(path, to_activity))
 SELECT from_activity, to_activity, n, list_position(list_distinct_ordered, from_activity)::BIGINT AS from_stage, list_position(list_distinct_ordered, to_activity)::BIGINT AS to_stage
@@ -487,6 +489,21 @@ def process_tree(spark, sf_dir):
     return model.tree_table(spark, _sides(adapters.funnel_log(spark, sf_dir)).where("not is_validation"))
 
 
+#: By its making, the log's tree has one of each cut: a sequence around a choice of two activities in any order, of three that follow
+#: each other in a ring (no cut: its paths, the first case's first) and of one that repeats.
+@query("""
+WITH c AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS case_id, o_orderkey // 4 % 3 AS way FROM orders WHERE o_orderkey % 4 = 2), ring AS (SELECT way, row_number() OVER (ORDER BY min(case_id)) - 1 AS ord FROM c GROUP BY way),
+fixed AS (
+  SELECT * FROM (VALUES (0, NULL, 0, 'sequence', NULL, 0), (1, 0, 0, 'activity', 'received', 1), (2, 0, 1, 'xor', NULL, 1), (3, 2, 0, 'parallel', NULL, 2), (4, 3, 0, 'activity', 'assess', 3), (5, 3, 1, 'activity', 'audit', 3),
+    (6, 2, 1, 'xor', NULL, 2), (19, 2, 2, 'loop', NULL, 2), (20, 19, 0, 'activity', 'pack', 3), (21, 19, 1, 'tau', NULL, 3), (22, 0, 2, 'activity', 'closed', 1)) AS t(node_id, parent_id, ord, operator, activity, depth)
+)
+SELECT node_id::BIGINT AS node_id, parent_id::BIGINT AS parent_id, ord::BIGINT AS ord, operator, activity, depth::BIGINT AS depth FROM fixed
+UNION ALL SELECT 7 + 4 * ord, 6, ord, 'sequence', NULL, 3 FROM ring
+UNION ALL SELECT 8 + 4 * ord + i, 7 + 4 * ord, i, 'activity', (['blend', 'cut', 'dry'])[(way + i) % 3 + 1], 4 FROM ring, (SELECT unnest(range(3)) AS i)""")
+def process_tree_cuts(spark, sf_dir):
+    return model.tree_table(spark, base.traces(adapters.order_work_log(spark, sf_dir)))
+
+
 @query(FUNNEL + PAIRS.format(sides="fsides") + f""", tr AS (SELECT * FROM fsides WHERE NOT is_validation), bound AS (SELECT greatest(1, ceil(count(*) * 0.01))::BIGINT AS least FROM tr),
 counted AS (SELECT from_activity, to_activity, count(*) AS n FROM p WHERE NOT is_validation GROUP BY 1, 2),
 kept AS (SELECT list_sort(list('edge:' || {hash_sql("from_activity || chr(31) || to_activity")})) AS ids FROM counted, bound WHERE n >= least),
@@ -589,7 +606,7 @@ def _pt(x: str, decimals: int = 2) -> str:
 
 
 WHOLE = CONFORMED + ", steps AS " + EDGES.split(", steps AS ", 1)[1] + ", acts AS " + ACTIVITIES.split(", acts AS ", 1)[1] + ", overall AS " + VARIANTS.split(", overall AS ", 1)[1]
-_METRICS = """, mt AS (SELECT count(*) AS case_count, avg(lead_days) AS avg_lead_days, quantile_cont(lead_days, 0.5) AS median_lead_days, quantile_cont(lead_days, 0.9) AS p90_lead_days,
+_METRICS = """, mt AS (SELECT count(*) AS case_count, avg(lead_ms) / 86400000 AS avg_lead_days, quantile_cont(lead_ms, 0.5) / 86400000 AS median_lead_days, quantile_cont(lead_ms, 0.9) / 86400000 AS p90_lead_days,
   avg(CASE WHEN len(list_distinct(path)) = len(path) THEN 1.0 ELSE 0.0 END) AS first_pass_rate, sum(n_events - 1)::BIGINT AS transition_count, (SELECT count(*) FROM log) AS event_count FROM traces)"""
 
 

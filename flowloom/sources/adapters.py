@@ -61,6 +61,23 @@ def order_line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def order_work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each order: it is received, worked on in one of several ways, and closed, an hour for each step.
+
+    Of four orders, one has two steps in one order or the other, two have one step up to three times, and one has three steps
+    that begin anywhere in their ring.
+    """
+    o, ring = F.col("o_orderkey"), F.array(*map(F.lit, ["blend", "cut", "dry"]))
+    both = F.array(F.lit("assess"), F.lit("audit"))
+    turn = F.floor(o / 4)
+    turned = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get(ring, ((turn + i) % 3).cast("int")))
+    packs = F.array_repeat(F.lit("pack"), (turn % 3 + 1).cast("int"))
+    way = F.when(o % 4 == 1, F.when(turn % 2 == 0, both).otherwise(F.reverse(both))).when(o % 4 == 2, turned).otherwise(packs)
+    cases = _table(spark, sf_dir, "orders").select(F.lpad(o.cast("string"), 12, "0").alias("case_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("start"), F.concat(F.array(F.lit("received")), way, F.array(F.lit("closed"))).alias("path"))
+    steps = cases.select("case_id", "start", F.posexplode("path").alias("at", "activity"))
+    return _log(steps.select(F.col("at").cast("long").alias("seq"), "case_id", "activity", (F.col("start") + F.col("at") * 3_600_000).alias("ts_ms"), F.lit(NO_RESOURCE).alias("resource")))
+
+
 def funnel_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the session log, the events whose stage exceeds all stages before."""
     log = session_log(spark, sf_dir)
