@@ -1,8 +1,7 @@
-"""Evidence facts, read-only tools over a snapshot, and the gate for claims that cite facts."""
+"""Evidence facts, snapshots of them, and read-only tools over a snapshot; tables of calls and claims are in responses."""
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -117,10 +116,10 @@ def snapshot_faults(s: Snapshot) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("n is not null")
 
 
-def edge_facts(edges: DataFrame) -> DataFrame:
-    """Facts of transitions (edge_id, from_activity, to_activity, n, median, p90, p95, iqr)."""
+def edge_facts(edges: DataFrame, *more: str) -> DataFrame:
+    """Facts of transitions (edge_id, from_activity, to_activity, n, median, p90, p95, iqr), with more of their columns."""
     s, c = F.concat, F.col
-    return edges.select(*_fact(
+    return edges.select(*more, *_fact(
         F.substring(s(F.lit("tool-"), c("edge_id")), 1, MAX_ID), "distribution", s(c("from_activity"), F.lit(" → "), c("to_activity")), s(F.lit("mediana "), days_pt(c("median"))),
         s(F.lit("P90 "), days_pt(c("p90")), F.lit("; P95 "), days_pt(c("p95")), F.lit("; IQR "), days_pt(c("iqr")), F.lit("; "), count_pt(c("n")), F.lit(" ocorrências.")), s(F.lit("edges."), c("edge_id"), F.lit(".waitDays")),
     ))
@@ -133,17 +132,23 @@ def inspect_transition(edges: DataFrame, edge_id: str) -> DataFrame:
     return edge_facts(found)
 
 
+def variant_facts(variants: DataFrame, side: str | Column, *more: str) -> DataFrame:
+    """Facts of variants (variant_id, n, share, lead_median, lead_p90, impact) on one side of a comparison, with more of their columns."""
+    s, c = F.concat, F.col
+    side = F.lit(side) if isinstance(side, str) else side
+    return variants.select(*more, *_fact(
+        F.substring(s(F.lit("tool-"), side, F.lit("-"), c("variant_id")), 1, MAX_ID), "variant", s(F.lit("Variante "), c("variant_id")), s(count_pt(c("n")), F.lit(" casos")),
+        s(F.lit("Participação "), _percent(c("share")), F.lit("; mediana "), days_pt(c("lead_median")), F.lit("; P90 "), days_pt(c("lead_p90")), F.lit("; impacto "), days_pt(c("impact")), F.lit(".")), s(F.lit("variants."), c("variant_id")),
+    ))
+
+
 def compare_variants(variants: DataFrame, left: str, right: str) -> DataFrame:
     if left == right:
         raise ValueError("A comparação exige duas variantes distintas.")
-    s, c = F.concat, F.col
-    sided = variants.where(c("variant_id").isin(left, right)).withColumn("side", F.when(c("variant_id") == left, "left").otherwise("right"))
+    sided = variants.where(F.col("variant_id").isin(left, right))
     if sided.count() != 2:
         raise ValueError("Variante fora do escopo autorizado.")
-    return sided.select(*_fact(
-        F.substring(s(F.lit("tool-"), c("side"), F.lit("-"), c("variant_id")), 1, MAX_ID), "variant", s(F.lit("Variante "), c("variant_id")), s(count_pt(c("n")), F.lit(" casos")),
-        s(F.lit("Participação "), _percent(c("share")), F.lit("; mediana "), days_pt(c("lead_median")), F.lit("; P90 "), days_pt(c("lead_p90")), F.lit("; impacto "), days_pt(c("impact")), F.lit(".")), s(F.lit("variants."), c("variant_id")),
-    ))
+    return variant_facts(sided, F.when(F.col("variant_id") == left, "left").otherwise("right"))
 
 
 def rank_bottlenecks(edges: DataFrame, limit: int) -> DataFrame:
@@ -152,36 +157,6 @@ def rank_bottlenecks(edges: DataFrame, limit: int) -> DataFrame:
     return edge_facts(edges.orderBy(F.desc("median"), F.desc("n"), "edge_id").limit(limit))
 
 
-def parse_tool_call(name: str, arguments: str) -> tuple[str, dict]:
-    """A call with exactly the arguments its tool takes; anything else is an error."""
-    takes = {"inspect_transition_distribution": {"edgeId": str}, "compare_variants": {"leftId": str, "rightId": str}, "rank_bottlenecks": {"limit": int}}
-    try:
-        given = json.loads(arguments)
-    except json.JSONDecodeError as e:
-        raise ValueError("Argumentos da ferramenta não são JSON válido.") from e
-    if name not in takes or not isinstance(given, dict) or given.keys() != takes[name].keys():
-        raise ValueError(f"{name} does not take these arguments")
-    for key, kind in takes[name].items():
-        value = given[key]
-        fits = type(value) is kind and (1 <= len(value) <= 80 if kind is str else 1 <= value <= 5)
-        if not fits:
-            raise ValueError(f"{key} is out of bounds")
-    return name, given
-
-
-def run_tool(name: str, arguments: dict, edges: DataFrame, variants: DataFrame) -> DataFrame:
-    if name == "inspect_transition_distribution":
-        return inspect_transition(edges, arguments["edgeId"])
-    if name == "compare_variants":
-        return compare_variants(variants, arguments["leftId"], arguments["rightId"])
-    return rank_bottlenecks(edges, arguments["limit"])
-
-
-def run_tools(calls: list[tuple[str, str]], edges: DataFrame, variants: DataFrame) -> list[DataFrame]:
-    """The facts of the first MAX_TOOL_CALLS calls (name, arguments as JSON); what comes after them is not run."""
-    return [run_tool(*parse_tool_call(name, arguments), edges, variants) for name, arguments in calls[:MAX_TOOL_CALLS]]
-
-
 def merged_facts(parts: list[DataFrame]) -> DataFrame:
     """Facts of several lists: an id keeps its first place and takes its last value; the first forty."""
     rows = reduce(DataFrame.unionByName, (p.select(*FACT).withColumn("part", F.lit(i)).withColumn("place", F.monotonically_increasing_id()) for i, p in enumerate(parts)))
@@ -194,47 +169,3 @@ def has_number(text: Column) -> Column:
     word = r"(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
     counted = r"(?<![A-Za-z0-9_])(?:um|uma)\s+(?:%s)(?![A-Za-z0-9_])"
     return text.rlike(r"[0-9]|%|(?iu:" + word % NUMBER_WORDS + ")") | text.rlike("(?iu)" + counted % COUNTED_WORDS)
-
-
-def well_formed(claims: list[dict]) -> bool:
-    """Whether a response of claims keeps to the bounds of text, citations and type."""
-    def fits(c: dict) -> bool:
-        ids = c.get("citations")
-        return (
-            c.keys() == {"text", "citations", "type"} and isinstance(c["text"], str) and 12 <= len(c["text"]) <= 360 and isinstance(ids, list) and 1 <= len(ids) <= 4
-            and all(isinstance(i, str) and 1 <= len(i) <= 40 for i in ids) and c["type"] in ("observacao", "hipotese")
-        )
-
-    return isinstance(claims, list) and len(claims) <= 8 and all(isinstance(c, dict) and fits(c) for c in claims)
-
-
-def judged(claims: DataFrame, fact_ids: DataFrame) -> DataFrame:
-    """claims (place, text, citations, type) with reason: what speaks against a claim, or null."""
-    known = fact_ids.agg(F.collect_set("id").alias("ids"))  # at most MAX_FACTS
-    foreign = F.size(F.array_except("citations", "ids")) > 0
-    reason = F.when(foreign, "unknown citation").when(F.size(F.array_distinct("citations")) < F.size("citations"), "repeated citation").when(has_number(F.col("text")), "number in text")
-    return claims.crossJoin(F.broadcast(known)).withColumn("reason", reason).drop("ids")
-
-
-def gate(claims: DataFrame, fact_ids: DataFrame) -> DataFrame:
-    """The first four claims that nothing speaks against."""
-    return judged(claims, fact_ids).where("reason is null").orderBy("place").limit(MAX_CLAIMS).drop("reason")
-
-
-def ill_formed() -> Column:
-    """Whether a claim (text, citations, type) breaks the bounds of its form."""
-    cited = F.coalesce(F.size("citations").between(1, 4), F.lit(False)) & ~F.exists("citations", lambda i: ~F.coalesce(F.length(i).between(1, 40), F.lit(False)))
-    return _outside("text", 12, 360) | ~F.coalesce(cited, F.lit(False)) | ~F.coalesce(F.col("type").isin("observacao", "hipotese"), F.lit(False))
-
-
-def gate_report(claims: DataFrame, fact_ids: DataFrame, response: str) -> DataFrame:
-    """By response: how many claims were taken and rejected, and the message. claims: `response`, place, text, citations, type.
-
-    A response with more than eight claims or an ill-formed one is rejected as a whole, and counts as one rejection.
-    """
-    told = judged(claims, fact_ids).groupBy(response).agg(F.count("*").alias("n"), F.count_if(ill_formed()).alias("bad"), F.count_if(F.col("reason").isNull()).alias("fine"))
-    whole = (F.col("bad") > 0) | (F.col("n") > 8)
-    return told.select(
-        response, F.when(whole, 0).otherwise(F.least(F.col("fine"), F.lit(MAX_CLAIMS))).cast("long").alias("taken"), F.when(whole, 1).otherwise(F.col("n") - F.col("fine")).cast("long").alias("rejected"),
-        F.when(whole, ILL_FORMED).when(F.col("fine") == 0, ALL_REJECTED).alias("message"),
-    )

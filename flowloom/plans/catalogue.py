@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import text as text_functions
 from flowloom.functions.hashing import stable_hash, text_id
-from flowloom.operators import analysis, conformance, evidence, model, profile, quality, ranking, waits
+from flowloom.operators import analysis, conformance, evidence, model, profile, quality, ranking, responses, waits
 from flowloom.operators import traces as base
 from flowloom.sources import adapters, files
 from flowloom.sources.scratch import scratch_path, written
@@ -704,37 +704,79 @@ def merged_facts(spark, sf_dir):
 _NUMBER = rf"[0-9]|%|(?i:\b(?:{evidence.NUMBER_WORDS})\b)|(?i:\b(?:um|uma)\s+(?:{evidence.COUNTED_WORDS})\b)"
 
 
-@query(f"""WITH claims AS (SELECT conv_id, turn, left(text, 340) AS text, role, CASE WHEN turn % 2 = 0 THEN 'observacao' ELSE 'hipotese' END AS type FROM conversations),
-judged AS (SELECT *, coalesce(length(text), 0) NOT BETWEEN 12 AND 360 AS bad, role IN ('user', 'assistant') AND NOT coalesce(regexp_matches(text, '{_NUMBER}'), false) AS fine FROM claims),
-sums AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE fine) AS fine FROM judged GROUP BY conv_id)
-SELECT conv_id, CASE WHEN bad > 0 OR n > 8 THEN 0 ELSE least(fine, 4) END AS taken, CASE WHEN bad > 0 OR n > 8 THEN 1 ELSE n - fine END AS rejected,
-  CASE WHEN bad > 0 OR n > 8 THEN '{evidence.ILL_FORMED}' WHEN fine = 0 THEN '{evidence.ALL_REJECTED}' END AS message FROM sums""")
-def gate_report(spark, sf_dir):
-    """Each conversation as a response whose turns are claims that cite their roles; facts are those of two roles."""
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, body, facts: each conversation as a response whose turns are claims that cite their roles, whole texts; some are broken by their number."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    kind = F.when(F.col("turn") % 2 == 0, "observacao").otherwise("hipotese")
-    claims = c.select("conv_id", F.col("turn").alias("place"), F.substring("text", 1, 340).alias("text"), F.array("role").alias("citations"), kind.alias("type"))
-    return evidence.gate_report(claims, spark.createDataFrame([("user",), ("assistant",)], "id string"), "conv_id")
+    told = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    kind = lambda t: F.when(t["turn"] % 2 == 0, "observacao").otherwise("hipotese").alias("type")
+    plain = F.transform("turns", lambda t: F.struct(t["text"].alias("text"), F.array(t["role"]).alias("citations"), kind(t)))
+    scored = F.transform("turns", lambda t: F.struct(t["text"].alias("text"), F.array(t["role"]).alias("citations"), kind(t), F.lit(1).alias("score")))
+    body, way = F.to_json(F.struct(plain.alias("claims"))), F.col("conv_id") % 11
+    broken = F.when(way == 3, F.to_json(F.struct(scored.alias("claims")))).when(way == 5, F.concat(body, F.lit("}"))).when(way == 7, F.to_json(F.struct(plain.alias("claims"), F.lit("x").alias("note")))).when(way == 9, "").otherwise(body)
+    return told.select("conv_id", broken.alias("body"), F.array(F.lit("user"), F.lit("assistant")).alias("facts"))
+
+
+_GATED = f"""WITH claims AS (
+  SELECT conv_id, turn, text, role, CASE WHEN turn % 2 = 0 THEN 'observacao' ELSE 'hipotese' END AS type, length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units FROM conversations
+), judged AS (
+  SELECT *, coalesce(units, 0) NOT BETWEEN 12 AND 360 OR role IS NULL AS bad, coalesce(role IN ('user', 'assistant'), false) AND NOT coalesce(regexp_matches(text, '{_NUMBER}'), false) AS fine FROM claims
+), sums AS (
+  SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE fine) AS fine, CASE WHEN conv_id % 11 = 9 THEN '{responses.NO_TEXT}' WHEN conv_id % 11 = 5 THEN '{responses.NO_JSON}'
+    WHEN conv_id % 11 IN (3, 7) OR count(*) > 8 OR bool_or(bad) THEN '{evidence.ILL_FORMED}' END AS broken FROM judged GROUP BY conv_id
+)"""
 
 
-# Claims that the gate must take or refuse.
-_CLAIMS = [
-    ("A espera maior fica antes da compra.", ["bottleneck"], "observacao"),
-    ("O processo leva dois dias em geral.", ["lead-time"], "observacao"),
-    ("Quase 10 casos são lentos por semana.", ["lead-time"], "observacao"),
-    ("A demora vem da falta de recursos.", ["lead-time", "lead-time"], "hipotese"),
-    ("Talvez a fila explique a demora vista.", ["lead-time", "volume"], "hipotese"),
-    ("Falta um evento em muitos dos registros.", ["volume"], "observacao"),
-    ("A família de variantes parece estável.", ["no-such-fact"], "hipotese"),
-    ("O volume observado parece estável agora.", ["volume"], "observacao"),
-]
+@query(_GATED + f""" SELECT conv_id, CASE WHEN broken IS NOT NULL THEN 0 ELSE least(fine, 4) END AS taken, CASE WHEN broken IS NOT NULL THEN 1 ELSE n - fine END AS rejected,
+  coalesce(broken, CASE WHEN fine = 0 THEN '{evidence.ALL_REJECTED}' END) AS message FROM sums""")
+def gate_report(spark, sf_dir):
+    """How many claims of each response pass the gate, and what is said of the rest."""
+    return responses.gated(_responses(spark, sf_dir), "body", "facts").select("conv_id", F.size("claims").alias("taken"), "rejected", "message")
 
 
-@query("""SELECT * FROM (VALUES (0, 'A espera maior fica antes da compra.', 'observacao'), (4, 'Talvez a fila explique a demora vista.', 'hipotese'), (7, 'O volume observado parece estável agora.', 'observacao')) AS t(place, text, type)""".replace("SELECT *", "SELECT place::BIGINT AS place, text, type"))
+@query(_GATED + """ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, text, role AS citation, type FROM judged JOIN sums USING (conv_id) WHERE broken IS NULL AND judged.fine QUALIFY place < 4""")
 def claim_gate(spark, sf_dir):
-    claims = spark.createDataFrame([(i, *c) for i, c in enumerate(_CLAIMS)], "place long, text string, citations array<string>, type string")
-    ids = spark.createDataFrame([("lead-time",), ("volume",), ("bottleneck",)], "id string")
-    return evidence.gate(claims, ids).select("place", "text", "type")
+    """The claims that pass the gate."""
+    out = responses.gated(_responses(spark, sf_dir), "body", "facts").select("conv_id", F.posexplode("claims").alias("place", "c"))
+    return out.select("conv_id", "place", "c.text", F.get("c.citations", F.lit(0)).alias("citation"), "c.type")
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """response, place, name, arguments: each turn of a conversation as a call that its numbers choose; some are no JSON."""
+    stage = lambda i: F.element_at(F.array(*map(F.lit, adapters.STAGES)), (i % 5 + 1).cast("int"))
+    conv, turn = F.col("conv_id"), F.col("turn")
+    way = (conv + turn) % 5
+    name = F.when(way < 2, responses.INSPECT).when(way == 2, responses.COMPARE).when(way == 3, responses.RANK).otherwise("drop_tables")
+    edge = F.when(conv % 7 == 0, "edge:none").otherwise(text_id("edge", stage(conv), stage(turn)))
+    given = (
+        F.when(way < 2, F.to_json(F.struct(edge.alias("edgeId")))).when(way == 2, F.to_json(F.struct(text_id("variant", stage(conv)).alias("leftId"), text_id("variant", stage(turn + 1)).alias("rightId"))))
+        .otherwise(F.to_json(F.struct((turn % 7).alias("limit"))))
+    )
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(conv.alias("response"), turn.alias("place"), name.alias("name"), F.when(conv % 13 == 0, F.concat(given, F.lit(","))).otherwise(given).alias("arguments"))
+
+
+_STAGE = lambda i: f"(['signup', 'view', 'click', 'purchase', 'error'])[({i}) % 5 + 1]"
+_AUDIT = EDGES + VARIANTS[len(SESSION):] + f""", efact AS (SELECT edge_id, n, median, left('tool-' || edge_id, 40) AS id, 'mediana ' || {_pt('median')} || ' dias' AS value, row_number() OVER (ORDER BY median DESC, n DESC, edge_id) AS place FROM named),
+numbered AS (
+  SELECT conv_id, turn, (conv_id + turn) % 5 AS way, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, 'edge:' || {hash_sql(_STAGE('conv_id') + " || chr(31) || " + _STAGE('turn'))} AS e,
+    'variant:' || {hash_sql(_STAGE('conv_id'))} AS l, 'variant:' || {hash_sql(_STAGE('turn + 1'))} AS r FROM conversations
+), run AS (
+  SELECT *, CASE WHEN way < 2 THEN '{responses.INSPECT}' WHEN way = 2 THEN '{responses.COMPARE}' WHEN way = 3 THEN '{responses.RANK}' ELSE 'drop_tables' END AS tool FROM numbered WHERE sequence <= 3
+), told AS (
+  SELECT run.*, efact.id AS eid, efact.value AS evalue, vl.lead_n AS ln, vr.lead_n AS rn, CASE WHEN conv_id % 13 = 0 THEN '{responses.NO_ARGUMENTS}' WHEN way = 4 OR way = 3 AND turn % 7 NOT BETWEEN 1 AND 5 THEN tool || ' does not take these arguments'
+    WHEN way = 2 AND l = r THEN '{responses.SAME_VARIANT}' WHEN way < 2 AND efact.id IS NULL THEN '{responses.NO_EDGE}' WHEN way = 2 AND (vl.lead_n IS NULL OR vr.lead_n IS NULL) THEN '{responses.NO_VARIANT}' END AS reason
+  FROM run LEFT JOIN efact ON efact.edge_id = e AND conv_id % 7 <> 0 LEFT JOIN vnamed vl ON vl.variant_id = l LEFT JOIN vnamed vr ON vr.variant_id = r
+)"""
+
+
+@query(_AUDIT + f""" SELECT conv_id AS response, sequence, tool, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason,
+  CASE WHEN reason IS NOT NULL THEN '' WHEN way < 2 THEN eid WHEN way = 2 THEN left('tool-left-' || l, 40) || ',' || left('tool-right-' || r, 40) ELSE (SELECT string_agg(id, ',' ORDER BY place) FROM efact WHERE place <= turn % 7) END AS evidence_ids,
+  CASE WHEN reason IS NOT NULL THEN '' WHEN way < 2 THEN evalue WHEN way = 2 THEN {_COUNT('ln')} || ' casos,' || {_COUNT('rn')} || ' casos' ELSE (SELECT string_agg(value, ',' ORDER BY place) FROM efact WHERE place <= turn % 7) END AS shown FROM told""")
+def tool_audit(spark, sf_dir):
+    """All calls of all responses in one plan: what was taken, what was refused and why, and the facts that were told."""
+    edges, variants = rounded(_named_edges(spark, sf_dir)), rounded(_variants(spark, sf_dir)).withColumn("variant_id", text_id("variant", F.col("path_key")))
+    out = responses.answered(_calls(spark, sf_dir), edges, variants)
+    shown = lambda c: F.array_join(F.transform("facts", lambda f: f[c]), ",")
+    return out.select("response", "sequence", "tool", "status", "reason", shown("id").alias("evidence_ids"), shown("value").alias("shown"))
 
 
 # ---- sources and sinks

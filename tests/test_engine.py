@@ -127,18 +127,6 @@ def test_snapshots_keep_their_bounds(spark, make_log):
     assert [(r["fault"], r["n"]) for r in evidence.snapshot_faults(evidence.Snapshot("a", "0123456789", long)).collect()] == [("facts: values", long.count())]
     old = evidence.legacy_snapshot(a.evidence.withColumn("kind", F.lit(None).cast("string")))
     assert {r["kind"] for r in old.facts.collect()} == {"metric"} and old.edges is None
-    calls = [("rank_bottlenecks", '{"limit": 1}')] * 5
-    assert len(evidence.run_tools(calls, evidence.snapshot_edges(a.edges), evidence.snapshot_variants(a.variants))) == evidence.MAX_TOOL_CALLS
-
-
-def test_responses_are_judged_as_a_whole(spark):
-    fine, short = ("Talvez a fila explique a demora.", ["a"], "hipotese"), ("curto", ["a"], "hipotese")
-    claims = [("one", *fine), ("one", "Foram 3 casos na semana.", ["a"], "observacao"), ("two", *fine), ("two", *short), ("three", "O total é zero, ao que parece.", ["a"], "observacao")]
-    claims += [("many", *fine)] * 9 + [("kind", fine[0], ["a"], "x"), ("none", fine[0], None, "hipotese"), ("six", *fine)] + [("six", *fine)] * 5
-    df = spark.createDataFrame([(r, i, *c) for i, (r, *c) in enumerate(claims)], "response string, place long, text string, citations array<string>, type string")
-    got = {r["response"]: (r["taken"], r["rejected"], r["message"]) for r in evidence.gate_report(df, spark.createDataFrame([("a",)], "id string"), "response").collect()}
-    whole = (0, 1, evidence.ILL_FORMED)
-    assert got == {"one": (1, 1, None), "two": whole, "many": whole, "kind": whole, "none": whole, "three": (0, 1, evidence.ALL_REJECTED), "six": (4, 0, None)}
 
 
 def test_bottleneck_and_heat(make_log):
@@ -256,16 +244,7 @@ def test_fits_of_events_and_of_summaries(spark, make_log):
     assert t.count() == 8
 
 
-def test_gate_and_tools(spark, make_log):
-    claims = spark.createDataFrame([(0, "A espera parece alta.", ["a"], "observacao"), (1, "São 3 casos ao todo.", ["a"], "observacao"), (2, "Família estável de casos.", ["a", "a"], "hipotese"), (3, "Foi citado o que não há.", ["b"], "hipotese"), (4, "Há um único caminho.", ["a"], "hipotese"), (5, "O émil não conta números.", ["a"], "hipotese")], "place long, text string, citations array<string>, type string")
-    got = [r["place"] for r in evidence.gate(claims, spark.createDataFrame([("a",)], "id string")).collect()]
-    assert got == [0]  # mil stands alone for its neighbours are not plain letters
-    assert evidence.well_formed([{"text": "x" * 12, "citations": ["a"], "type": "hipotese"}])
-    assert not evidence.well_formed([{"text": "short", "citations": ["a"], "type": "hipotese"}])
-    assert evidence.parse_tool_call("rank_bottlenecks", '{"limit": 3}') == ("rank_bottlenecks", {"limit": 3})
-    for name, args in (("rank_bottlenecks", '{"limit": 9}'), ("rank_bottlenecks", "{"), ("sql", "{}"), ("compare_variants", '{"leftId": "a"}')):
-        with pytest.raises(ValueError):
-            evidence.parse_tool_call(name, args)
+def test_tools(spark, make_log):
     log = make_log([("A", ["x", "y", "z"], [1, 2]), ("B", ["x", "z"], [5])])
     edges = evidence.snapshot_edges(profile.edge_stats(traces.steps(log)))
     top = evidence.rank_bottlenecks(edges, 1).first()
