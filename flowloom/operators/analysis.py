@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.hashing import hash_half, text_id
 from flowloom.operators import conformance, evidence, model, profile
 from flowloom.operators import traces as base
+from flowloom.operators.ranking import ranked
 
 # Versions and refusals.
 SCHEMA_VERSION, MODEL_VERSION = "2.0", "2.0.0"
@@ -43,10 +44,11 @@ def default_quality(log: DataFrame) -> DataFrame:
 def header(log: DataFrame, source_hash: str | None = None) -> DataFrame:
     """One row: schema_version, analysis_id, source_hash, generated_at (time of the last event).
 
-    Unless a hash of the source is given, it is made of the sums of the events' hashes, so that tasks can share the work and
-    the order of input does not matter.
+    Unless a hash of the source is given, it is made of the sums of the hashes of the events with their places in the order of
+    input, so that tasks can share the work, and two events that change places change it.
     """
-    line = F.concat_ws("|", "case_id", "activity", "ts_ms", "resource")
+    log = ranked(log.select("seq", "case_id", "activity", "ts_ms", "resource"), F.struct("seq", "case_id", "activity", "ts_ms", "resource"), "seq")
+    line = F.concat_ws("|", "rank", "case_id", "activity", "ts_ms", "resource")
     half = lambda i: F.lower(F.lpad(F.hex(F.pmod(F.sum(hash_half(line, i)), F.lit(1 << 32))), 8, "0"))
     told = log.agg(F.concat(half(0), half(1)).alias("own"), F.max("ts_ms").alias("last"))
     cases = base.valid(log).agg(F.count_distinct("case_id").alias("cases"))

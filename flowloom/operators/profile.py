@@ -137,7 +137,7 @@ def case_count(log: DataFrame) -> DataFrame:
 def variant_cdf(variants: DataFrame) -> DataFrame:
     """Variants in their order with the rank and the share up to each."""
     named = variants.withColumn("variant_id", text_id("variant", F.col("path_key")))
-    out = ranked(named.select("variant_id", "n", "share", "impact"), F.struct(-F.col("n"), -F.col("impact"), F.col("variant_id")), "variant_id", "n")
+    out = ranked(named.select("variant_id", "n", "share", "impact"), F.struct(-F.col("n"), -F.col("impact"), F.col("variant_id")), "n")
     return out.select("variant_id", "n", "share", "rank", (F.col("upto") / F.col("of")).alias("upto"))
 
 

@@ -5,31 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES, SAMPLED = 64, 4096
+from flowloom.sources.scratch import written
 
 
-def ranked(df: DataFrame, order: Column, key: str, amount: str) -> DataFrame:
+def ranked(df: DataFrame, order: Column, amount: str) -> DataFrame:
     """df with rank (from 1), upto (running sum of `amount`) and of (its total), in a strict order of all rows.
 
-    Rows of a deterministic sample of the keys (about SAMPLED) tell where to cut the order into RANGES ranges; each range is
-    ranked by itself, after what the ranges before it hold. The sample has no influence on the result.
+    Spark deals the rows out by ranges of the order, as many as the session has shuffle partitions. Each range is ranked by
+    itself, after what the ranges before it hold: there is one sum for each range, and only these meet in one task.
     """
-    rows = df.withColumn("_o", order)
-    every = max(1, rows.count() // SAMPLED)
-    sample = sorted(tuple(r["_o"]) for r in rows.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select("_o").collect())
-    cuts = sorted({sample[len(sample) * i // RANGES] for i in range(1, RANGES)}) if sample else []
-    kinds = rows.schema["_o"].dataType
-    bounds = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kinds, strict=True))) for c in cuts]
-    place = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col("_o"))) if bounds else F.lit(0)
-    rows = rows.withColumn("_range", place)
-    sums = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.count("*").alias("c"), F.sum(amount).alias("s")).collect())  # RANGES rows at most
-    before, count, total = {}, 0, 0
-    for at, c, s in sums:
-        before[at] = (count, total)
-        count, total = count + c, total + (s or 0)
-    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for at, b in before.items() for x in (at, b[i]))), F.col("_range")) if before else F.lit(0)
-    own = Window.partitionBy("_range").orderBy("_o")
-    return rows.select(
-        *df.columns, (pick(0) + F.row_number().over(own)).cast("long").alias("rank"),
-        (pick(1) + F.sum(amount).over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("upto"), F.lit(total).alias("of"),
+    rows = written(df, "to_rank")  # the input is read once, for the sample of the ranges and for the exchange
+    ranges = written(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("_range").agg(F.count("*").alias("c"), F.sum(amount).alias("s"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.select("_range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_count"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_sum"), F.sum("s").over(Window.partitionBy()).alias("of"))
+    own = Window.partitionBy("_range").orderBy(order)
+    return ranges.join(F.broadcast(placed), "_range").select(
+        *df.columns, (F.col("_count") + F.row_number().over(own)).cast("long").alias("rank"),
+        (F.col("_sum") + F.sum(amount).over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("upto"), "of",
     )

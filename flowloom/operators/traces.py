@@ -33,14 +33,6 @@ def edge_rollup(log: DataFrame) -> DataFrame:
     )
 
 
-def store_rollup(log: DataFrame, path: str, view: str) -> DataFrame:
-    """The edge rollup as a stored table that is registered as a view; storing it again refreshes it."""
-    edge_rollup(log).write.mode("overwrite").parquet(path)
-    spark = log.sparkSession
-    spark.read.parquet(path).createOrReplaceTempView(view)
-    return spark.table(view)
-
-
 def traces(log: DataFrame) -> DataFrame:
     """One row for each case: its path, number of events, first and last time, lead time in milliseconds and in days."""
     ordered = F.array_sort(F.collect_list(F.struct("ts_ms", "seq", "activity")))

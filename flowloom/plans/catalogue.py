@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import text as text_functions
 from flowloom.functions.hashing import stable_hash, text_id
-from flowloom.operators import analysis, conformance, evidence, model, profile, quality, ranking, responses, waits
+from flowloom.operators import analysis, conformance, evidence, model, profile, quality, ranking, responses, rollup, waits
 from flowloom.operators import traces as base
 from flowloom.sources import adapters, files
 from flowloom.sources.scratch import scratch_path, written
@@ -155,10 +155,21 @@ def edge_rollup(spark, sf_dir):
 @query(SESSION + " SELECT activity AS from_activity, lead(activity) OVER w AS to_activity, seq FROM log WINDOW w AS (PARTITION BY case_id ORDER BY seq)")
 def edge_rollup_view(spark, sf_dir):
     """The rollup as a stored table behind a view, asked by SQL."""
-    base.store_rollup(_log(spark, sf_dir), scratch_path(spark, "rollup"), "process_edge_rollup")
+    path = scratch_path(spark, "rollup")
+    rollup.build(_log(spark, sf_dir), path)
+    rollup.view(spark, path, "process_edge_rollup")
     return spark.sql("SELECT from_activity, to_activity, seq FROM process_edge_rollup")
 
 
+@query(SESSION + " SELECT case_id, seq, activity AS from_activity, lead(activity) OVER w AS to_activity, ts_ms AS event_ms, lead(ts_ms) OVER w AS next_event_ms FROM log WINDOW w AS (PARTITION BY case_id ORDER BY seq)")
+def edge_rollup_refresh(spark, sf_dir):
+    """A rollup of nine tenths of the events, refreshed with the rest: what a rollup of all would be."""
+    log, path = written(_log(spark, sf_dir), "log"), scratch_path(spark, "rollup")
+    rollup.build(log.where("seq % 10 <> 0"), path)
+    rollup.refresh(log.where("seq % 10 = 0"), path)
+    return rollup.read(spark, path)
+
+
 @query(TRACES + " SELECT case_id, array_to_string(path, ' > ') AS path, n_events, round(lead_days, 6) AS lead_days FROM traces")
 def traces(spark, sf_dir):
     return _traces(spark, sf_dir).select("case_id", shown(), "n_events", "lead_days")
@@ -316,7 +327,7 @@ SELECT path, n, round(sum(n) OVER (ORDER BY n DESC, path ROWS UNBOUNDED PRECEDIN
 def variant_cdf(spark, sf_dir):
     """Over conversations, in the order of count and path."""
     v = base.traces(adapters.conversation_log(spark, sf_dir)).groupBy(shown()).agg(F.count("*").alias("n"))
-    out = ranking.ranked(v, F.struct((-F.col("n")).alias("n"), "path"), "path", "n")
+    out = ranking.ranked(v, F.struct((-F.col("n")).alias("n"), "path"), "n")
     return out.select("path", "n", (F.col("upto") / F.col("of")).alias("upto"))
 
 
@@ -366,7 +377,7 @@ def dedup(spark, sf_dir):
 def log_order(spark, sf_dir):
     """The clean log's order: time, collated case, input."""
     order = F.struct("ts_ms", F.collate("case_id", "UNICODE").alias("c"), "seq")
-    return ranking.ranked(quality.clean(_raw(spark, sf_dir)).select("seq", "case_id", "ts_ms"), order, "seq", "seq").select("seq", "case_id", F.col("rank").alias("place"))
+    return ranking.ranked(quality.clean(_raw(spark, sf_dir)).select("seq", "case_id", "ts_ms"), order, "seq").select("seq", "case_id", F.col("rank").alias("place"))
 
 
 @query(DIRTY + " SELECT seq, case_id, ts_ms, previous_ms FROM late")
@@ -619,7 +630,7 @@ def analysis_metrics(spark, sf_dir):
 _SOURCE = f"""lpad(lower(to_hex((sum({half_sql("line", 0)}) % 4294967296)::BIGINT)), 8, '0') || lpad(lower(to_hex((sum({half_sql("line", 1)}) % 4294967296)::BIGINT)), 8, '0')"""
 
 
-@query(TRACES + f""", ls AS (SELECT case_id || '|' || activity || '|' || ts_ms || '|' || resource AS line, ts_ms FROM log), h AS (SELECT {_SOURCE} AS source_hash, max(ts_ms) AS last FROM ls),
+@query(TRACES + f""", ls AS (SELECT row_number() OVER (ORDER BY seq) || '|' || case_id || '|' || activity || '|' || ts_ms || '|' || resource AS line, ts_ms FROM log), h AS (SELECT {_SOURCE} AS source_hash, max(ts_ms) AS last FROM ls),
 hk AS (SELECT *, source_hash || '|2.0.0|' || (SELECT count(*) FROM traces) AS k FROM h)
 SELECT '2.0' AS schema_version, 'analysis:' || {hash_sql('k')} AS analysis_id, source_hash, strftime(make_timestamp(last * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((last % 1000)::VARCHAR, 3, '0') || 'Z' AS generated_at FROM hk""")
 def analysis_header(spark, sf_dir):
