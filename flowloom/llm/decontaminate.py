@@ -9,7 +9,9 @@ The items go to the tasks in blocks of at most BLOCK_BYTES of text, so a benchma
 over the documents for each block.
 
 Nulls: null texts count as empty. Items of fewer than min_chars characters take no part. A null doc_id or item_id is
-kept. Repeated documents give their rows again; repeated items with one item_id give the smaller distance.
+kept; ids may be of any simple type. Repeated documents give their rows again; repeated items with one item_id give the
+smaller distance, and of equal ones the first place. Texts of any length are searched whole, one at a time. Other columns are
+ignored by matches() and kept by without_leaks(), whatever their names. Without items, or without texts, there are no matches.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 ERROR_RATE, MIN_CHARS = 0.08, 16
 BLOCK_BYTES = 16_000_000
@@ -113,7 +116,7 @@ class Matcher:
         return found
 
 
-def _blocks(items: DataFrame, text: str, key: str, min_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(items: DataFrame, text: str, key: str, min_chars: int) -> Iterator[list[tuple[object, str]]]:
     """The normalised items, block by block."""
     rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= min_chars)
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -125,8 +128,9 @@ def _blocks(items: DataFrame, text: str, key: str, min_chars: int) -> Iterator[l
 
 def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """doc_id, item_id, distance, stop: each item that a document holds with at most its edits; the best occurrence."""
-    ids = docs.schema[key]
-    schema = T.StructType([ids, T.StructField(item_key, T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("stop", T.LongType())])
+    ids, kind = docs.schema[key], items.schema[item_key].dataType
+    arrow = to_arrow_type(kind)
+    schema = T.StructType([ids, T.StructField(item_key, kind), T.StructField("distance", T.IntegerType()), T.StructField("stop", T.LongType())])
     out = None
     for block in _blocks(items, text, item_key, min_chars):
 
@@ -140,7 +144,7 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, m
                         where.append(item)
                         far.append(distance)
                         stops.append(stop)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(where, pa.int64()), pa.array(far, pa.int32()), pa.array(stops, pa.int64())], names=[key, item_key, "distance", "stop"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(where, arrow), pa.array(far, pa.int32()), pa.array(stops, pa.int64())], names=[key, item_key, "distance", "stop"])
 
         found = docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
         out = found if out is None else out.union(found)

@@ -8,7 +8,8 @@ two documents hold keep their lines only in the smallest doc_id that holds them.
    stands alone) that indexes arrays of fingerprints, counts and smallest doc_ids.
 3. Documents probe: the hashes of their lines go to the shards, texts and lines do not, and verdicts come back.
    Hashes that more than one in HOT_SHARE lines hold are answered at once in the documents' tasks: by that
-   threshold they are HOT_SHARE at most, however large the corpus is.
+   threshold they are HOT_SHARE at most, however large the corpus is. Shards with more frequent keys below that share
+   are asked in parts of about SHARD_REFS references, each with the shard's arrays.
 
 Nulls: a null text is one empty line; null doc_ids count as one document that comes last. Rows with the same doc_id are
 one document, so lines that only they share stay. Further columns pass through; n_lines and n_dropped are replaced.
@@ -33,6 +34,7 @@ HOT_SHARE = 20_000
 LAST_DOC = 2**63 - 1
 SHARD_REFS, SHARD_KEYS, MIN_SHARDS = 500_000, 50_000, 256
 GAMMA = 1.5
+REF = ["doc", "part", "lo", "hi"]
 
 
 def line_key(line: bytes) -> bytes:
@@ -101,16 +103,16 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
     at = mph.index(lo, hi)
     fingerprints, counts, first = np.zeros(len(lo), np.uint64), np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
     fingerprints[at], counts[at], first[at] = _fingerprint(lo, hi), shard["n"], shard["first"]
-    return pd.DataFrame({"shard": shard["shard"].iloc[:1], "sizes": [mph.sizes], "bits": [np.packbits(mph.bits).tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()], "first": [first.tobytes()]})
+    return pd.DataFrame({"shard": shard["shard"].iloc[:1], "salts": [1 + int(shard["n"].sum()) // SHARD_REFS], "sizes": [mph.sizes], "bits": [np.packbits(mph.bits).tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()], "first": [first.tobytes()]})
 
 
-BUILT = "shard int, sizes array<long>, bits binary, fingerprints binary, counts binary, first binary"
+BUILT = "shard int, salts int, sizes array<long>, bits binary, fingerprints binary, counts binary, first binary"
 
 
 def _probe(refs: pd.DataFrame, built: pd.DataFrame) -> pd.DataFrame:
     """The references whose line another document with a smaller doc_id holds."""
     if not len(refs) or not len(built):
-        return refs.iloc[:0][["doc", "lo", "hi"]]
+        return refs.iloc[:0][REF]
     row = built.iloc[0]
     sizes = list(row["sizes"])
     mph = PerfectHash(sizes, np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)])
@@ -118,33 +120,35 @@ def _probe(refs: pd.DataFrame, built: pd.DataFrame) -> pd.DataFrame:
     at = mph.index(lo, hi)
     fingerprints, counts, first = (np.frombuffer(row[c], t) for c, t in (("fingerprints", np.uint64), ("counts", np.int64), ("first", np.int64)))
     found = (at >= 0) & (fingerprints[at] == _fingerprint(lo, hi)) & (counts[at] > 1) & (first[at] < refs["doc"].to_numpy(np.int64))
-    return refs.loc[found, ["doc", "lo", "hi"]]
+    return refs.loc[found, REF]
 
 
 def _refs(docs: DataFrame, min_chars: int, hot: set[tuple[int, int]]) -> DataFrame:
-    """(doc, lo, hi) of each document's distinct keys."""
+    """(doc, part, lo, hi) of each document's distinct keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sizes, keys = [], []
+            for text in batch.column(2):
                 own = {k for k in map(line_key, (text.as_py() or "").encode().split(b"\n")) if _counts(k, min_chars)}
                 keys.extend(own)
-                ids.extend([doc] * len(own))
+                sizes.append(len(own))
             lo, hi = _hashes(keys)
-            ids = np.array(ids, dtype=np.int64)
+            ids, parts = (np.repeat(np.asarray(batch.column(i), dtype=np.int64), sizes) for i in (0, 1))
             if hot:
                 cold = np.fromiter((x not in hot for x in zip(lo.tolist(), hi.tolist(), strict=True)), dtype=bool, count=len(lo))
-                ids, lo, hi = ids[cold], lo[cold], hi[cold]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lo), pa.array(hi)], names=["doc", "lo", "hi"])
+                ids, parts, lo, hi = ids[cold], parts[cold], lo[cold], hi[cold]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(parts), pa.array(lo), pa.array(hi)], names=REF)
 
-    return docs.mapInArrow(run, "doc long, lo long, hi int")
+    return docs.mapInArrow(run, "doc long, part long, lo long, hi int")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the kept lines as text, n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    pairs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_DOC)).alias("doc"), F.col(text).alias("text"))
+    # documents without an id are one, but each text of them gets its verdicts by itself
+    part = F.when(F.col(key).isNull(), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).otherwise(F.lit(0).cast("long"))
+    pairs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_DOC)).alias("doc"), part.alias("part"), F.col(text).alias("text"))
     total = pairs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0  # lines, for the sizes of shards
     keys = _refs(pairs, min_chars, set()).groupBy("lo", "hi").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     keys = written(keys.where("first < last").drop("last"), "line_keys")
@@ -155,8 +159,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text",
     at = lambda: F.pmod(F.xxhash64("lo"), F.lit(shards)).cast("int")
     built = written(keys.withColumn("shard", at()).groupBy("shard").applyInPandas(_build, BUILT), "line_arrays")
     asked = _refs(pairs, min_chars, set(hot)).withColumn("shard", at())
-    verdicts = asked.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(_probe, "doc long, lo long, hi int")
-    drops = written(verdicts.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("__drops")), "line_drops")
+    # a shard whose shared keys alone make up more than SHARD_REFS references is asked in several parts; there are as many
+    # such shards as lines / SHARD_REFS at most
+    split = built.where("salts > 1").select("shard", "salts")
+    asked = asked.join(F.broadcast(split), "shard", "left").withColumn("salt", F.pmod(F.xxhash64("doc", "part"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    spread = built.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    verdicts = asked.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(_probe, "doc long, part long, lo long, hi int")
+    drops = written(verdicts.groupBy("doc", "part").agg(F.collect_set(F.struct("lo", "hi")).alias("__drops")), "line_drops")
 
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -179,5 +188,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text",
             all_names = [*names, "n_lines", "n_dropped"]
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in all_names], names=all_names)
 
-    joined = docs.withColumn("__doc", F.coalesce(F.col(key).cast("long"), F.lit(LAST_DOC))).join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    joined = docs.withColumn("__doc", F.coalesce(F.col(key).cast("long"), F.lit(LAST_DOC))).withColumn("__part", part).join(drops.withColumnsRenamed({"doc": "__doc", "part": "__part"}), ["__doc", "__part"], "left")
     return joined.mapInArrow(run, schema)

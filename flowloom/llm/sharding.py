@@ -23,7 +23,8 @@ from flowloom.llm.support import written
 
 RADIX_BITS = 10
 KEY_BITS = 128
-SUBS = 32
+#: Parts of a shard in which its rows are numbered: this many, and more where they would have more rows.
+SUBS, PART_ROWS = 32, 100_000
 _LOW = -(1 << 63)
 
 
@@ -114,12 +115,13 @@ def shard(docs: DataFrame, shards: int = 24, law: str = "bytes", text: str = "te
             continue  # nothing lies to the right of it
         a, b = _signed((c >> 64) ^ (1 << 63)), _signed((c & (2**64 - 1)) ^ (1 << 63))
         at = at + ((u1 > F.lit(a)) | ((u1 == F.lit(a)) & (u2 >= F.lit(b)))).cast("int")
-    # slots: rows of a shard are numbered within SUBS parts, after the rows of the parts before
-    part = F.pmod(F.xxhash64(F.col("__k2"), F.lit(7)), F.lit(SUBS)).cast("int")
+    # slots: rows of a shard are numbered within parts, after the rows of the parts before
+    subs = max(SUBS, -(-keys.count() // (shards * PART_ROWS)))
+    part = F.pmod(F.xxhash64("__k1", "__k2", F.lit(7)), F.lit(subs)).cast("int")
     numbered = Window.partitionBy("shard", "__sub").orderBy("__k1", "__k2")
     parts = keys.select(at.alias("shard"), part.alias("__sub")).groupBy("shard", "__sub").count()
     before = Window.partitionBy("shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("shard", "__sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))  # shards * SUBS rows at most
+    base = parts.select("shard", "__sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))  # a row for PART_ROWS rows
     out = rows.withColumn("shard", at).withColumn("__sub", part).withColumn("__nth", F.row_number().over(numbered))
     out = out.join(F.broadcast(base), ["shard", "__sub"])
     return out.withColumn("law", F.lit(law)).withColumn("slot", (F.col("__base") + F.col("__nth") - 1).cast("long")).drop("__k1", "__k2", "__sub", "__nth", "__base")

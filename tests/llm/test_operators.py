@@ -265,6 +265,20 @@ def test_lines_of_one_document_given_twice_stay(spark):
     assert sorted((r["doc_id"] or -1, r["n_dropped"], r["text"]) for r in got) == [(-1, 0, "Another line of text."), (-1, 1, ""), (1, 0, rows[0][1]), (1, 0, rows[0][1])]
 
 
+def test_shards_asked_in_parts_and_many_documents_without_ids(spark, monkeypatch):
+    """Frequent keys below the hot share, and rows without an id, which are one document that comes last."""
+    ship(spark)
+    monkeypatch.setattr(line_dedup, "SHARD_REFS", 20)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 1)
+    rows = [(i, f"a line that many documents have\nown line number {i}\nline of some {i % 7} documents") for i in range(300)]
+    rows += [(None, f"a line that many documents have\nown line number {i}\nonly in nameless {i % 3}") for i in range(250, 350)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = brute.kept_lines([(line_dedup.LAST_DOC if i is None else i, t) for i, t in rows[:300]])
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got if r["doc_id"] is not None} == want
+    nameless = sorted(r["text"] for r in got if r["doc_id"] is None)
+    assert nameless == sorted("\n".join(([] if i < 300 else [f"own line number {i}"]) + [f"only in nameless {i % 3}"]) for i in range(250, 350))
+
+
 def test_perfect_hash_is_minimal_and_knows_strangers():
     r = np.random.default_rng(1)
     lo, hi = r.integers(-(2**63), 2**63, 5000), r.integers(-(2**31), 2**31, 5000).astype(np.int32)
@@ -300,6 +314,13 @@ def test_leaks_with_edits(spark, docs, empty):
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
+def test_item_ids_of_other_types(spark):
+    ship(spark)
+    item = "an item of the benchmark that is long enough to be found"
+    found = decontaminate.matches(spark.createDataFrame([(1, f"before {item} after")], "doc_id long, text string"), spark.createDataFrame([("a", item), ("b", item[::-1])], "item_id string, text string"))
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()] == [(1, "a", 0)]
+
+
 def test_myers_against_dynamic_programming():
     r = random.Random(3)
     for _ in range(300):
@@ -350,6 +371,15 @@ def test_24_shards_against_a_plain_sort(spark, law):
     assert all(abs(x - mean) <= (1 if law == "rows" else 0.03 * mean + max(weight.values())) for x in loads)
 
 
+def test_slots_are_numbered_in_parts_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SUBS", 1)
+    monkeypatch.setattr(sharding, "PART_ROWS", 7)
+    out = sharding.shard(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text")), 3, "rows").collect()
+    for s in range(3):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots))) and len(slots) in (166, 167)
+
+
 def test_shards_split_one_huge_group(spark):
     same = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("the same text for all").alias("text"))
     got = dict(map(tuple, sharding.shard(same, shards=8).groupBy("shard").count().collect()))
