@@ -293,6 +293,12 @@ def case_filter(spark, sf_dir):
     return profile.filter_cases(_log(spark, sf_dir), "R3", 5).select("seq", "case_id", "activity", "ts_ms", "resource")
 
 
+@query(SESSION + " SELECT seq, case_id, activity, ts_ms, resource FROM log")
+def case_filter_guard(spark, sf_dir):
+    """A filter that leaves less than two events leaves all."""
+    return profile.filter_cases(_log(spark, sf_dir), "R99", 5).select("seq", "case_id", "activity", "ts_ms", "resource")
+
+
 @query(VARIANTS + " SELECT variant_id, array_to_string(path, ' > ') AS path, lead_n AS n FROM vnamed WHERE contains(lower(array_to_string(path, ' ') || ' ' || variant_id), 'click view')")
 def variant_search(spark, sf_dir):
     found = profile.search_variants(_variants(spark, sf_dir), "Click View")
@@ -704,6 +710,28 @@ def snapshot_faults(spark, sf_dir):
     return evidence.snapshot_faults(evidence.Snapshot("analysis:all", "0123456789abcdef", evidence.edge_facts(edges), edges, variants))
 
 
+@query(EDGES + VARIANTS[len(SESSION):] + """, f AS (
+  SELECT 'edges: rows' AS fault, CASE WHEN count(*) > 256 THEN count(*) END AS n FROM named UNION ALL SELECT 'edges: values', count(*) FILTER (WHERE from_activity = 'view' OR to_activity = 'click' AND n > 0) FROM named
+  UNION ALL SELECT 'facts: rows', CASE WHEN count(*) NOT BETWEEN 1 AND 32 THEN count(*) END FROM named UNION ALL SELECT 'facts: values', count(*) FILTER (WHERE from_activity <> 'view') FROM named
+  UNION ALL SELECT 'variants: rows', CASE WHEN count(*) > 128 THEN count(*) END FROM vnamed UNION ALL SELECT 'variants: values', count(*) FILTER (WHERE len(path) > 1 OR lead_n > 3) FROM vnamed UNION ALL SELECT 'ids', 1
+) SELECT fault, n FROM f WHERE n > 0""")
+def snapshot_faults_of_all_kinds(spark, sf_dir):
+    """A snapshot that breaks its bounds in names, numbers, kinds, shares and ids."""
+    edges, variants = _named_edges(spark, sf_dir), _variants(spark, sf_dir).withColumn("variant_id", text_id("variant", F.col("path_key")))
+    facts = evidence.edge_facts(edges, "from_activity").withColumn("kind", F.when(F.col("from_activity") != "view", "guess").otherwise(F.col("kind")))
+    edges = edges.withColumn("from_activity", F.when(F.col("from_activity") == "view", F.repeat("from_activity", 40)).otherwise(F.col("from_activity"))).withColumn("p90", F.when(F.col("to_activity") == "click", -1.0).otherwise(F.col("p90")))
+    variants = variants.withColumn("share", F.when(F.col("n") > 3, 1.5).otherwise(F.col("share"))).withColumn("path", F.transform("path", lambda a: F.when(F.size("path") == 1, a).otherwise("")))
+    return evidence.snapshot_faults(evidence.Snapshot("analysis:all", "short", facts, edges, variants))
+
+
+@query(EDGES + """ SELECT left('tool-' || edge_id, 40) AS id, CASE WHEN from_activity = 'view' THEN 'metric' ELSE 'distribution' END AS kind, CASE WHEN to_activity = 'view' THEN 'legacy' ELSE 'edges.' || edge_id || '.waitDays' END AS source_path FROM named""")
+def legacy_facts(spark, sf_dir):
+    """Facts that lack a kind or a source, as a snapshot takes them."""
+    facts = evidence.edge_facts(_named_edges(spark, sf_dir), "from_activity", "to_activity")
+    old = facts.withColumn("kind", F.when(F.col("from_activity") != "view", F.col("kind"))).withColumn("source_path", F.when(F.col("to_activity") != "view", F.col("source_path")))
+    return evidence.legacy_snapshot(old).facts.select("id", "kind", "source_path")
+
+
 @query(EDGES + f""", old AS (SELECT 'tool-' || edge_id AS id, 'antes' AS value FROM named), new AS (SELECT * FROM ({_EDGE_FACT} ORDER BY median DESC, n DESC, edge_id LIMIT 5))
 SELECT id, coalesce(new.value, old.value) AS value FROM old FULL JOIN new USING (id)""")
 def merged_facts(spark, sf_dir):
@@ -826,6 +854,16 @@ def xes_read(spark, sf_dir):
     return files.raw_xes(spark, path).select("case_id", "activity", "timestamp", "resource")
 
 
+@query(SESSION + " SELECT DISTINCT case_id, activity, ts_ms, resource FROM log")
+def log_read(spark, sf_dir):
+    """The clean log of a folder that has half of the cases as CSV and half as XES."""
+    log, path = written(_log(spark, sf_dir), "log"), scratch_path(spark, "logs")
+    half = F.crc32(F.col("case_id").cast("binary")) % 2 == 0
+    files.write_csv(log.where(half), f"{path}/csv")
+    files.write_xes(log.where(~half), f"{path}/xes")
+    return files.read_log(spark, f"{path}/*").select("case_id", "activity", "ts_ms", "resource")
+
+
 @query("SELECT DISTINCT 'k' || (event_id % 4) AS name FROM events WHERE event_id % 4 <> 2")
 def attribute_names(spark, sf_dir):
     key = F.concat(F.lit("k"), (F.col("seq") % 4).cast("string"))

@@ -1,4 +1,4 @@
-"""The driver's contract, and the SQL twins on the smallest tables."""
+"""The driver's contract, and the SQL twins at the scale and the decimals that it compares."""
 
 import os
 
@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from flowloom.plans.catalogue import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 TABLES = ["events", "lineitem", "conversations", "orders"]
 
@@ -23,7 +23,7 @@ def duck():
 
 def norm(rows):
     def cell(v):
-        return round(float(v), 5) if isinstance(v, float) else v
+        return round(float(v), 6) if isinstance(v, float) else v
 
     return sorted((tuple(cell(v) for v in r) for r in rows), key=repr)
 
