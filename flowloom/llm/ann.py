@@ -7,7 +7,9 @@ so probing the substrings' balls retrieves every code within the radius. Retriev
 their original vectors in double precision.
 
 The rotations and the radius are learned on a bounded sample: the radius is the one that holds `target` of the sample's
-true neighbours. Every row is indexed. A query that finds fewer than k codes in an index gets a larger radius there.
+true neighbours. Every row is indexed. Queries that find fewer than k codes within it, over all rows, are asked again with
+twice the radius, until they have k or all rows. So what is found depends on codes and radius alone, and not on how the
+table is dealt out.
 Queries travel in blocks of at most QUERY_BLOCK, with one pass over the vectors for each block, so no data of unbounded
 size is sent to the tasks; each task merges what its indexes find and sends back k rows for each query.
 
@@ -96,7 +98,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes) -> None:
         self.ids, self.vectors, self.codes = ids, vectors, codes.of(vectors)
-        self.norms, self.radius = np.linalg.norm(vectors, axis=1), codes.radius
+        self.norms = np.linalg.norm(vectors, axis=1)
         self.tables = []
         for s in range(self.codes.shape[1]):
             order = np.argsort(self.codes[:, s], kind="stable")
@@ -113,15 +115,10 @@ class Index:
         rows = np.flatnonzero(seen)
         return rows[hamming(self.codes[rows], code) <= radius]
 
-    def nearest(self, query_id: int, vector: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best of those retrieved, without the query's own row."""
-        radius, bits = self.radius, self.codes.shape[1] * 8
-        while True:
-            rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != query_id]
-            if len(rows) >= k or radius >= bits:
-                break
-            radius = min(bits, radius + 8)
+    def nearest(self, query_id: int, vector: np.ndarray, code: np.ndarray, k: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best of those within the radius, without the query's own row."""
+        rows = self.within(code, radius)
+        rows = rows[self.ids[rows] != query_id]
         rough = self.vectors[rows] @ vector / self.norms[rows]
         if len(rows) > k:  # those that may be among the best, ties included
             rows = rows[rough >= np.partition(rough, -k)[-k] - 1e-9 * np.linalg.norm(vector)]
@@ -148,11 +145,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = taken.map(len).mode().iloc[0]
     codes = Codes(np.stack([x for x in taken if len(x) == dims]).astype(np.float64), k, target)
-    count = queries.count()
+    bits, radius, out = codes.turn.shape[1], max(1, codes.radius), None
+    pending = written(queries.where(F.size("embedding") == dims), "ann_queries")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    while True:
+        hits = _asked(vectors, pending, codes, k, radius)
+        best = written(hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann_best")
+        # those with k rows are done
+        done = best.where(F.col("rank") == k).select("query_id") if radius < bits else best.select("query_id").distinct()
+        found = best.join(done, "query_id", "left_semi")
+        out = found if out is None else out.unionByName(found)
+        if radius >= bits:
+            return out
+        pending = written(pending.join(done, F.col("vec_id") == F.col("query_id"), "left_anti"), "ann_queries")
+        if pending.isEmpty():
+            return out
+        radius = min(bits, 2 * radius)
+
+
+def _asked(vectors: DataFrame, queries: DataFrame, codes: Codes, k: int, radius: int) -> DataFrame:
+    """query_id, vec_id, score: of each task's rows within the radius the k best for each query."""
+    dims, count = codes.dims, queries.count()
     blocks, found = 1 + (2 * count - 1) // QUERY_BLOCK if count > QUERY_BLOCK else 1, []
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = [r for r in block.collect() if len(r["embedding"]) == dims]  # about QUERY_BLOCK at most
+        rows = block.collect()  # about QUERY_BLOCK at most
         ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
         points = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(-1, dims)
 
@@ -165,7 +182,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
                 """Keep the k best of those so far and of one more index."""
                 index = Index(np.concatenate(own_ids), np.concatenate(own), codes)
                 for i in range(len(ids)):
-                    v, s = (np.concatenate(x) for x in zip(best[i], index.nearest(ids[i], points[i], asked[i], k), strict=True))
+                    v, s = (np.concatenate(x) for x in zip(best[i], index.nearest(ids[i], points[i], asked[i], k, radius), strict=True))
                     order = np.lexsort((v, -s))[:k]
                     best[i] = v[order], s[order]
 
@@ -189,5 +206,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAM
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits

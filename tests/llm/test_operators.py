@@ -415,6 +415,16 @@ def test_neighbours_recall_and_scores(spark):
     assert ann.search(tiny, tiny).count() == 6
 
 
+def test_neighbours_do_not_depend_on_the_layout(spark):
+    """Also queries that find too little within the learned radius."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(900)] + [(1000 + 50 * i, [float(x) for x in 9 * rng.normal(size=16) - 30]) for i in range(3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [sorted(map(tuple, ann.search(vectors.repartition(n), vectors.where("vec_id % 50 = 0")).collect())) for n in (1, 6, 23)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 5 * 21
+
+
 def test_repeated_queries_are_asked_once(spark):
     ship(spark)
     x = np.random.default_rng(2).normal(size=(300, 16))
