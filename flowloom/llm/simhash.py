@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -356,6 +356,11 @@ def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
     return roots
 
 
+def text_hash(body: Column) -> Column:
+    """By which a text goes."""
+    return F.xxhash64(body)
+
+
 def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Of each group of similar documents, the one with the smallest key; all columns of docs.
 
@@ -363,10 +368,20 @@ def first_of_similar(docs: DataFrame, width: int = 5, least: float = 0.8, text:
     components of all such pairs (see similar_links).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    node, first = (next(n for n in (c + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("__node", "__key"))
-    docs = docs.withColumn(node, F.xxhash64(body)).withColumn(first, F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)))
-    names = written(docs.groupBy(F.col(node).alias("node")).agg(F.min(first).alias("first")), "similar_texts")
+    node, other, first, flag = (next(n for n in (c + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("__node", "__other", "__key", "__clash"))
+    columns = docs.columns
+    docs = docs.withColumn(node, text_hash(body)).withColumn(other, F.xxhash64(F.lit(1), body)).withColumn(first, F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)))
+    texts = written(docs.groupBy(F.col(node).alias("node"), F.col(other).alias("other")).agg(F.min(first).alias("first")), "similar_texts")
+    # different texts with one hash, which are some n * n / 2**65 of n texts, go by their other one
+    clash = written(texts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "similar_clashes")
+
+    def told(df: DataFrame, node: str, other: str) -> DataFrame:
+        """df with the hash by which a text goes as its node, without the other one."""
+        met = df.join(F.broadcast(clash.select(F.col("node").alias(flag))), F.col(node) == F.col(flag), "left")
+        return met.withColumn(node, F.when(F.col(flag).isNull(), F.col(node)).otherwise(F.xxhash64(F.col(other), F.col(node)))).drop(flag, other)
+
+    docs, names = told(docs, node, other), told(texts, "node", "other")
     grown = similar_links(docs.select(F.col(node).alias("node"), body.alias("text")), width, least)
     named = names.join(grown, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = written(named.groupBy("root").agg(F.min(F.struct("first", "node")).alias("m")).select(F.col("m.first").alias(first), F.col("m.node").alias(node)), "similar_kept")
-    return docs.join(kept, [first, node], "left_semi").dropDuplicates([first, node]).drop(first, node)
+    return docs.join(kept, [first, node], "left_semi").dropDuplicates([first, node]).select(*columns)

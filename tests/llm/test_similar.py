@@ -75,3 +75,11 @@ def test_chains_through_a_large_group(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     assert got(spark, rows) == kept(rows)
     assert got(spark, [(1, "Ab c"), (2, "aB  C"), (3, "ab c d"), (4, None), (5, " \n"), (6, "ab")]) == {1, 3, 4, 6}
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "text_hash", lambda body: F.pmod(F.xxhash64(body), F.lit(5)))
+    rows = [(i, " ".join(own(30, i % 20))) for i in range(60)] + [(100 + i, " ".join([*own(60, i), "end"])) for i in range(5)]
+    assert got(spark, rows) == kept(rows)
