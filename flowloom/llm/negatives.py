@@ -213,7 +213,10 @@ def mine(vectors: DataFrame, anchor: Column, key: str = "vec_id", column: str =
     if not blocks:
         return spark.createDataFrame([], RESULT)
     of_block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    anchors = written(packed(asked.select("vec_id", "label", "embedding", of_block), dims, scale, "block"), "anchors")
+    # a folder for each block, so a pass reads its own anchors only
+    place_of = scratch_path(spark, "anchors")
+    packed(asked.select("vec_id", "label", "embedding", of_block).repartition("block"), dims, scale, "block").write.partitionBy("block").parquet(place_of)
+    anchors = spark.read.schema(f"{PACKED}, block int").parquet(place_of)
     candidates = written(packed(rows, dims, scale), "candidates")
     path = scratch_path(spark, "negatives")
     for b in range(blocks):
