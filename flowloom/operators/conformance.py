@@ -177,9 +177,10 @@ def nearest_variants(validation: DataFrame, train: DataFrame) -> DataFrame:
     keys = known.select("path_key")
     same = asked.join(keys, "path_key", "left_semi").select("path_key", F.lit(0).cast("long").alias("cost"), F.col("path").alias("reference"), F.lit(0).cast("long").alias("verified"))
     other = written(_with_bag(asked.join(keys, "path_key", "left_anti").withColumn("ask", F.monotonically_increasing_id())), "held_out")
-    longest = (known.agg(F.max("size")).first()[0] or 0) + (other.agg(F.max("size")).first()[0] or 0)
-    if known.isEmpty() or other.isEmpty():
+    (_, long_ref), (open_, long_ask) = (df.agg(F.count("*"), F.max("size")).first() for df in (known, other))
+    if long_ref is None or long_ask is None:
         return same
+    longest = long_ref + long_ask
     tokens = _tokens(known)
     frequency = tokens.groupBy("token").count().withColumnRenamed("count", "n")
     index, probes = written(_ordered(tokens, frequency), "bags"), written(_ordered(_tokens(other), frequency), "held_out_bags")
@@ -200,7 +201,7 @@ def nearest_variants(validation: DataFrame, train: DataFrame) -> DataFrame:
         if best is not None:
             found = found.unionByName(best)
         best = written(found.groupBy("ask").agg(F.min(F.struct("cost", "ord")).alias("b"), F.sum("verified").alias("verified")).select("ask", "b.cost", "b.ord", "verified"), "nearest")
-        if radius >= longest or best.where(F.col("cost") <= radius).count() == other.count():
+        if radius >= longest or best.where(F.col("cost") <= radius).count() == open_:
             break
         radius, done = min(radius * GROWTH, longest), radius
     told = best.join(other.select("ask", "path_key"), "ask").join(known.select("ord", F.col("path").alias("reference")), "ord")

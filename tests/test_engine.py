@@ -86,8 +86,7 @@ def test_summaries_against_plain_ones(spark, values):
     assert upto == {v: (sum(w <= v for w in known), len(known)) for v in known}
 
 
-def test_ranks_of_a_whole_table(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SAMPLED", 50)
+def test_ranks_of_a_whole_table(spark):
     rows_ = [(f"id{i:04d}", i * 7919 % 5, i % 3) for i in range(900)]
     df = spark.createDataFrame(rows_, "id string, n long, w long").repartition(4)
     got = {r["id"]: (r["rank"], r["upto"], r["of"]) for r in ranking.ranked(df, F.struct((-F.col("n")).alias("n"), "id"), "w").collect()}
