@@ -187,6 +187,8 @@ def nearest_variants(validation: DataFrame, train: DataFrame) -> DataFrame:
     sized = known.groupBy("bag").agg(F.count("*").alias("n"))
     piece = F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / CHUNK))
     chunks = written(known.join(sized, "bag").groupBy("bag", piece.alias("piece")).agg(F.collect_list(F.struct("ord", "path_key")).alias("references")).select(F.col("bag").alias("ref_bag"), "piece", "references"), "references")
+    # small rows with much work in them: their number of tasks is not left to their bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best, radius, done = None, FIRST_RADIUS, -1
     while True:
         left = other.select("ask", "path_key", "bag")
@@ -196,7 +198,7 @@ def nearest_variants(validation: DataFrame, train: DataFrame) -> DataFrame:
         pairs = _near_bags(probes.join(reach, "bag"), index, radius, done)
         rows = left.join(pairs, "bag").where(F.col("apart") <= F.col("known")).join(chunks, "ref_bag")
         part = F.pmod(F.xxhash64("ref_bag", "piece"), F.lit(PARTS))
-        rows = rows.select("ask", part.alias("part"), "path_key", "known", "apart", "references").repartition("ask", "part").sortWithinPartitions("ask", "part", "apart")
+        rows = rows.select("ask", part.alias("part"), "path_key", "known", "apart", "references").repartition(tasks, "ask", "part").sortWithinPartitions("ask", "part", "apart")
         found = rows.select("ask", "path_key", "known", "apart", "references").mapInArrow(_verify, "ask long, cost long, ord long, verified long")
         if best is not None:
             found = found.unionByName(best)
