@@ -273,7 +273,8 @@ cc-by-nc-4.0 | 3 | noncommercial | creative commons attribution noncommercial{v}
 cc-by-nc | 2 | noncommercial | creative commons attribution noncommercial(?: licen[cs]e)?
 cc-by-nc | 2 | commercial | creative commons attribution non commercial(?: licen[cs]e)?
 cc-by-nd-4.0 | 3 | noderivatives | creative commons attribution noderivatives{v}4(?: 0)?(?: international)?(?: licen[cs]e)?
-cc-by-nd | 2 | noderivatives | creative commons attribution noderiv(?:ative)?s(?: licen[cs]e)?
+cc-by-nd | 2 | noderivatives | creative commons attribution noderivatives(?: licen[cs]e)?
+cc-by-nd | 2 | noderivs | creative commons attribution noderivs(?: licen[cs]e)?
 cc-by-nc-sa-4.0 | 3 | sharealike | creative commons attribution noncommercial sharealike{v}4(?: 0)?(?: international)?(?: licen[cs]e)?
 cc-by-nc-sa | 2 | sharealike | creative commons attribution non commercial sharealike(?: licen[cs]e)?
 cc-by-nc-nd | 2 | noderivatives | creative commons attribution noncommercial noderivatives(?: licen[cs]e)?
@@ -304,7 +305,8 @@ dual | 2 | dual | dual licen[cs]ed?(?: under)?
 open-source | 1 | open | open source licen[cs]ed?
 free-software | 1 | free | this(?: program| library)? is free software
 licensed | 1 | licensed | licensed under(?: the)?
-licensed | 1 | license | (?:terms of the|see the|under the) licen[cs]e
+licensed | 1 | license | (?:terms of the|see the|under the) license
+licensed | 1 | licence | (?:terms of the|see the|under the) licence
 licensed | 1 | license | license agreement
 copyright | 1 | copyright | copyright(?: c)? (?:19|20)[0-9][0-9]
 copyright | 1 | copyrighted | copyrighted (?:material|work|works)
