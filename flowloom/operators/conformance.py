@@ -28,6 +28,8 @@ from flowloom.sources.scratch import ship, written
 FIRST_RADIUS, GROWTH = 2, 4
 #: References in a row that goes to a task; parts in which the candidates of one path are verified.
 CHUNK, PARTS, SALTS = 64, 4, 8
+#: The number of tokens that no training bag holds.
+UNKNOWN = -1
 MOVES = "array<struct<kind:string,log_activity:string,model_activity:string,cost:int>>"
 
 
@@ -102,31 +104,36 @@ def _tokens(paths: DataFrame) -> DataFrame:
     return counted.select("bag", "size", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "count"), lambda k: F.concat_ws(SEPARATOR, "activity", k.cast("string")))).alias("token"))
 
 
-def _ordered(tokens: DataFrame, frequency: DataFrame) -> DataFrame:
-    """bag, size, tokens: the rarest first. A token that no training bag holds is the rarest."""
-    rows = tokens.join(frequency, "token", "left").groupBy("bag", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
-    return rows.select("bag", "size", F.transform("t", lambda x: x["token"]).alias("tokens"))
+def _numbered(tokens: DataFrame) -> DataFrame:
+    """token, number: the rarest first, so that joins carry numbers and no texts. To be written, as ids of rows are."""
+    return tokens.groupBy("token").count().orderBy("count", "token").select("token", F.monotonically_increasing_id().alias("number"))
+
+
+def _ordered(tokens: DataFrame, numbers: DataFrame) -> DataFrame:
+    """id, bag, size, tokens: numbers of the tokens, the rarest first. A token that no training bag holds is UNKNOWN, which comes first and meets nothing."""
+    bags = tokens.join(numbers, "token", "left").groupBy("bag", "size").agg(F.array_sort(F.collect_list(F.coalesce("number", F.lit(UNKNOWN)))).alias("tokens"))
+    return bags.select(F.monotonically_increasing_id().alias("id"), "bag", "size", "tokens")
 
 
 def _prefix(bags: DataFrame, salt: Column, radius: Column) -> DataFrame:
-    """The radius + 1 first tokens with their places; small bags have one more, which they share with all small ones."""
+    """The radius + 1 first tokens with their places; small bags have one more below UNKNOWN, which they share with all small ones."""
     tokens = F.transform(F.slice("tokens", F.lit(1), radius + 1), lambda t, i: F.struct(t.alias("token"), i.alias("at")))
-    small = F.transform(salt, lambda s: F.struct(F.concat(F.lit("\0"), s.cast("string")).alias("token"), F.lit(-1).alias("at")))
-    return bags.withColumn("t", F.explode(F.concat(tokens, F.when(F.col("size") <= radius, small).otherwise(F.array().cast("array<struct<token:string,at:int>>"))))).select("*", "t.token", "t.at").drop("t", "tokens")
+    small = F.transform(salt, lambda s: F.struct((UNKNOWN - 1 - s).cast("long").alias("token"), F.lit(-1).alias("at")))
+    return bags.withColumn("t", F.explode(F.concat(tokens, F.when(F.col("size") <= radius, small).otherwise(F.array().cast("array<struct<token:bigint,at:int>>"))))).select("*", "t.token", "t.at").drop("t", "tokens")
 
 
 def _near_bags(asked: DataFrame, known: DataFrame, radius: int, done: int) -> DataFrame:
-    """bag, ref_bag, apart: pairs of bags that differ by more than `done` and by at most the asked bag's own radius (reach)."""
+    """id, ref_id, apart: pairs of bags that differ by more than `done` and by at most the asked bag's own radius (reach)."""
     probe = _prefix(asked, F.sequence(F.lit(0), F.lit(SALTS - 1)), F.col("reach"))
-    index = _prefix(known, F.array(F.pmod(F.xxhash64("bag"), F.lit(SALTS))), F.lit(radius))
-    index = index.select("token", F.col("bag").alias("ref_bag"), F.col("size").alias("ref_size"), F.col("at").alias("ref_at"))
+    index = _prefix(known, F.array(F.pmod(F.xxhash64("id"), F.lit(SALTS))), F.lit(radius))
+    index = index.select("token", F.col("id").alias("ref_id"), F.col("size").alias("ref_size"), F.col("at").alias("ref_at"))
     total, reach = F.col("size") + F.col("ref_size"), F.col("reach")
     least = F.ceil((total - reach) / 2)  # what they must share
     room = F.when(F.col("at") < 0, total <= reach).otherwise((F.col("at") <= F.col("size") - least) & (F.col("ref_at") <= F.col("ref_size") - least))
-    pairs = probe.join(index, "token").where((F.abs(F.col("size") - F.col("ref_size")) <= reach) & room).select("bag", "ref_bag").distinct()
-    both = pairs.join(asked.select("bag", "reach", "size", "tokens"), "bag").join(known.select(F.col("bag").alias("ref_bag"), F.col("size").alias("ref_size"), F.col("tokens").alias("ref_tokens")), "ref_bag")
+    pairs = probe.join(index, "token").where((F.abs(F.col("size") - F.col("ref_size")) <= reach) & room).select("id", "ref_id").distinct()
+    both = pairs.join(asked.select("id", "reach", "size", "tokens"), "id").join(known.select(F.col("id").alias("ref_id"), F.col("size").alias("ref_size"), F.col("tokens").alias("ref_tokens")), "ref_id")
     apart = total - 2 * F.size(F.array_intersect("tokens", "ref_tokens"))
-    return both.select("bag", "ref_bag", apart.alias("apart"), "reach").where((F.col("apart") > done) & (F.col("apart") <= F.col("reach"))).drop("reach")
+    return both.select("id", "ref_id", apart.alias("apart"), "reach").where((F.col("apart") > done) & (F.col("apart") <= F.col("reach"))).drop("reach")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,22 +189,25 @@ def nearest_variants(validation: DataFrame, train: DataFrame) -> DataFrame:
         return same
     longest = long_ref + long_ask
     tokens = _tokens(known)
-    frequency = tokens.groupBy("token").count().withColumnRenamed("count", "n")
-    index, probes = written(_ordered(tokens, frequency), "bags"), written(_ordered(_tokens(other), frequency), "held_out_bags")
+    numbers = written(_numbered(tokens), "tokens")
+    index, probes = written(_ordered(tokens, numbers), "bags"), written(_ordered(_tokens(other), numbers), "held_out_bags")
+    asks = written(other.join(probes.select("bag", "id"), "bag").select("ask", "path_key", "id"), "asks")
     sized = known.groupBy("bag").agg(F.count("*").alias("n"))
     piece = F.pmod(F.xxhash64("ord"), F.ceil(F.col("n") / CHUNK))
-    chunks = written(known.join(sized, "bag").groupBy("bag", piece.alias("piece")).agg(F.collect_list(F.struct("ord", "path_key")).alias("references")).select(F.col("bag").alias("ref_bag"), "piece", "references"), "references")
+    refs = known.join(sized, "bag").join(index.select("bag", F.col("id").alias("ref_id")), "bag")
+    chunks = written(refs.groupBy("ref_id", piece.alias("piece")).agg(F.collect_list(F.struct("ord", "path_key")).alias("references")), "references")
+    index, probes = index.drop("bag"), probes.drop("bag")
     # small rows with much work in them: their number of tasks is not left to their bytes
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     best, radius, done = None, FIRST_RADIUS, -1
     while True:
-        left = other.select("ask", "path_key", "bag")
+        left = asks
         left = left.withColumn("known", F.lit(None).cast("long")) if best is None else left.join(best.select("ask", F.col("cost").alias("known")), "ask", "left").where(F.col("known").isNull() | (F.col("known") > done))
         left = left.withColumn("known", F.coalesce("known", F.lit(1 << 40)))
-        reach = left.groupBy("bag").agg(F.least(F.max("known"), F.lit(radius)).cast("int").alias("reach"))
-        pairs = _near_bags(probes.join(reach, "bag"), index, radius, done)
-        rows = left.join(pairs, "bag").where(F.col("apart") <= F.col("known")).join(chunks, "ref_bag")
-        part = F.pmod(F.xxhash64("ref_bag", "piece"), F.lit(PARTS))
+        reach = left.groupBy("id").agg(F.least(F.max("known"), F.lit(radius)).cast("int").alias("reach"))
+        pairs = _near_bags(probes.join(reach, "id"), index, radius, done)
+        rows = left.join(pairs, "id").where(F.col("apart") <= F.col("known")).join(chunks, "ref_id")
+        part = F.pmod(F.xxhash64("ref_id", "piece"), F.lit(PARTS))
         rows = rows.select("ask", part.alias("part"), "path_key", "known", "apart", "references").repartition(tasks, "ask", "part").sortWithinPartitions("ask", "part", "apart")
         found = rows.select("ask", "path_key", "known", "apart", "references").mapInArrow(_verify, "ask long, cost long, ord long, verified long")
         if best is not None:
@@ -206,7 +216,7 @@ def nearest_variants(validation: DataFrame, train: DataFrame) -> DataFrame:
         if radius >= longest or best.where(F.col("cost") <= radius).count() == open_:
             break
         radius, done = min(radius * GROWTH, longest), radius
-    told = best.join(other.select("ask", "path_key"), "ask").join(known.select("ord", F.col("path").alias("reference")), "ord")
+    told = best.join(asks.select("ask", "path_key"), "ask").join(known.select("ord", F.col("path").alias("reference")), "ord")
     return same.unionByName(told.select("path_key", "cost", "reference", "verified"))
 
 
