@@ -120,16 +120,17 @@ class Tables:
 
     def likely(self, current: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """P(target | component) of rows of current and target ids: role of each, by group, and where pieces go on, by group after the current piece."""
-        role, first = self.role[target], self.emitted[target]
+        role, first = self.role.take(target), self.emitted.take(target, 0)
         on = np.flatnonzero(role == GOES_ON)
         now = current[on]
         key = now * self.start + target[on]
         at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        second = np.float32(BACK_OFF) * first[on]
+        second = first.take(on, 0)
+        second *= np.float32(BACK_OFF)
         if len(self.pairs):
-            hit = self.pairs[at] == key
-            second[hit] += self.paired[at[hit]]
-        second /= self.leads[now] + np.float32(BACK_OFF)
+            hit = np.flatnonzero(self.pairs.take(at) == key)
+            second[hit] += self.paired.take(at[hit], 0)
+        second /= self.leads.take(now, 0, mode="wrap") + np.float32(BACK_OFF)
         return role, first, on, second
 
 
@@ -171,27 +172,35 @@ def attend(gate: Gate, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ..
     np.minimum(g, BOUND, out=g)
     np.exp(g, out=g)
     g += np.float32(1e-20)
-    g /= g.sum(-1, keepdims=True)
+    g /= (g @ np.ones(COMPONENTS, dtype=np.float32))[:, None]
     return g, context, total, attention, q, k
 
 
 def expected(g: np.ndarray, role: np.ndarray, first: np.ndarray, on: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(P(component, target), P(target)) of rows."""
-    out = np.zeros((len(g), ROLES + 1, GROUPS), dtype=np.float32)
-    g, every = g.reshape(out.shape), np.arange(len(g))
-    out[every, role] = g[every, role] * first
-    out[on, ROLES] = g[on, ROLES] * second
+    rows, by_role, by_piece = _parts_of(g, role, on)
+    out = np.zeros((len(g) * (ROLES + 1), GROUPS), dtype=np.float32)
+    out[rows] = by_role * first
+    out[on * (ROLES + 1) + ROLES] = by_piece * second
     out = out.reshape(-1, COMPONENTS)
-    return out, out.sum(1)
+    return out, out @ np.ones(COMPONENTS, dtype=np.float32)
+
+
+def _parts_of(g: np.ndarray, role: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(component) by group: (place of the target's role, its components, those after the current piece where pieces go on)."""
+    flat = g.reshape(-1, GROUPS)
+    rows = np.arange(len(role)) * (ROLES + 1) + role
+    return rows, flat.take(rows, 0), flat.take(on * (ROLES + 1) + ROLES, 0)
 
 
 def log_probs(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
     """ln P(target) at the last positions of windows of ids; target has a row for each window."""
     asked = target.shape[1]
-    g = attend(gate, *tables.known(seen, asked))[0].reshape(-1, ROLES + 1, GROUPS)
+    g = attend(gate, *tables.known(seen, asked))[0]
     role, first, on, second = tables.likely(seen[:, WINDOW - asked :].ravel(), target.ravel())
-    p = np.einsum("ng,ng->n", g[np.arange(len(g)), role], first)
-    p[on] += np.einsum("ng,ng->n", g[on, ROLES], second)
+    _, by_role, by_piece = _parts_of(g, role, on)
+    p = np.einsum("ng,ng->n", by_role, first)
+    p[on] += np.einsum("ng,ng->n", by_piece, second)
     return np.log(p).reshape(target.shape)
 
 
@@ -208,7 +217,7 @@ def gradient(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -
     d -= both / p[:, None]
     d *= (live / max(1, live.sum())).astype(np.float32)[:, None]
     dc = (d @ gate.mix.T).reshape(context.shape)
-    own = (dc * context).sum(-1, keepdims=True) / total
+    own = np.einsum("nqe,nqe->nq", dc, context)[:, :, None] / total
     dc /= total
     dq, dk, dfar = np.empty_like(q), np.zeros_like(k), np.zeros(WINDOW)
     columns = x.transpose(0, 2, 1)
