@@ -37,6 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest doc_id.
 
+    Groups of SimHash fingerprints come first and are verified; an exact search adds the pairs that fingerprints do not bring together.
     One row stays of repeated rows; null and empty texts are copies of each other; a null id comes last. Long texts are compared whole.
     """
     ship(spark)

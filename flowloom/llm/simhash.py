@@ -12,7 +12,7 @@ part out. Fingerprints are indexed by (part, value); each sends its probes, and
 Equal fingerprints are merged before all this, so copies never meet each other in pairs. A pair is kept only if it is
 within the radius. Components are found by smallest-label rounds with pointer jumping, on links between fingerprints.
 
-Near copies by similarity of shingles (first_of_similar) need no fingerprints: a prefix filter over shingles makes the candidates.
+Near copies by similarity of shingles (first_of_similar) are these groups, verified, and what a prefix filter over shingles adds to them.
 
 Nulls: a null or blank text has fingerprint zero, linked like any other; a null doc_id stays and names a component only
 where no other doc_id is in it. Repeated rows stay. Further columns pass through (fingerprint and component_id are replaced).
@@ -312,15 +312,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
 
 
 def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """(node, root) of the texts (node, text) that have candidates: the components of all pairs of similarity `least` or more.
+    """(node, root) of the texts (node, text): the components of all pairs of similarity `least` or more.
 
-    Texts that share a shingle of their prefixes are in a bucket. In a few rounds each text is compared with one text of
-    each of its buckets, so that large groups merge without meeting in pairs. Then all pairs of a bucket that no verified
-    link has brought together are compared, as far as their sizes and places allow the similarity; so nothing is missed.
+    SimHash makes the groups first (near_duplicates): each text is compared with the one that names its group. Fingerprints
+    do not find all pairs of such a similarity, so an exact search follows for what they have not brought together. Texts that
+    share a shingle of their prefixes are in a bucket. In a few rounds each text is compared with one text of each of its
+    buckets, so that large groups merge without meeting in pairs. Then all pairs of a bucket that no verified link has
+    brought together are compared, as far as their sizes and places allow the similarity; so nothing is missed.
     """
-    keys = written(_prefixes(texts, width, least), "similar_keys")
     bodies = texts.dropDuplicates(["node"])
-    roots = keys.select("node").distinct().withColumn("root", F.col("node"))
+    grouped = written(near_duplicates(bodies, key="node").select("node", F.col("component_id").alias("group")), "similar_groups")
+    roots = grouped.select("node", F.col("node").alias("root"))
 
     def rooted() -> DataFrame:
         """The keys of buckets that hold several components."""
@@ -340,6 +342,9 @@ def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
         roots = written(roots.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "similar_roots")
         return True
 
+    itself = lambda c: F.struct(F.col(c).alias("node"), F.col(c).alias("root"))
+    merged(grouped.where("node <> group").select(itself("node").alias("x"), itself("group").alias("y")))
+    keys = written(_prefixes(texts, width, least), "similar_keys")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     alike = (F.col("x.root") != F.col("y.root")) & (small >= least * large - 1e-6)
     for number in range(STAR_ROUNDS):
