@@ -1,9 +1,11 @@
 """What showed on larger tables only, on small ones that are made to show it."""
 
 import datetime
+import random
 
 import duckdb
 
+from flowloom.operators import conformance
 from flowloom.plans.catalogue import ORACLES, QUERIES
 
 START = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
@@ -21,3 +23,26 @@ def test_halves_are_rounded_as_in_sql(spark, tmp_path):
     for name in ("variant_rank", "variant_stats"):
         got = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted(duck.sql(ORACLES[name]).select(*(f'"{c}"' for c in got.columns)).fetchall())
+
+
+def test_pairs_of_bags_are_dealt_into_as_many_tasks_as_they_want(spark, monkeypatch):
+    """Rows of one token go to many cells, every pair meets once, and the tasks follow the pairs and not the bytes."""
+    monkeypatch.setattr(conformance, "CELL", 4)
+    monkeypatch.setattr(conformance, "PAIRS", 20)
+    monkeypatch.setattr(conformance, "REFERENCES", 100)
+    probe = spark.range(30).selectExpr("id % 2 AS token", "id")
+    index = spark.range(40).selectExpr("id % 4 AS token", "id AS ref_id")
+    a, b, tasks = conformance._cells(probe, index)
+    assert tasks == 15 and a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 15
+    met = a.join(b, ["token", "row", "column"])
+    assert met.count() == met.select("id", "ref_id").distinct().count() == 300
+    assert met.groupBy("token", "row", "column").count().agg({"count": "max"}).first()[0] < 80
+    r = random.Random(4)
+    paths = sorted({"".join(r.choices("abcd", k=r.randrange(1, 14))) for _ in range(160)})
+    rows = [("\x1f".join(p), list(p), str(i)) for i, p in enumerate(paths)]
+    held, known = rows[::4], [x for i, x in enumerate(rows) if i % 4]
+    schema = "path_key string, path array<string>, case_id string"
+    got = conformance.nearest_variants(spark.createDataFrame(held, schema), spark.createDataFrame(known, schema))
+    cost = lambda p, q: len(p) + len(q) - 2 * conformance.lcs_length(conformance.bit_masks(p), len(p), q)
+    want = {k: min((cost(p, q), kq) for kq, q, _ in known) for k, p, _ in held}
+    assert {x["path_key"]: (x["cost"], "\x1f".join(x["reference"])) for x in got.collect()} == want
