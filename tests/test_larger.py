@@ -5,8 +5,12 @@ import random
 
 import duckdb
 
-from flowloom.operators import conformance
+from pyspark.sql import functions as F
+
+from flowloom.operators import conformance, evidence, profile, traces
 from flowloom.plans.catalogue import ORACLES, QUERIES
+from flowloom.sources import files
+from flowloom.sources.scratch import written
 
 START = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
 
@@ -46,3 +50,15 @@ def test_pairs_of_bags_are_dealt_into_as_many_tasks_as_they_want(spark, monkeypa
     cost = lambda p, q: len(p) + len(q) - 2 * conformance.lcs_length(conformance.bit_masks(p), len(p), q)
     want = {k: min((cost(p, q), kq) for kq, q, _ in known) for k, p, _ in held}
     assert {x["path_key"]: (x["cost"], "\x1f".join(x["reference"])) for x in got.collect()} == want
+
+
+def test_what_is_read_twice_is_made_once(spark, tmp_path, monkeypatch):
+    """Records of CSV files, the clean log, the leads of variants and the two that are compared: each is stored before it is read again."""
+    made = []
+    for module in (files, evidence, profile):
+        monkeypatch.setattr(module, "written", lambda df, name: made.append(name) or written(df, name))
+    (tmp_path / "a.csv").write_text('case_id,activity,timestamp\n1,"x\ny",2026-01-01\n1,z,2026-01-02\n2,z,2026-01-03\n')
+    log = files.read_log(spark, f"{tmp_path}/a.csv")
+    assert log.count() == 3 and {"cells", "clean"} <= set(made)
+    variants = profile.variant_stats(traces.traces(log)).withColumn("variant_id", F.col("path_key"))
+    assert evidence.compare_variants(variants, "z", "x\ny\x1fz").count() == 2 and made[-2:] == ["leads", "compared"]
