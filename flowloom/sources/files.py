@@ -86,6 +86,7 @@ def raw_csv(spark: SparkSession, path: str, only: DataFrame | None = None) -> Da
     line = F.col("value")
     cells = F.when(F.col("sep") == ";", _fields(line, ";")).otherwise(_fields(line, ","))
     cells = rows.join(F.broadcast(told.select("file", "sep")), "file").select("file", "block", "at", "n", cells.alias("cells")).where(F.array_join("cells", "") != "")
+    cells = written(cells, "cells")  # read for the headers and for the rows: records are put together once
     heads = headers(cells)
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     taken = F.array_compact(F.array(*(F.col("place")[f] for f in ALIASES)))
@@ -172,7 +173,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The clean event log of a file. Less than two events are an error."""
-    log = clean(read_raw(spark, path))
+    log = written(clean(read_raw(spark, path)), "clean")
     if log.limit(2).count() < 2:
         raise ValueError("O arquivo não contém eventos válidos suficientes.")
     return log
