@@ -160,7 +160,7 @@ def attend(gate: Gate, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ..
     for low, high, far, allowed in _blocks(asked):
         a = q[:, low - start : high - start] @ keys[:, :, :high]
         a += np.where(allowed, gate.far[far], np.float32(-1e4))
-        np.minimum(a, BOUND, out=a)
+        _bounded(a)
         np.exp(a, out=a)
         np.matmul(a, x[:, :high], out=context[:, low - start : high - start])
         attention.append(a)
@@ -169,21 +169,17 @@ def attend(gate: Gate, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ..
     g = context.reshape(-1, EMBEDDED) @ gate.mix
     g += first.reshape(-1, ROLES) @ gate.after
     g += gate.bias
-    np.minimum(g, BOUND, out=g)
+    _bounded(g)
     np.exp(g, out=g)
     g += np.float32(1e-20)
     g /= (g @ np.ones(COMPONENTS, dtype=np.float32))[:, None]
     return g, context, total, attention, q, k
 
 
-def expected(g: np.ndarray, role: np.ndarray, first: np.ndarray, on: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(P(component, target), P(target)) of rows."""
-    rows, by_role, by_piece = _parts_of(g, role, on)
-    out = np.zeros((len(g) * (ROLES + 1), GROUPS), dtype=np.float32)
-    out[rows] = by_role * first
-    out[on * (ROLES + 1) + ROLES] = by_piece * second
-    out = out.reshape(-1, COMPONENTS)
-    return out, out @ np.ones(COMPONENTS, dtype=np.float32)
+def _bounded(a: np.ndarray) -> None:
+    """No number of a above BOUND; to look is cheaper than to write them all."""
+    if a.max(initial=0) > BOUND:
+        np.minimum(a, BOUND, out=a)
 
 
 def _parts_of(g: np.ndarray, role: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,19 +208,24 @@ def gradient(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -
     g, context, total, attention, q, k = attend(gate, x, first)
     live = target.ravel() != NONE
     flat = np.where(live, target.ravel(), 0)
-    both, p = expected(g, *tables.likely(seen[:, start:].ravel(), flat))
-    d = g
-    d -= both / p[:, None]
+    role, first_part, on, second_part = tables.likely(seen[:, start:].ravel(), flat)
+    rows, by_role, by_piece = _parts_of(g, role, on)
+    by_role *= first_part
+    by_piece *= second_part
+    p = by_role @ np.ones(GROUPS, dtype=np.float32)
+    p[on] += by_piece @ np.ones(GROUPS, dtype=np.float32)
+    d, of_groups = g, g.reshape(-1, GROUPS)  # less P(component | window, target), which is zero for other roles
+    of_groups[rows] -= by_role / p[:, None]
+    of_groups[on * (ROLES + 1) + ROLES] -= by_piece / p[on, None]
     d *= (live / max(1, live.sum())).astype(np.float32)[:, None]
     dc = (d @ gate.mix.T).reshape(context.shape)
-    own = np.einsum("nqe,nqe->nq", dc, context)[:, :, None] / total
     dc /= total
+    dc[:, :, -1] -= np.einsum("nqe,nqe->nq", dc, context)  # by way of the sum; embeddings end with 1
     dq, dk, dfar = np.empty_like(q), np.zeros_like(k), np.zeros(WINDOW)
     columns = x.transpose(0, 2, 1)
     for (low, high, far, _), a in zip(_blocks(asked), attention, strict=True):
         part = slice(low - start, high - start)
         da = dc[:, part] @ columns[:, :, :high]
-        da -= own[:, part]
         da *= a
         np.matmul(da, k[:, :high], out=dq[:, part])
         dk[:, :high] += da.transpose(0, 2, 1) @ q[:, part]

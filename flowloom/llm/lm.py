@@ -23,12 +23,12 @@ rows are scored each, equal texts alike. Very long texts are scored whole, in bl
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from xxhash import xxh64_intdigest
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -40,8 +40,9 @@ from flowloom.llm.support import written
 
 ROUNDS, TASK_WINDOWS = 3, 36_000
 OWN_PARTS, PAIR_PARTS, WORD_STORE = 500_000, 1_000_000, 300_000
-COUNT_LIMIT = 400_000
-SPELT_AT_ONCE, SCORED_AT_ONCE, WINDOWED_AT_ONCE, COUNTED_AT_ONCE, ROWS_AT_ONCE = 20_000, 128, 64, 4096, 50_000
+READ_BYTES, WORDS_BYTES = 2_000_000, 16_000_000  # of text at once
+SCORED_AT_ONCE, READ_AT_ONCE, COUNTED_AT_ONCE, ROWS_AT_ONCE = 128, 64, 4096, 50_000
+READ = "doc_id long, n_tokens long, hot_known long, hot_sum double, rare array<struct<h:long,n:int>>, ids binary"
 SEGMENT = 32  # windows in a row
 
 
@@ -56,7 +57,7 @@ def words(text: str | None) -> list[bytes]:
 
 def _word_hashes(many: list[bytes]) -> np.ndarray:
     """What Spark's xxhash64 gives for the words."""
-    return np.fromiter((xxh64_intdigest(w, 42) for w in many), dtype=np.uint64, count=len(many)).view(np.int64)
+    return np.fromiter(map(xxh64_intdigest, many, repeat(42)), dtype=np.uint64, count=len(many)).view(np.int64)
 
 
 class Subwords:
@@ -89,7 +90,7 @@ class Subwords:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         text = (b" " + b" ".join(found)).decode()
         if len(text.split()) == len(found):
-            ids = np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+            ids = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
             stops = np.cumsum(self.lengths[ids])
             ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1)
             last = np.searchsorted(stops, ends)
@@ -111,69 +112,115 @@ def subwords(vocabulary: str) -> Subwords:
 # ---- what the corpus gives
 
 
+def _runs(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Texts, nulls as empty ones, in runs of about so many bytes; a longer text is a run of its own."""
+    texts = pc.fill_null(texts, "")
+    at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+    yield from (texts.slice(low, high - low) for low, high in zip(edges[:-1], edges[1:], strict=True) if high > low)
+
+
+def _split(texts: pa.Array) -> pa.ListArray:
+    """words() of texts without nulls, and empty strings where texts begin or end with blanks."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """(n, word): words with their counts, several rows for a word."""
+    """(n, word): words with their counts, several rows for a word. The empty one counts the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
+        for batch in batches:
+            for texts in _runs(batch.column(0), WORDS_BYTES):
+                found, n = pc.value_counts(_split(texts).flatten()).flatten()
+                word = pc.not_equal(found, "")
+                found, n = pa.concat_arrays([found.filter(word), pa.array([""])]), pa.concat_arrays([n.filter(word), pa.array([len(texts)])])
+                yield pa.RecordBatch.from_arrays([n, found.cast(pa.binary())], names=["n", "word"])
+
+    return docs.select("text").mapInArrow(run, "n long, word binary")
+
+
+def _read(docs: DataFrame, vocabulary: str, own_ids: Broadcast, logs: Broadcast) -> DataFrame:
+    """READ of the documents (doc_id, text). logs: what a word adds to the base, for ids of words.
 
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.values()), pa.int64()), pa.array(list(seen), pa.binary())], names=["n", "word"])
-            seen.clear()
-            return out
+    ids: see packed. rare: hashes of the words without an id, with counts; hot_known and hot_sum: how many the others are, and their base.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Words(Units(vocabulary, own_ids.value))
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(words(t.as_py()))
-                seen[b""] += 1
-                if len(seen) > COUNT_LIMIT:
-                    yield flushed()
-        yield flushed()
+            low = 0
+            for texts in _runs(batch.column(1), READ_BYTES):
+                yield coded(store, batch.column(0).slice(low, len(texts)), texts)
+                low += len(texts)
+
+    def coded(store: Words, doc_id: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        ends, at, size, ids = store.read(texts)
+        starts, stops = np.concatenate([[0], ends[:-1]]), np.cumsum(size)[ends - 1].tolist()
+        own = store.own.values[at]
+        hot = own >= 0
+        sums = np.add.reduceat(np.where(hot, logs.value[np.maximum(own - store.units.sub.end - 1, 0)], 0) if len(logs.value) else np.zeros(len(at)), starts)
+        cold = np.flatnonzero(~hot)
+        rare, n = np.unique(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[cold] * len(store.known) + at[cold], return_counts=True)
+        rows = pa.StructArray.from_arrays([pa.array(store.hashes.values[rare % len(store.known)]), pa.array(n, pa.int32())], names=["h", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.arange(len(ends) + 1) * len(store.known)), pa.int32()), rows)
+        parts = [packed(ids[low:high]) for low, high in zip([0, *stops[:-1]], stops, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [doc_id, pa.array(ends - starts), pa.array(np.add.reduceat(hot.astype(np.int64), starts)), pa.array(sums), lists, pa.array(parts, pa.binary())],
+            names=["doc_id", "n_tokens", "hot_known", "hot_sum", "rare", "ids"],
+        )
+
+    return docs.select("doc_id", "text").mapInArrow(run, READ)
 
-    return docs.select("text").mapInArrow(run, "n long, word binary")
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids in three bytes each: the two low ones of all, then the high ones."""
+    return ids.astype("<u2").tobytes() + (ids >> 16).astype(np.uint8).tobytes()
 
-def _spelt(counts: DataFrame, vocabulary: str) -> DataFrame:
-    """(id, n): subword ids of words (c, word), several rows for an id."""
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 3
+    return np.frombuffer(data, "<u2", n).astype(np.int64) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.int64) << 16
+
+
+def _id_counts(read: DataFrame, size: int) -> DataFrame:
+    """(id, n): how often each of `size` ids stands in READ, several rows for an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, total = subwords(vocabulary), np.zeros(subwords(vocabulary).end + 1, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            n, found = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for low in range(0, len(found), SPELT_AT_ONCE):
-                part = [w or None for w in found[low : low + SPELT_AT_ONCE]]
-                ends = np.array([w is None for w in part])
-                total[sub.end] += n[low : low + SPELT_AT_ONCE][ends].sum()
-                ids, sizes = sub.many([w for w in part if w])
-                np.add.at(total, ids, np.repeat(n[low : low + SPELT_AT_ONCE][~ends], sizes))
+            for low in range(0, batch.num_rows, READ_AT_ONCE):
+                total += np.bincount(np.concatenate([unpacked(d) for d in batch.column(0).slice(low, READ_AT_ONCE).to_pylist()]), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    return counts.mapInArrow(run, "id long, n long")
+    return read.select("ids").mapInArrow(run, "id long, n long")
 
 
 def _windows(docs: DataFrame, vocabulary: str, own_ids: Broadcast) -> DataFrame:
-    """(r, ids): rows of up to SEGMENT windows of WINDOW + 1 ids of the documents (doc_id, text). r: a hash."""
+    """The windows of documents (doc_id, text), as _cut gives them."""
+    spark = docs.sparkSession
+    return _cut(_read(docs, vocabulary, own_ids, spark.sparkContext.broadcast(np.zeros(len(own_ids.value)))), subwords(vocabulary).end + 1 + len(own_ids.value))
+
+
+def _cut(read: DataFrame, start: int) -> DataFrame:
+    """(r, ids): rows of up to SEGMENT windows of WINDOW + 1 ids of READ. r: a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Words(Units(vocabulary, own_ids.value))
         for batch in batches:
-            for low in range(0, batch.num_rows, WINDOWED_AT_ONCE):
-                yield windows_of(store, batch.slice(low, WINDOWED_AT_ONCE))
+            for low in range(0, batch.num_rows, READ_AT_ONCE):
+                yield windows_of(batch.slice(low, READ_AT_ONCE))
 
-    def windows_of(store: Words, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ends, size, ids, _, _ = store.read(batch.column(1).to_pylist())
-        stops = np.cumsum(size)[ends - 1]
+    def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, numbers, parts = [], [], []
-        for key, low, high in zip(batch.column(0).to_pylist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-            table = attention.windows_of(ids[low:high], store.units.size).astype("<i4")
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            table = attention.windows_of(unpacked(data), start).astype("<i4")
             for at in range(0, len(table), SEGMENT):
                 keys.append(key)
                 numbers.append(at)
                 parts.append(table[at : at + SEGMENT].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names=["key", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, n int, ids binary").select(F.xxhash64("key", "n", "ids").alias("r"), "ids")
+    return read.select("doc_id", "ids").mapInArrow(run, "key long, n int, ids binary").select(F.xxhash64("key", "n", "ids").alias("r"), "ids")
 
 
 def _in_parts(batches: Iterator[pa.RecordBatch], windows: int) -> Iterator[np.ndarray]:
@@ -295,6 +342,25 @@ class Numbers(dict):
         return n
 
 
+class Grown:
+    """An array that grows at its end; room doubles, so that what is there is seldom copied."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.size = np.zeros(1 << 12, dtype=dtype), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if (need := self.size + len(more)) > len(self.room):
+            room = np.zeros(max(need, 2 * len(self.room)), dtype=self.room.dtype)
+            room[: self.size] = self.values
+            self.room = room
+        self.room[self.size : need] = more
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Words:
     """Words by number, with what is known of each in arrays; a bounded store."""
 
@@ -304,61 +370,46 @@ class Words:
 
     def _forget(self) -> None:
         self.known = Numbers()
-        none = lambda t: np.zeros(0, dtype=t)
         # ids of all words one after another; of each word the number of units, where they start, the hash, and its own id or -1
-        self.tables = none(np.int32), none(np.int64), none(np.int64), none(np.int64), none(np.int64)
+        self.ids, self.sizes, self.starts, self.hashes, self.own = (Grown(t) for t in (np.int32, np.int32, np.int32, np.int64, np.int32))
 
     def _learn(self, new: list[bytes]) -> None:
         """Tables of new words, in the order of their numbers."""
         ids, sizes, hashes, own = self.units.many(new)
-        ends = np.cumsum(sizes)
-        fresh = ids.astype(np.int32), sizes, ends - sizes + len(self.tables[0]), hashes, np.where(own, ids[ends - sizes], -1)
-        self.tables = tuple(np.concatenate(pair) for pair in zip(self.tables, fresh, strict=True))
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """All words of the texts and their ends, one after another: (ends of the texts in words, units of each word, ids of all, hashes, own ids or -1)."""
+        first = np.cumsum(sizes) - sizes
+        self.starts.extend(first + self.ids.size)
+        self.ids.extend(ids)
+        self.sizes.extend(sizes)
+        self.hashes.extend(hashes)
+        self.own.extend(np.where(own, ids[first], -1))
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """All words of the texts and their ends, one after another: (ends of the texts in words, numbers of words, units of each, ids of all)."""
         if len(self.known) > WORD_STORE:
             self._forget()
-        flat, ends = [], []
-        for t in texts:
-            flat += words(t)
-            flat.append(b"")
-            ends.append(len(flat))
+        lists = _split(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         before = len(self.known)
-        at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        numbers = np.fromiter(map(self.known.__getitem__, [*distinct, b""]), dtype=np.int64, count=len(distinct) + 1)
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
-        ids, sizes, starts, hashes, own = self.tables
-        size = sizes[at]
+        found = numbers[coded.indices.to_numpy()]
+        there = found != numbers[-1]
+        many = np.bincount(np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[there], minlength=len(texts))
+        ends = np.cumsum(many + 1)
+        at = np.full(ends[-1], numbers[-1])
+        at[np.delete(np.arange(len(at)), ends - 1)] = found[there]
+        size = self.sizes.values[at]
         stops = np.cumsum(size)
-        sequence = ids[np.arange(stops[-1]) + np.repeat(starts[at] - stops + size, size)].astype(np.int64)
-        return np.array(ends), size, sequence, hashes[at], own[at]
+        return ends, at, size, self.ids.values[np.arange(stops[-1]) + np.repeat(self.starts.values[at] - stops + size, size)]
 
 
 class Scorer:
-    """Scores texts with a trained model."""
+    """Scores sequences of ids with a trained model."""
 
-    def __init__(self, vocabulary: str, own: dict[int, int], counts: np.ndarray, tables: Tables, gate: Gate) -> None:
-        self.words, self.counts, self.tables, self.gate = Words(Units(vocabulary, own)), counts, tables, gate
-
-    def texts(self, texts: list[str | None], whole: float) -> dict[str, list]:
-        """Of each text: n tokens, how many and how much of the base the words with ids make, the hashes of the others with counts, and the score."""
-        ends, size, sequence, hashes, own = self.words.read(texts)
-        stops = np.cumsum(size)
-        base = np.where(own >= 0, np.log10((self.counts[np.maximum(own, 0)] + 0.5) / whole), 0)
-        out = {"n": [], "known": [], "sum": [], "rare": []}
-        sequences, low = [], 0
-        for high in ends.tolist():
-            part = slice(low, high)
-            rare, n = np.unique(hashes[part][own[part] < 0], return_counts=True)
-            out["n"].append(high - low)
-            out["known"].append(int((own[part] >= 0).sum()))
-            out["sum"].append(float(base[part].sum()))
-            out["rare"].append([{"h": h, "n": k} for h, k in zip(rare.tolist(), n.tolist(), strict=True)])
-            sequences.append(sequence[stops[low] - size[low] : stops[high - 1]])
-            low = high
-        out["score"] = self.scores(sequences).tolist()
-        return out
+    def __init__(self, tables: Tables, gate: Gate) -> None:
+        self.tables, self.gate = tables, gate
 
     def scores(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 P(ids) of each sequence."""
@@ -383,60 +434,54 @@ class Scorer:
         return out / np.log(10)
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, rare array<struct<h:long,n:int>>, score double"
-
-
 def score_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    training = rows.where("not held_out").select("doc_id", "text")
-    seen = _word_counts(training).groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("c"), F.min("word").alias("word"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    training = rows.where(~held_out(F.col("doc_id")))
+    seen = _word_counts(training).groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("c"))
     counts = written(seen, "lm_words")
     sums = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     total, distinct = sums["n"] or 0, sums["v"]
+    whole = total + 0.5 * (distinct + 1)
     least = max(2, -(-total // OWN_PARTS))
     often = F.col("c") >= least
     own = sorted((r["h"], r["c"]) for r in counts.where(often).select("h", "c").collect())  # OWN_PARTS at most
     sub = subwords(vocabulary)
     first = sub.end + 1
+    own_ids = spark.sparkContext.broadcast({h: first + i for i, (h, _) in enumerate(own)})
+    logs = spark.sparkContext.broadcast(np.log10((np.array([c for _, c in own], dtype=np.float64) + 0.5) / whole))
+    # every text is read once; training and scoring take its ids
+    read = written(_read(rows, vocabulary, own_ids, logs).withColumn("row", F.monotonically_increasing_id()), "lm_read")
+    trained = read.where(~held_out(F.col("doc_id")))
     by_id = np.zeros(first + len(own))
-    by_id[first:] = [c for _, c in own]
-    # subword ids are counted in the words that have no id of their own; the vocabulary is as many rows as come back
-    for r in _spelt(counts.where(~often).select("c", "word"), vocabulary).groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in _id_counts(trained, len(by_id)).groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many rows as there are ids
         by_id[r["id"]] = r["n"]
     role = np.concatenate([np.where(sub.begins, attention.BEGINS, attention.GOES_ON), np.full(1 + len(own), attention.WORD)])
-    own_ids = spark.sparkContext.broadcast({h: first + i for i, (h, _) in enumerate(own)})
     tasks = max(1, int(-(-by_id.sum() // (WINDOW * TASK_WINDOWS))))
-    windows = written(_windows(training, vocabulary, own_ids).repartition(tasks, "r"), "lm_windows")
+    windows = written(_cut(trained, len(by_id)).repartition(tasks, "r"), "lm_windows")
     tables = _tables(windows, by_id, role)
     shared = spark.sparkContext.broadcast(tables)
     gate = train(windows, shared)
-    counts_of = spark.sparkContext.broadcast(by_id)
-    whole = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(vocabulary, own_ids.value, counts_of.value, shared.value, gate)
+        scorer = Scorer(shared.value, gate)
         for batch in batches:
-            texts = batch.column(2)
-            for low in range(0, len(texts), 64):
-                out = scorer.texts([t.as_py() for t in texts[low : low + 64]], whole)
-                size = len(out["n"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, size), batch.column(1).slice(low, size), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["sum"], pa.float64()),
-                     pa.array(out["rare"], pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))), pa.array(out["score"], pa.float64())],
-                    names=["doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "rare", "score"],
-                )
-
-    scored = rows.select("doc_id", "held_out", "text").mapInArrow(run, SCORED)
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm_scored")
-    asked = scored.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.n")
+            for low in range(0, batch.num_rows, READ_AT_ONCE):
+                part = batch.slice(low, READ_AT_ONCE)
+                scores = scorer.scores([unpacked(d) for d in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(scores)], names=[*kept, "score"])
+
+    kept = ["row", "doc_id", "n_tokens", "hot_known", "hot_sum"]
+    scored = read.select("ids", *kept).mapInArrow(run, "row long, doc_id long, n_tokens long, hot_known long, hot_sum double, score double")
+    scored = written(scored.withColumn("held_out", held_out(F.col("doc_id"))), "lm_scored")
+    asked = read.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.n")
     rare = counts.where(~often).select("h", "c")
     found = asked.join(rare, "h", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("rare_sum"),
     )
-    return scored.drop("rare").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

@@ -4,6 +4,7 @@ import math
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.test_operators import prose
 
@@ -164,3 +165,34 @@ def test_score_documents_equals_scores_by_hand(spark, monkeypatch):
     for i in (0, 7, 60, 61, 62, 63, 64):
         ids = units.many([*lm.words(texts[i]), b""])[0].tolist()
         assert got[i] == pytest.approx(by_hand(caught["gate"], caught["tables"], ids), rel=1e-4)
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    plans, real = {}, lm.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(lm, "written", written)
+    docs = spark.createDataFrame([(i, prose(40, i % 5)) for i in range(30)], "doc_id long, text string")
+    assert lm.score_documents(docs).count() == 30
+    assert {name for name, plan in plans.items() if "text#" in plan} == {"lm_words", "lm_read"}  # training and scoring take ids
+
+
+def test_words_of_odd_texts():
+    texts = [None, "", " ", " a  B\x0b\x0cb\r\n", "x\x1cy\x85z\xa0Ä　É a", "ÀÉ zZ\tzz", "a" * 5000 + " b", "b\x00 \x00"]
+    store = lm.Words(lm.Units(NAME, {int(lm._word_hashes([b"a"])[0]): 50257}))
+    for _ in range(2):  # words that are new, and known ones
+        for size in (1, 3, 10_000):
+            got = []
+            for run in lm._runs(pa.array(texts, pa.string()), size):
+                ends, at, sizes, ids = store.read(run)
+                by_number, stops = list(store.known), np.cumsum(sizes)
+                for low, high in zip([0, *ends[:-1]], ends, strict=True):
+                    own = [by_number[i] for i in at[low:high]]
+                    got.append(own)
+                    part = ids[stops[low] - sizes[low] : stops[high - 1]]
+                    assert part.tolist() == store.units.many(own)[0].tolist()
+                    assert lm.unpacked(lm.packed(part + 500_000)).tolist() == (part + 500_000).tolist()
+            assert got == [[*lm.words(t), b""] for t in texts]
