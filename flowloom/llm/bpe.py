@@ -19,6 +19,7 @@ columns pass through (columns named ids or decoded are replaced).
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -48,8 +49,21 @@ class Store:
         return found
 
     def put(self, key, value) -> None:
-        self.size += len(key) + len(value[0]) + len(value[1]) + 300
-        self.young[key] = value
+        self.update({key: value})
+
+    def find(self, keys: dict) -> list:
+        """Fill in what is known of the keys; the keys that are not."""
+        keys.update(zip(keys, list(map(self.young.get, keys)), strict=True))
+        gone = [k for k, v in keys.items() if v is None]
+        if gone and self.old and (back := {k: v for k, v in zip(gone, map(self.old.get, gone), strict=True) if v is not None}):
+            keys.update(back)
+            self.update(back)
+            gone = [k for k in gone if k not in back]
+        return gone
+
+    def update(self, entries: dict) -> None:
+        self.size += sum(map(len, entries)) + sum([len(a) + len(b) for a, b in entries.values()]) + 300 * len(entries)
+        self.young.update(entries)
         if self.size > self.limit:
             self.old, self.young, self.size = self.young, {}, 0
 
@@ -88,25 +102,44 @@ class ChunkEncoder:
         if self.ends is None or plain(" a \n b ") != plain("a b"):
             raise ValueError(f"{path} keeps blanks or does not mark the ends of words")
         self.lower = plain("A") == plain("a")
+        self.bare = self._bare(Tokenizer)
         self.store_bytes = store_bytes
         self.forget()
 
+    def _bare(self, make):
+        """A tokenizer for words of plain letters behind blanks: the model alone, if the steps before it leave such words as they are."""
+        letters = string.ascii_lowercase if self.lower else string.ascii_letters
+        first, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        for word in (letters, *letters):
+            if first and first.normalize_str(word) != word or cut and [w for w, _ in cut.pre_tokenize_str(word)] != [word]:
+                return self.tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        bare = make(self.tokenizer.model)
+        bare.pre_tokenizer = WhitespaceSplit()
+        return bare
+
     def forget(self) -> None:
         """Empty the stores."""
         self.chunks, self.pieces, self.seams = Store(self.store_bytes // 4), Store(self.store_bytes), Store(self.store_bytes // 8)
 
     def _direct(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded) of each text."""
-        plain = [t for t in texts if t.isalpha() and t.isascii()]
+        plain = [t for t in texts if t.isalpha()]  # bytes: plain letters
+        if len(plain) == len(texts):
+            return self._words(plain) if plain else []
         out = dict(zip(plain, self._words(plain), strict=True)) if plain else {}
-        if rest := [t for t in texts if t not in out]:
-            for t, e in zip(rest, self.tokenizer.encode_batch_fast([t.decode() for t in rest], add_special_tokens=False), strict=True):
-                out[t] = array("I", e.ids).tobytes(), " ".join([self.tokens[i] for i in e.ids])
+        rest = [t for t in texts if t not in out]
+        for t, e in zip(rest, self.tokenizer.encode_batch_fast([t.decode() for t in rest], add_special_tokens=False), strict=True):
+            ids = e.ids
+            out[t] = array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
         return [out[t] for t in texts]
 
     def _words(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         """Tokens of words of plain letters, encoded as one text; each word ends with a token that marks its end."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        text = b" ".join(words)
+        tokenizer = self.bare if not self.lower or text.islower() else self.tokenizer
+        ids = np.asarray(tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) != len(words):
             raise ValueError("this vocabulary does not mark the ends of words")
@@ -117,23 +150,21 @@ class ChunkEncoder:
         return out
 
     def _cached(self, texts: list[bytes], store: Store) -> list[tuple[bytes, str]]:
-        found = list(map(store.young.get, texts))
-        if None in found:
-            found = [store.get(t) if f is None else f for t, f in zip(texts, found, strict=True)]
-            if new := list({t: None for t, f in zip(texts, found, strict=True) if f is None}):
-                fresh = dict(zip(new, self._direct(new), strict=True))
-                for t, v in fresh.items():
-                    store.put(t, v)
-                found = [fresh[t] if f is None else f for t, f in zip(texts, found, strict=True)]
-        return found
+        found = dict.fromkeys(texts)
+        if new := store.find(found):
+            fresh = dict(zip(new, self._direct(new), strict=True))
+            found.update(fresh)
+            store.update(fresh)
+        return list(map(found.__getitem__, texts))
 
     def _chunks(self, parts: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
         """Tokens of chunks that begin and end at blanks or ends of texts; new ones from their pieces between blanks."""
         out = {p: self.chunks.get(p) for p in parts}
         new = [(p, self._split(p)) for p, v in out.items() if v is None]
-        got = iter(self._cached([w for _, words in new for w in words], self.pieces))
+        got, low = self._cached([w for _, words in new for w in words], self.pieces), 0
         for part, words in new:
-            own = [next(got) for _ in words]
+            own = got[low : low + len(words)]
+            low += len(words)
             out[part] = b"".join([g[0] for g in own]), " ".join([g[1] for g in own if g[1]])
             self.chunks.put(part, out[part])
         return out

@@ -129,6 +129,22 @@ def test_stores_are_bounded_and_released():
     assert not any(s.size or s.young or s.old for s in (own.chunks, own.pieces, own.seams))
 
 
+def test_plain_words_are_encoded_by_the_model_alone():
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path("word_bpe_49k.json")
+    own, library = bpe.ChunkEncoder(path), Tokenizer.from_file(path)
+    r = np.random.default_rng(5)
+    plain = sorted({t.removesuffix("</w>") for t in library.get_vocab() if re.fullmatch("[a-z]+(</w>)?", t)})[::7]
+    plain += ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in r.integers(1, 60, 2000)]
+    words = list(dict.fromkeys(w.encode() for w in plain))
+    own.tokenizer = None  # no normalizing and splitting of what is plain
+    for _ in range(2):  # new, and from the store
+        for word, (ids, decoded) in zip(words, own._cached(words * 2, own.pieces), strict=False):
+            want = library.encode(word.decode(), add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
+
+
 def test_equal_passages_are_cut_alike():
     passage = prose(2000, 3).encode()
     a, b = (set(np.array(bpe.cut_points(p + passage)) - len(p)) for p in (b"", b"another beginning "))
