@@ -149,7 +149,7 @@ def _blocks(asked: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def attend(gate: Gate, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """At the last positions of windows: (P(component), context, its sum, attention by block, queries, keys).
+    """At the last positions of windows: (P(component) times a sum, this sum, context, its sum, attention by block, queries, keys).
 
     Embeddings of nothing are zero, so they add neither to the context nor to the sum, which is the context's last number.
     """
@@ -165,15 +165,14 @@ def attend(gate: Gate, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ..
         np.matmul(a, x[:, :high], out=context[:, low - start : high - start])
         attention.append(a)
     total = context[:, :, -1:] + np.float32(1e-20)
-    context /= total
+    context *= np.repeat(np.reciprocal(total), EMBEDDED, 2)
     g = context.reshape(-1, EMBEDDED) @ gate.mix
     g += first.reshape(-1, ROLES) @ gate.after
     g += gate.bias
     _bounded(g)
     np.exp(g, out=g)
     g += np.float32(1e-20)
-    g /= (g @ np.ones(COMPONENTS, dtype=np.float32))[:, None]
-    return g, context, total, attention, q, k
+    return g, g @ np.ones(COMPONENTS, dtype=np.float32), context, total, attention, q, k
 
 
 def _bounded(a: np.ndarray) -> None:
@@ -192,11 +191,12 @@ def _parts_of(g: np.ndarray, role: np.ndarray, on: np.ndarray) -> tuple[np.ndarr
 def log_probs(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
     """ln P(target) at the last positions of windows of ids; target has a row for each window."""
     asked = target.shape[1]
-    g = attend(gate, *tables.known(seen, asked))[0]
+    g, whole = attend(gate, *tables.known(seen, asked))[:2]
     role, first, on, second = tables.likely(seen[:, WINDOW - asked :].ravel(), target.ravel())
     _, by_role, by_piece = _parts_of(g, role, on)
     p = np.einsum("ng,ng->n", by_role, first)
     p[on] += np.einsum("ng,ng->n", by_piece, second)
+    p /= whole
     return np.log(p).reshape(target.shape)
 
 
@@ -205,7 +205,7 @@ def gradient(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -
     asked = target.shape[1]
     start = WINDOW - asked
     x, first = tables.known(seen, asked)
-    g, context, total, attention, q, k = attend(gate, x, first)
+    g, whole, context, total, attention, q, k = attend(gate, x, first)
     live = target.ravel() != NONE
     flat = np.where(live, target.ravel(), 0)
     role, first_part, on, second_part = tables.likely(seen[:, start:].ravel(), flat)
@@ -214,12 +214,13 @@ def gradient(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -
     by_piece *= second_part
     p = by_role @ np.ones(GROUPS, dtype=np.float32)
     p[on] += by_piece @ np.ones(GROUPS, dtype=np.float32)
-    d, of_groups = g, g.reshape(-1, GROUPS)  # less P(component | window, target), which is zero for other roles
-    of_groups[rows] -= by_role / p[:, None]
-    of_groups[on * (ROLES + 1) + ROLES] -= by_piece / p[on, None]
-    d *= (live / max(1, live.sum())).astype(np.float32)[:, None]
+    d, of_groups = g, g.reshape(-1, GROUPS)  # P(component | window) less P(component | window, target), which is zero for other roles
+    over = whole / p
+    of_groups[rows] -= by_role * over[:, None]
+    of_groups[on * (ROLES + 1) + ROLES] -= by_piece * over[on, None]
+    d *= np.repeat((live / max(1, live.sum())).astype(np.float32) / whole, COMPONENTS).reshape(d.shape)
     dc = (d @ gate.mix.T).reshape(context.shape)
-    dc /= total
+    dc *= np.repeat(np.reciprocal(total), EMBEDDED, 2)
     dc[:, :, -1] -= np.einsum("nqe,nqe->nq", dc, context)  # by way of the sum; embeddings end with 1
     dq, dk, dfar = np.empty_like(q), np.zeros_like(k), np.zeros(WINDOW)
     columns = x.transpose(0, 2, 1)
@@ -327,8 +328,8 @@ class Counts:
         y, before = target.ravel()[live], seen.ravel()[live]
         share = shares(target, self.leader, self.groups)
         of = live // WINDOW
-        for g in range(GROUPS):
-            self.by_group[g] += np.bincount(y, share[:, g][of], minlength=self.ids)
+        for g, column in enumerate(np.ascontiguousarray(share.T, dtype=np.float64)):
+            self.by_group[g] += np.bincount(y, column.take(of), minlength=self.ids)
         kind, told = self.role[y], before < self.ids
         self.follows += np.bincount(before[told] * ROLES + kind[told], minlength=len(self.follows))
         on = np.flatnonzero((kind == GOES_ON) & told)

@@ -1,6 +1,6 @@
 """Language-model scoring: a causal self-attention model on subword ids, trained in numpy on Spark's tasks.
 
-Texts: A-Z in lower case, words, then one end. The units of the model are subword ids: those of a public byte-level
+Texts: A-Z in lower case, words, then one end; each is read once, and training and scoring take its ids. The units of the model are subword ids: those of a public byte-level
 vocabulary for the word after a blank, and one id of its own for each word that makes up at least one in OWN_PARTS of the
 training tokens; so these are OWN_PARTS at most, by a rule that is alike at every size. Ids can be put back together, so the
 probability of the ids bounds that of the words from below.
@@ -24,7 +24,7 @@ rows are scored each, equal texts alike. Very long texts are scored whole, in bl
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, compress, islice, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ from flowloom.llm.support import written
 ROUNDS, TASK_WINDOWS = 3, 36_000
 OWN_PARTS, PAIR_PARTS, WORD_STORE = 500_000, 1_000_000, 300_000
 READ_BYTES, WORDS_BYTES = 2_000_000, 16_000_000  # of text at once
-SCORED_AT_ONCE, READ_AT_ONCE, COUNTED_AT_ONCE, ROWS_AT_ONCE = 128, 64, 4096, 50_000
-READ = "doc_id long, n_tokens long, hot_known long, hot_sum double, rare array<struct<h:long,n:int>>, ids binary"
+SCORED_AT_ONCE, READ_AT_ONCE, OPENED_AT_ONCE, COUNTED_AT_ONCE, ROWS_AT_ONCE = 128, 64, 512, 4096, 50_000
+READ = "doc_id long, n_tokens long, hot_known long, hot_sum double, rare binary, ids binary"
 SEGMENT = 32  # windows in a row
 
 
@@ -142,7 +142,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 def _read(docs: DataFrame, vocabulary: str, own_ids: Broadcast, logs: Broadcast) -> DataFrame:
     """READ of the documents (doc_id, text). logs: what a word adds to the base, for ids of words.
 
-    ids: see packed. rare: hashes of the words without an id, with counts; hot_known and hot_sum: how many the others are, and their base.
+    ids: see packed. rare: hashes of the words without an id, then their counts, in 64 bits each; hot_known and hot_sum: how many the others are, and their base.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +161,32 @@ def _read(docs: DataFrame, vocabulary: str, own_ids: Broadcast, logs: Broadcast)
         sums = np.add.reduceat(np.where(hot, logs.value[np.maximum(own - store.units.sub.end - 1, 0)], 0) if len(logs.value) else np.zeros(len(at)), starts)
         cold = np.flatnonzero(~hot)
         rare, n = np.unique(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[cold] * len(store.known) + at[cold], return_counts=True)
-        rows = pa.StructArray.from_arrays([pa.array(store.hashes.values[rare % len(store.known)]), pa.array(n, pa.int32())], names=["h", "n"])
-        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.arange(len(ends) + 1) * len(store.known)), pa.int32()), rows)
+        hashes, edges = store.hashes.values[rare % len(store.known)], np.searchsorted(rare, np.arange(len(ends) + 1) * len(store.known)).tolist()
+        lists = [hashes[low:high].tobytes() + n[low:high].tobytes() for low, high in zip(edges[:-1], edges[1:], strict=True)]
         parts = [packed(ids[low:high]) for low, high in zip([0, *stops[:-1]], stops, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [doc_id, pa.array(ends - starts), pa.array(np.add.reduceat(hot.astype(np.int64), starts)), pa.array(sums), lists, pa.array(parts, pa.binary())],
+            [doc_id, pa.array(ends - starts), pa.array(np.add.reduceat(hot.astype(np.int64), starts)), pa.array(sums), pa.array(lists, pa.binary()), pa.array(parts, pa.binary())],
             names=["doc_id", "n_tokens", "hot_known", "hot_sum", "rare", "ids"],
         )
 
     return docs.select("doc_id", "text").mapInArrow(run, READ)
 
 
+def _rare(read: DataFrame) -> DataFrame:
+    """(row, h, n) of the words without an id in READ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, OPENED_AT_ONCE):
+                part = batch.slice(low, OPENED_AT_ONCE)
+                found = [np.frombuffer(d, np.int64).reshape(2, -1) for d in part.column(1).to_pylist()]
+                rows = np.repeat(part.column(0).to_numpy(), [f.shape[1] for f in found])
+                h, n = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(h), pa.array(n)], names=["row", "h", "n"])
+
+    return read.select("row", "rare").mapInArrow(run, "row long, h long, n long")
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids in three bytes each: the two low ones of all, then the high ones."""
     return ids.astype("<u2").tobytes() + (ids >> 16).astype(np.uint8).tobytes()
@@ -188,8 +203,8 @@ def _id_counts(read: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for low in range(0, batch.num_rows, READ_AT_ONCE):
-                total += np.bincount(np.concatenate([unpacked(d) for d in batch.column(0).slice(low, READ_AT_ONCE).to_pylist()]), minlength=size)
+            for low in range(0, batch.num_rows, OPENED_AT_ONCE):
+                total += np.bincount(np.concatenate([unpacked(d) for d in batch.column(0).slice(low, OPENED_AT_ONCE).to_pylist()]), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
@@ -334,14 +349,6 @@ def train(windows: DataFrame, shared: Broadcast) -> Gate:
     return gate
 
 
-class Numbers(dict):
-    """A number for each word, in the order in which they came."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Grown:
     """An array that grows at its end; room doubles, so that what is there is seldom copied."""
 
@@ -369,7 +376,7 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = Numbers()
+        self.known: dict[bytes, int] = {}  # numbers in the order in which words came
         # ids of all words one after another; of each word the number of units, where they start, the hash, and its own id or -1
         self.ids, self.sizes, self.starts, self.hashes, self.own = (Grown(t) for t in (np.int32, np.int32, np.int32, np.int64, np.int32))
 
@@ -389,17 +396,19 @@ class Words:
             self._forget()
         lists = _split(texts)
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        before = len(self.known)
-        numbers = np.fromiter(map(self.known.__getitem__, [*distinct, b""]), dtype=np.int64, count=len(distinct) + 1)
-        if len(self.known) > before:
-            self._learn(list(islice(self.known, before, None)))
+        distinct = [*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), b""]
+        if new := list(dict.fromkeys(w for w in distinct if w not in self.known)):
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self._learn(new)
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
         found = numbers[coded.indices.to_numpy()]
         there = found != numbers[-1]
         many = np.bincount(np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[there], minlength=len(texts))
         ends = np.cumsum(many + 1)
+        inside = np.ones(ends[-1], dtype=bool)
+        inside[ends - 1] = False
         at = np.full(ends[-1], numbers[-1])
-        at[np.delete(np.arange(len(at)), ends - 1)] = found[there]
+        at[inside] = found[there]
         size = self.sizes.values[at]
         stops = np.cumsum(size)
         return ends, at, size, self.ids.values[np.arange(stops[-1]) + np.repeat(self.starts.values[at] - stops + size, size)]
@@ -475,9 +484,8 @@ def score_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
     kept = ["row", "doc_id", "n_tokens", "hot_known", "hot_sum"]
     scored = read.select("ids", *kept).mapInArrow(run, "row long, doc_id long, n_tokens long, hot_known long, hot_sum double, score double")
     scored = written(scored.withColumn("held_out", held_out(F.col("doc_id"))), "lm_scored")
-    asked = read.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.n")
-    rare = counts.where(~often).select("h", "c")
-    found = asked.join(rare, "h", "left").groupBy("row").agg(
+    rare = counts.where(~often).select("h", "c").hint("shuffle_hash")  # a hash has one row, so the shares of tasks are even
+    found = _rare(read).join(rare, "h", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("rare_sum"),
     )
