@@ -1,9 +1,10 @@
 """Language-model scoring: a causal self-attention model on subword ids, trained in numpy on Spark's tasks.
 
-Texts: A-Z in lower case, words, then one end; each is read once, and training and scoring take its ids. The units of the model are subword ids: those of a public byte-level
+Texts: A-Z in lower case, words, then one end. The units of the model are subword ids: those of a public byte-level
 vocabulary for the word after a blank, and one id of its own for each word that makes up at least one in OWN_PARTS of the
 training tokens; so these are OWN_PARTS at most, by a rule that is alike at every size. Ids can be put back together, so the
-probability of the ids bounds that of the words from below.
+probability of the ids bounds that of the words from below. Texts are cut into ids once, after words are counted; training
+and scoring take the ids.
 
 Model: see attention.py. Its tables are counted over all training ids: how often each id stands in windows of each group, how
 often pieces follow pieces (pairs that make up at least one in PAIR_PARTS), which roles follow an id. Its attention is trained
@@ -460,7 +461,7 @@ def score_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
     first = sub.end + 1
     own_ids = spark.sparkContext.broadcast({h: first + i for i, (h, _) in enumerate(own)})
     logs = spark.sparkContext.broadcast(np.log10((np.array([c for _, c in own], dtype=np.float64) + 0.5) / whole))
-    # every text is read once; training and scoring take its ids
+    # texts are cut into ids once; training and scoring take these
     read = written(_read(rows, vocabulary, own_ids, logs).withColumn("row", F.monotonically_increasing_id()), "lm_read")
     trained = read.where(~held_out(F.col("doc_id")))
     by_id = np.zeros(first + len(own))
