@@ -26,9 +26,12 @@ GROUPS, LEADERS = 8, 128
 BEGINS, GOES_ON, WORD, ROLES = 0, 1, 2, 3
 COMPONENTS, EMBEDDED = (ROLES + 1) * GROUPS, GROUPS + ROLES + 1  # the last number of an embedding is 1; component = role * GROUPS + group; the last ones depend on the current piece
 KEY_DIM, RATE, BATCH, MIN_STEPS = 8, 0.02, 64, 100
-BLOCK = 16  # queries of a window that are computed together
+SHOWN = EMBEDDED + ROLES + 1  # of an id: its embedding, the roles that follow it, 1
+BLOCK = 32  # queries of a window that are computed together: products of so small matrices cost by the call
 BOUND = np.float32(30)  # of scores before the exponential, in training and in scoring
+LEAST = np.float32(1e-20)  # added to P(component) times its sum
 NONE = -1  # in windows: nothing there
+KEPT = 16 << 20  # see keep_freed
 PAIRS_AT_ONCE = 1_000_000
 BACK_OFF = 2.0  # how often the group's own pieces count beside those seen after a piece
 
@@ -73,11 +76,10 @@ class Tables:
 
     role: np.ndarray
     pieces: int  # ids from here on are whole words
-    embedded: np.ndarray
+    shown: np.ndarray  # SHOWN numbers of each, in one row: what is taken together lies together
     emitted: np.ndarray  # P(id | role, group)
-    follows: np.ndarray  # ln P(role of the next id | id)
-    pairs: np.ndarray  # current id * ids + next id, ascending
-    paired: np.ndarray  # how often, by group
+    pairs: np.ndarray  # current id * ids + next id, ascending; the last one is no pair
+    paired: np.ndarray  # how often, by group; the last row is zero
     leads: np.ndarray  # how often each id comes before a piece that goes on, by group
 
     @classmethod
@@ -103,20 +105,32 @@ class Tables:
         leads = np.zeros((ids, GROUPS))
         if len(pairs):
             np.add.at(leads, pairs // ids, paired)
-        two, edge = np.zeros((2, GROUPS)), np.zeros((2, EMBEDDED))
-        edge[0, -1] = 1  # the start is there, what is nothing is not
+        two, shown = np.zeros((2, GROUPS)), np.zeros((ids + 2, SHOWN), dtype=np.float32)
+        shown[:ids, :EMBEDDED] = np.concatenate([given, of_role, np.ones((ids, 1))], axis=1)
+        shown[ids, EMBEDDED - 1] = 1  # the start is there, what is nothing is not
+        shown[:, EMBEDDED:-1] = np.concatenate([told, np.log(np.repeat(often[None], 2, 0))])
+        shown[:, -1] = 1
         return cls(
-            role, pieces, np.concatenate([np.concatenate([given, of_role, np.ones((ids, 1))], axis=1), edge]).astype(np.float32), emitted.astype(np.float32),
-            np.concatenate([told, np.log(np.repeat(often[None], 2, 0))]).astype(np.float32), pairs, paired.astype(np.float32), np.concatenate([leads, two]).astype(np.float32),
+            role, pieces, shown, emitted.astype(np.float32), np.append(pairs, np.iinfo(np.int64).max),
+            np.concatenate([paired, two[:1]]).astype(np.float32), np.concatenate([leads, two]).astype(np.float32),
         )
 
     @property
     def start(self) -> int:
         return len(self.emitted)
 
-    def known(self, windows: np.ndarray, asked: int) -> tuple[np.ndarray, np.ndarray]:
-        """What the model sees of windows of ids: embeddings, and the roles that follow the last `asked` ids."""
-        return self.embedded.take(windows, 0, mode="wrap"), self.follows.take(windows[:, WINDOW - asked :], 0, mode="wrap")
+    @property
+    def embedded(self) -> np.ndarray:
+        return self.shown[:, :EMBEDDED]
+
+    @property
+    def follows(self) -> np.ndarray:
+        """ln P(role of the next id | id)."""
+        return self.shown[:, EMBEDDED:-1]
+
+    def known(self, windows: np.ndarray) -> np.ndarray:
+        """What the model sees of windows of ids."""
+        return self.shown.take(windows, 0, mode="wrap")
 
     def likely(self, current: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """P(target | component) of rows of current and target ids: role of each, by group, and where pieces go on, by group after the current piece."""
@@ -124,12 +138,11 @@ class Tables:
         on = np.flatnonzero(role == GOES_ON)
         now = current[on]
         key = now * self.start + target[on]
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
+        at = np.searchsorted(self.pairs, key)
+        at[self.pairs.take(at) != key] = len(self.pairs) - 1
         second = first.take(on, 0)
         second *= np.float32(BACK_OFF)
-        if len(self.pairs):
-            hit = np.flatnonzero(self.pairs.take(at) == key)
-            second[hit] += self.paired.take(at[hit], 0)
+        second += self.paired.take(at, 0)
         second /= self.leads.take(now, 0, mode="wrap") + np.float32(BACK_OFF)
         return role, first, on, second
 
@@ -148,31 +161,39 @@ def _blocks(asked: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     return out
 
 
-def attend(gate: Gate, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """At the last positions of windows: (P(component) times a sum, this sum, context, its sum, attention by block, queries, keys).
+def attend(gate: Gate, shown: np.ndarray, asked: int) -> tuple[np.ndarray, ...]:
+    """At the last positions of windows: (P(component) times a sum, this sum, context and what follows the current id, the context's sum, attention by block, queries and keys).
 
     Embeddings of nothing are zero, so they add neither to the context nor to the sum, which is the context's last number.
     """
-    n, asked, _ = first.shape
-    start = WINDOW - asked
-    q, k = x[:, start:] @ (gate.q / np.float32(KEY_DIM**0.5)), x @ gate.k
-    keys, context, attention = k.transpose(0, 2, 1), np.empty((n, asked, EMBEDDED), dtype=np.float32), []
+    n, start, x = len(shown), WINDOW - asked, shown[:, :, :EMBEDDED]
+    asks = np.concatenate([gate.q / np.float32(KEY_DIM**0.5), gate.k], axis=1)
+    asks = (shown.reshape(-1, SHOWN)[:, :EMBEDDED] @ asks).reshape(n, WINDOW, 2 * KEY_DIM)
+    q, keys = asks[:, start:, :KEY_DIM], asks[:, :, KEY_DIM:].transpose(0, 2, 1)
+    context, attention = shown[:, start:].copy(), []
     for low, high, far, allowed in _blocks(asked):
         a = q[:, low - start : high - start] @ keys[:, :, :high]
         a += np.where(allowed, gate.far[far], np.float32(-1e4))
         _bounded(a)
         np.exp(a, out=a)
-        np.matmul(a, x[:, :high], out=context[:, low - start : high - start])
+        np.matmul(a, x[:, :high], out=context[:, low - start : high - start, :EMBEDDED])
         attention.append(a)
-    total = context[:, :, -1:] + np.float32(1e-20)
-    context *= np.repeat(np.reciprocal(total), EMBEDDED, 2)
-    g = context.reshape(-1, EMBEDDED) @ gate.mix
-    g += first.reshape(-1, ROLES) @ gate.after
-    g += gate.bias
+    context = context.reshape(-1, SHOWN)
+    total = context[:, EMBEDDED - 1] + np.float32(1e-20)
+    context[:, :EMBEDDED] *= np.repeat(np.reciprocal(total), EMBEDDED).reshape(-1, EMBEDDED)
+    g = context @ np.concatenate([gate.mix, gate.after, gate.bias[None]])
     _bounded(g)
     np.exp(g, out=g)
-    g += np.float32(1e-20)
-    return g, g @ np.ones(COMPONENTS, dtype=np.float32), context, total, attention, q, k
+    return g, g @ np.ones(COMPONENTS, dtype=np.float32) + COMPONENTS * LEAST, context, total, attention, asks
+
+
+def keep_freed() -> None:
+    """The process keeps arrays of up to KEPT bytes that it frees, for the next ones.
+
+    Before it has freed a large one, the C library gives arrays of more than 128 KB back at once, and the steps of training and scoring get their
+    pages anew from the system each time. At most twice KEPT stay unused.
+    """
+    np.empty(KEPT, dtype=np.uint8)
 
 
 def _bounded(a: np.ndarray) -> None:
@@ -181,60 +202,63 @@ def _bounded(a: np.ndarray) -> None:
         np.minimum(a, BOUND, out=a)
 
 
-def _parts_of(g: np.ndarray, role: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(component) by group: (place of the target's role, its components, those after the current piece where pieces go on)."""
-    flat = g.reshape(-1, GROUPS)
-    rows = np.arange(len(role)) * (ROLES + 1) + role
-    return rows, flat.take(rows, 0), flat.take(on * (ROLES + 1) + ROLES, 0)
+def _parts_of(g: np.ndarray, role: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(component) times a sum, by group: (places of the target's role, then of the last role where pieces go on, the components there)."""
+    rows = np.concatenate([np.arange(0, len(role) * (ROLES + 1), ROLES + 1) + role, on * (ROLES + 1) + ROLES])
+    return rows, g.reshape(-1, GROUPS).take(rows, 0) + LEAST
+
+
+def _summed(parts: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """The sum of each target's parts; those of `on` come after the others."""
+    each = parts @ np.ones(GROUPS, dtype=np.float32)
+    many = len(each) - len(on)
+    each[on] += each[many:]
+    return each[:many]
 
 
 def log_probs(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
     """ln P(target) at the last positions of windows of ids; target has a row for each window."""
     asked = target.shape[1]
-    g, whole = attend(gate, *tables.known(seen, asked))[:2]
+    g, whole = attend(gate, tables.known(seen), asked)[:2]
     role, first, on, second = tables.likely(seen[:, WINDOW - asked :].ravel(), target.ravel())
-    _, by_role, by_piece = _parts_of(g, role, on)
-    p = np.einsum("ng,ng->n", by_role, first)
-    p[on] += np.einsum("ng,ng->n", by_piece, second)
-    p /= whole
-    return np.log(p).reshape(target.shape)
+    parts = _parts_of(g, role, on)[1]
+    parts *= np.concatenate([first, second])
+    return np.log(_summed(parts, on) / whole).reshape(target.shape)
 
 
 def gradient(gate: Gate, tables: Tables, seen: np.ndarray, target: np.ndarray) -> Gate:
     """Of the mean negative log-likelihood over the targets. Targets of NONE do not count; nothing is NONE before a target."""
-    asked = target.shape[1]
-    start = WINDOW - asked
-    x, first = tables.known(seen, asked)
-    g, whole, context, total, attention, q, k = attend(gate, x, first)
+    n, asked = target.shape
+    start, shown = WINDOW - asked, tables.known(seen)
+    g, whole, context, total, attention, asks = attend(gate, shown, asked)
     live = target.ravel() != NONE
-    flat = np.where(live, target.ravel(), 0)
-    role, first_part, on, second_part = tables.likely(seen[:, start:].ravel(), flat)
-    rows, by_role, by_piece = _parts_of(g, role, on)
-    by_role *= first_part
-    by_piece *= second_part
-    p = by_role @ np.ones(GROUPS, dtype=np.float32)
-    p[on] += by_piece @ np.ones(GROUPS, dtype=np.float32)
-    d, of_groups = g, g.reshape(-1, GROUPS)  # P(component | window) less P(component | window, target), which is zero for other roles
-    over = whole / p
-    of_groups[rows] -= by_role * over[:, None]
-    of_groups[on * (ROLES + 1) + ROLES] -= by_piece * over[on, None]
-    d *= np.repeat((live / max(1, live.sum())).astype(np.float32) / whole, COMPONENTS).reshape(d.shape)
-    dc = (d @ gate.mix.T).reshape(context.shape)
-    dc *= np.repeat(np.reciprocal(total), EMBEDDED, 2)
-    dc[:, :, -1] -= np.einsum("nqe,nqe->nq", dc, context)  # by way of the sum; embeddings end with 1
-    dq, dk, dfar = np.empty_like(q), np.zeros_like(k), np.zeros(WINDOW)
-    columns = x.transpose(0, 2, 1)
-    for (low, high, far, _), a in zip(_blocks(asked), attention, strict=True):
+    role, first, on, second = tables.likely(seen[:, start:].ravel(), np.where(live, target.ravel(), 0))
+    rows, parts = _parts_of(g, role, on)
+    given = parts * np.concatenate([first, second])
+    over = whole / _summed(given, on)
+    given *= np.concatenate([over, over[on]])[:, None]
+    d = g  # (P(component | window) less P(component | window, target), which is zero for other roles) times whole
+    d.reshape(-1, GROUPS)[rows] = parts - given
+    each = live / np.float32(max(1, live.sum())) / whole
+    dc = d @ np.concatenate([gate.mix, np.zeros((SHOWN - EMBEDDED, COMPONENTS), dtype=np.float32)]).T
+    dc *= np.repeat(each / total, SHOWN).reshape(-1, SHOWN)
+    dc[:, EMBEDDED - 1] -= (dc * context) @ np.ones(SHOWN, dtype=np.float32)  # by way of the sum; embeddings end with 1
+    context *= np.repeat(each, SHOWN).reshape(-1, SHOWN)
+    d_out = (context.reshape(n, asked, SHOWN).transpose(0, 2, 1) @ d.reshape(n, asked, COMPONENTS)).sum(0)
+    dc, d_asks, dfar = dc.reshape(n, asked, SHOWN)[:, :, :EMBEDDED], np.zeros_like(asks), np.zeros(WINDOW)
+    columns, q, k, dq, dk = shown[:, :, :EMBEDDED].transpose(0, 2, 1), asks[:, start:, :KEY_DIM], asks[:, :, KEY_DIM:], d_asks[:, start:, :KEY_DIM], d_asks[:, :, KEY_DIM:]
+    for (low, high, far, _), a in zip(reversed(_blocks(asked)), reversed(attention), strict=True):
         part = slice(low - start, high - start)
         da = dc[:, part] @ columns[:, :, :high]
         da *= a
         np.matmul(da, k[:, :high], out=dq[:, part])
-        dk[:, :high] += da.transpose(0, 2, 1) @ q[:, part]
+        if high == WINDOW:
+            np.matmul(da.transpose(0, 2, 1), q[:, part], out=dk)
+        else:
+            dk[:, :high] += da.transpose(0, 2, 1) @ q[:, part]
         dfar += np.bincount(far.ravel(), da.sum(0).ravel(), minlength=WINDOW)
-    return Gate(
-        x[:, start:].reshape(-1, EMBEDDED).T @ dq.reshape(-1, KEY_DIM) / np.float32(KEY_DIM**0.5), x.reshape(-1, EMBEDDED).T @ dk.reshape(-1, KEY_DIM), dfar.astype(np.float32),
-        context.reshape(-1, EMBEDDED).T @ d, first.reshape(-1, ROLES).T @ d, d.sum(0),
-    )
+    d_asks = shown.reshape(-1, SHOWN)[:, :EMBEDDED].T @ d_asks.reshape(-1, 2 * KEY_DIM)
+    return Gate(d_asks[:, :KEY_DIM] / np.float32(KEY_DIM**0.5), d_asks[:, KEY_DIM:], dfar.astype(np.float32), d_out[:EMBEDDED], d_out[EMBEDDED:-1], d_out[-1])
 
 
 class Trainer:
@@ -354,10 +378,8 @@ def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and the sum of the rows of each."""
     if not len(keys):
         return keys, np.zeros((0, rows.shape[1]), dtype=np.float64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-    return keys[at], np.add.reduceat(rows[order], at, axis=0, dtype=np.float64)
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.stack([np.bincount(at, column) for column in np.ascontiguousarray(rows.T)], axis=1)
 
 
 def windows_of(sequence: np.ndarray, start: int) -> np.ndarray:

@@ -147,6 +147,7 @@ def _read(docs: DataFrame, vocabulary: str, own_ids: Broadcast, logs: Broadcast)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attention.keep_freed()
         store = Words(Units(vocabulary, own_ids.value))
         for batch in batches:
             low = 0
@@ -276,6 +277,7 @@ def _groups(windows: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     leader[leading] = np.arange(len(leading))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attention.keep_freed()
         total = np.zeros((LEADERS, LEADERS))
         for part in _in_parts(batches, COUNTED_AT_ONCE):
             x = (attention.leaders_in(part[:, 1:], leader) > 0).astype(np.float32)
@@ -295,6 +297,7 @@ def _tables(windows: DataFrame, counts: np.ndarray, role: np.ndarray) -> Tables:
     ids, names = len(role), [f"g{g}" for g in range(GROUPS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attention.keep_freed()
         counts = attention.Counts(leader, groups, role)
 
         def rows(kind: int, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -334,6 +337,7 @@ def train(windows: DataFrame, shared: Broadcast) -> Gate:
     for number in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], start=gate, number=number) -> Iterator[pa.RecordBatch]:
+            attention.keep_freed()
             own = Trainer(start, shared.value, attention.RATE / (1 + number))
             own.run(_in_parts(batches, 64 * SEGMENT))
             if own.windows:
@@ -380,6 +384,8 @@ class Words:
         self.known: dict[bytes, int] = {}  # numbers in the order in which words came
         # ids of all words one after another; of each word the number of units, where they start, the hash, and its own id or -1
         self.ids, self.sizes, self.starts, self.hashes, self.own = (Grown(t) for t in (np.int32, np.int32, np.int32, np.int64, np.int32))
+        self.known[b""] = 0  # the end
+        self._learn([b""])
 
     def _learn(self, new: list[bytes]) -> None:
         """Tables of new words, in the order of their numbers."""
@@ -397,22 +403,24 @@ class Words:
             self._forget()
         lists = _split(texts)
         coded = lists.flatten().dictionary_encode()
-        distinct = [*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), b""]
-        if new := list(dict.fromkeys(w for w in distinct if w not in self.known)):
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        if len(missing := np.flatnonzero(numbers < 0)):
+            new = list(map(distinct.__getitem__, missing.tolist()))
+            numbers[missing] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, numbers[missing].tolist(), strict=True))
             self._learn(new)
-        numbers = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        found = numbers[coded.indices.to_numpy()]
-        there = found != numbers[-1]
+        found, end = numbers[coded.indices.to_numpy()], self.known[b""]
+        there = found != end
         many = np.bincount(np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[there], minlength=len(texts))
         ends = np.cumsum(many + 1)
         inside = np.ones(ends[-1], dtype=bool)
         inside[ends - 1] = False
-        at = np.full(ends[-1], numbers[-1])
+        at = np.full(ends[-1], end)
         at[inside] = found[there]
         size = self.sizes.values[at]
         stops = np.cumsum(size)
-        return ends, at, size, self.ids.values[np.arange(stops[-1]) + np.repeat(self.starts.values[at] - stops + size, size)]
+        return ends, at, size, self.ids.values.take(np.arange(stops[-1]) + np.repeat(self.starts.values[at] - stops + size, size))
 
 
 class Scorer:
@@ -475,6 +483,7 @@ def score_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
     gate = train(windows, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attention.keep_freed()
         scorer = Scorer(shared.value, gate)
         for batch in batches:
             for low in range(0, batch.num_rows, READ_AT_ONCE):
@@ -485,10 +494,10 @@ def score_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
     kept = ["row", "doc_id", "n_tokens", "hot_known", "hot_sum"]
     scored = read.select("ids", *kept).mapInArrow(run, "row long, doc_id long, n_tokens long, hot_known long, hot_sum double, score double")
     scored = written(scored.withColumn("held_out", held_out(F.col("doc_id"))), "lm_scored")
-    rare = counts.where(~often).select("h", "c").hint("shuffle_hash")  # a hash has one row, so the shares of tasks are even
+    rare = counts.where(~often).select("h", F.log10((F.col("c") + 0.5) / F.lit(whole)).alias("log")).hint("shuffle_hash")  # a hash has one row, so the shares of tasks are even
     found = _rare(read).join(rare, "h", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("rare_sum"),
+        F.sum(F.when(F.col("log").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("n") * F.coalesce("log", F.log10(F.lit(0.5) / F.lit(whole)))).alias("rare_sum"),
     )
     return scored.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens",

@@ -1,6 +1,9 @@
 """The language model: its windows, its distribution, its gradient, and its scores recomputed one token at a time."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -180,6 +183,38 @@ def test_texts_are_read_once(spark, monkeypatch):
     assert {name for name, plan in plans.items() if "text#" in plan} == {"lm_words", "lm_read"}  # training and scoring take ids
 
 
+TASK = """
+import resource
+from types import SimpleNamespace
+from unittest.mock import MagicMock
+import numpy as np
+from flowloom.llm import lm
+from tests.llm.test_lm_windows import small_model
+
+tables, _, windows = small_model()
+windows = np.tile(windows, (100, 1))[:2048]
+lm.F, lm._in_parts = MagicMock(), lambda batches, many: iter([windows])
+
+def pages_of(run, schema):
+    taken = []
+    for _ in range(4):
+        taken.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+        next(run(iter([])))
+    print(max(np.diff(taken)[1:]))
+    raise SystemExit
+
+part = SimpleNamespace(mapInArrow=pages_of)
+lm.train(SimpleNamespace(where=lambda *_: SimpleNamespace(select=lambda *_: part)), SimpleNamespace(value=tables))
+"""
+
+
+def test_training_keeps_its_memory():
+    """In a new process, as a task's is: arrays of one step are there for the next, so that no page is asked for again."""
+    top = str(Path(lm.__file__).parents[2])
+    out = subprocess.run([sys.executable, "-c", TASK], cwd=top, capture_output=True, text=True, timeout=120, check=True)
+    assert int(out.stdout) < 2000  # pages in the worst of three runs of 100 steps
+
+
 def test_words_of_odd_texts():
     texts = [None, "", " ", " a  B\x0b\x0cb\r\n", "x\x1cy\x85z\xa0Ä　É a", "ÀÉ zZ\tzz", "a" * 5000 + " b", "b\x00 \x00"]
     store = lm.Words(lm.Units(NAME, {int(lm._word_hashes([b"a"])[0]): 50257}))
