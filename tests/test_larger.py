@@ -1,15 +1,17 @@
 """What showed on larger tables only, on small ones that are made to show it."""
 
 import datetime
+import itertools
 import random
 
 import duckdb
 
 from pyspark.sql import functions as F
 
-from flowloom.operators import conformance, evidence, profile, traces
+from flowloom.functions import quantiles
+from flowloom.operators import analysis, conformance, evidence, profile, ranking, traces
 from flowloom.plans.catalogue import ORACLES, QUERIES
-from flowloom.sources import files
+from flowloom.sources import files, scratch
 from flowloom.sources.scratch import written
 
 START = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
@@ -62,3 +64,53 @@ def test_what_is_read_twice_is_made_once(spark, tmp_path, monkeypatch):
     assert log.count() == 3 and {"cells", "clean"} <= set(made)
     variants = profile.variant_stats(traces.traces(log)).withColumn("variant_id", F.col("path_key"))
     assert evidence.compare_variants(variants, "z", "x\ny\x1fz").count() == 2 and made[-2:] == ["leads", "compared"]
+
+
+def test_pairs_of_paths_do_not_travel(spark, monkeypatch):
+    """Permutations of one bag: every held-out path is compared with every known one, and tasks get each path about once and not once a pair."""
+    paths = ["".join(p) for p in itertools.permutations("abcdef")]
+    rows = [("\x1f".join(p), list(p), str(i)) for i, p in enumerate(paths)]
+    schema = "path_key string, path array<string>, case_id string"
+    got_bytes, verify = spark.sparkContext.accumulator(0), conformance._verify
+
+    def counted(batches):
+        for b in batches:
+            got_bytes.add(b.nbytes)
+            yield b
+
+    monkeypatch.setattr(conformance, "_verify", lambda batches: verify(counted(batches)))
+    found = conformance.nearest_variants(spark.createDataFrame(rows[::2], schema), spark.createDataFrame(rows[1::2], schema)).collect()
+    assert len(found) == 360 and {x["cost"] for x in found} == {2} and min(x["verified"] for x in found) == 360
+    assert 720 * 20 < got_bytes.value < 720 * 300
+
+
+def test_metrics_of_an_analysis_store_what_they_read(spark, make_log, monkeypatch):
+    """The events are read for the cases alone, and of the rounds of the search only the last one's result stays."""
+    made = []
+    for module in (analysis, conformance, profile, quantiles, ranking, traces):
+        if hasattr(module, "written"):
+            monkeypatch.setattr(module, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    r = random.Random(3)
+    log = make_log([(f"n-{i}", [r.choice("abcde") for _ in range(r.randrange(1, 12))], [1]) for i in range(60)])
+    before = set(scratch._MADE.get(spark.sparkContext.applicationId, []))
+    a = analysis.analyse(spark, log)
+    assert a.metrics.first()["case_count"] == 60
+    names = [x.scratch_path.rsplit("/", 1)[1] for x in made]
+    assert names.count("nearest") > 1 and not {"log", "leads", "to_rank", "ranges"} & {*names} and names.count("counted") == 1
+    left = [p.rsplit("/", 1)[1] for p in scratch._MADE[spark.sparkContext.applicationId] if p not in before]
+    assert left.count("nearest") == 1 and not {"met", "reach", "references"} & {*left}
+    assert a.edges.count() and a.header.count() == a.trend.count() == 1  # the other parts are made when asked for
+
+
+def test_long_and_short_paths_compare_alike():
+    """In a piece of one bag and in tasks: paths of less than 64 activities go by vectors, longer ones one by one."""
+    r = random.Random(9)
+    for _ in range(40):
+        bag = [r.choice("abcdefg") for _ in range(r.choice((1, 5, 62, 63, 64, 65, 130)))]
+        known = ["\x1f".join(r.sample(bag, len(bag))) for _ in range(5)]
+        refs = conformance._References([7, 3, 9, 1, 5], known)
+        held = [[r.choice("abcdefgz") for _ in range(r.choice((1, 7, 61, 62, 63, 64, 65, 90)))] for _ in range(9)]
+        best = {}
+        refs.compare([*enumerate(held)], best)
+        cost = lambda p, q: len(p) + len(q) - 2 * conformance.lcs_length(conformance.bit_masks(p), len(p), q)
+        assert best == {i: (*min((cost(p, k.split("\x1f")), n) for n, k in zip([7, 3, 9, 1, 5], known)), 5) for i, p in enumerate(held)}
